@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
 from .media import op3_media_columns
 
 QUERIES = {
     "op3_media_columns": op3_media_columns,
+    "op7_bpe": op7_bpe,
 }
 ORACLES: dict[str, str] = {}
