@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .media import op3_media_columns
+from .packing import op9_best_fit_packing
 
 QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op7_bpe": op7_bpe,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
