@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .chat import op10_chat_format
 from .media import op3_media_columns
 from .packing import op9_best_fit_packing
 
@@ -10,5 +11,6 @@ QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op7_bpe": op7_bpe,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {}
