@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .chat import op10_chat_format
 from .media import op3_media_columns
+from .minhash import op8_minhash_dedup
 from .packing import op9_best_fit_packing
 from .substring import op4_substring_dedup
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_bpe": op7_bpe,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_chat_format": op10_chat_format,
 }
