@@ -56,8 +56,7 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Array of words of a text; empty for null and for texts without words."""
-    stripped = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACES}|{SPACES}$", "")
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, SPACES))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
 class HashCache(dict):

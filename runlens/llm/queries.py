@@ -7,9 +7,11 @@ from .chat import op10_chat_format
 from .media import op3_media_columns
 from .minhash import op8_minhash_dedup
 from .packing import op9_best_fit_packing
+from .rules import op2_quality_rules
 from .substring import op4_substring_dedup
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_media_columns": op3_media_columns,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_bpe": op7_bpe,
