@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .chat import op10_chat_format
+from .lines import LINE_DEDUP_SQL, op5_line_dedup
 from .media import op3_media_columns
 from .minhash import op8_minhash_dedup
 from .packing import op9_best_fit_packing
@@ -14,9 +15,12 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_media_columns": op3_media_columns,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": LINE_DEDUP_SQL,
+}

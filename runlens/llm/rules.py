@@ -21,6 +21,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Most rounds of expectation-maximisation.
 ROUNDS = 100
+#: Least share of a rule's votes for bad that are right.
+TRUST = 0.8
 
 
 def let(value: Column, body) -> Column:
@@ -77,55 +79,56 @@ def share(part: str, whole: str) -> Column:
 def votes() -> dict[str, Column]:
     """rule -> 1 (good), 0 (bad) or null (abstains)."""
 
-    def rule(bad: Column, good: Column) -> Column:
-        return F.when(bad, 0).when(good, 1)
+    def rule(bad: Column, good: Column | None = None) -> Column:
+        return F.when(bad, 0) if good is None else F.when(bad, 0).when(good, 1)
 
-    enough = F.col("n_words") >= 10
     length = F.coalesce(F.try_divide(F.col("word_chars"), F.col("n_words")), F.lit(0.0))
+    # a rule that looks for one kind of junk says nothing of texts without it
     return {
         "long_enough": rule(F.col("n_words") < 10, F.col("n_words") >= 30),
-        "few_symbols": rule(share("n_symbols", "word_chars") > 0.02, enough & (share("n_symbols", "word_chars") < 0.004)),
-        "few_capitals": rule(share("n_upper", "word_chars") > 0.3, enough & (share("n_upper", "word_chars") < 0.15)),
-        "calm": rule(share("n_exclaim", "n_words") > 0.2, enough & (share("n_exclaim", "n_words") < 0.05)),
-        "own_lines": rule(share("n_dup_lines", "n_lines") > 0.3, (F.col("n_lines") >= 3) & (F.col("n_dup_lines") == 0)),
-        "own_phrases": rule(share("n_repeat_words", "n_words") > 0.1, (F.col("n_words") >= 30) & (share("n_repeat_words", "n_words") < 0.02)),
-        "word_length": rule((length < 2) | (length > 15), enough & length.between(2.5, 12)),
+        "word_length": rule((length < 2) | (length > 15), (F.col("n_words") >= 10) & length.between(2.5, 12)),
+        "few_symbols": rule(share("n_symbols", "word_chars") > 0.02),
+        "few_capitals": rule(share("n_upper", "word_chars") > 0.3),
+        "calm": rule(share("n_exclaim", "n_words") > 0.2),
+        "own_lines": rule(share("n_dup_lines", "n_lines") > 0.3),
+        "own_phrases": rule(share("n_repeat_words", "n_words") > 0.2),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rules: int) -> tuple[float, list[tuple[float, float]]]:
-    """(log odds of good, per rule the weights of its votes for good and for bad).
+def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rules: int) -> tuple[float, list[dict[int, float]]]:
+    """(log odds of good, per rule the weights of its votes for good (1) and bad (0)).
 
-    Starts from the majority of votes; counts are smoothed by one vote each
-    way.  Without rows the rules are taken as right in four of five cases.
+    A rule's accuracies are how often it votes good, and bad, among good and
+    among bad texts; abstaining says nothing.  At first a text counts as bad
+    where any rule says so.  Without labels the classes may turn to any other
+    way of splitting the corpus, so rules are held to mean what they say: at
+    least TRUST of a rule's votes for bad go to bad texts, a vote for good never
+    speaks for bad, and the prior stays the share of texts that no rule calls bad.
     """
-    right = {1: [0.8] * rules, 0: [0.8] * rules}
-    prior, before = 0.8, None
-    for _ in range(ROUNDS):
-        odds = math.log(prior / (1 - prior))
-        weights = [(math.log(right[1][j] / (1 - right[0][j])), math.log((1 - right[1][j]) / right[0][j])) for j in range(rules)]
-        total, good_total = 0.0, 0.0
-        hits = {y: [1.0] * rules for y in (0, 1)}
-        cast = {y: [2.0] * rules for y in (0, 1)}
-        for votes_, n in patterns:
-            x = odds + sum(weights[j][0 if v else 1] for j, v in enumerate(votes_) if v is not None)
-            good = 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
-            total, good_total = total + n, good_total + n * good
-            for j, v in enumerate(votes_):
-                if v is not None:
-                    for y, p in ((1, good), (0, 1 - good)):
-                        cast[y][j] += n * p
-                        hits[y][j] += n * p * (v == y)
-        if not total:
+    belief = [0.0 if 0 in v else 1.0 for v, _ in patterns]
+    total = sum(n for _, n in patterns)
+    calm = sum(n for (_, n), p in zip(patterns, belief, strict=True) if p)
+    odds, weights = math.log((calm + 1) / (total - calm + 1)), [{1: 0.0, 0: -1.0}] * rules
+    for _ in range(ROUNDS if total else 0):
+        good = sum(n * p for (_, n), p in zip(patterns, belief, strict=True))
+        sizes = {1: good + 2.0, 0: total - good + 2.0}
+        weights = []
+        for j in range(rules):
+            said = {(vote, y): 1.0 for vote in (1, 0) for y in (1, 0)}
+            for (v, n), p in zip(patterns, belief, strict=True):
+                if v[j] is not None:
+                    said[v[j], 1] += n * p
+                    said[v[j], 0] += n * (1 - p)
+            wrong = min(said[0, 1], (1 - TRUST) * (said[0, 1] + said[0, 0]))
+            said[0, 1], said[0, 0] = wrong, said[0, 1] + said[0, 0] - wrong
+            weight = {vote: math.log(said[vote, 1] / sizes[1]) - math.log(said[vote, 0] / sizes[0]) for vote in (1, 0)}
+            weights.append({1: max(0.0, weight[1]), 0: weight[0]})
+        scores = [odds + sum(w[x] for w, x in zip(weights, v, strict=True) if x is not None) for v, _ in patterns]
+        now = [1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in scores]
+        moved, belief = max(abs(x - y) for x, y in zip(now, belief, strict=True)), now
+        if moved < 1e-9:
             break
-        right = {y: [min(0.999, max(0.501 if y else 0.3, h / c)) for h, c in zip(hits[y], cast[y], strict=True)] for y in (0, 1)}
-        prior = min(0.99, max(0.5, (good_total + 1) / (total + 2)))
-        now = (prior, *right[0], *right[1])
-        if before and max(abs(a - b) for a, b in zip(now, before, strict=True)) < 1e-9:
-            break
-        before = now
-    odds = math.log(prior / (1 - prior))
-    return odds, [(math.log(right[1][j] / (1 - right[0][j])), math.log((1 - right[1][j]) / right[0][j])) for j in range(rules)]
+    return odds, weights
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -143,8 +146,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seen = rows.groupBy(*rules).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(rules) rows
     odds, weights = estimate([(tuple(r[k] for k in rules), r["n"]) for r in seen], len(rules))
     total = F.lit(odds)
-    for name, (good, bad) in zip(rules, weights, strict=True):
-        total = total + F.when(F.col(name) == 1, good).when(F.col(name) == 0, bad).otherwise(0.0)
+    for name, w in zip(rules, weights, strict=True):
+        total = total + F.when(F.col(name) == 1, w[1]).when(F.col(name) == 0, w[0]).otherwise(0.0)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = rows.withColumns({"quality": 1 / (1 + F.exp(-total)), "base_failed": failed})
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
