@@ -39,6 +39,14 @@ def window_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     return rolling(word_hashes(words), width, BASE)
 
 
+def segments(keys: np.ndarray) -> list[tuple[int, int]]:
+    """[start, end) of each run of equal keys."""
+    if not len(keys):
+        return []
+    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist()
+    return list(zip(cuts, [*cuts[1:], len(keys)], strict=True))
+
+
 def runs(docs: np.ndarray, hashes: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Packed (doc ids, entries of each, hashes); entries of a document are neighbours."""
     first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
@@ -86,8 +94,7 @@ def chunk_rows(parts: list[tuple[int, np.ndarray]], width: int, buckets: int) ->
         key = owner[own] % buckets if kind else bucket[own]
         order = own[np.argsort(key, kind="stable")]
         key = np.sort(key, kind="stable")
-        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+        for a, b in segments(key):
             rows.append((int(key[a]), kind, *runs(owner[order[a:b]], hashes[order[a:b]])))
     return rows
 
@@ -127,9 +134,9 @@ def bucket_marks(entries: DataFrame) -> DataFrame:
             d, h = d[beyond], h[beyond]
             order = np.argsort(d, kind="stable")
             d, h = d[order], h[order]
-            cuts = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.empty(0, np.int64)
-            out_docs += d[cuts].tolist()
-            out_hashes += [h[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(d)], strict=True)]
+            for a, b in segments(d):
+                out_docs.append(int(d[a]))
+                out_hashes.append(h[a:b].tobytes())
         for i in np.flatnonzero(marked).tolist():
             ends = np.cumsum(np.frombuffer(counts[i], "<u4")).astype(np.int64) * 8
             out_docs += np.frombuffer(docs[i], "<i8").tolist()
