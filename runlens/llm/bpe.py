@@ -18,6 +18,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections import defaultdict
 
 import ahocorasick
 import numpy as np
@@ -33,8 +34,10 @@ SUFFIX = "</w>"
 #: Control characters that str.split() takes for white space and the vocabulary's rules do not.
 NOT_SPACES = re.compile("[\x1c-\x1f]")
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: A rank after all merges.
+NEVER = 1 << 40
 #: Words and pairs remembered by a worker.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -65,14 +68,25 @@ class Vocabulary:
         pairs = (m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"])
         self.rank = {(marked(a), marked(b)): i for i, (a, b) in enumerate(pairs)}
         everything = {marked(t): i for t, i in model["vocab"].items() if t not in self.special}
-        self.ids = {t: i for t, i in everything.items() if len(t) == 1 or self.merge(t) == [t]}
+        #: token -> its last (first) parts at all depths, each with the rank of the merge that ends it
+        self.lasts = {t: [(t, NEVER)] for t in everything if len(t) == 1}
+        self.firsts = dict(self.lasts)
+        for (a, b), rank in self.rank.items():  # in order: parts come before what they make
+            t = a + b
+            if t not in self.lasts and t in everything and a in self.lasts and b in self.lasts and self.meet(a, b) == rank:
+                self.lasts[t] = [(t, NEVER), (b, rank), *self.lasts[b][1:]]
+                self.firsts[t] = [(t, NEVER), (a, rank), *self.firsts[a][1:]]
+        self.ids = {t: everything[t] for t in self.lasts}
         self.id_bytes = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.automaton = ahocorasick.Automaton()
         for t in self.ids:
             self.automaton.add_word(t, t)
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[str, str], bool] = {}
+        #: Pair compatibility as far as it was asked for: token -> tokens that may follow; pairs that may not.
+        self.follow: dict[str, set[str]] = defaultdict(set)
+        self.apart: set[tuple[str, str]] = set()
+        self.pairs = 0
         self.symbols = {b: s for b, s in enumerate(byte_symbols())}
         self.words: dict[str, bytes] = {}
         self.pre_tokens: dict[str, bytes] = {}
@@ -95,22 +109,37 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def meet(self, a: str, b: str) -> int:
+        """Rank of the first merge across the border of two neighbouring tokens; NEVER if there is none.
+
+        Merges come in the order of their ranks, so a part of a token is there
+        until the merge that ends it, and a merge across the border takes place
+        where both its parts are still there; of equal ranks, the left goes first.
+        """
+        get = self.rank.get
+        found = [r for x, end in self.lasts[a] for y, stop in self.firsts[b] if (r := get((x, y))) is not None and r < end and r <= stop]
+        return min(found, default=NEVER)
+
     def fits(self, a: str, b: str) -> bool:
         """Whether token b may follow token a inside a word."""
-        known = self.compatible.get((a, b))
-        if known is None:
-            known = self.merge(a + b) == [a, b]
-            if len(self.compatible) < 2 * REMEMBERED:
-                self.compatible[a, b] = known
-        return known
+        if b in self.follow[a]:
+            return True
+        if (a, b) in self.apart:
+            return False
+        fit = self.meet(a, b) == NEVER
+        if self.pairs < 2 * REMEMBERED:
+            self.pairs += 1
+            self.follow[a].add(b) if fit else self.apart.add((a, b))
+        return fit
 
     def cover(self, word: str) -> list[str]:
         """Tokens of one pre-token, given as symbols with a marked end."""
         greedy = [t for _, t in self.automaton.iter_long(word)]
-        known = self.compatible
-        for pair in zip(greedy, greedy[1:], strict=False):
-            if not (known.get(pair) or self.fits(*pair)):
+        follow, last = self.follow, None
+        for t in greedy:
+            if last is not None and t not in last and not self.fits(before, t):
                 break
+            last, before = follow[t], t
         else:
             return greedy
         alive = [True] * (len(word) + 1)
