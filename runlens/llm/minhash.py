@@ -9,10 +9,12 @@ remains is confirmed on the full sets.
 Documents with equal sets are one representative from the start.  Candidates
 are never paired all with all.  First each document meets one leader, the
 first document of a bucket of its; what this links is one component.  Then,
-where components share a bucket, the documents of the smaller one there meet
-the members of the larger one, block by block inside tasks, and only links
-found leave the task.  So a group of near copies costs rows in proportion to
-its size, and no link that shares a bucket is lost.
+where documents of different components share a bucket, they meet: in small
+buckets as pairs, in large ones block by block inside tasks, those outside the
+bucket's main component against all, each pair in its first common band only.
+A task keeps track of what is already connected and lets out only links that
+connect more.  So a group of near copies costs rows in proportion to its size,
+and no link that shares a bucket is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from .components import connected
 BANDS, ROWS = 24, 5
 PERMUTATIONS = BANDS * ROWS
 #: Documents of either side that meet in a block.
-BLOCK = 128
+BLOCK = 512
+#: Buckets of at most so many documents are paired by a join.
+SMALL = 16
 BASE = 0x9E3779B97F4A7C15
 _random = np.random.Generator(np.random.PCG64(20240501))
 MULTIPLIERS = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,17 +123,20 @@ def common_count(a: np.ndarray, b: np.ndarray) -> int:
 def confirmed(blocks: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between the two sides of each block (grp, mine, theirs).
 
-    Rows: (grp, mine, theirs, side, doc_id, s0..s3, text).  Of each document of
-    side 1 the link to the smallest document of side 0 is given: more would not
-    change components.
+    Rows: (grp, mine, theirs, side, band, doc_id, component, s0..s3, bands, text).
+    Documents of one component count as connected.  Each link given connects
+    what was not connected in the block before.  Where ``band`` is not
+    negative, a pair is left to the first band that it shares.
     """
     least = least_matches(percent / 100)
 
     def links(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
-        side = table.column("side").to_numpy()
-        docs = table.column("doc_id").to_numpy()
+        side, docs, band = (table.column(c).to_numpy() for c in ("side", "doc_id", "band"))
+        labels, own = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        parent = list(range(len(labels)))
         bits = np.stack([table.column(c).to_numpy().view(np.uint64) for c in BITS])
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         texts = table.column("text").cast(pa.binary())
         sets: dict[int, np.ndarray] = {}
 
@@ -138,29 +145,38 @@ def confirmed(blocks: DataFrame, width: int, percent: int) -> DataFrame:
                 sets[i] = shingle_set(texts[i].as_py() or b"", width)
             return sets[i]
 
+        def root(i: int) -> int:
+            i = own[i]
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
         members = np.flatnonzero(side == 0)
         a, b = [], []
         for i in np.flatnonzero(side == 1).tolist():
             differ = (bits[:2, members] ^ bits[:2, i, None]) | (bits[2:, members] ^ bits[2:, i, None])
             near = members[PERMUTATIONS - np.bitwise_count(differ).sum(0) >= least]
+            if band[i] >= 0:
+                near = near[(bands[near] == bands[i]).argmax(1) == band[i]]
             for j in near.tolist():
-                if docs[i] == docs[j]:
+                x, y = root(i), root(j)
+                if x == y:
                     continue
-                x, y = values(i), values(j)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                mine, theirs = values(i), values(j)
+                if 100 * min(len(mine), len(theirs)) < percent * max(len(mine), len(theirs)):
                     continue
-                n = common_count(x, y)
-                if 100 * n >= percent * (len(x) + len(y) - n):
+                n = common_count(mine, theirs)
+                if 100 * n >= percent * (len(mine) + len(theirs) - n):
+                    parent[x] = y
                     a.append(int(docs[i]))
                     b.append(int(docs[j]))
-                    break
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return blocks.groupBy("grp", "mine", "theirs").applyInArrow(links, "a long, b long")
 
 
 def in_blocks(members: DataFrame, others: DataFrame, texts: DataFrame) -> DataFrame:
-    """Blocks of ``members`` (grp, doc_id) and ``others`` (grp, doc_id), with signatures and texts.
+    """Blocks of ``members`` and ``others`` (grp, band, doc_id, component), with signatures and texts.
 
     Each side of a group is dealt to blocks of about BLOCK documents, and every
     block of one side meets every block of the other.
@@ -171,11 +187,17 @@ def in_blocks(members: DataFrame, others: DataFrame, texts: DataFrame) -> DataFr
         rows = side.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("doc_id"), own))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
         names = ("own", "other") if number == 0 else ("other", "own")
-        return rows.select("grp", F.col(names[0]).alias("mine"), F.col(names[1]).alias("theirs"), F.lit(number).alias("side"), "doc_id")
+        return rows.select("grp", F.col(names[0]).alias("mine"), F.col(names[1]).alias("theirs"), F.lit(number).alias("side"), "band", "doc_id", "component")
 
     return dealt(members, 0, "m", "o").unionByName(dealt(others, 1, "o", "m")).join(texts, "doc_id")
 
 
+def as_groups(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (doc_id, grp), where grp is a document too, as the two sides of blocks."""
+    here = F.lit(-1).alias("band")
+    return pairs.select("grp").distinct().select("grp", here, F.col("grp").alias("doc_id"), F.col("grp").alias("component")), pairs.select("grp", here, "doc_id", F.col("doc_id").alias("component"))
+
+
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
@@ -194,34 +216,36 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     heads = signed.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     bits = heads.select("doc_id", *BITS)
 
-    bands = heads.select("doc_id", F.explode("bands").alias("bucket"))
+    bands = heads.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     buckets = bands.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").drop("last")
     shared = written(bands.join(buckets, "bucket"), "shared")
     least = least_matches(percent / 100)
-    led = shared.where("doc_id <> leader").select("doc_id", "leader").distinct().join(bits.alias("x"), "doc_id").select("doc_id", "leader", *BITS).alias("x").join(bits.withColumnRenamed("doc_id", "leader").alias("y"), "leader")
-    led = led.select("doc_id", "leader", agreeing("x", "y").alias("n")).where(F.col("n") >= least)
-    star = written(led.groupBy("doc_id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("grp")), "stars")
 
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Pairs (doc_id, grp) with the number of agreeing minima, as far as they may be linked."""
+        both = pairs.join(bits.alias("x"), "doc_id").select("doc_id", "grp", *BITS).alias("x").join(bits.withColumnRenamed("doc_id", "grp").alias("y"), "grp")
+        return both.select("doc_id", "grp", agreeing("x", "y").alias("n")).where(F.col("n") >= least)
+
+    led = alike(shared.where("doc_id <> leader").select("doc_id", F.col("leader").alias("grp")).distinct())
+    star = written(led.groupBy("doc_id").agg(F.max_by("grp", F.struct("n", -F.col("grp"))).alias("grp")), "stars")
     near = shared.select("doc_id").distinct()
-    texts = written(rows.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(bits, "doc_id"), "near-texts")
-    leaders = star.select("grp").distinct().select("grp", F.col("grp").alias("doc_id"))
-    links = written(confirmed(in_blocks(leaders, star.select("grp", "doc_id"), texts), width, percent), "links")
+    texts = written(rows.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(heads.select("doc_id", *BITS, "bands"), "doc_id"), "near-texts")
+    links = written(confirmed(in_blocks(*as_groups(star), texts), width, percent), "links")
     joined = connected(links)
 
-    sizes = joined.groupBy("component").agg(F.count("*").alias("size"))
-    placed = shared.select("doc_id", "bucket").join(joined.join(sizes, "component").withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    placed = written(placed.join(mixed, "bucket", "left_semi"), "placed")
-    theirs = placed.select("bucket", F.col("component").alias("grp"), F.col("size").alias("their_size")).distinct()
-    meet = placed.join(theirs, "bucket").where("struct(size, component) < struct(their_size, grp)").select("doc_id", "grp", "their_size").distinct()
-    single = meet.where("their_size = 1").join(bits, "doc_id").alias("x").join(bits.withColumnRenamed("doc_id", "grp").alias("y"), "grp")
-    single = single.select("doc_id", "grp", agreeing("x", "y").alias("n")).where(F.col("n") >= least).select("grp", "doc_id")
-    others = written(meet.where("their_size > 1").select("grp", "doc_id").unionByName(single), "meetings")
-    groups = others.select("grp").distinct()
-    members = groups.join(joined.select(F.col("component").alias("grp"), F.col("node").alias("doc_id")), "grp", "left").select("grp", F.coalesce("doc_id", "grp").alias("doc_id"))
-    more = confirmed(in_blocks(members, others, texts), width, percent)
-    joined = connected(links.unionByName(more))
+    placed = shared.select("doc_id", "band", F.col("bucket").alias("grp")).join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("docs")).where("low <> high").select("grp", "docs")
+    placed = written(placed.join(mixed, "grp"), "placed")
+    small = placed.where(F.col("docs") <= SMALL).select("grp", "doc_id", "component")
+    pairs = small.join(small.toDF("grp", "other", "theirs"), "grp").where("doc_id > other and component <> theirs").select("doc_id", F.col("other").alias("grp")).distinct()
+    pairs = written(alike(pairs).select("doc_id", "grp"), "pairs")
+    large = placed.where(F.col("docs") > SMALL)
+    counts = large.groupBy("grp", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    outside = large.join(main, "grp").where("component <> main").select("grp", "band", "doc_id", "component")
+    more = confirmed(in_blocks(*as_groups(pairs), texts), width, percent)
+    rest = confirmed(in_blocks(large.select("grp", "band", "doc_id", "component"), outside, texts), width, percent)
+    joined = connected(links.unionByName(more).unionByName(rest))
 
     classes = first.join(joined.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("component", "first").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
