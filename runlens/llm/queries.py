@@ -7,6 +7,7 @@ from .chat import op10_chat_format
 from .lines import LINE_DEDUP_SQL, op5_line_dedup
 from .media import op3_media_columns
 from .minhash import op8_minhash_dedup
+from .ordinal import op6_quality_classifier
 from .packing import op9_best_fit_packing
 from .rules import op2_quality_rules
 from .substring import op4_substring_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe": op7_bpe,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
