@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .chat import op10_chat_format
+from .licences import op1_license_scan
 from .lines import LINE_DEDUP_SQL, op5_line_dedup
 from .media import op3_media_columns
 from .minhash import op8_minhash_dedup
@@ -13,6 +14,7 @@ from .rules import op2_quality_rules
 from .substring import op4_substring_dedup
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_media_columns": op3_media_columns,
     "op4_substring_dedup": op4_substring_dedup,
