@@ -45,16 +45,17 @@ def without(text: Column, marks: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(marks, i)), "\n")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_text) of every row.
 
     Lines are compared as they are; lines without a word are never removed or
     counted.  A null site is a site of its own, "".  Null and empty texts have
     no lines and stay null or empty.  Ids are expected to be unique: rows that
     share one share the places of removed lines.  Rows with a null id are kept
-    whole.  Other columns are not read.
+    whole.  Columns named in ``carry`` come along in a struct ``row``; others
+    are not read.
     """
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(docs[site_col].cast("string"), F.lit("")).alias("site"))
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(docs[site_col].cast("string"), F.lit("")).alias("site"), F.struct(*[docs[c] for c in carry or [id_col]]).alias("row"))
     lines = text_lines(rows).select("doc_id", "site", "at", "key", F.length("line").alias("chars"))
     hits = lines.select("doc_id", "at", "key", "chars").join(spread_lines(lines.select("key", "site"), min_sites), "key")
     marks = hits.groupBy("doc_id").agg(F.collect_set("at").alias("marks"), F.sum("chars").alias("marked"))
@@ -66,6 +67,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         counted.cast("long").alias("n_lines"),
         F.when(F.col("cut"), F.size("marks")).otherwise(0).cast("long").alias("n_removed"),
         F.when(F.col("cut"), without(F.col("text"), F.col("marks"))).otherwise(F.col("text")).alias("kept_text"),
+        *(["row"] if carry else []),
     )
 
 

@@ -53,6 +53,17 @@ def runs(docs: np.ndarray, hashes: np.ndarray) -> tuple[bytes, bytes, bytes]:
     return docs[first].astype("<i8").tobytes(), np.diff(np.append(first, len(docs))).astype("<u4").tobytes(), hashes.astype("<u8").tobytes()
 
 
+def spread(docs: np.ndarray, parts: int) -> np.ndarray:
+    """The part that each document's marks go to."""
+    return ((docs.astype(np.uint64) * np.uint64(BASE) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
+
+def unpacked(docs: list[bytes], counts: list[bytes], hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of each entry of packed rows."""
+    owners = [np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(n, "<u4")) for d, n in zip(docs, counts, strict=True)]
+    return np.concatenate([np.empty(0, "<i8"), *owners]), np.frombuffer(b"".join(hashes), "<u8")
+
+
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
     columns = [list(x) for x in zip(*rows, strict=True)] or [[] for _ in kinds]
@@ -90,8 +101,8 @@ def chunk_rows(parts: list[tuple[int, np.ndarray]], width: int, buckets: int) ->
     rows = []
     for kind in (False, True):
         own = np.flatnonzero(marked == kind)
-        # entries that are already marked go along with any bucket: one of their document's
-        key = owner[own] % buckets if kind else bucket[own]
+        # entries that are already marked travel by document
+        key = spread(owner[own], buckets) if kind else bucket[own]
         order = own[np.argsort(key, kind="stable")]
         key = np.sort(key, kind="stable")
         for a, b in segments(key):
@@ -119,36 +130,42 @@ def window_entries(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     return map_batches(docs, batches, ENTRIES)
 
 
-def bucket_marks(entries: DataFrame) -> DataFrame:
-    """(doc_id, hashes): the windows to remove, several rows for a document."""
+def bucket_marks(entries: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, hashes): the windows to remove, one row a document.
+
+    Marks leave the buckets packed by parts of the documents, and each part
+    unpacks its own, so rows follow the documents and not documents times buckets.
+    """
 
     def marks(table: pa.Table) -> pa.Table:
         marked = table.column("marked").to_numpy()
-        docs, counts, hashes = (table.column(c).to_pylist() for c in ("docs", "counts", "hashes"))
-        out_docs, out_hashes = [], []
-        new = [i for i, m in enumerate(marked) if not m]
-        if new:
-            d = np.concatenate([np.repeat(np.frombuffer(docs[i], "<i8"), np.frombuffer(counts[i], "<u4")) for i in new])
-            h = np.concatenate([np.frombuffer(hashes[i], "<u8") for i in new])
+        packed = [table.column(c).to_pylist() for c in ("docs", "counts", "hashes")]
+        rows = [(int(table.column("bucket")[i].as_py()), *(c[i] for c in packed)) for i in np.flatnonzero(marked)]
+        d, h = unpacked(*([c[i] for i in np.flatnonzero(~marked)] for c in packed))
+        if len(d):
             beyond = beyond_first(h, d)
             d, h = d[beyond], h[beyond]
-            order = np.argsort(d, kind="stable")
-            d, h = d[order], h[order]
-            for a, b in segments(d):
-                out_docs.append(int(d[a]))
-                out_hashes.append(h[a:b].tobytes())
-        for i in np.flatnonzero(marked).tolist():
-            ends = np.cumsum(np.frombuffer(counts[i], "<u4")).astype(np.int64) * 8
-            out_docs += np.frombuffer(docs[i], "<i8").tolist()
-            out_hashes += [hashes[i][a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        return pa.table({"doc_id": pa.array(out_docs, pa.int64()), "hashes": pa.array(out_hashes, pa.binary())})
+            part = spread(d, buckets)
+            order = np.lexsort((d, part))
+            d, h, part = d[order], h[order], part[order]
+            rows += [(int(part[a]), *runs(d[a:b], h[a:b])) for a, b in segments(part)]
+        columns = [list(x) for x in zip(*rows, strict=True)] or [[]] * 4
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("part", "docs", "counts", "hashes"), columns, (pa.int64(), *[pa.binary()] * 3), strict=True)})
+
+    def by_document(table: pa.Table) -> pa.Table:
+        d, h = unpacked(*(table.column(c).to_pylist() for c in ("docs", "counts", "hashes")))
+        order = np.argsort(d, kind="stable")
+        d, h = d[order], h[order]
+        found = segments(d)
+        return pa.table({"doc_id": pa.array([int(d[a]) for a, _ in found], pa.int64()), "hashes": pa.array([h[a:b].tobytes() for a, b in found], pa.binary())})
 
-    return entries.groupBy("bucket").applyInArrow(marks, "doc_id long, hashes binary")
+    packed = entries.groupBy("bucket").applyInArrow(marks, "part long, docs binary, counts binary, hashes binary")
+    return packed.groupBy("part").applyInArrow(by_document, "doc_id long, hashes binary")
 
 
-def intervals(words: list[bytes], marks: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def intervals(words: list[bytes], marks: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the maximal word intervals covered by marked windows."""
-    marked = np.frombuffer(b"".join(marks), "<u8")
+    marked = np.frombuffer(marks, "<u8")
     starts = np.flatnonzero(np.isin(window_hashes(words, width), marked))
     if not len(starts):
         return starts, starts
@@ -160,7 +177,7 @@ def intervals(words: list[bytes], marks: list[bytes], width: int = WIDTH) -> tup
 OUT = "n_words long, n_removed long, kept_text string, span_starts array<long>, span_ends array<long>"
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, carry: list[str] | None = None, as_is: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, span_starts, span_ends) of every document.
 
     A word is removed where a window that covers it also starts in a document
@@ -168,14 +185,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     between; spans are word intervals.  Null and empty texts have no words;
     texts of fewer words than a window are kept.  Ids are expected to be
     unique: rows that share one are each judged by the marks of that id.  Rows
-    with a null id are kept whole.  Other columns are not read.
+    with a null id are kept whole.  Columns named in ``carry`` come along in a
+    struct ``row``; others are not read.  With ``as_is``, ``kept_text`` is the
+    text itself, spacing included, where nothing is removed.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in carry or [id_col]]).alias("row"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(16, -(-chars // BUCKET_CHARS))
-    marks = bucket_marks(window_entries(rows, width, buckets)).groupBy("doc_id").agg(F.collect_list("hashes").alias("marks"))
+    marks = bucket_marks(window_entries(rows.select("doc_id", "text"), width, buckets), buckets).withColumnRenamed("hashes", "marks")
 
     def batches(source):
         for batch in source:
@@ -185,12 +204,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 starts, ends = intervals(words, marks, width) if marks else (np.empty(0, np.int64),) * 2
                 cuts = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(words)]
                 kept = [w for a, b in zip(cuts[::2], cuts[1::2], strict=True) for w in words[a:b]]
-                for c, x in zip(columns, (len(words), len(words) - len(kept), b" ".join(kept).decode(), starts.tolist(), ends.tolist()), strict=True):
+                left = (text and text.decode()) if as_is and len(kept) == len(words) else b" ".join(kept).decode()
+                for c, x in zip(columns, (len(words), len(words) - len(kept), left, starts.tolist(), ends.tolist()), strict=True):
                     c.append(x)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *(x.split()[0] for x in OUT.split(", "))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), batch.column("row")], ["doc_id", *(x.split()[0] for x in OUT.split(", ")), "row"])
 
-    return map_batches(rows.join(marks, "doc_id", "left"), batches, f"doc_id long, {OUT}")
+    out = map_batches(rows.join(marks, "doc_id", "left"), batches, f"doc_id long, {OUT}, row {rows.schema['row'].dataType.simpleString()}")
+    return out if carry else out.drop("row")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
