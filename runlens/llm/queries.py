@@ -25,6 +25,49 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_chat_format": op10_chat_format,
 }
+WORDS_SQL = r"""words as (
+  select doc_id, list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents)"""
+
+SUBSTRING_SQL = f"""
+with {WORDS_SQL.format(text="coalesce(text, '')")},
+windows as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from words, unnest(range(1, len(ws) - 11)) t(i)),
+firsts as (select k, min(doc_id) as m from windows group by k),
+covered as (select distinct doc_id, j from windows join firsts using (k), unnest(range(i, i + 13)) t(j) where doc_id > m),
+placed as (select doc_id, j, ws[j] as word from words, unnest(range(1, len(ws) + 1)) t(j)),
+kept as (select doc_id, string_agg(word, ' ' order by j) as text from placed p anti join covered c using (doc_id, j) group by doc_id),
+removed as (select doc_id, count(*) as n from covered group by doc_id)
+select w.doc_id, len(ws) as n_words, coalesce(r.n, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from words w left join kept k using (doc_id) left join removed r using (doc_id)
+"""
+
+MINHASH_SQL = f"""
+with recursive {WORDS_SQL.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+shingles as (
+  select distinct doc_id, array_to_string(ws[i:i + 2], ' ') as k from words, unnest(range(1, len(ws) - 1)) t(i) where len(ws) >= 3
+  union all select doc_id, array_to_string(ws, ' ') from words where len(ws) in (1, 2)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.k = b.k and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as other from words union select r.doc_id, l.b from reach r join edges l on l.a = r.other)
+select r.doc_id, coalesce(any_value(s.n), 0) as n_shingles, min(r.other) as component_id, r.doc_id = min(r.other) as kept
+from reach r left join sizes s using (doc_id) group by r.doc_id
+"""
+
+CHAT_SQL = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(15 + length(role) + length(text) + length(regexp_replace(role, '[^\\#<:\n]', '', 'g')) + length(regexp_replace(text, '[^\\#<]', '', 'g')))::bigint as formatted_chars
+from turns group by conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op4_substring_dedup": SUBSTRING_SQL,
     "op5_line_dedup": LINE_DEDUP_SQL,
+    "op8_minhash_dedup": MINHASH_SQL,
+    "op10_chat_format": CHAT_SQL,
 }
