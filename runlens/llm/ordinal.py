@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_bytes, map_batches, read_documents, ship_package
+from .common import column_bytes, map_batches, read_documents, ship_package, written
 
 #: Buckets of hashed features.
 BUCKETS = 1 << 18
@@ -93,9 +93,10 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds - self.weights[buckets].sum(dtype=np.float64), -60, 60)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, columns: np.ndarray) -> Ordinal:
     """Maximum likelihood with a ridge on the weights, by Adam over the whole sample.
 
+    ``rows`` are places in ``columns``, the buckets that have weights.
     Thresholds are a first one and positive steps, so they stay in order.
     Without rows every grade is as likely as the next.
     """
@@ -103,22 +104,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Ordinal:
     k = n_grades - 1
     if not rows:
         return Ordinal(weights, np.log(np.arange(1, n_grades) / np.arange(k, 0, -1)))
-    flat = np.concatenate(rows)
+    index = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    docs = np.bincount(flat, minlength=BUCKETS)
-    strength = np.zeros(BUCKETS)
-    for grade in range(1, n_grades):
-        reached = (grades >= grade).astype(float)
-        share = min(max(reached.mean(), 1e-6), 1 - 1e-6)
-        hits = np.bincount(flat, weights=reached[owner], minlength=BUCKETS)
-        apart = np.abs(hits / np.maximum(docs, 1) - share)
-        errors = apart * np.sqrt(docs / (share * (1 - share)))
-        strength = np.maximum(strength, np.where(apart >= APART, errors, 0))
-    used = (docs >= LEAST_DOCS) & (strength >= SCREEN)
-    columns = np.flatnonzero(used)
-    place = np.cumsum(used) - 1
-    keep = used[flat]
-    index, owner = place[flat[keep]], owner[keep]
     n, d = len(rows), len(columns)
     params = np.zeros(d + k)
     params[d] = -2.0
@@ -153,7 +140,8 @@ def fit_on(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAM
     """A model of ``ratings`` (doc_id, grade), fitted on at most ``sample`` rated documents, chosen by a hash of the id.
 
     Of an id's ratings the lowest is used; null ids and grades, and ratings
-    without a document, are left out.  Features are made by the executors.
+    without a document, are left out.  Features are made and screened by the
+    executors; the driver gets the few that are left of each document.
     """
     ship_package(docs.sparkSession)
     chosen = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
@@ -161,13 +149,29 @@ def fit_on(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAM
     # at most `sample` rows of two numbers, whatever the corpus
     rated = docs.join(F.broadcast(chosen), "doc_id").select("grade", "text")
 
-    def batches(source):
+    def featured(source):
+        for batch in source:
+            rows = [features(x or b"") for x in column_bytes(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(rows, pa.list_(pa.int32()))], ["grade", "buckets"])
+
+    rated = written(map_batches(rated, featured, "grade int, buckets array<int>"), "rated")
+    reached = rated.agg(F.count("*"), *[F.count_if(F.col("grade") >= g) for g in range(1, n_grades)]).first()
+    strength = F.lit(0.0)
+    for g in range(1, n_grades):
+        share = min(max(reached[g] / max(1, reached[0]), 1e-6), 1 - 1e-6)
+        apart = F.abs(F.count_if(F.col("grade") >= g) / F.count("*") - share)
+        strength = F.greatest(strength, F.when(apart >= APART, apart * F.sqrt(F.count("*") / (share * (1 - share)))).otherwise(0.0))
+    by_bucket = rated.select("grade", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("docs"), strength.alias("strength"))
+    strong = by_bucket.where((F.col("docs") >= LEAST_DOCS) & (F.col("strength") >= SCREEN)).select("bucket")
+    columns = np.array(sorted(r["bucket"] for r in strong.collect()), np.int32)  # at most BUCKETS numbers
+
+    def narrowed(source):
         for batch in source:
-            rows = [features(x or b"").tobytes() for x in column_bytes(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(rows, pa.binary())], ["grade", "buckets"])
+            rows = [np.searchsorted(columns, np.intersect1d(x, columns)).astype("<i4").tobytes() for x in map(np.asarray, batch.column("buckets").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(rows, pa.binary())], ["grade", "places"])
 
-    got = sorted((r["grade"], bytes(r["buckets"])) for r in map_batches(rated, batches, "grade int, buckets binary").collect())
-    return fit([np.frombuffer(b, np.int32) for _, b in got], np.array([g for g, _ in got], np.int64), n_grades)
+    got = sorted((r["grade"], bytes(r["places"])) for r in map_batches(rated, narrowed, "grade int, places binary").collect())
+    return fit([np.frombuffer(b, "<i4") for _, b in got], np.array([g for g, _ in got], np.int64), n_grades, columns)
 
 
 def ordinal_scores(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", least_grade: int = 2, least_tail: float = 0.5) -> DataFrame:
