@@ -39,29 +39,39 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.channel_features(hits(spark, sf_dir), METRICS, "discount")
 
 
-def good(features_: DataFrame) -> DataFrame:
-    return features_.where((F.col("run") <= LAST_GOOD_RUN) & (F.col("channel") != 15))
-
-
 def scored(features_: DataFrame) -> DataFrame:
     """All files, with channel 3 missing in July and channel 15 (unknown to the reference) there in May only."""
     return features_.where(~((F.col("channel") == 3) & (F.col("subrun") == 7)) & ~((F.col("channel") == 15) & (F.col("subrun") != 5)))
 
 
-def stats(features_: DataFrame) -> DataFrame:
-    return ref.reference_stats(ref.reference_state(good(features_), COLUMNS))
+def is_good():
+    return (F.col("run") <= LAST_GOOD_RUN) & (F.col("channel") != 15)
+
+
+def good(scored_: DataFrame) -> DataFrame:
+    return scored_.where(is_good())
+
+
+def stats(scored_: DataFrame) -> DataFrame:
+    """The reference of the good files.
+
+    The good rows are picked inside the aggregates, so that scoring and
+    reference read one and the same shuffled features.
+    """
+    picked = scored_.select("channel", *[F.when(is_good(), F.col(c)).alias(c) for c in COLUMNS])
+    return ref.reference_stats(ref.reference_state(picked, COLUMNS)).where("n > 0")
 
 
 def zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir)
-    return ref.zscores(scored(f), stats(f), COLUMNS)
+    f = scored(features(spark, sf_dir))
+    return ref.zscores(f, stats(f), COLUMNS)
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The anomaly log.  Features are aggregated once and read by reference and scoring."""
-    f = features(spark, sf_dir)
+    f = scored(features(spark, sf_dir))
     s = stats(f)
-    return detection_log(ref.zscores(scored(f), s, COLUMNS), COLUMNS, Z, s.select("channel").distinct())
+    return detection_log(ref.zscores(f, s, COLUMNS), COLUMNS, Z, s.select("channel").distinct())
 
 
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,8 +56,8 @@ grouped as (
 features as (
   select g.* exclude (n_events, n_dead), n_events / f.n::double as occupancy, n_dead / n_events::double as frac_dead
   from grouped g join file_events f using (run, subrun)),
-good as (select * from features where run <= {adapt.LAST_GOOD_RUN} and channel <> 15),
 scored as (select * from features where not (channel = 3 and subrun = 7) and not (channel = 15 and subrun <> 5)),
+good as (select * from scored where run <= {adapt.LAST_GOOD_RUN} and channel <> 15),
 refw as (select channel, {_ref} from good group by channel),
 ref_long as (
   {" union all ".join(f"select channel, '{c}' as feature, count(*) as n, avg({c}) as mean, case when count(*) > 1 then greatest(stddev_pop({c}), 1e-6) else 1.0 end as std from good group by channel" for c in C)}),
@@ -115,7 +115,7 @@ def occupancy_dead(spark, sf_dir):
 
 @query(f"select channel, feature, n, {_r('mean', 'std')} from ref_long")
 def reference_stats(spark, sf_dir):
-    return adapt.stats(adapt.features(spark, sf_dir))
+    return adapt.stats(adapt.scored(adapt.features(spark, sf_dir)))
 
 
 @query("select * from (" + " union all ".join(f"select run, subrun, channel, '{c}' as feature, round({c}, 6) as z from z" for c in C) + ")")
@@ -143,7 +143,7 @@ def missing_new_channels(spark, sf_dir):
 """ + " union all ".join(f"select channel, '{c}' as feature, {c} as x, 1 as n from good" for c in C) + ") group by channel, feature")
 def welford_merge(spark, sf_dir):
     """State of 1992-1994 merged with that of later good runs equals the state of all."""
-    g = adapt.good(adapt.features(spark, sf_dir))
+    g = adapt.good(adapt.scored(adapt.features(spark, sf_dir)))
     return ref.merge_states(ref.reference_state(g.where("run <= 1994"), C), ref.reference_state(g.where("run > 1994"), C))
 
 
@@ -156,7 +156,7 @@ fold as (select channel, list_reduce(xs, lambda s, x: struct_pack(n := s.n + 1,
   from (select channel, list_transform(xs, lambda x: struct_pack(n := 0::bigint, mean := 0.0::double, m2 := 0.0::double, x := x)) as xs from seq))
 select channel, s.n as n, round(s.mean, 6) as mean, round(s.m2, 6) as m2 from fold""")
 def welford_fold(spark, sf_dir):
-    g = adapt.good(adapt.features(spark, sf_dir))
+    g = adapt.good(adapt.scored(adapt.features(spark, sf_dir)))
     v = g.select("channel", (F.col("run") * 100 + F.col("subrun")).alias("o"), F.when(F.col("subrun") % 4 != 0, F.col("quantity_mean")).alias("x"))
     return ref.ordered_fold(v, ["channel"], "o")
 
@@ -181,7 +181,7 @@ def coverage(spark, sf_dir):
 select channel, feature, round((mean - m) / (s + 1e-9), 6) as mean_norm, round(ln(1 + std / mid), 6) as std_log, round((mean - low) / (high - low), 6) as mean_unit
 from ref_long join own using (feature)""")
 def reference_normalised(spark, sf_dir):
-    return report.normalised_reference(adapt.stats(adapt.features(spark, sf_dir)))
+    return report.normalised_reference(adapt.stats(adapt.scored(adapt.features(spark, sf_dir))))
 
 
 # ---- side tables and run configuration
@@ -625,12 +625,12 @@ def percentile_offset(spark, sf_dir):
 @query()
 def forest_scores(spark, sf_dir):
     """A forest of the good files' z-scores, scores and flags of all files."""
-    f = adapt.features(spark, sf_dir)
+    f = adapt.scored(adapt.features(spark, sf_dir))
     s = adapt.stats(f)
     z = ref.zscores(adapt.good(f), s, C)
     nodes = forest.fit_forest(z, C, ["run", "subrun", "channel"], n_trees=100)
     offset = forest.contamination_offset(forest.score_forest(z, C, nodes), 0.05)
-    return forest.flag_forest(forest.score_forest(ref.zscores(adapt.scored(f), s, C), C, nodes), offset).select("run", "subrun", "channel", "if_score", "if_flag")
+    return forest.flag_forest(forest.score_forest(ref.zscores(f, s, C), C, nodes), offset).select("run", "subrun", "channel", "if_score", "if_flag")
 
 
 @query()
