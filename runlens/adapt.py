@@ -35,8 +35,8 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feat.channel_features(hits(spark, sf_dir), METRICS, "discount")
+def features(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
+    return feat.channel_features(hits(spark, sf_dir), METRICS, "discount", only=only)
 
 
 def scored(features_: DataFrame) -> DataFrame:
@@ -63,13 +63,13 @@ def stats(scored_: DataFrame) -> DataFrame:
 
 
 def zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = scored(features(spark, sf_dir))
+    f = scored(features(spark, sf_dir, COLUMNS))
     return ref.zscores(f, stats(f), COLUMNS)
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The anomaly log.  Features are aggregated once and read by reference and scoring."""
-    f = scored(features(spark, sf_dir))
+    f = scored(features(spark, sf_dir, COLUMNS))
     s = stats(f)
     return detection_log(ref.zscores(f, s, COLUMNS), COLUMNS, Z, s.select("channel").distinct())
 

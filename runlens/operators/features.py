@@ -27,26 +27,31 @@ def feature_columns(metrics: list[str] = METRICS, use_trigger: bool = True, use_
     return [n for n in names if not any(fnmatch(n, g) for g in exclude)]
 
 
-def channel_features(hits: DataFrame, metrics: list[str] = METRICS, pulses: str = "nPulses", event: str = "event_id") -> DataFrame:
+def channel_features(hits: DataFrame, metrics: list[str] = METRICS, pulses: str = "nPulses", event: str = "event_id", only: list[str] | None = None) -> DataFrame:
     """One row a (run, subrun, channel): mean, sample std and median of the metrics, occupancy and dead fraction.
 
     Statistics without values (also the std of one row) are 0; rows without a
-    channel are left out.  The events of a file are counted by distinct id,
-    files without hits have no rows.  One shuffle by (file, channel) and one of
-    its small result by file; event sets are bounded by the events of a file.
+    channel are left out.  The events of a file are counted by distinct id, its
+    rows without a channel included; files without hits have no rows.  ``only``
+    names the features that are wanted.
+
+    The hits are read once: they are aggregated by (file, channel), and the
+    small result by file, where the channels' event sets (bounded by the events
+    of a file) are united.
     """
     stats = []
     for m in metrics:
-        stats += [F.coalesce(f(m), F.lit(0.0)).alias(f"{m}_{s}") for s, f in (("mean", F.avg), ("std", F.stddev_samp), ("median", F.median))]
-    own = hits.where("channel is not null").groupBy(*FILE, "channel").agg(*stats, F.size(F.collect_set(event)).alias("n_events"), F.size(F.collect_set(F.when(F.col(pulses) == 0, F.col(event)))).alias("n_dead"))
-    events = hits.groupBy(*FILE).agg(F.size(F.collect_set(event)).alias("file_events"))
-    return own.join(events, FILE).select(
-        *FILE,
-        "channel",
-        *[f"{m}_{s}" for m in metrics for s in ("mean", "std", "median")],
-        F.coalesce(F.try_divide("n_events", "file_events"), F.lit(0.0)).alias("occupancy"),
-        F.coalesce(F.try_divide("n_dead", "n_events"), F.lit(0.0)).alias("frac_dead"),
-    )
+        for s, f in (("mean", F.avg), ("std", F.stddev_samp), ("median", F.median)):
+            if only is None or f"{m}_{s}" in only:
+                stats.append(F.coalesce(f(m), F.lit(0.0)).alias(f"{m}_{s}"))
+    names = [m for m in (f"{m}_{s}" for m in metrics for s in ("mean", "std", "median")) if only is None or m in only]
+    dead = F.size(F.collect_set(F.when(F.col(pulses) == 0, F.col(event)))).alias("n_dead")
+    own = hits.groupBy(*FILE, "channel").agg(*stats, F.collect_set(event).alias("events"), *([dead] if only is None or "frac_dead" in only else [F.lit(0).alias("n_dead")]))
+    row = F.struct("channel", *names, F.size("events").alias("n_events"), "n_dead")
+    files = own.groupBy(*FILE).agg(F.collect_list(row).alias("rows"), F.size(F.array_distinct(F.flatten(F.collect_list("events")))).alias("file_events"))
+    rows = files.select(*FILE, "file_events", F.explode("rows").alias("r")).where("r.channel is not null")
+    shares = {"occupancy": F.try_divide("r.n_events", "file_events"), "frac_dead": F.try_divide("r.n_dead", "r.n_events")}
+    return rows.select(*FILE, "r.channel", *[F.col(f"r.{c}") for c in names], *[F.coalesce(x, F.lit(0.0)).alias(c) for c, x in shares.items() if only is None or c in only])
 
 
 def first_by_file(table: DataFrame, order: str = "line") -> DataFrame:

@@ -110,12 +110,12 @@ def channel_features(spark, sf_dir):
 
 @query(f"select run, subrun, channel, {_r('occupancy', 'frac_dead')} from features where frac_dead > 0")
 def occupancy_dead(spark, sf_dir):
-    return adapt.features(spark, sf_dir).where("frac_dead > 0").select("run", "subrun", "channel", "occupancy", "frac_dead")
+    return adapt.features(spark, sf_dir, ["occupancy", "frac_dead"]).where("frac_dead > 0").select("run", "subrun", "channel", "occupancy", "frac_dead")
 
 
 @query(f"select channel, feature, n, {_r('mean', 'std')} from ref_long")
 def reference_stats(spark, sf_dir):
-    return adapt.stats(adapt.scored(adapt.features(spark, sf_dir)))
+    return adapt.stats(adapt.scored(adapt.features(spark, sf_dir, C)))
 
 
 @query("select * from (" + " union all ".join(f"select run, subrun, channel, '{c}' as feature, round({c}, 6) as z from z" for c in C) + ")")
@@ -143,7 +143,7 @@ def missing_new_channels(spark, sf_dir):
 """ + " union all ".join(f"select channel, '{c}' as feature, {c} as x, 1 as n from good" for c in C) + ") group by channel, feature")
 def welford_merge(spark, sf_dir):
     """State of 1992-1994 merged with that of later good runs equals the state of all."""
-    g = adapt.good(adapt.scored(adapt.features(spark, sf_dir)))
+    g = adapt.good(adapt.scored(adapt.features(spark, sf_dir, C)))
     return ref.merge_states(ref.reference_state(g.where("run <= 1994"), C), ref.reference_state(g.where("run > 1994"), C))
 
 
@@ -156,7 +156,7 @@ fold as (select channel, list_reduce(xs, lambda s, x: struct_pack(n := s.n + 1,
   from (select channel, list_transform(xs, lambda x: struct_pack(n := 0::bigint, mean := 0.0::double, m2 := 0.0::double, x := x)) as xs from seq))
 select channel, s.n as n, round(s.mean, 6) as mean, round(s.m2, 6) as m2 from fold""")
 def welford_fold(spark, sf_dir):
-    g = adapt.good(adapt.scored(adapt.features(spark, sf_dir)))
+    g = adapt.good(adapt.scored(adapt.features(spark, sf_dir, C)))
     v = g.select("channel", (F.col("run") * 100 + F.col("subrun")).alias("o"), F.when(F.col("subrun") % 4 != 0, F.col("quantity_mean")).alias("x"))
     return ref.ordered_fold(v, ["channel"], "o")
 
@@ -173,7 +173,7 @@ def seen_files_anti(spark, sf_dir):
 
 @query("select channel, count(*) as n_files, round((select count(*) from features)::double / (select count(distinct channel) from features), 6) as mean_files from features group by channel")
 def coverage(spark, sf_dir):
-    return report.coverage(adapt.features(spark, sf_dir))
+    return report.coverage(adapt.features(spark, sf_dir, []))
 
 
 @query("""
@@ -181,7 +181,7 @@ def coverage(spark, sf_dir):
 select channel, feature, round((mean - m) / (s + 1e-9), 6) as mean_norm, round(ln(1 + std / mid), 6) as std_log, round((mean - low) / (high - low), 6) as mean_unit
 from ref_long join own using (feature)""")
 def reference_normalised(spark, sf_dir):
-    return report.normalised_reference(adapt.stats(adapt.scored(adapt.features(spark, sf_dir))))
+    return report.normalised_reference(adapt.stats(adapt.scored(adapt.features(spark, sf_dir, C))))
 
 
 # ---- side tables and run configuration
@@ -192,7 +192,7 @@ select f.run, f.subrun, 'trigger_rate' as channel, null::int as channel_num, """
 union all select f.run, f.subrun, 'trigger_lvds_total', null, null, null, null, null, null, o.n from f left join
 (select year(o_orderdate)::int as run, month(o_orderdate)::int as subrun, count(*)::double as n from orders group by 1, 2) o using (run, subrun)""")
 def trigger_pseudo_rows(spark, sf_dir):
-    f = adapt.scored(adapt.features(spark, sf_dir))
+    f = adapt.scored(adapt.features(spark, sf_dir, C))
     columns = [*(f"triggerRate_bit{i}" for i in range(1, 6)), "LVDStotal"]
     return feat.with_pseudo_rows(f, f, adapt.board(spark, sf_dir), adapt.lvds(spark, sf_dir), columns).where("channel_num is null")
 
@@ -215,7 +215,7 @@ _masked = "f.run = 1995 and ((238 >> (f.channel // 2)) & 1) = 0"
 
 @query("select run, subrun, channel, " + ", ".join(f"round(case when not ({_masked}) then {c} end, 6) as {c}" for c in C) + " from scored f")
 def mask_channels(spark, sf_dir):
-    f = adapt.scored(adapt.features(spark, sf_dir)).withColumn("channel_num", F.col("channel"))
+    f = adapt.scored(adapt.features(spark, sf_dir, C)).withColumn("channel_num", F.col("channel"))
     return feat.null_masked(f, adapt.configs(spark), C).select("run", "subrun", "channel", *C)
 
 
@@ -223,12 +223,12 @@ def mask_channels(spark, sf_dir):
 , p as (select year(o_orderdate)::int as run, month(o_orderdate)::int as subrun, (o_custkey % 8)::int as pin, count(*)::double as v from orders group by 1, 2, 3)
 select s.run, s.subrun, s.channel, p.v as LVDSpin from scored s left join p on p.run = s.run and p.subrun = s.subrun and p.pin = s.channel // 2""")
 def lvds_pin_join(spark, sf_dir):
-    return feat.with_lvds_pin(adapt.scored(adapt.features(spark, sf_dir)), adapt.lvds(spark, sf_dir)).select("run", "subrun", "channel", "LVDSpin")
+    return feat.with_lvds_pin(adapt.scored(adapt.features(spark, sf_dir, C)), adapt.lvds(spark, sf_dir)).select("run", "subrun", "channel", "LVDSpin")
 
 
 @query(f"select run, subrun, channel, {_masked} as masked, " + ", ".join(f"round({c}, 6) as raw_{c}, round(case when not ({_masked}) then {c} end, 6) as norm_{c}" for c in C) + " from scored f")
 def raw_vs_normalised(spark, sf_dir):
-    f = adapt.scored(adapt.features(spark, sf_dir)).withColumn("channel_num", F.col("channel"))
+    f = adapt.scored(adapt.features(spark, sf_dir, C)).withColumn("channel_num", F.col("channel"))
     return report.raw_and_normalised(f, feat.null_masked(f, adapt.configs(spark), C), C)
 
 
@@ -613,19 +613,19 @@ select run, subrun, channel, round(-power(2, -d / (2 * (ln(255) + 0.577215664901
 def fixed_forest_score(spark, sf_dir):
     """Scores by a small literal forest."""
     nodes = spark.createDataFrame(_fixed, forest.NODES)
-    f = adapt.features(spark, sf_dir)
+    f = adapt.features(spark, sf_dir, ["quantity_mean", "price_mean"])
     return forest.score_forest(f, ["quantity_mean", "price_mean"], nodes, 256).select("run", "subrun", "channel", "if_score")
 
 
 @query("select round(quantile_cont(quantity_mean, 0.01), 6) as offset_value from features")
 def percentile_offset(spark, sf_dir):
-    return adapt.features(spark, sf_dir).agg(F.percentile("quantity_mean", F.lit(0.01)).alias("offset_value"))
+    return adapt.features(spark, sf_dir, ["quantity_mean"]).agg(F.percentile("quantity_mean", F.lit(0.01)).alias("offset_value"))
 
 
 @query()
 def forest_scores(spark, sf_dir):
     """A forest of the good files' z-scores, scores and flags of all files."""
-    f = adapt.scored(adapt.features(spark, sf_dir))
+    f = adapt.scored(adapt.features(spark, sf_dir, C))
     s = adapt.stats(f)
     z = ref.zscores(adapt.good(f), s, C)
     nodes = forest.fit_forest(z, C, ["run", "subrun", "channel"], n_trees=100)
