@@ -386,7 +386,7 @@ def z_heatmap(spark, sf_dir):
     return report.z_heatmap(adapt.zscores(spark, sf_dir).where("run = 1998"), C)
 
 
-@query("select s_suppkey as channel, s_nationkey as layer, s_nationkey % 4 as row, round(s_nationkey % 4 + case when s_suppkey % 2 = 0 then 0.2 else -0.2 end, 6) as y from supplier")
+@query("select s_suppkey as channel, s_nationkey as layer, s_nationkey % 4 as row, round(s_nationkey % 4 + case when s_suppkey % 2 = 0 then 0.2::double else -0.2::double end, 6) as y from supplier")
 def geometry_first(spark, sf_dir):
     s = adapt.table(spark, sf_dir, "supplier")
     rows = s.select(F.col("s_suppkey").alias("channel"), F.col("s_suppkey").alias("event_id"), F.col("s_nationkey").alias("layer"), (F.col("s_nationkey") % 4).alias("row"), F.lit(0).alias("column"))
