@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 #: The same six characters, for translate().
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Bytes of an Arrow batch, from which the next row starts another one.
+BATCH_BYTES = "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,7 +65,7 @@ def words_of(text: Column) -> Column:
 class HashCache(dict):
     """word -> 64-bit hash; remembers at most ``limit`` words."""
 
-    limit = 300_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
@@ -102,7 +105,14 @@ def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterab
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
+    """Let Python workers import this package from where the driver found it, and bound what they hold.
+
+    Arrow batches are held to ``BATCH_BYTES`` where the session leaves Spark's
+    default of 64 MB: a task has a few of them in memory at once, in the JVM
+    and in Python.
+    """
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)

@@ -43,7 +43,7 @@ SYMBOLS = b"*#$%&|<>"
 class Buckets(dict):
     """feature -> bucket; remembers at most ``limit`` features."""
 
-    limit = 300_000
+    limit = 100_000
 
     def __missing__(self, feature: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(feature) % BUCKETS
