@@ -1,8 +1,10 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
 Paragraphs are the lines of a text.  Features are the word n-grams (one to
-three words) that contain a legal anchor word, so a paragraph without anchors
-has none and is unknown by definition; this gate is a few substring searches.
+three words) that contain an anchor word, and anchors are all words of the
+templates and of the unknown class's texts but the function words.  A paragraph
+without anchors is not scored: it holds less than ``LEAST_CONTAINED`` of any
+template's word pairs, so it could not be confirmed.
 A sparse multinomial logistic regression over these n-grams gives each
 licence family and an unknown class a probability, at a temperature that is
 calibrated on held-out variants; a family counts as found where it is likely
@@ -52,6 +54,11 @@ TEMPLATES = {
         "this work is licensed under the gnu general public license version 3",
         "licensed under the gnu general public license version 2",
         "released under the gpl version 3",
+        "gpl version 2",
+        "gpl version 3",
+        "lgpl version 2.1",
+        "lgpl version 3",
+        "agpl version 3",
         "spdx license identifier gpl 3.0 or later",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
         "licensed under the gnu affero general public license version 3",
@@ -97,18 +104,23 @@ OTHERS = [
 ]
 UNKNOWN = "unknown"
 FAMILIES = [*TEMPLATES, UNKNOWN]
-#: Words around which n-grams are features; the gate looks for their stems.
-ANCHORS = {"license", "licensed", "licence", "licenced", "licenses", "copyright", "permission", "permitted", "rights", "reserved", "warranties", "warranty", "redistribution", "redistributions", "redistribute", "domain", "proprietary", "prohibited", "spdx", "waived"}
-STEMS = ["licens", "licenc", "copyright", "permission", "permitted", "rights", "reserved", "warrant", "redistribut", "domain", "proprietary", "prohibited", "spdx", "waived"]
+#: Words that state nothing by themselves; n-grams of these alone are no features.
+FUNCTION_WORDS = set("a all an and any are as at be been by for from had has have he her his if in into is it its may must no not nd of off on or our she that the their there this to under was were with you your".split())
 #: Least probability of a family, and least share of a template's word pairs in the paragraph.
 LEAST_PROBABILITY, LEAST_CONTAINED = 0.5, 0.6
 ROUNDS, STEP, LASSO = 400, 0.5, 2e-4
 TOKEN = r"[^\p{L}\p{N}.]+|\.(?![\p{N}])|(?<![\p{N}])\."
+#: GPLv2, LGPLv2.1 and the like are two words and a number.
+VERSIONED = r"(?<=gpl)v(?=[0-9])"
 
 
 def tokens_of(text: str) -> list[str]:
     """Lower-cased runs of letters and digits; points inside numbers stay."""
-    return [w for w in re.split(r"[^\w.]+|_|\.(?!\d)|(?<!\d)\.", text.lower()) if w]
+    return [w for w in re.split(r"[^\w.]+|_|\.(?!\d)|(?<!\d)\.", re.sub(VERSIONED, " version ", text.lower())) if w]
+
+
+#: Words around which n-grams are features.
+ANCHORS = {w for t in [*OTHERS, *(t for texts in TEMPLATES.values() for t in texts)] for w in tokens_of(t)} - FUNCTION_WORDS
 
 
 def ngrams(tokens: list[str]) -> set[str]:
@@ -155,7 +167,7 @@ def model() -> tuple[dict[str, list[float]], list[float]]:
 
 
 def tokens_column(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), TOKEN), "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), VERSIONED, " version "), TOKEN), "")
 
 
 def grams_column(tokens: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
@@ -175,12 +187,10 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     weights, bias = model()
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    low = F.lower("text")
-    gate = functools.reduce(lambda a, b: a | b, [low.contains(s) for s in STEMS])
-    lines = rows.where(gate).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
-    low = F.lower("line")
-    lines = lines.where(functools.reduce(lambda a, b: a | b, [low.contains(s) for s in STEMS])).distinct()
-    grams = lines.select("doc_id", "paragraph", F.explode(grams_column(tokens_column(F.col("line")))).alias("gram"))
+    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
+    lines = lines.select("doc_id", "paragraph", tokens_column(F.col("line")).alias("tokens"))
+    lines = lines.where(F.arrays_overlap("tokens", F.array(*map(F.lit, sorted(ANCHORS))))).distinct()
+    grams = lines.select("doc_id", "paragraph", F.explode(grams_column(F.col("tokens"))).alias("gram"))
 
     # fixed templates only: a few thousand short rows
     table = spark.createDataFrame([(g, w) for g, w in weights.items()], "gram string, w array<double>")

@@ -183,6 +183,19 @@ def test_licences(spark):
     assert len(bias) == len(licences.FAMILIES) and any(0.0 in w for w in weights.values())
 
 
+def test_every_template_is_found(spark):
+    """Also statements without a legal word pass the gate."""
+    rows = [(t, name) for name, texts in licences.TEMPLATES.items() for t in texts]
+    rows += [("Released under the GPL version 3.", "gpl"), ("GPLv2+", "gpl"), ("Available under CC BY 4.0", "cc-by"), ("Available under the Apache 2.0 terms", "apache-2.0"), *((t, "") for t in licences.OTHERS)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {x.doc_id: x.families for x in licences.licence_scan(docs).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(rows)] == rows
+    for texts in licences.TEMPLATES.values():
+        for t in map(licences.tokens_of, texts):
+            pairs = set(zip(t, t[1:], strict=False))
+            assert sum(not licences.ANCHORS & {*p} for p in pairs) < licences.LEAST_CONTAINED * len(pairs)
+
+
 def test_licence_scores_by_hand(spark):
     """Probabilities in SQL equal a plain loop over the same weights."""
     weights, bias = licences.model()
