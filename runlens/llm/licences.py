@@ -1,6 +1,9 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are the lines of a text.  Features are the word n-grams (one to
+Paragraphs are the lines of a text and, so that wrapped notices are read as a
+whole, its blocks of several lines: lines between blank ones, joined by spaces.
+A block is scored as a whole and by sentences, since it may state more than one
+licence.  Features are the word n-grams (one to
 three words) that contain an anchor word, and anchors are all words of the
 templates and of the unknown class's texts but the function words.  A paragraph
 without anchors is not scored: it holds less than ``LEAST_CONTAINED`` of any
@@ -109,7 +112,11 @@ FUNCTION_WORDS = set("a all an and any are as at be been by for from had has hav
 #: Least probability of a family, and least share of a template's word pairs in the paragraph.
 LEAST_PROBABILITY, LEAST_CONTAINED = 0.5, 0.6
 ROUNDS, STEP, LASSO = 400, 0.5, 2e-4
-TOKEN = r"[^\p{L}\p{N}.]+|\.(?![\p{N}])|(?<![\p{N}])\."
+#: What is between words, but line ends.
+TOKEN = r"[^\p{L}\p{N}.\n]+|\.(?![\p{N}])|(?<![\p{N}])\."
+#: Ends of sentences.
+SENTENCE = r"(?<=[.!?])\s+"
+KEY = ["doc_id", "paragraph", "unit"]
 #: GPLv2, LGPLv2.1 and the like are two words and a number.
 VERSIONED = r"(?<=gpl)v(?=[0-9])"
 
@@ -166,8 +173,10 @@ def model() -> tuple[dict[str, list[float]], list[float]]:
     return {g: w[i].tolist() for g, i in vocabulary.items() if w[i].any()}, w[-1].tolist()
 
 
-def tokens_column(text: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(F.lower(text), VERSIONED, " version "), TOKEN), "")
+def versioned(text: Column) -> Column:
+    """The lower-cased text with GPLv2 and the like in words."""
+    low = F.lower(text)
+    return F.when(low.contains("gpl"), F.regexp_replace(low, VERSIONED, " version ")).otherwise(low)
 
 
 def grams_column(tokens: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
@@ -176,10 +185,49 @@ def grams_column(tokens: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
     return F.array_distinct(F.concat(*[F.when(F.size(tokens) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in sizes]))
 
 
+def units_of(text: Column) -> Column:
+    """Array of (paragraph, unit, words) of a text: its lines, its blocks of several lines, their sentences; all that have an anchor.
+
+    ``paragraph`` is the line, from 0, with which the unit starts (a sentence
+    has that of its block); ``unit`` is -2 for a line, -1 for a block, else the
+    sentence's number.  Lines without letters and digits separate blocks; a
+    block of one sentence is not repeated as such.
+    """
+    once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  # a lambda's variable is evaluated once
+    unit = lambda at, n, words: F.struct(at.alias("paragraph"), n.cast("int").alias("unit"), words.alias("words"))
+    anchors = F.array(*map(F.lit, sorted(ANCHORS)))
+    split = lambda x: F.array_remove(F.split(x, " ", -1), "")
+    plain = lambda x: F.regexp_replace(x, TOKEN, " ")
+
+    def blocks(words: Column, hit: Column) -> Column:
+        solid = lambda i: F.coalesce(F.size(F.get(words, i)) > 0, F.lit(False))
+        places = F.sequence(F.lit(0), F.size(words) - 1)
+        starts, ends = F.filter(places, lambda i: solid(i) & ~solid(i - 1)), F.filter(places, lambda i: solid(i) & ~solid(i + 1))
+        spans = F.zip_with(starts, ends, lambda a, b: F.struct((a + 1).alias("a"), (b - a + 1).alias("n")))
+        return F.filter(spans, lambda x: (x["n"] > 1) & F.exists(F.slice(hit, x["a"], x["n"]), lambda h: h))
+
+    def sentences(x: Column, lines: Column) -> Column:
+        parts = F.split(F.array_join(F.slice(lines, x["a"], x["n"]), " "), SENTENCE)
+        return once(parts, lambda p: F.when(F.size(p) > 1, F.transform(p, lambda w, n: unit(x["a"] - 1, n, split(plain(w))))).otherwise(F.slice(F.transform(p, lambda w, n: unit(x["a"] - 1, n, split(w))), 1, 0)))
+
+    def units(lines: Column, words: Column, hit: Column) -> Column:
+        single = F.transform(words, lambda w, i: unit(i, F.lit(-2), w))
+        joined = lambda spans: F.transform(spans, lambda x: unit(x["a"] - 1, F.lit(-1), F.flatten(F.slice(words, x["a"], x["n"]))))
+        parts = lambda spans: F.flatten(F.transform(spans, lambda x: sentences(x, lines)))
+        found = once(blocks(words, hit), lambda spans: F.concat(joined(spans), F.filter(parts(spans), lambda x: F.arrays_overlap(x["words"], anchors))))
+        return F.concat(F.filter(single, lambda x: F.get(hit, x["paragraph"])), found)
+
+    def read(low: Column) -> Column:
+        words = F.transform(F.split(plain(low), "\n", -1), split)
+        return once(words, lambda w: once(F.transform(w, lambda x: F.arrays_overlap(x, anchors)), lambda hit: F.when(F.exists(hit, lambda h: h), once(F.split(low, "\n", -1), lambda lines: units(lines, w, hit)))))
+
+    return once(versioned(text), read)
+
+
 def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_PROBABILITY, contained: float = LEAST_CONTAINED) -> DataFrame:
-    """(doc_id, paragraph, family, probability, template_share, confirmed) of every paragraph with an anchor.
+    """(doc_id, paragraph, unit, family, probability, template_share, confirmed) of every line, block and sentence with an anchor.
 
-    ``paragraph`` counts the lines of the text from 0.  ``family`` is unknown
+    ``paragraph`` and ``unit`` are those of ``units_of``.  ``family`` is unknown
     where no family is likely enough; ``confirmed`` where a template agrees.
     Null and empty texts have no paragraphs.  Rows that share an id must not
     differ in text (copies count once).  Other columns are not read.
@@ -187,28 +235,23 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     weights, bias = model()
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
-    lines = lines.select("doc_id", "paragraph", tokens_column(F.col("line")).alias("tokens"))
-    lines = lines.where(F.arrays_overlap("tokens", F.array(*map(F.lit, sorted(ANCHORS))))).distinct()
-    grams = lines.select("doc_id", "paragraph", F.explode(grams_column(F.col("tokens"))).alias("gram"))
-
-    # fixed templates only: a few thousand short rows
-    table = spark.createDataFrame([(g, w) for g, w in weights.items()], "gram string, w array<double>")
-    scored = grams.join(F.broadcast(table), "gram").groupBy("doc_id", "paragraph").agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(FAMILIES))])
-    scored = lines.select("doc_id", "paragraph").distinct().join(scored, ["doc_id", "paragraph"], "left")
-    scores = F.array(*[F.struct((F.coalesce(F.col(f"s{k}"), F.lit(0.0)) + F.lit(bias[k])).alias("s"), F.lit(name).alias("family")) for k, name in enumerate(FAMILIES)])
-    scored = scored.select("doc_id", "paragraph", scores.alias("scores")).withColumn("best", F.array_max("scores"))
+    # for the outer forms Spark infers no filters that would evaluate the arrays again
+    units = rows.select("doc_id", F.inline_outer(units_of(F.col("text")))).where("paragraph is not null")
+    grams = units.select(*KEY, F.explode_outer(grams_column(F.col("words"))).alias("gram"))
+
+    # fixed templates only: a few thousand short rows; every anchor is one, so that each unit has a row
+    pairs = [(k, {" ".join(p) for p in zip(tokens_of(t), tokens_of(t)[1:], strict=False)}) for k, name in enumerate(TEMPLATES) for t in TEMPLATES[name]]
+    known = sorted(ANCHORS.union(weights, *(p for _, p in pairs)))
+    zero = [0.0] * len(FAMILIES)
+    table = spark.createDataFrame([(i, g, weights.get(g, zero), [j for j, (_, p) in enumerate(pairs) if g in p]) for i, g in enumerate(known)], "g int, gram string, w array<double>, t array<int>")
+    grams = grams.join(F.broadcast(table.select("g", "gram")), "gram").select(*KEY, "g").distinct().join(F.broadcast(table.drop("gram")), "g")
+    sums = grams.groupBy(*KEY).agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(FAMILIES))], F.flatten(F.collect_list("t")).alias("t"))
+    scores = F.array(*[F.struct((F.col(f"s{k}") + F.lit(bias[k])).alias("s"), F.lit(name).alias("family")) for k, name in enumerate(FAMILIES)])
+    scored = sums.select(*KEY, "t", scores.alias("scores")).withColumn("best", F.array_max("scores"))
     mass = F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp(x["s"] - F.col("best.s")))
-    scored = scored.select("doc_id", "paragraph", F.col("best.family").alias("family"), (1 / mass).alias("probability"))
-
-    pairs = [(name, f"{name}/{i}", g) for name, texts in TEMPLATES.items() for i, t in enumerate(texts) for g in sorted({" ".join(p) for p in zip(tokens_of(t), tokens_of(t)[1:], strict=False)})]
-    sizes: dict[str, int] = {}
-    for _, t, _ in pairs:
-        sizes[t] = sizes.get(t, 0) + 1
-    template = spark.createDataFrame([(f, t, g, sizes[t]) for f, t, g in pairs], "family string, template string, gram string, size int")
-    shares = grams.join(F.broadcast(template), "gram").groupBy("doc_id", "paragraph", "family", "template").agg((F.count("*") / F.first("size")).alias("share"))
-    shares = shares.groupBy("doc_id", "paragraph", "family").agg(F.max("share").alias("template_share"))
-    out = scored.join(shares, ["doc_id", "paragraph", "family"], "left").withColumn("template_share", F.coalesce("template_share", F.lit(0.0)))
+    shares = F.array(*[F.struct(F.lit(FAMILIES[k]).alias("family"), F.lit(j).alias("j"), F.lit(len(p)).alias("n")) for j, (k, p) in enumerate(pairs)])
+    shares = F.transform(F.filter(shares, lambda x: x["family"] == F.col("best.family")), lambda x: F.size(F.filter("t", lambda y: y == x["j"])) / x["n"])
+    out = scored.select(*KEY, F.col("best.family").alias("family"), (1 / mass).alias("probability"), F.coalesce(F.array_max(shares), F.lit(0.0)).alias("template_share"))
     out = out.withColumn("family", F.when(F.col("probability") >= least, F.col("family")).otherwise(UNKNOWN))
     return out.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("template_share") >= contained))
 
@@ -216,11 +259,14 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_paragraphs, n_candidates, n_confirmed, families) of every row.
 
-    ``families`` are the confirmed ones, sorted, joined by commas; "" if none.
+    ``n_paragraphs`` are the lines with a word; ``n_candidates`` those that have
+    an anchor or start a block with one, ``n_confirmed`` those that state a
+    licence or start a block that does.  ``families`` are the confirmed ones,
+    sorted, joined by commas; "" if none.
     Null texts have no paragraphs.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    found = licence_paragraphs(rows).groupBy("doc_id").agg(F.count("*").alias("n_candidates"), F.count_if("confirmed").alias("n_confirmed"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"))
+    found = licence_paragraphs(rows).groupBy("doc_id").agg(F.size(F.collect_set("paragraph")).cast("long").alias("n_candidates"), F.size(F.collect_set(F.when(F.col("confirmed"), F.col("paragraph")))).cast("long").alias("n_confirmed"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"))
     lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = rows.select("doc_id", lines.cast("long").alias("n_paragraphs")).join(found, "doc_id", "left")
     return out.select("doc_id", "n_paragraphs", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"), F.coalesce("families", F.lit("")).alias("families"))

@@ -196,6 +196,26 @@ def test_every_template_is_found(spark):
             assert sum(not licences.ANCHORS & {*p} for p in pairs) < licences.LEAST_CONTAINED * len(pairs)
 
 
+WRAPPED = {
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+    "apache-2.0": " * Licensed under the Apache License, Version\n * 2.0 (the \"License\"); you may not use this\n * file except in compliance with the License.\n *\n * Unless required by applicable law or agreed to in\n * writing, software distributed under the License is\n * distributed on an \"AS IS\" BASIS.",
+    "mit": "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files (the \"Software\"), to deal in the Software\nwithout restriction.",
+    "gpl": "This program is free software: you can redistribute it and/or\nmodify it under the terms of the GNU General\nPublic License as published by the Free Software\nFoundation, either version 3 of the License, or (at your option) any later\nversion.",
+}
+
+
+def test_wrapped_licences(spark):
+    """Notices that no single line states; the last one shares its block with another statement."""
+    rows = [(f"Title\n\n{t}\n\nother words", name) for name, t in WRAPPED.items()]
+    rows += [(f"Copyright (c) 2020, Jane Doe.\nAll rights reserved.\n{WRAPPED['bsd']}", "bsd,proprietary"), ("\n\nthe license\nplate was\n\n--\nfound\n", "")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {x.doc_id: x for x in licences.licence_scan(docs).collect()}
+    assert [(t, got[i].families) for i, (t, _) in enumerate(rows)] == rows
+    assert all(x.n_confirmed <= x.n_candidates <= x.n_paragraphs for x in got.values())
+    units = docs.where(f"doc_id = {len(rows) - 1}").select(F.inline(licences.units_of(F.col("text")))).where("unit > -2").collect()
+    assert [tuple(x) for x in units] == [(2, -1, ["the", "license", "plate", "was"])]
+
+
 def test_licence_scores_by_hand(spark):
     """Probabilities in SQL equal a plain loop over the same weights."""
     weights, bias = licences.model()
