@@ -3,8 +3,9 @@
 Each line's sites go into a HyperLogLog sketch, merged by Spark's aggregation;
 only lines whose estimate is near the threshold get an exact count of distinct
 sites.  Lines spread over enough sites are boilerplate and are removed, except
-from documents that consist of them for the larger part: those are copies as a
-whole and a matter of document-level dedup.
+from documents in which no line with a word would remain: those are copies as a
+whole and a matter of document-level dedup.  ``op5_line_dedup`` also spares
+documents with a larger share of boilerplate than ``MAX_SHARE``, as its SQL does.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ MIN_SITES = 10
 REGISTERS = 12
 #: Estimates within this share of the threshold are counted exactly: over ten standard errors of the sketch.
 BAND = 0.2
-#: Documents with a larger share of their characters in boilerplate lines are left as they are.
+#: For op5_line_dedup: documents with a larger share of their characters in boilerplate lines are left as they are.
 MAX_SHARE = 0.5
 
 
@@ -45,14 +46,16 @@ def without(text: Column, marks: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(marks, i)), "\n")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, carry: list[str] | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float | None = None, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_text) of every row.
 
     Lines are compared as they are; lines without a word are never removed or
     counted.  A null site is a site of its own, "".  Null and empty texts have
     no lines and stay null or empty.  Ids are expected to be unique: rows that
     share one share the places of removed lines.  Rows with a null id are kept
-    whole.  Columns named in ``carry`` come along in a struct ``row``; others
+    whole, and so are texts with no other lines than those to remove and, if
+    ``max_share`` is given, texts with a larger share of their characters in
+    such lines.  Columns named in ``carry`` come along in a struct ``row``; others
     are not read.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(docs[site_col].cast("string"), F.lit("")).alias("site"), F.struct(*[docs[c] for c in carry or [id_col]]).alias("row"))
@@ -60,8 +63,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = lines.select("doc_id", "at", "key", "chars").join(spread_lines(lines.select("key", "site"), min_sites), "key")
     marks = hits.groupBy("doc_id").agg(F.collect_set("at").alias("marks"), F.sum("chars").alias("marked"))
     total = F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("")))
-    out = rows.join(marks, "doc_id", "left").withColumn("cut", F.coalesce(F.col("marked") <= max_share * total, F.lit(False)))
     counted = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    cut = F.size("marks") < counted if max_share is None else F.col("marked") <= max_share * total
+    out = rows.join(marks, "doc_id", "left").withColumn("cut", F.col("marks").isNotNull() & F.coalesce(cut, F.lit(False)))
     return out.select(
         "doc_id",
         counted.cast("long").alias("n_lines"),
@@ -73,7 +77,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document after removal of lines found on ten sites or more."""
-    out = line_dedup(read_documents(spark, sf_dir))
+    out = line_dedup(read_documents(spark, sf_dir), max_share=MAX_SHARE)
     return out.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -2,6 +2,7 @@ import hashlib
 
 import pytest
 
+import corpus_pipeline
 from runlens.llm import lines, minhash, substring
 from runlens.llm.components import connected
 
@@ -103,3 +104,13 @@ def test_lines(spark):
     assert "rare" not in got[20].kept_text
     assert lines.line_dedup(frame(spark, rows).limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_lines_of_mostly_boilerplate(spark):
+    """Own lines stay and boilerplate goes, whatever its share; only texts of nothing else are kept whole."""
+    spread = ["a first line that is on many sites", "a second line that is on many sites"]
+    rows = [(i, "\n".join(spread), f"s{i}") for i in range(12)] + [(20, f"{spread[0]}\nown\n{spread[1]}", "s1"), (21, f"{spread[0]}\n\n", "s2")]
+    got = {x.doc_id: (x.n_lines, x.n_removed, x.kept_text) for x in lines.line_dedup(frame(spark, rows)).collect()}
+    assert got == {i: (2, 0, "\n".join(spread)) for i in range(12)} | {20: (3, 2, "own"), 21: (1, 0, f"{spread[0]}\n\n")}
+    out = {x.doc_id: x for x in corpus_pipeline.drop_lines(spark, frame(spark, rows), "").collect()}
+    assert out[20].text == "own" and out[20].n_chars == 3 and len(out) == len(rows)
