@@ -210,6 +210,13 @@ def trigger_bit_decode(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", *[scalar.bit(F.col("l_partkey"), i).cast("int").alias(f"bit{i}") for i in range(8)])
 
 
+@query("select l_orderkey, l_linenumber, " + ", ".join(f"((l_partkey >> {i}) & 1)::int as bit{i}" for i in range(16)) + " from lineitem")
+def trigger_bit_decode_all(spark, sf_dir):
+    """All 16 bits of all rows."""
+    rows = adapt.table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", *[scalar.bit(F.col("l_partkey"), i).cast("int").alias(f"bit{i}") for i in range(16)])
+
+
 _masked = "f.run = 1995 and ((238 >> (f.channel // 2)) & 1) = 0"
 
 
@@ -386,6 +393,12 @@ def z_heatmap(spark, sf_dir):
     return report.z_heatmap(adapt.zscores(spark, sf_dir).where("run = 1998"), C)
 
 
+@query(" union all ".join(f"select run, subrun, channel, '{c}' as feature, round(case when {c} is not null then least(abs({c}), 50) end, 6) as z from z" for c in C))
+def z_heatmap_all(spark, sf_dir):
+    """The heatmap of all runs."""
+    return report.z_heatmap(adapt.zscores(spark, sf_dir), C)
+
+
 @query("select s_suppkey as channel, s_nationkey as layer, s_nationkey % 4 as row, round(s_nationkey % 4 + case when s_suppkey % 2 = 0 then 0.2::double else -0.2::double end, 6) as y from supplier")
 def geometry_first(spark, sf_dir):
     s = adapt.table(spark, sf_dir, "supplier")
@@ -474,6 +487,15 @@ def combine_logs(spark, sf_dir):
     return writers.combine_logs([new, log.where("run = 1995").select("channel", "subrun", "run", "anomalous", F.lit("old").alias("note"))])
 
 
+@query("""select run, subrun, channel, anomalous, round(max_z, 6) as max_z, null::varchar as note from log where run <= 1994 union all
+select run, subrun, channel, anomalous, null, 'old' from log where run > 1994 or run is null""")
+def combine_logs_all(spark, sf_dir):
+    """Two logs that hold all runs between them."""
+    log = adapt.log(spark, sf_dir)
+    new = log.where("run <= 1994").select("run", "subrun", "channel", "anomalous", "max_z")
+    return writers.combine_logs([new, log.where("run > 1994 or run is null").select("channel", "subrun", "run", "anomalous", F.lit("old").alias("note"))])
+
+
 # ---- sweeps and votes
 
 def _sweep(spark, sf_dir):

@@ -43,3 +43,13 @@ def test_query(spark, name):
         names = [d[0] for d in want.description]
         assert sorted(df.columns) == sorted(names)
         assert rows(df.columns, got) == rows(names, want.fetchall())
+
+
+def test_whole_tables(spark):
+    """Queries named _all leave no row out."""
+    log = queries.adapt.log(spark, SF)
+    got = {name: queries.QUERIES[name](spark, SF) for name in ("trigger_bit_decode_all", "z_heatmap_all", "combine_logs_all")}
+    assert got["trigger_bit_decode_all"].count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert len(got["trigger_bit_decode_all"].columns) == 2 + 16
+    assert got["combine_logs_all"].count() == log.count()
+    assert got["z_heatmap_all"].select("run").distinct().count() == log.select("run").distinct().count()
