@@ -7,8 +7,9 @@ gives the same two tokens back.  Where a pair is not, the encoder tries the
 next shorter token, and goes back a token when none is left; a position found
 dead is never tried again, so the work stays linear in the word.
 
-Only the vocabulary file's own rules are used (normalisation, pre-tokens,
-special tokens, end-of-word symbols); no tokenizer library runs here.
+Vocabulary, merges, special tokens and the pattern of pre-tokens are read from
+the vocabulary file; its normalisation (NFC, lower case) and its end of word
+are fixed here.  No tokenizer library runs.
 """
 
 from __future__ import annotations
@@ -19,25 +20,26 @@ import json
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import column_bytes, map_batches, read_documents, ship_package
+from .common import map_batches, read_documents, ship_package
 
 #: Added to the code point of a word's last symbol: it then stands for symbol + "</w>".
 END = 0x2000
 SUFFIX = "</w>"
-#: Control characters that str.split() takes for white space and the vocabulary's rules do not.
-NOT_SPACES = re.compile("[\x1c-\x1f]")
-SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: A rank after all merges.
 NEVER = 1 << 40
 #: Words and pairs remembered by a worker.
 REMEMBERED = 400_000
+#: Bytes of text encoded at once.
+SLICE_BYTES = 8_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -64,7 +66,7 @@ class Vocabulary:
         model = spec["model"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.pre_token = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
+        self.pre_token = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split") + "|\n")
         pairs = (m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"])
         self.rank = {(marked(a), marked(b)): i for i, (a, b) in enumerate(pairs)}
         everything = {marked(t): i for t, i in model["vocab"].items() if t not in self.special}
@@ -78,7 +80,8 @@ class Vocabulary:
                 self.firsts[t] = [(t, NEVER), (a, rank), *self.firsts[a][1:]]
         self.ids = {t: everything[t] for t in self.lasts}
         self.id_bytes = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        #: token -> the longest token that is a shorter beginning of it
+        self.shorter = {t: next((t[:n] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), None) for t in self.ids}
         self.automaton = ahocorasick.Automaton()
         for t in self.ids:
             self.automaton.add_word(t, t)
@@ -88,14 +91,15 @@ class Vocabulary:
         self.apart: set[tuple[str, str]] = set()
         self.pairs = 0
         self.symbols = {b: s for b, s in enumerate(byte_symbols())}
-        self.words: dict[str, bytes] = {}
-        self.pre_tokens: dict[str, bytes] = {}
+        self.ends = {s: chr(ord(s) + END) for s in self.symbols.values()}
+        #: Pre-tokens met so far; a line end has no ids.
+        self.pre_tokens = {"\n": b""} | {t: i.to_bytes(4, "little") for t, i in self.special.items()}
         by_id = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         texts = [by_id.get(i, "").encode() for i in range(max(by_id) + 1)]
         #: Token i's text is text[offsets[i]:offsets[i + 1]].
         self.text, self.offsets = b"".join(texts), np.cumsum([0, *map(len, texts)])
-        self.pieces = [self.text[a:b] for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True)]
-        self.decimals = [str(i).encode() for i in range(len(texts))]
+        self.pieces = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(self.offsets.astype("<i4")), pa.py_buffer(self.text)])
+        self.decimals = pa.array([str(i).encode() for i in range(len(texts))], pa.binary())
 
     def merge(self, symbols: str) -> list[str]:
         """The merges applied one by one, lowest rank first: the definition that the encoder must meet."""
@@ -134,77 +138,97 @@ class Vocabulary:
 
     def cover(self, word: str) -> list[str]:
         """Tokens of one pre-token, given as symbols with a marked end."""
-        greedy = [t for _, t in self.automaton.iter_long(word)]
-        follow, last = self.follow, None
-        for t in greedy:
-            if last is not None and t not in last and not self.fits(before, t):
-                break
-            last, before = follow[t], t
-        else:
-            return greedy
-        alive = [True] * (len(word) + 1)
+        follow, shorter = self.follow, self.shorter
         tokens: list[str] = []
-        at, limit = 0, self.longest
-        while at < len(word):
-            for n in range(min(limit, len(word) - at), 0, -1):
-                t = word[at : at + n]
-                if alive[at + n] and t in self.ids and (not tokens or self.fits(tokens[-1], t)):
-                    tokens.append(t)
-                    at, limit = at + n, self.longest
+        before, dead = "", set()
+        matches = self.automaton.iter_long(word)
+        while True:
+            for _, t in matches:  # the longest token at the end of those before
+                if dead and sum(map(len, tokens)) + len(t) in dead or before and t not in follow[before] and not self.fits(before, t):
                     break
+                tokens.append(t)
+                before = t
             else:
-                alive[at] = False
-                last = tokens.pop()
-                at, limit = at - len(last), len(last) - 1
-        return tokens
+                return tokens
+            at = sum(map(len, tokens))
+            while True:
+                t = shorter.get(t)
+                if t is None:  # no token is left here: shorten the one before
+                    dead.add(at)
+                    t = tokens.pop()
+                    before = tokens[-1] if tokens else ""
+                    at -= len(t)
+                elif at + len(t) not in dead and (not before or self.fits(before, t)):
+                    break
+            tokens.append(t)
+            before = t
+            matches = self.automaton.iter_long(word, at + len(t))
 
     def pre_token_ids(self, piece: str) -> bytes:
-        found = self.pre_tokens.get(piece)
-        if found is None:
-            symbols = piece if piece.isascii() and piece.isprintable() else "".join(map(self.symbols.__getitem__, piece.encode()))
-            found = b"".join(map(self.id_bytes.__getitem__, self.cover(symbols[:-1] + chr(ord(symbols[-1]) + END))))
-            if len(self.pre_tokens) < REMEMBERED:
-                self.pre_tokens[piece] = found
+        """Little-endian unsigned 32-bit ids of a pre-token."""
+        symbols = piece if piece.isascii() and piece.isprintable() else "".join(map(self.symbols.__getitem__, piece.encode()))
+        found = b"".join(map(self.id_bytes.__getitem__, self.cover(symbols[:-1] + self.ends[symbols[-1]])))
+        if len(self.pre_tokens) < REMEMBERED:
+            self.pre_tokens[piece] = found
         return found
 
-    def word_ids(self, word: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text without white space."""
-        if "<|" in word and self.split_special:
-            parts = self.split_special.split(word)
-        else:
-            parts = [word]
-        out = []
-        for part in parts:
+    def lines(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each line) of lines of text."""
+        pieces = []
+        for part in self.split_special.split(text) if self.split_special else [text]:
             if part in self.special:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
+                pieces.append(part)
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            part = part.lower()
-            if part.isalpha():
-                out.append(self.pre_token_ids(part))
-            elif part[-1:] in {".", ","} and part[:-1].isalpha():
-                out += (self.pre_token_ids(part[:-1]), self.pre_token_ids(part[-1]))
-            else:
-                out += map(self.pre_token_ids, self.pre_token.findall(part))
-        return b"".join(out)
+            pieces += self.pre_token.findall(part.lower())
+        coded = list(map(self.pre_tokens.get, pieces))
+        if None in coded:
+            coded = [self.pre_token_ids(t) if x is None else x for t, x in zip(pieces, coded, strict=True)]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        # a line end is a piece of no ids, as nothing else is
+        ends = np.append(np.cumsum(sizes)[sizes == 0], sizes.sum())
+        return np.frombuffer(b"".join(coded), "<u4"), np.diff(ends, prepend=0)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of whole texts: ids[offsets[i]:offsets[i + 1]] are those of text i; a null text is empty.
+
+        No rule reaches across white space, so each distinct word is encoded
+        once and its ids are gathered by index.
+        """
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = split.flatten().dictionary_encode()
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar("\n", pa.large_string()))
+        values, sizes = self.lines(joined[0].as_py())
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        place = np.repeat(starts[at] - ends + n, n)
+        place += np.arange(len(place))
+        return np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()], values[place]
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text.  No rule reaches across white space, so words are encoded by themselves."""
-        words = SPACES.split(text) if NOT_SPACES.search(text) else text.split()
-        known = self.words
-        out = list(map(known.get, words))
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    out[i] = ids = self.word_ids(words[i])
-                    if len(known) < REMEMBERED:
-                        known[words[i]] = ids
-        return np.frombuffer(b"".join(out), "<u4")
+        """Ids of one whole text."""
+        return self.encode_all(pa.array([text], pa.string()))[1]
+
+    def decode_all(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """UTF-8 of each sequence: its tokens' texts, cut out by the offset table, one space between."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.pieces.take(pa.array(ids))), b" ")
 
     def decode(self, ids: list[int]) -> bytes:
-        """UTF-8 of the tokens' texts from the offset table, one space between."""
-        return b" ".join(map(self.pieces.__getitem__, ids))
+        """UTF-8 of one sequence."""
+        return self.decode_all(np.array([0, len(ids)]), np.asarray(ids, np.uint32))[0].as_py()
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most about ``most`` bytes of a column, so that what is held beside a part is bounded; a longer text is a part."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 @functools.lru_cache(2)
@@ -224,12 +248,12 @@ def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     path = path or default_path()
 
     def batches(source):
-        encode = vocabulary(path).encode
+        v = vocabulary(path)
         for batch in source:
-            ids = [encode(x or "") for x in batch.column("text").to_pylist()]
-            offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            values = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "ids"])
+            for part in slices(batch, "text"):
+                offsets, ids = v.encode_all(part.column("text"))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "ids"])
 
     kind = dict(df.dtypes)[id_col]
     return map_batches(df.select(df[id_col].alias("id"), df[text_col].alias("text")), batches, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -241,15 +265,21 @@ def bpe_decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path
     path = path or default_path()
 
     def batches(source):
-        decode = vocabulary(path).decode
+        v = vocabulary(path)
         for batch in source:
-            texts = [decode(x or []).decode() for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
+            lists = pc.fill_null(batch.column("ids"), [])
+            texts = v.decode_all(lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py(), lists.flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), texts.cast(pa.string())], ["id", "text"])
 
     kind = dict(df.dtypes)[id_col]
     return map_batches(df.select(df[id_col].alias("id"), df[ids_col].alias("ids")), batches, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
+def digests(values: pa.Array) -> pa.Array:
+    """SHA-256 of each binary value, in lowercase hex."""
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in values], pa.string())
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Digests of the ids of every text and of the text decoded from them.
 
@@ -261,14 +291,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
     def batches(source):
         v = vocabulary(path)
-        sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in source:
-            n, of_ids, of_text = [], [], []
-            for text in column_bytes(batch, "text"):
-                ids = v.encode((text or b"").decode()).tolist()
-                n.append(len(ids))
-                of_ids.append(sha(b" ".join(map(v.decimals.__getitem__, ids))))
-                of_text.append(sha(v.decode(ids)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part in slices(batch, "text"):
+                offsets, ids = v.encode_all(part.column("text"))
+                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), v.decimals.take(pa.array(ids)))
+                of_ids, of_text = digests(pc.binary_join(listed, b" ")), digests(v.decode_all(offsets, ids))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), of_ids, of_text], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(read_documents(spark, sf_dir).select("doc_id", "text"), batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

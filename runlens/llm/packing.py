@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import default_path, vocabulary
-from .common import column_bytes, map_batches, read_documents, ship_package, written
+from .bpe import default_path, slices, vocabulary
+from .common import map_batches, read_documents, ship_package, written
 
 CAPACITY = 2048
 #: Separator id after each document.
@@ -160,24 +160,28 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ship_package(docs.sparkSession)
     path = path or default_path()
-    end = np.array([SEPARATOR], "<u4")
+    end = SEPARATOR.to_bytes(4, "little")
 
     def batches(source):
-        encode = vocabulary(path).encode
+        v = vocabulary(path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in source:
-            columns: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, text in zip(batch.column("doc_id").to_pylist(), column_bytes(batch, "text"), strict=True):
-                ids = np.concatenate([encode((text or b"").decode()), end])
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    own = ids[start : start + capacity]
-                    for c, x in zip(columns, (doc, piece, start, len(own), zlib.crc32(own.tobytes()), int(seen[len(own)])), strict=True):
-                        c.append(x)
-                    seen[len(own)] += 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([part] * len(columns[0]), pa.int32()), pa.array(columns[5], pa.int64())], [x.split()[0] for x in PIECES.split(", ")])
+            for rows in slices(batch, "text"):
+                offsets, ids = v.encode_all(rows.column("text"))
+                coded, bounds = ids.tobytes(), (4 * offsets).tolist()
+                columns: tuple[list, ...] = ([], [], [], [], [], [])
+                for doc, a, b in zip(rows.column("doc_id").to_pylist(), bounds, bounds[1:], strict=False):
+                    whole = coded[a:b] + end
+                    for piece, at in enumerate(range(0, len(whole), 4 * capacity)):
+                        own = whole[at : at + 4 * capacity]
+                        n = len(own) // 4
+                        for c, x in zip(columns, (doc, piece, at // 4, n, zlib.crc32(own), int(seen[n])), strict=True):
+                            c.append(x)
+                        seen[n] += 1
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([part] * len(columns[0]), pa.int32()), pa.array(columns[5], pa.int64())], [x.split()[0] for x in PIECES.split(", ")])
 
     return written(map_batches(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), batches, PIECES), "pieces")
 
