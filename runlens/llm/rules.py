@@ -1,16 +1,18 @@
 """Quality rules as weak supervision.
 
 Each rule looks at counts of a text and votes good, bad or abstains.  The
-patterns of votes are counted (at most 3 ** rules rows, whatever the corpus);
-expectation-maximisation on these counts estimates how often each rule is right
-for good and for bad texts, and the posterior probability of good, an
-expression of the votes, decides.  All work on texts is in SQL functions.
+patterns of votes of texts that pass the base filter are counted (at most
+3 ** rules rows, whatever the corpus); expectation-maximisation on these counts
+estimates how many texts are good and how often each rule is right on good and
+on bad ones, and the posterior probability of good, an expression of the votes,
+decides.  All work on texts is in SQL functions.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,11 @@ from .common import SPACE_CHARS, read_documents, words_of, written
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Most rounds of expectation-maximisation.
-ROUNDS = 100
-#: Least share of a rule's votes for bad that are right.
-TRUST = 0.8
+ROUNDS = 500
+#: At first each rule is taken to be right so often, on good and on bad texts; this alone says which class is the good one.
+START = 0.7
+#: Votes at that rate that are added to those seen, so that a rule that hardly votes keeps it.
+ADDED = 2.0
 
 
 def let(value: Column, body) -> Column:
@@ -68,7 +72,10 @@ def counts_of(text: Column) -> dict[str, Column]:
         "n_repeat_words": let(words, lambda w: repeated_words(w)),
         "n_lines": F.size(lines),
         "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")),
-        "n_exclaim": F.length(solid) - F.length(F.replace(solid, F.lit("!"), F.lit(""))),
+        "n_letters": F.length(solid) - F.length(F.regexp_replace(solid, r"\p{L}+", "")),
+        "n_ends": F.regexp_count(text, F.lit(r"[.!?](?=[\x20\x09-\x0D]|\z)")),
+        "n_line_ends": F.size(F.filter(lines, lambda x: x.rlike(r"[.!?][\"')]?[\x20\x09-\x0D]*\z"))),
+        "n_distinct": F.size(F.array_distinct(words)),
     }
 
 
@@ -77,79 +84,85 @@ def share(part: str, whole: str) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """rule -> 1 (good), 0 (bad) or null (abstains)."""
+    """rule -> 1 (good), 0 (bad) or null (abstains); every rule can say all three, and none is the base filter."""
 
-    def rule(bad: Column, good: Column | None = None) -> Column:
-        return F.when(bad, 0) if good is None else F.when(bad, 0).when(good, 1)
+    def rule(value: Column, bad, good) -> Column:
+        return F.when(bad(value), 0).when(good(value), 1)
 
-    length = F.coalesce(F.try_divide(F.col("word_chars"), F.col("n_words")), F.lit(0.0))
-    # a rule that looks for one kind of junk says nothing of texts without it
+    within = lambda a, b: lambda x: x.between(a, b)
+    outside = lambda a, b: lambda x: (x < a) | (x > b)
+    below, above = lambda a: lambda x: x < a, lambda a: lambda x: x > a
+    lines = share("n_dup_lines", "n_lines")
     return {
-        "long_enough": rule(F.col("n_words") < 10, F.col("n_words") >= 30),
-        "word_length": rule((length < 2) | (length > 15), (F.col("n_words") >= 10) & length.between(2.5, 12)),
-        "few_symbols": rule(share("n_symbols", "word_chars") > 0.02),
-        "few_capitals": rule(share("n_upper", "word_chars") > 0.3),
-        "calm": rule(share("n_exclaim", "n_words") > 0.2),
-        "own_lines": rule(share("n_dup_lines", "n_lines") > 0.3),
-        "own_phrases": rule(share("n_repeat_words", "n_words") > 0.2),
+        "word_length": rule(share("word_chars", "n_words"), outside(4.2, 6.8), within(4.5, 6.0)),
+        "few_symbols": rule(share("n_symbols", "word_chars"), above(0.02), below(0.002)),
+        "letters": rule(share("n_letters", "word_chars"), below(0.9), above(0.95)),
+        "capitals": rule(share("n_upper", "word_chars"), above(0.2), within(0.003, 0.06)),
+        "sentences": rule(share("n_ends", "n_words"), below(0.04), above(0.055)),
+        "line_ends": rule(share("n_line_ends", "n_lines"), below(0.9), above(0.98)),
+        "own_lines": rule(lines, above(0.2), lambda x: x == 0),
+        "own_phrases": rule(share("n_repeat_words", "n_words"), above(0.1), lambda x: x == 0),
+        "own_words": rule(share("n_distinct", "n_words"), below(0.5), above(0.65)),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rules: int) -> tuple[float, list[dict[int, float]]]:
-    """(log odds of good, per rule the weights of its votes for good (1) and bad (0)).
+@dataclass
+class Estimate:
+    """Share of good texts, and how often each rule's votes are right on good and on bad ones."""
 
-    A rule's accuracies are how often it votes good, and bad, among good and
-    among bad texts; abstaining says nothing.  At first a text counts as bad
-    where any rule says so.  Without labels the classes may turn to any other
-    way of splitting the corpus, so rules are held to mean what they say: at
-    least TRUST of a rule's votes for bad go to bad texts, a vote for good never
-    speaks for bad, and the prior stays the share of texts that no rule calls bad.
+    prior: float
+    on_good: np.ndarray
+    on_bad: np.ndarray
+
+    def weights(self) -> tuple[float, np.ndarray, np.ndarray]:
+        """(log odds of good, what a rule's vote for good adds to it, what a vote for bad adds)."""
+        return float(np.log(self.prior / (1 - self.prior))), np.log(self.on_good / (1 - self.on_bad)), np.log((1 - self.on_good) / self.on_bad)
+
+
+def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rules: int) -> Estimate:
+    """Expectation-maximisation over (votes, number of texts).
+
+    Rules are taken as independent within a class, and abstaining says nothing.
+    It starts from even classes and rules that are right in START of their
+    votes; nothing else ties the classes to their names.  No patterns: the start.
     """
-    belief = [0.0 if 0 in v else 1.0 for v, _ in patterns]
-    total = sum(n for _, n in patterns)
-    calm = sum(n for (_, n), p in zip(patterns, belief, strict=True) if p)
-    odds, weights = math.log((calm + 1) / (total - calm + 1)), [{1: 0.0, 0: -1.0}] * rules
-    for _ in range(ROUNDS if total else 0):
-        good = sum(n * p for (_, n), p in zip(patterns, belief, strict=True))
-        sizes = {1: good + 2.0, 0: total - good + 2.0}
-        weights = []
-        for j in range(rules):
-            said = {(vote, y): 1.0 for vote in (1, 0) for y in (1, 0)}
-            for (v, n), p in zip(patterns, belief, strict=True):
-                if v[j] is not None:
-                    said[v[j], 1] += n * p
-                    said[v[j], 0] += n * (1 - p)
-            wrong = min(said[0, 1], (1 - TRUST) * (said[0, 1] + said[0, 0]))
-            said[0, 1], said[0, 0] = wrong, said[0, 1] + said[0, 0] - wrong
-            weight = {vote: math.log(said[vote, 1] / sizes[1]) - math.log(said[vote, 0] / sizes[0]) for vote in (1, 0)}
-            weights.append({1: max(0.0, weight[1]), 0: weight[0]})
-        scores = [odds + sum(w[x] for w, x in zip(weights, v, strict=True) if x is not None) for v, _ in patterns]
-        now = [1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in scores]
-        moved, belief = max(abs(x - y) for x, y in zip(now, belief, strict=True)), now
-        if moved < 1e-9:
+    good = np.array([[x == 1 for x in v] for v, _ in patterns], float).reshape(-1, rules)
+    bad = np.array([[x == 0 for x in v] for v, _ in patterns], float).reshape(-1, rules)
+    n = np.array([k for _, k in patterns], float)
+    now = Estimate(0.5, np.full(rules, START), np.full(rules, START))
+    for _ in range(ROUNDS if len(n) else 0):
+        odds, up, down = now.weights()
+        belief = 1 / (1 + np.exp(-np.clip(odds + good @ up + bad @ down, -500, 500)))
+        of_good, of_bad = n * belief, n * (1 - belief)
+        last, now = now, Estimate(
+            (of_good.sum() + 1) / (n.sum() + 2),
+            (of_good @ good + START * ADDED) / (of_good @ (good + bad) + ADDED),
+            (of_bad @ bad + START * ADDED) / (of_bad @ (good + bad) + ADDED),
+        )
+        if max(abs(now.prior - last.prior), *abs(now.on_good - last.on_good), *abs(now.on_bad - last.on_bad)) < 1e-9:
             break
-    return odds, weights
+    return now
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """(doc_id, counts, votes, quality, base_failed, kept) of every row.
+    """(doc_id, counts, votes, base_failed, quality, kept) of every row.
 
     ``quality`` is the posterior probability of good; kept rows pass the base
     filter and reach ``least``.  Null and empty texts have no words and fail
-    the base filter.  Repeated rows stay, each judged alike; other columns are
-    not read; an empty table gives no rows.
+    the base filter.  Repeated rows stay, each judged alike; null ids are as
+    any other; other columns are not read; an empty table gives no rows.
     """
     counts = counts_of(F.col("text"))
     rules = votes()
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).select("doc_id", *[c.cast("long").alias(k) for k, c in counts.items()])
-    rows = written(rows.select("*", *[c.cast("int").alias(k) for k, c in rules.items()]), "votes")
-    seen = rows.groupBy(*rules).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(rules) rows
-    odds, weights = estimate([(tuple(r[k] for k in rules), r["n"]) for r in seen], len(rules))
+    rows = written(rows.select("*", *[c.cast("int").alias(k) for k, c in rules.items()], failed.alias("base_failed")), "votes")
+    seen = rows.where("not base_failed").groupBy(*rules).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(rules) rows
+    odds, up, down = estimate([(tuple(r[k] for k in rules), r["n"]) for r in seen], len(rules)).weights()
     total = F.lit(odds)
-    for name, w in zip(rules, weights, strict=True):
-        total = total + F.when(F.col(name) == 1, w[1]).when(F.col(name) == 0, w[0]).otherwise(0.0)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = rows.withColumns({"quality": 1 / (1 + F.exp(-total)), "base_failed": failed})
+    for name, a, b in zip(rules, up.tolist(), down.tolist(), strict=True):
+        total = total + F.when(F.col(name) == 1, a).when(F.col(name) == 0, b).otherwise(0.0)
+    rows = rows.withColumn("quality", 1 / (1 + F.exp(-total)))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
