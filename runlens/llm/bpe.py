@@ -20,7 +20,6 @@ import json
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_batches, read_documents, ship_package
+from .common import map_batches, read_documents, ship_package, slices
 
 #: Added to the code point of a word's last symbol: it then stands for symbol + "</w>".
 END = 0x2000
@@ -38,8 +37,6 @@ SUFFIX = "</w>"
 NEVER = 1 << 40
 #: Words and pairs remembered by a worker.
 REMEMBERED = 400_000
-#: Bytes of text encoded at once.
-SLICE_BYTES = 8_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -221,16 +218,6 @@ class Vocabulary:
         return self.decode_all(np.array([0, len(ids)]), np.asarray(ids, np.uint32))[0].as_py()
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most about ``most`` bytes of a column, so that what is held beside a part is bounded; a longer text is a part."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = (np.cumsum(sizes) - sizes) // most
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 @functools.lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)

@@ -1,9 +1,9 @@
 """Chat formatting of reply trees.
 
-Messages form trees by parent ids.  Root-to-leaf paths are enumerated by
-self-joins that double the known part of each path (after k rounds every
-message knows its ancestors up to distance 2**k), branches are ranked by score,
-and each chosen path is written as one conversation.
+Messages form trees by parent ids.  Self-joins that double the known part of
+each path (after k rounds every message knows its ancestor at distance 2**k)
+score the root-to-leaf paths; branches are ranked, the chosen paths are listed
+by the same doubling, and each is written as one conversation.
 
 Template: a turn is ``### `` + role + ``:`` + newline + text + newline +
 ``</turn>`` + newline; inside role and text every ``\\``, ``#`` and ``<`` gets a
@@ -18,6 +18,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_batches, ship_package, written
@@ -40,41 +41,41 @@ def reply_paths(messages: DataFrame, tree: str = "tree_id", node: str = "node_id
     by it, ties go to the smaller leaf id; ``keep=None`` gives all paths.  A
     message whose parent is null or absent is a root.  Of rows that repeat a
     (tree, node) one is used, that with the smallest parent and score.  Rows
-    with a null tree or node are left out.  A cycle has no root, so neither it
-    nor a chain behind it gives a path.
+    with a null tree or node are left out: number such messages first.  A cycle
+    has no root, so neither it nor a chain behind it gives a path.
+
+    Leaves are scored and ranked before any path is listed: scores are summed
+    along ancestors at doubling distances, one row a message.
     """
     rows = messages.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score"))
     rows = rows.where("tree is not null and node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("m")).select("tree", "node", "m.parent", "m.score")
     known = rows.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    rows = rows.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), "score")
-    rows = written(rows, "messages")
-    leaves = rows.join(rows.select("tree", F.col("parent").alias("node")).where("node is not null"), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
-
-    # up: (node, ancestor, distance) for all distances below 2**k; far: the ancestor at 2**k
-    up = rows.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("distance"), "score").join(leaves, ["tree", "leaf"], "left_semi")
-    far = rows.where("parent is not null").select("tree", "node", F.col("parent").alias("far"))
+    rows = rows.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("far"), F.col("score").alias("total"))
+    # round k: far is the ancestor at distance 2 ** k, null beyond the root; total and length are those of the way there
+    rows = written(rows.withColumn("length", F.when(F.col("far").isNull(), 0).otherwise(1)), "messages")
     most = rows.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    for k in range(most.bit_length()):  # no path is longer than its tree
-        if far.isEmpty():
+    rounds, now = [], rows
+    for _ in range(most.bit_length()):  # no path is longer than its tree
+        ahead = now.where("far is not null")
+        if ahead.isEmpty():
             break
-        # leaves need their next 2**k ancestors: those of the far end of what they know
-        step = far.select("tree", "node", "far")
-        more = up.join(step, ["tree", "node"]).select("tree", "leaf", F.col("far").alias("node"), (F.col("distance") + 2**k).alias("distance"))
-        more = more.join(rows.select("tree", "node", "score"), ["tree", "node"]).select("tree", "leaf", "node", "distance", "score")
-        up = written(up.unionByName(more), "paths")
-        ahead = far.select("tree", F.col("node").alias("far"), F.col("far").alias("next"))
-        far = written(far.join(ahead, ["tree", "far"]).select("tree", "node", F.col("next").alias("far")), "ancestors")
-    up = up.join(far.select("tree", F.col("node").alias("leaf")), ["tree", "leaf"], "left_anti")  # what still goes on is behind a cycle
-    totals = up.groupBy("tree", "leaf").agg(F.sum("score").alias("total"), F.max("distance").alias("length"))
-    if keep is not None and keep == 1:
+        rounds.append(ahead.select("tree", "node", "far"))
+        there = now.select("tree", F.col("node").alias("far"), F.col("far").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
+        now = now.join(there, ["tree", "far"], "left").select("tree", "node", F.col("next").alias("far"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("further", F.lit(0))).alias("length"))
+        now = written(now, "ancestors")
+    parents = rows.where("far is not null").select("tree", F.col("far").alias("node"))
+    totals = now.where("far is null").join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "total", "length")  # where far is left, a cycle is ahead
+    if keep == 1:
         best = totals.groupBy("tree").agg(F.min(F.struct((-F.col("total")).alias("o"), "leaf", "length")).alias("b")).select("tree", "b.leaf", "b.length", F.lit(1).alias("branch"))
     else:
-        from pyspark.sql import Window as W
-
         order = W.partitionBy("tree").orderBy(F.desc("total"), "leaf")
         best = totals.withColumn("branch", F.row_number().over(order)).drop("total")
         best = best if keep is None else best.where(F.col("branch") <= keep)
-    return up.join(best, ["tree", "leaf"]).select("tree", "leaf", "branch", (F.col("length") - F.col("distance")).alias("depth"), "node")
+    up = best.select("tree", "leaf", "branch", F.col("length").alias("depth"), F.col("leaf").alias("node"))
+    for k, ahead in enumerate(rounds):  # the nodes nearest to the leaf are there; those 2 ** k further up follow
+        more = up.join(ahead, ["tree", "node"]).select("tree", "leaf", "branch", (F.col("depth") - 2**k).alias("depth"), F.col("far").alias("node"))
+        up = written(up.unionByName(more), "paths")
+    return up
 
 
 def format_paths(paths: DataFrame, messages: DataFrame, tree: str = "tree_id", node: str = "node_id", role: str = "role", text: str = "text") -> DataFrame:
@@ -109,20 +110,23 @@ def format_trees(messages: DataFrame, tree: str = "tree_id", node: str = "node_i
 def conversations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` and conversation -7 as reply trees: each turn answers the one before.
 
+    Every row is a turn.  A conversation's rows are numbered in the order of
+    turn (null first), role and text, so rows that repeat a turn follow each
+    other; rows with a null id make one conversation, of id null (tree "").
     The score of a message is the length of its text, so the longest branch wins.
     """
-    from pyspark.sql import Window as W
-
     hard = "\\### Assistant: </turn> ok"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema))
-    return rows.select("*", F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn")).alias("parent"), F.length("text").alias("score"))
+    number = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = rows.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("tree"), number.alias("node"), "role", "text", F.length("text").alias("score"))
+    return rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted, and what is read back from the formatted text."""
     ship_package(spark)
-    out = format_trees(conversations_of(spark, sf_dir), "conv_id", "turn", "parent")
+    out = format_trees(conversations_of(spark, sf_dir), "tree", "node", "parent").withColumn("conv_id", F.expr("try_cast(tree as bigint)"))
 
     def batches(source):
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
@@ -134,6 +138,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                 for c, x in zip(columns, (len(turns), sha("".join(f"{r}\n{t}\n" for r, t, _, _ in turns)), len(loss), sha(loss), len(formatted)), strict=True):
                     c.append(x)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("tree"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return map_batches(out.select("tree", "formatted"), batches, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_batches(out.select("conv_id", "formatted"), batches, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

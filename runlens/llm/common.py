@@ -7,13 +7,18 @@ handled as bytes throughout.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +27,10 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 #: The same six characters, for translate().
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+OWN_DIR_CONF = "runlens.checkpoint.dir"
 BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Bytes of text that Python works on at once.
+SLICE_BYTES = 8_000_000
 #: Bytes of an Arrow batch, from which the next row starts another one.
 BATCH_BYTES = "8m"
 
@@ -30,29 +38,66 @@ BATCH_BYTES = "8m"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a laptop), a temporary folder is made
-    and remembered in the session.
+    Where a local session names none (tests, a laptop), a temporary folder is
+    made and remembered in the session; a cluster must name one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("runlens.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="runlens-")
-        spark.conf.set("runlens.checkpoint.dir", folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR_CONF, None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="runlens-")
+    spark.conf.set(OWN_DIR_CONF, folder)
     return folder
 
 
+_at_exit: set[str] = set()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder for tables between steps; removed when the driver's process ends."""
+    folder = f"{shared_dir(spark)}/runlens-{spark.sparkContext.applicationId}"
+    if folder not in _at_exit:
+        _at_exit.add(folder)
+        atexit.register(_remove_at_exit, spark, folder)
+    return folder
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        _remove(spark, folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder by Hadoop's file system, whatever store it is in."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read again.
 
     This cuts the lineage; lost executors cost no recomputation of ``df``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing to come reads."""
+    for table in tables:
+        for folder in {os.path.dirname(x) for x in table.inputFiles()}:
+            _remove(table.sparkSession, folder)
+
+
+def row_key(id_col: Column, text: Column) -> Column:
+    """128 bits of an id and a text: rows share a key only where both are equal, so what follows from the text is the same for them."""
+    return F.unhex(F.md5(F.concat_ws("\0", F.when(id_col.isNull(), "null").otherwise(F.concat(F.lit("="), id_col.cast("string"))), F.when(text.isNull(), "null").otherwise(F.concat(F.lit("="), text))).cast("binary")))
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -99,22 +144,43 @@ def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most about ``most`` bytes of a column, so that what is held beside a part is bounded; a longer text is a part."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a readable name."""
     return df.mapInArrow(make, schema)
 
 
+_shipped: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it, and bound what they hold.
+    """Let Python workers import this package, and bound what they hold.
 
-    Arrow batches are held to ``BATCH_BYTES`` where the session leaves Spark's
-    default of 64 MB: a task has a few of them in memory at once, in the JVM
-    and in Python.
+    The package's sources go to the executors as one archive.  Arrow batches
+    are held to ``BATCH_BYTES`` where the session leaves Spark's default of
+    64 MB: a task has a few of them in memory at once, in the JVM and in Python.
     """
     if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
         spark.conf.set(BATCH_CONF, BATCH_BYTES)
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    environment = spark.sparkContext.environment
-    known = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in known:
-        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="runlens-"), "runlens.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

@@ -4,8 +4,7 @@ Each line's sites go into a HyperLogLog sketch, merged by Spark's aggregation;
 only lines whose estimate is near the threshold get an exact count of distinct
 sites.  Lines spread over enough sites are boilerplate and are removed, except
 from documents in which no line with a word would remain: those are copies as a
-whole and a matter of document-level dedup.  ``op5_line_dedup`` also spares
-documents with a larger share of boilerplate than ``MAX_SHARE``, as its SQL does.
+whole and a matter of document-level dedup.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_documents
+from .common import read_documents, row_key, written
 
 #: A line found on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -21,23 +20,23 @@ MIN_SITES = 10
 REGISTERS = 12
 #: Estimates within this share of the threshold are counted exactly: over ten standard errors of the sketch.
 BAND = 0.2
-#: For op5_line_dedup: documents with a larger share of their characters in boilerplate lines are left as they are.
-MAX_SHARE = 0.5
+#: So many boilerplate lines (16 bytes each) are sent to all executors; more are joined by shuffle.
+BROADCAST_LINES = 200_000
 
 
-def text_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, site, at, line, key) of every line with a word."""
-    rows = docs.select("doc_id", "site", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("key", F.unhex(F.md5(F.col("line").cast("binary"))))
+def text_lines(rows: DataFrame, *columns: str | Column) -> DataFrame:
+    """``columns`` and (at, line, key) of every line with a word of ``text``."""
+    lines = rows.select(*columns, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "line"))
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("key", F.unhex(F.md5(F.col("line").cast("binary"))))
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """Keys of the lines that are on at least ``min_sites`` distinct sites."""
+    """Keys of the lines (key, site) that are on at least ``min_sites`` distinct sites."""
     sketches = lines.groupBy("key").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(REGISTERS)).alias("sketch")).where(F.col("n") >= min_sites)
     sites = sketches.select("key", F.hll_sketch_estimate("sketch").alias("sites"))
     far = sites.where(F.col("sites") > min_sites * (1 + BAND)).select("key")
     near = sites.where(F.col("sites").between(min_sites * (1 - BAND), min_sites * (1 + BAND))).select("key")
-    exact = lines.select("key", "site").join(near, "key", "left_semi").distinct().groupBy("key").agg(F.count("*").alias("sites"))
+    exact = lines.select("key", "site").distinct().join(near, "key", "left_semi").groupBy("key").agg(F.count("*").alias("sites"))
     return far.unionByName(exact.where(F.col("sites") >= min_sites).select("key"))
 
 
@@ -51,21 +50,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are compared as they are; lines without a word are never removed or
     counted.  A null site is a site of its own, "".  Null and empty texts have
-    no lines and stay null or empty.  Ids are expected to be unique: rows that
-    share one share the places of removed lines.  Rows with a null id are kept
-    whole, and so are texts with no other lines than those to remove and, if
-    ``max_share`` is given, texts with a larger share of their characters in
-    such lines.  Columns named in ``carry`` come along in a struct ``row``; others
-    are not read.
+    no lines and stay null or empty.  Rows are judged each by its own text, also
+    where ids repeat or are null.  Texts with no other lines than those to
+    remove are kept whole and so are, if ``max_share`` is given, texts with a
+    larger share of their characters in such lines.  Columns named in ``carry``
+    come along in a struct ``row``; others are not read.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(docs[site_col].cast("string"), F.lit("")).alias("site"), F.struct(*[docs[c] for c in carry or [id_col]]).alias("row"))
-    lines = text_lines(rows).select("doc_id", "site", "at", "key", F.length("line").alias("chars"))
-    hits = lines.select("doc_id", "at", "key", "chars").join(spread_lines(lines.select("key", "site"), min_sites), "key")
-    marks = hits.groupBy("doc_id").agg(F.collect_set("at").alias("marks"), F.sum("chars").alias("marked"))
+    rows = rows.withColumn("own", row_key(F.col("doc_id"), F.col("text")))
+    spread = written(spread_lines(text_lines(rows, "site").select("key", "site"), min_sites), "spread-lines")
+    few = spread.count() <= BROADCAST_LINES
+    # written, so that the larger side of the join is a shuffle of its own, whose hot lines Spark can split
+    hits = text_lines(rows, "own").select("own", "at", "key", F.length("line").alias("chars")).join(F.broadcast(spread) if few else spread, "key")
+    # rows that are alike share these places
+    marks = hits.groupBy("own").agg(F.collect_set(F.struct("at", "chars")).alias("hits"))
+    marks = marks.select("own", F.col("hits.at").alias("marks"), F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("marked"))
     total = F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("")))
     counted = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    cut = F.size("marks") < counted if max_share is None else F.col("marked") <= max_share * total
-    out = rows.join(marks, "doc_id", "left").withColumn("cut", F.col("marks").isNotNull() & F.coalesce(cut, F.lit(False)))
+    cut = F.size("marks") < counted
+    if max_share is not None:
+        cut &= F.col("marked") <= max_share * total
+    out = rows.join(marks, "own", "left").withColumn("cut", F.col("marks").isNotNull() & F.coalesce(cut, F.lit(False)))
     return out.select(
         "doc_id",
         counted.cast("long").alias("n_lines"),
@@ -77,36 +82,37 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document after removal of lines found on ten sites or more."""
-    out = line_dedup(read_documents(spark, sf_dir), max_share=MAX_SHARE)
+    out = line_dedup(read_documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-#: The same rule with exact counts only.
+#: The same rule with exact counts only; documents of nothing else than spread lines are kept whole.
 LINE_DEDUP_SQL = r"""
-with line as (
-  select doc_id, coalesce(source, '') as site, u.place, u.line as line
-  from documents, lateral (
+with docs as (
+  select row_number() over () as own, doc_id, text, coalesce(source, '') as site from documents
+), line as (
+  select own, site, u.place, u.line as line
+  from docs, lateral (
     select unnest(string_split(coalesce(text, ''), chr(10))) as line,
            unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as place) u
 ), solid as (
   select * from line where regexp_matches(line, '[^\x20\x09-\x0D]')
+), counted as (
+  select own, count(*) as n from solid group by own
 ), spread as (
   select line from solid group by line having count(distinct site) >= 10
 ), hit as (
-  select doc_id, place, length(line) as chars from solid where line in (select line from spread)
+  select own, place from solid where line in (select line from spread)
 ), judged as (
-  select d.doc_id from documents d join (select doc_id, sum(chars) as marked from hit group by doc_id) m using (doc_id)
-  where m.marked <= 0.5 * length(replace(d.text, chr(10), ''))
-), removed as (
-  select doc_id, place from hit where doc_id in (select doc_id from judged)
+  select own, m.n from (select own, count(*) as n from hit group by own) m join counted c using (own) where m.n < c.n
 ), kept as (
-  select doc_id, string_agg(line, chr(10) order by place) as text, count(*) as n
-  from line l where not exists (select 1 from removed r where r.doc_id = l.doc_id and r.place = l.place) group by doc_id
+  select own, string_agg(line, chr(10) order by place) as text
+  from line l where not exists (select 1 from hit r join judged j using (own) where r.own = l.own and r.place = l.place) group by own
 )
 select d.doc_id,
-       coalesce((select count(*) from solid s where s.doc_id = d.doc_id), 0) as n_lines,
-       coalesce((select count(*) from removed r where r.doc_id = d.doc_id), 0) as n_removed,
+       coalesce(c.n, 0) as n_lines,
+       coalesce(j.n, 0) as n_removed,
        length(case when d.text is null then null else coalesce(k.text, '') end) as kept_chars,
        sha256(case when d.text is null then null else coalesce(k.text, '') end) as kept_sha256
-from documents d left join kept k using (doc_id)
+from docs d left join kept k using (own) left join counted c using (own) left join judged j using (own)
 """

@@ -6,15 +6,16 @@ minimum, packed into four longs, give a similarity estimate that is corrected
 for chance agreement, so most false candidates cost a few bit counts; what
 remains is confirmed on the full sets.
 
-Documents with equal sets are one representative from the start.  Candidates
-are never paired all with all.  First each document meets one leader, the
-first document of a bucket of its; what this links is one component.  Then,
-where documents of different components share a bucket, they meet: in small
-buckets as pairs, in large ones block by block inside tasks, those outside the
-bucket's main component against all, each pair in its first common band only.
-A task keeps track of what is already connected and lets out only links that
-connect more.  So a group of near copies costs rows in proportion to its size,
-and no link that shares a bucket is lost.
+Texts with equal sets are one node from the start.  Candidates are never paired
+all with all.  First each node meets one leader, the first node of a bucket of
+its; what this links is one component.  Then, where nodes of different
+components share a bucket, their signatures meet: in small buckets as pairs, in
+large ones block by block inside tasks, those outside the bucket's main
+component against all, each pair in its first common band only.  Of the pairs
+that may be alike, the likeliest of every two components is confirmed on the
+texts; the others follow only where their components are still apart.  So a
+group of near copies costs rows in proportion to its size, texts go only where
+they are compared, and no link that shares a bucket is lost.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_bytes, map_batches, read_documents, rolling, ship_package, word_hashes, written
+from .common import column_bytes, map_batches, read_documents, rolling, row_key, ship_package, word_hashes, written
 from .components import connected
 
 BANDS, ROWS = 24, 5
 PERMUTATIONS = BANDS * ROWS
-#: Documents of either side that meet in a block.
+#: Nodes of either side that meet in a block.
 BLOCK = 512
-#: Buckets of at most so many documents are paired by a join.
+#: Buckets of at most so many nodes are paired by a join.
 SMALL = 16
 BASE = 0x9E3779B97F4A7C15
 _random = np.random.Generator(np.random.PCG64(20240501))
@@ -83,11 +84,13 @@ def least_matches(similarity: float, deviations: float = 6.0) -> int:
     return int(PERMUTATIONS * p - deviations * (PERMUTATIONS * p * (1 - p)) ** 0.5)
 
 
-SIGNATURES = "doc_id long, n_shingles long, set_key binary, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+SIGNATURES = "own binary, doc_id long, n_shingles long, set_key binary, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 BITS = ["s0", "s1", "s2", "s3"]
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
+def signatures(rows: DataFrame, width: int) -> DataFrame:
+    """The signature of each row (own, doc_id, text)."""
+
     def batches(source):
         for batch in source:
             columns: tuple[list, ...] = tuple([] for _ in range(7))
@@ -100,9 +103,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 for c, x in zip(columns, row, strict=True):
                     c.append(x)
             kinds = (pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in SIGNATURES.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in SIGNATURES.split(", ")])
 
-    return map_batches(docs, batches, SIGNATURES)
+    return map_batches(rows, batches, SIGNATURES)
 
 
 def agreeing(a: str, b: str) -> F.Column:
@@ -120,139 +123,153 @@ def common_count(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def confirmed(blocks: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between the two sides of each block (grp, mine, theirs).
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (node, grp) whose texts' sets are alike, as links (a, b).
 
-    Rows: (grp, mine, theirs, side, band, doc_id, component, s0..s3, bands, text).
-    Documents of one component count as connected.  Each link given connects
-    what was not connected in the block before.  Where ``band`` is not
-    negative, a pair is left to the first band that it shares.
+    A node's text goes to its partner in blocks of about BLOCK pairs.
     """
-    least = least_matches(percent / 100)
 
     def links(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
-        side, docs, band = (table.column(c).to_numpy() for c in ("side", "doc_id", "band"))
-        labels, own = np.unique(table.column("component").to_numpy(), return_inverse=True)
-        parent = list(range(len(labels)))
-        bits = np.stack([table.column(c).to_numpy().view(np.uint64) for c in BITS])
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        texts = table.column("text").cast(pa.binary())
-        sets: dict[int, np.ndarray] = {}
+        grp = table.column("grp")[0].as_py()
+        nodes = table.column("node").to_pylist()
+        sets = [shingle_set(x or b"", width) for x in table.column("text").cast(pa.binary()).to_pylist()]
+        mine = sets[nodes.index(grp)]
+        alike = [x for x, own in zip(nodes, sets, strict=True) if x != grp and 100 * (n := common_count(mine, own)) >= percent * (len(mine) + len(own) - n)]
+        return pa.table({"a": pa.array(alike, pa.int64()), "b": pa.array([grp] * len(alike), pa.int64())})
 
-        def values(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingle_set(texts[i].as_py() or b"", width)
-            return sets[i]
+    sizes = written(pairs.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "block-sizes")
+    theirs = pairs.select("grp", "node").join(sizes, "grp").select("grp", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node")
+    mine = sizes.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("grp").alias("node"))
+    return theirs.unionByName(mine).join(texts, "node").groupBy("grp", "block").applyInArrow(links, "a long, b long")
 
-        def root(i: int) -> int:
-            i = own[i]
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
 
-        members = np.flatnonzero(side == 0)
-        a, b = [], []
-        for i in np.flatnonzero(side == 1).tolist():
-            differ = (bits[:2, members] ^ bits[:2, i, None]) | (bits[2:, members] ^ bits[2:, i, None])
-            near = members[PERMUTATIONS - np.bitwise_count(differ).sum(0) >= least]
-            if band[i] >= 0:
-                near = near[(bands[near] == bands[i]).argmax(1) == band[i]]
-            for j in near.tolist():
-                x, y = root(i), root(j)
-                if x == y:
-                    continue
-                mine, theirs = values(i), values(j)
-                if 100 * min(len(mine), len(theirs)) < percent * max(len(mine), len(theirs)):
-                    continue
-                n = common_count(mine, theirs)
-                if 100 * n >= percent * (len(mine) + len(theirs) - n):
-                    parent[x] = y
-                    a.append(int(docs[i]))
-                    b.append(int(docs[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return blocks.groupBy("grp", "mine", "theirs").applyInArrow(links, "a long, b long")
-
-
-def in_blocks(members: DataFrame, others: DataFrame, texts: DataFrame) -> DataFrame:
-    """Blocks of ``members`` and ``others`` (grp, band, doc_id, component), with signatures and texts.
-
-    Each side of a group is dealt to blocks of about BLOCK documents, and every
+def in_blocks(members: DataFrame, others: DataFrame) -> DataFrame:
+    """Blocks of ``members`` and ``others`` (grp, band, node, component).
+
+    Each side of a group is dealt to blocks of about BLOCK nodes, and every
     block of one side meets every block of the other.
     """
     sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("m")).join(others.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("o")), "grp")
+    sizes = written(sizes, "block-sizes")
 
     def dealt(side: DataFrame, number: int, own: str, other: str) -> DataFrame:
-        rows = side.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("doc_id"), own))
+        rows = side.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), own))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
         names = ("own", "other") if number == 0 else ("other", "own")
-        return rows.select("grp", F.col(names[0]).alias("mine"), F.col(names[1]).alias("theirs"), F.lit(number).alias("side"), "band", "doc_id", "component")
+        return rows.select("grp", F.col(names[0]).alias("mine"), F.col(names[1]).alias("theirs"), F.lit(number).alias("side"), "band", "node", "component")
+
+    return dealt(members, 0, "m", "o").unionByName(dealt(others, 1, "o", "m"))
+
+
+def candidates(blocks: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, grp, n, mine, theirs) between the two sides of each block that may be alike.
+
+    ``mine`` and ``theirs`` are their components, which differ.  A pair is left
+    to the first band that it shares.
+    """
+    least = least_matches(percent / 100)
+
+    def pairs(table: pa.Table) -> pa.Table:
+        side, nodes, band, component, size = (table.column(c).to_numpy() for c in ("side", "node", "band", "component", "n_shingles"))
+        bits = np.stack([table.column(c).to_numpy().view(np.uint64) for c in BITS])
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        members = np.flatnonzero(side == 0)
+        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 3]
+        for i in np.flatnonzero(side == 1).tolist():
+            differ = (bits[:2, members] ^ bits[:2, i, None]) | (bits[2:, members] ^ bits[2:, i, None])
+            n = PERMUTATIONS - np.bitwise_count(differ).sum(0).astype(np.int64)
+            low, high = np.minimum(size[members], size[i]), np.maximum(size[members], size[i])
+            near = np.flatnonzero((n >= least) & (component[members] != component[i]) & (100 * low >= percent * high))
+            near = near[(bands[members[near]] == bands[i]).argmax(1) == band[i]]
+            found.append((np.full(len(near), i), members[near], n[near]))
+        a, b, n = map(np.concatenate, zip(*found, strict=True))
+        return pa.table({"node": nodes[a], "grp": nodes[b], "n": n, "mine": component[a], "theirs": component[b]}, pa.schema([(x, pa.int64()) for x in ("node", "grp", "n", "mine", "theirs")]))
 
-    return dealt(members, 0, "m", "o").unionByName(dealt(others, 1, "o", "m")).join(texts, "doc_id")
+    rows = blocks.join(heads.select("node", "n_shingles", *BITS, "bands"), "node")
+    return rows.groupBy("grp", "mine", "theirs").applyInArrow(pairs, "node long, grp long, n long, mine long, theirs long")
 
 
-def as_groups(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (doc_id, grp), where grp is a document too, as the two sides of blocks."""
-    here = F.lit(-1).alias("band")
-    return pairs.select("grp").distinct().select("grp", here, F.col("grp").alias("doc_id"), F.col("grp").alias("component")), pairs.select("grp", here, "doc_id", F.col("doc_id").alias("component"))
+def relabelled(table: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """``column`` replaced by its component, where ``labels`` (node, component) has it."""
+    out = table.join(labels.select(F.col("node").alias(column), F.col("component").alias("_new")), column, "left")
+    return out.withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document.
-
-    Documents are linked where 100 * intersection >= ``percent`` * union of
-    their sets of distinct ``width``-word shingles (of fewer words: the whole
-    sequence); components are named by their smallest id, which is kept.
-    Null and empty texts have no shingles and no links.  Rows that share an id
-    are one document as far as links go (each row stays).  Rows with a null id
-    are left out.  Other columns are not read.
+    """(own, doc_id, n_shingles, component, component_id, kept) of every row.
+
+    Texts are linked where 100 * intersection >= ``percent`` * union of their
+    sets of distinct ``width``-word shingles (of fewer words: the whole
+    sequence).  ``component`` is a number of the linked rows' own, which may
+    differ between runs; ``component_id`` is their smallest id, null where all
+    ids are null; ``kept`` where the row has this id.  Null and empty texts have
+    no shingles and no links: ``component`` is null and they are kept.  Rows are
+    linked each by its own text, also where ids repeat or are null.  ``own`` is
+    the row's key by id and text.  Other columns are not read.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null")
-    signed = written(signatures(rows, width), "signatures")
-    first = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    heads = signed.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bits = heads.select("doc_id", *BITS)
-
-    bands = heads.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    buckets = bands.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").drop("last")
-    shared = written(bands.join(buckets, "bucket"), "shared")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("own", row_key(F.col("doc_id"), F.col("text")))
+    signed = written(signatures(rows.select("own", "doc_id", "text"), width), "signatures")
+    heads = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.min("own").alias("own"), *[F.first(c).alias(c) for c in ("n_shingles", *BITS, "bands")])
+    heads = written(heads.withColumn("node", F.monotonically_increasing_id()), "heads")
+    bits = heads.select("node", "n_shingles", *BITS)
+
+    bands = heads.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").drop("last")
+    shared = written(bands.join(written(buckets, "buckets"), "bucket"), "shared")
     least = least_matches(percent / 100)
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Pairs (doc_id, grp) with the number of agreeing minima, as far as they may be linked."""
-        both = pairs.join(bits.alias("x"), "doc_id").select("doc_id", "grp", *BITS).alias("x").join(bits.withColumnRenamed("doc_id", "grp").alias("y"), "grp")
-        return both.select("doc_id", "grp", agreeing("x", "y").alias("n")).where(F.col("n") >= least)
-
-    led = alike(shared.where("doc_id <> leader").select("doc_id", F.col("leader").alias("grp")).distinct())
-    star = written(led.groupBy("doc_id").agg(F.max_by("grp", F.struct("n", -F.col("grp"))).alias("grp")), "stars")
-    near = shared.select("doc_id").distinct()
-    texts = written(rows.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(heads.select("doc_id", *BITS, "bands"), "doc_id"), "near-texts")
-    links = written(confirmed(in_blocks(*as_groups(star), texts), width, percent), "links")
-    joined = connected(links)
-
-    placed = shared.select("doc_id", "band", F.col("bucket").alias("grp")).join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        """Pairs (node, grp, ...) with the number of agreeing minima, as far as they may be linked."""
+        both = pairs.alias("p").join(bits.alias("x"), "node").join(bits.withColumnRenamed("node", "grp").alias("y"), "grp")
+        sized = 100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")
+        return both.where(sized).select(*[F.col(f"p.{c}") for c in pairs.columns], agreeing("x", "y").alias("n")).where(F.col("n") >= least)
+
+    led = alike(shared.where("node <> leader").select("node", F.col("leader").alias("grp")).distinct())
+    star = written(led.groupBy("node").agg(F.max_by("grp", F.struct("n", -F.col("grp"))).alias("grp")), "stars")
+    near = heads.join(shared.select("node").distinct(), "node", "left_semi").select("node", "own")
+    texts = written(rows.select("own", "text").join(near, "own").dropDuplicates(["node"]).drop("own"), "near-texts")
+    steps = [connected(confirmed(star, texts, width, percent))]
+
+    placed = relabelled(shared.select("node", "band", F.col("bucket").alias("grp"), F.col("node").alias("component")), "component", steps[0])
     mixed = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("docs")).where("low <> high").select("grp", "docs")
-    placed = written(placed.join(mixed, "grp"), "placed")
-    small = placed.where(F.col("docs") <= SMALL).select("grp", "doc_id", "component")
-    pairs = small.join(small.toDF("grp", "other", "theirs"), "grp").where("doc_id > other and component <> theirs").select("doc_id", F.col("other").alias("grp")).distinct()
-    pairs = written(alike(pairs).select("doc_id", "grp"), "pairs")
-    large = placed.where(F.col("docs") > SMALL)
-    counts = large.groupBy("grp", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    outside = large.join(main, "grp").where("component <> main").select("grp", "band", "doc_id", "component")
-    more = confirmed(in_blocks(*as_groups(pairs), texts), width, percent)
-    rest = confirmed(in_blocks(large.select("grp", "band", "doc_id", "component"), outside, texts), width, percent)
-    joined = connected(links.unionByName(more).unionByName(rest))
-
-    classes = first.join(joined.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("component", "first").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    placed = written(placed.join(written(mixed, "mixed"), "grp"), "placed")
+    small = placed.where(F.col("docs") <= SMALL).select("grp", "node", "component")
+    met = small.join(small.toDF("grp", "other", "theirs"), "grp").where("node > other and component <> theirs")
+    pairs = alike(met.select("node", F.col("other").alias("grp"), F.col("component").alias("mine"), "theirs").distinct())
+    large = placed.where(F.col("docs") > SMALL).drop("docs")
+    if not large.isEmpty():
+        counts = large.groupBy("grp", "component").agg(F.count("*").alias("n"))
+        main = written(counts.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "main")
+        outside = large.join(main, "grp").where("component <> main").drop("main")
+        pairs = pairs.unionByName(candidates(in_blocks(large, outside), heads, percent))
+    pairs = written(pairs, "pairs")
+    if not pairs.isEmpty():
+        two = [F.least("mine", "theirs").alias("low"), F.greatest("mine", "theirs").alias("high")]
+        best = pairs.groupBy(*two).agg(F.max(F.struct("n", "node", "grp")).alias("b")).select("b.node", "b.grp")
+        best = written(best, "best")
+        # links of components from here on
+        label = pairs.select("node", "grp", "mine", "theirs")
+        links = confirmed(best, texts, width, percent).select(F.col("a").alias("node"), F.col("b").alias("grp")).join(label, ["node", "grp"])
+        steps.append(connected(links.select(F.col("mine").alias("a"), F.col("theirs").alias("b"))))
+        apart = relabelled(relabelled(label.distinct().join(best, ["node", "grp"], "left_anti"), "mine", steps[1]), "theirs", steps[1]).where("mine <> theirs")
+        apart = written(apart, "apart")
+        if not apart.isEmpty():
+            links = confirmed(apart.select("node", "grp"), texts, width, percent).select(F.col("a").alias("node"), F.col("b").alias("grp")).join(apart, ["node", "grp"])
+            steps.append(connected(links.select(F.col("mine").alias("a"), F.col("theirs").alias("b"))))
+
+    named = heads.select("set_key", "first", F.col("node").alias("component"))
+    for step in steps:
+        named = relabelled(named, "component", step)
+    named = written(named, "components")
+    least_ids = written(named.groupBy("component").agg(F.min("first").alias("component_id")), "least-ids")
+    named = named.join(least_ids, "component").select("set_key", "component", "component_id")
+    out = signed.select("own", "doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    out = out.select("own", "doc_id", "n_shingles", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` by 3-word shingles and a similarity of 0.85."""
-    return near_components(read_documents(spark, sf_dir), width=3, percent=85)
+    return near_components(read_documents(spark, sf_dir), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import default_path, slices, vocabulary
-from .common import map_batches, read_documents, ship_package, written
+from .bpe import default_path, vocabulary
+from .common import map_batches, read_documents, ship_package, slices, written
 
 CAPACITY = 2048
 #: Separator id after each document.

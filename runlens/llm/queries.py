@@ -56,11 +56,12 @@ from reach r left join sizes s using (doc_id) group by r.doc_id
 
 CHAT_SQL = r"""
 with turns as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
-select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as k, coalesce(role, '') as role, coalesce(text, '') as text
+  from (select conv_id, turn, role, text from conversations
+        union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
-       sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+       sha256(coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '')) as loss_sha256,
        sum(15 + length(role) + length(text) + length(regexp_replace(role, '[^\\#<:\n]', '', 'g')) + length(regexp_replace(text, '[^\\#<]', '', 'g')))::bigint as formatted_chars
 from turns group by conv_id
 """

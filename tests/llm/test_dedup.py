@@ -82,6 +82,18 @@ def test_near_edges(spark):
     assert twice == docs.count()
 
 
+def test_near_rows_of_repeated_and_null_ids(spark):
+    """Each row is linked by its own text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a, None), (5, b, None), (7, b + " more", None), (9, a, None), (None, a, None), (None, c, None), (None, c, None), (None, None, None), (None, "", None)]
+    got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id), x.kept) for x in minhash.near_components(frame(spark, rows), 3, 85).collect())
+    assert got == sorted([("5", 38, "5", True), ("5", 38, "5", True), ("7", 39, "5", False), ("9", 38, "5", False), ("None", 38, "5", False), ("None", 38, "None", True), ("None", 38, "None", True), ("None", 0, "None", True), ("None", 0, "None", True)])
+    parts = {(x.doc_id, x.n_shingles): x.component for x in minhash.near_components(frame(spark, rows[:4]), 3, 85).collect() if x.doc_id != 5}
+    assert parts[7, 39] != parts[9, 38]  # the two texts of id 5 are not one
+    out = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()
+    assert sorted((str(x.doc_id), x.text or "") for x in out) == sorted([("5", a), ("5", b), ("None", c), ("None", ""), ("None", "")])
+
+
 def test_chain_of_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 100), (200, 150), (150, 170)]
     got = {x.node: x.component for x in connected(spark.createDataFrame(chain, "a long, b long")).collect()}

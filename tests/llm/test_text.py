@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -310,6 +311,36 @@ def test_ordinal_on_held_out_documents(spark):
         assert 0 <= x.tail_prob <= 1 and x.tail_prob <= x.expected_grade <= 2
 
 
+def test_scorer_equals_features_and_tails():
+    """Scores of slices of texts are those of one text at a time."""
+    r = random.Random(8)
+    texts = [t for _, t, _ in corpus(5)] + ODD + ["WOW! | a b", " lead", "a " * 50, "one two three four five six seven " * 30, None]
+    weights = np.zeros(ordinal.BUCKETS, np.float32)
+    for t in texts:
+        own = ordinal.features((t or "").encode())
+        weights[r.sample(own.tolist(), min(len(own), 5))] = r.random() - 0.5
+    for k in range(11):
+        weights[ordinal._buckets[b"\0repeats>%d" % k]] = 0.3
+    for w in (weights, np.zeros_like(weights)):
+        model = ordinal.Ordinal(w, np.array([-0.5, 0.5]))
+        for n in (1, 7, len(texts)):
+            got = [x for a in range(0, len(texts), n) for x in ordinal.Scorer(model).tails(pa.array(texts[a : a + n], pa.string()))[0]]
+            assert np.abs(np.array(got) - [model.tails(ordinal.features((t or "").encode())) for t in texts]).max() < 1e-6
+
+
+def test_ordinal_judges_rows(spark):
+    """Clashing names, repeated and null ids: each row by its own text."""
+    words = ["good"] * 30 + ["bad"] * 30
+    rows = [(i, f"{w} {w} text number {i}", "x", "y") for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, row string")
+    ratings = spark.createDataFrame([(i, 2 if w == "good" else 0) for i, w in enumerate(words)], "doc_id long, grade int")
+    twice = docs.unionByName(spark.createDataFrame([(0, "zzz", "x", "y")], docs.schema))
+    model = ordinal.fit_on(twice, ratings, 3, sample=60)
+    new = spark.createDataFrame([(1, "good good", "x", "y"), (1, "bad bad", "x", "y"), (None, "good good", "x", "y"), (None, None, "x", "y"), (1, " ", "x", "y")], docs.schema)
+    got = sorted((x.row.text or "", x.kept) for x in ordinal.ordinal_scores(new, model, carry=new.columns).collect())
+    assert got == [("", False), (" ", False), ("bad bad", False), ("good good", True), ("good good", True)]
+
+
 def test_ordinal_edges(spark):
     docs = frame(spark, corpus(2, 20))
     none = ordinal.fit_on(docs, spark.createDataFrame([], "doc_id long, grade int"), 3)
