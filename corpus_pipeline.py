@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import lines, minhash, ordinal, packing, substring
-from runlens.llm.common import written
+from runlens.llm.common import row_key, written
+
+#: A character of a word.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def with_text(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -22,31 +25,47 @@ def with_text(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return kept.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
+def rows_of(kept: DataFrame) -> DataFrame:
+    """The columns of the struct ``row``."""
+    return kept.select("row.*")
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects."""
+    """Drops the documents that the quality classifier rejects, null and empty texts among them.
+
+    Each row is judged by its own text; a null or repeated id changes nothing.
+    """
     model = ordinal.fit_on(docs, ordinal.graded(spark, sf_dir), 3)
-    kept = ordinal.ordinal_scores(docs, model).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return rows_of(ordinal.ordinal_scores(docs, model, carry=docs.columns).where("kept"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that are found on many sites."""
+    """Cuts lines that are found on many sites; every row stays, null texts null."""
     return with_text(docs, lines.line_dedup(docs, carry=[c for c in docs.columns if c != "text"]))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies; of rows that share an id, one."""
-    kept = minhash.near_components(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keeps one document of each group of near copies: that with the smallest id.
+
+    Rows are linked each by its own text.  Where several rows of a group have
+    that id, or none has one, the row with the smallest key of id and text
+    stays, and of rows alike in both the one whose other columns hash lowest.
+    Texts without words are in no group; they all stay.
+    """
+    kept = minhash.near_components(docs).where("kept")
+    chosen = kept.where("component is not null").groupBy("component").agg(F.min("own").alias("_own")).select("_own")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key(F.col("doc_id").cast("long"), F.col("text")).alias("_own"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("_words"))
+    ones = rows.where("_words").join(chosen, "_own", "left_semi").groupBy("_own").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows_of(ones.select("row").unionByName(rows.where("not _words").select("row")))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document has; untouched texts stay as they are."""
+    """Cuts passages that an earlier document has; every row stays, and untouched texts as they are, null ones null."""
     return with_text(docs, substring.substring_dedup(docs, carry=[c for c in docs.columns if c != "text"], as_is=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token sequences of all remaining documents."""
+    """Packs the token sequences of all remaining documents; null texts are empty, repeated rows are packed as often as they come."""
     return packing.best_fit_packing(docs)
 
 
