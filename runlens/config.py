@@ -43,14 +43,18 @@ class DetectorConfig:
 SHIPPED = {"z_threshold": 6.0, "contamination": 0.01, "alert_consecutive_n": 3, "single_file_alert_n_channels": 5, "single_file_alert_max_z": 15.0}
 
 
-def read_mapping(path: str | Path) -> dict:
-    """A flat YAML (where a YAML library is installed) or JSON file."""
-    text = Path(path).read_text()
-    if str(path).endswith(".json"):
-        return json.loads(text or "{}")
+def parsed(text: str, is_json: bool):
+    """The value of a JSON text, or of a YAML one where a YAML library is installed."""
+    if is_json:
+        return json.loads(text or "null")
     import yaml
 
-    return yaml.safe_load(text) or {}
+    return yaml.safe_load(text)
+
+
+def read_mapping(path: str | Path) -> dict:
+    """A flat YAML or JSON file."""
+    return parsed(Path(path).read_text(), str(path).endswith(".json")) or {}
 
 
 def load_config(path: str | Path | None = None, **overrides) -> tuple[DetectorConfig, dict]:
@@ -93,3 +97,13 @@ def tag_of(base: str, config: DetectorConfig, quality: str | None = None) -> str
         )
         if wanted
     )
+
+
+def check_arguments(modes: dict[str, object], fraction: float = 1.0) -> str:
+    """The one mode that is given; several or none, and a fraction outside (0, 1], are errors."""
+    given = [k for k, v in modes.items() if v not in (None, False, "")]
+    if len(given) != 1:
+        raise ValueError(f"exactly one of {', '.join(modes)} is needed, not {', '.join(given) or 'none'}")
+    if not 0 < fraction <= 1:
+        raise ValueError("a fraction must be in (0, 1]")
+    return given[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -68,25 +68,57 @@ def clipped(z: Column, most: float = 50.0) -> Column:
     return F.when(z.isNotNull(), F.least(F.abs(z), F.lit(most)))
 
 
+def half_even(value: Column, places: int) -> Column:
+    """Rounded as the binary value of a double says, exact halves to even: 2.675 (below its decimal) gives 2.67.
+
+    value * 10 ** places is taken with its exact error, by splitting value into
+    two halves whose products are exact; only where the product is a half does
+    the error decide.
+    """
+    by = float(10**places)
+
+    def of(x: Column) -> Column:
+        wide = x * F.lit(134217729.0)
+        high = wide - (wide - x)
+        low = x - high
+        product = x * by
+        error = (high * by - product) + low * by
+        down = F.floor(product).cast("double")
+        nearest = F.when((product - down == 0.5) & (error > 0), down + 1).when((product - down == 0.5) & (error < 0), down).otherwise(F.rint(product))
+        return nearest / by
+
+    return F.when(F.abs(value) < 1e12, of(value)).otherwise(value)
+
+
 def utc_stamp(at: Column | None = None) -> Column:
-    """ISO-8601 with seconds, as UTC (the session time zone is expected to be UTC)."""
-    return F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """ISO-8601 with seconds, in UTC whatever the session's time zone."""
+    at = F.current_timestamp() if at is None else at
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def tag_fields(tag: Column) -> dict[str, Column]:
-    """Parameters that a model tag carries; null or false where it has none."""
+    """Parameters that a model tag carries, such as ``..._ifContamination_0p01_zThreshold_6sigma_alertConsec_3_noLVDS``; null or false where it has none."""
 
     def got(pattern: str) -> Column:
         return F.nullif(F.regexp_extract(tag, pattern, 1), F.lit(""))
 
+    # fixed values: the parts of a tag
     return {
-        "contamination": F.replace(got(r"cont(\d+p\d+)"), F.lit("p"), F.lit(".")).try_cast("double"),
-        "z_threshold": F.replace(got(r"_z(\d+(?:p\d+)?)"), F.lit("p"), F.lit(".")).try_cast("double"),
-        "consecutive": got(r"_N(\d+)").try_cast("int"),
-        "n_trees": got(r"_trees(\d+)").try_cast("int"),
-        "max_samples": got(r"_samples(\d+)").try_cast("int"),
+        "contamination": F.replace(got(r"ifContamination_([0-9p]+)"), F.lit("p"), F.lit(".")).try_cast("double"),
+        "z_threshold": got(r"zThreshold_(\d+)sigma").try_cast("double"),
+        "consecutive": got(r"alertConsec_(\d+)").try_cast("int"),
+        "n_trees": got(r"nEst_(\d+)").try_cast("int"),
+        "max_samples": got(r"maxSamp_(\d+)").try_cast("int"),
         "quality": got(r"_(Loose|Medium|Tight|All)(?:_|$)"),
-        "use_trigger": ~tag.contains("noTrigger"),
-        "use_lvds": ~tag.contains("noLVDS"),
-        "use_trigger_config": ~tag.contains("ignoreTriggerConfig"),
+        "use_trigger": ~tag.contains("_noTrigger"),
+        "use_lvds": ~tag.contains("_noLVDS"),
+        "use_trigger_config": ~tag.contains("_ignoreTriggerConfig"),
     }
+
+
+def with_tag_fields(models: DataFrame, tag: str = "tag", needed: tuple[str, ...] = ("contamination", "z_threshold")) -> DataFrame:
+    """Models with their tag's parameters; tags without the ``needed`` ones drop out, so sweeps of other kinds can be united."""
+    rows = models.withColumns(tag_fields(F.col(tag)))
+    for name in needed:
+        rows = rows.where(F.col(name).isNotNull())
+    return rows

@@ -47,11 +47,43 @@ def unmatched(catalogue: DataFrame, files: DataFrame) -> DataFrame:
     return some.unionByName(catalogue.where("subrun = -1").join(names.select("run").distinct(), "run", "left_anti").select(catalogue.columns))
 
 
+def expanded_with_misses(catalogue: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files that entries name, (n_missing): how many entries no file answers to)."""
+    return expand_catalogue(catalogue, files), unmatched(catalogue, files).agg(F.count("*").alias("n_missing"))
+
+
 def catalogue_counts(catalogue: DataFrame) -> DataFrame:
     """Totals, entries of each quality and distinct runs, one row."""
     return catalogue.agg(F.count("*").alias("n_entries"), F.count_distinct("run").alias("n_runs"), *[F.count_if(quality(q)).alias(f"n_{q}") for q in [*QUALITIES, "all"]])
 
 
+def tag_counts(catalogue: DataFrame) -> DataFrame:
+    """(tag, n_entries, n_runs)."""
+    return catalogue.groupBy("tag").agg(F.count("*").alias("n_entries"), F.count_distinct("run").alias("n_runs"))
+
+
+def stage_counts(catalogue: DataFrame, name: str = "All", fraction: float = 1.0, first_run: int | None = None, last_run: int | None = None) -> DataFrame:
+    """(total, after_quality, quality_runs, after_range, range_runs, after_fraction): entries and runs left by each filter, one row.
+
+    ``after_fraction`` is the size of a sample of that share: one at least, halves to even.
+    """
+    good = quality(name)
+    ranged = good
+    if first_run is not None:
+        ranged = ranged & (F.col("run") >= first_run)
+    if last_run is not None:
+        ranged = ranged & (F.col("run") <= last_run)
+    runs = lambda kept: F.count_distinct(F.when(kept, F.col("run")))
+    out = catalogue.agg(F.count("*").alias("total"), F.count_if(good).alias("after_quality"), runs(good).alias("quality_runs"), F.count_if(ranged).alias("after_range"), runs(ranged).alias("range_runs"))
+    size = F.greatest(F.lit(1), F.rint(F.col("after_range") * fraction).cast("bigint")) if fraction < 1 else F.col("after_range")
+    return out.withColumn("after_fraction", size)
+
+
+def in_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows of the given (training) runs."""
+    return rows.join(runs.select("run").distinct(), "run", "left_semi")
+
+
 def ground_truth(status: DataFrame, catalogue: DataFrame, name: str = "All") -> DataFrame:
     """Adds ``gt`` to files: known_good, not_certified, or unknown where the catalogue has no such entry."""
     flags = last_entries(catalogue).select(*FILE, quality(name).alias("good"))

@@ -34,10 +34,10 @@ def detection_log(z: DataFrame, columns: list[str], threshold: float, channels:
     """(run, subrun, channel, anomalous, method, triggered_features, max_z, if_score): one row a (file, channel).
 
     ``z`` has z-scores, ``known`` and, where a forest scored it, ``if_score`` and
-    ``if_flag``.  A channel that the reference lacks is new_channel; with
-    ``channels``, those that a file lacks are added as missing_channel.
+    ``if_flag``.  A channel that the reference lacks is new_channel, and the
+    forest's word on it does not count; with ``channels``, those that a file lacks are added as missing_channel.
     """
-    forest = F.coalesce(F.col("if_flag"), F.lit(False)) if "if_flag" in z.columns else F.lit(False)
+    forest = F.col("known") & F.coalesce(F.col("if_flag"), F.lit(False)) if "if_flag" in z.columns else F.lit(False)
     rows = z.withColumns({"_t": triggered(columns, threshold), "_m": max_abs_z(columns), "_f": forest})
     stat = F.size("_t") > 0
     method = F.when(~F.col("known"), "new_channel").when(stat & F.col("_f"), "statistical+IF").when(stat, "statistical").when(F.col("_f"), "isolation_forest").otherwise("")
@@ -48,7 +48,7 @@ def detection_log(z: DataFrame, columns: list[str], threshold: float, channels:
         method.alias("method"),
         F.when(F.col("known"), F.array_join("_t", ";")).otherwise("new_channel").alias("triggered_features"),
         F.when(F.col("known"), F.col("_m")).alias("max_z"),
-        (F.col("if_score") if "if_score" in z.columns else F.lit(None).cast("double")).alias("if_score"),
+        (F.when(F.col("known"), F.col("if_score")) if "if_score" in z.columns else F.lit(None).cast("double")).alias("if_score"),
     )
     if channels is None:
         return log

@@ -35,37 +35,47 @@ def channel_features(hits: DataFrame, metrics: list[str] = METRICS, pulses: str
     rows without a channel included; files without hits have no rows.  ``only``
     names the features that are wanted.
 
-    The hits are read once: they are aggregated by (file, channel), and the
-    small result by file, where the channels' event sets (bounded by the events
-    of a file) are united.
+    Distinct (file, channel, event) are dealt out by file and event, so that
+    no file's events meet in one task; channel and file counts are sums over them.
     """
-    stats = []
-    for m in metrics:
-        for s, f in (("mean", F.avg), ("std", F.stddev_samp), ("median", F.median)):
-            if only is None or f"{m}_{s}" in only:
-                stats.append(F.coalesce(f(m), F.lit(0.0)).alias(f"{m}_{s}"))
-    names = [m for m in (f"{m}_{s}" for m in metrics for s in ("mean", "std", "median")) if only is None or m in only]
-    dead = F.size(F.collect_set(F.when(F.col(pulses) == 0, F.col(event)))).alias("n_dead")
-    own = hits.groupBy(*FILE, "channel").agg(*stats, F.collect_set(event).alias("events"), *([dead] if only is None or "frac_dead" in only else [F.lit(0).alias("n_dead")]))
-    row = F.struct("channel", *names, F.size("events").alias("n_events"), "n_dead")
-    files = own.groupBy(*FILE).agg(F.collect_list(row).alias("rows"), F.size(F.array_distinct(F.flatten(F.collect_list("events")))).alias("file_events"))
-    rows = files.select(*FILE, "file_events", F.explode("rows").alias("r")).where("r.channel is not null")
-    shares = {"occupancy": F.try_divide("r.n_events", "file_events"), "frac_dead": F.try_divide("r.n_dead", "r.n_events")}
-    return rows.select(*FILE, "r.channel", *[F.col(f"r.{c}") for c in names], *[F.coalesce(x, F.lit(0.0)).alias(c) for c, x in shares.items() if only is None or c in only])
+    names = [f"{m}_{s}" for m in metrics for s in ("mean", "std", "median") if only is None or f"{m}_{s}" in only]
+    shares = [c for c in ("occupancy", "frac_dead") if only is None or c in only]
+    kinds = {"mean": F.avg, "std": F.stddev_samp, "median": F.median}
+    stats = [F.coalesce(kinds[n.rpartition("_")[2]](n.rpartition("_")[0]), F.lit(0.0)).alias(n) for n in names]
+    own = hits.where("channel is not null").groupBy(*FILE, "channel").agg(*stats) if stats else hits.where("channel is not null").select(*FILE, "channel").distinct()
+    if not shares:
+        return own
+    dead = F.max(F.col(pulses) == 0) if "frac_dead" in shares else F.lit(False)
+    events = hits.where(F.col(event).isNotNull()).repartition(*FILE, event).groupBy(*FILE, event, "channel").agg(dead.alias("dead"))
+    by_channel = events.groupBy(*FILE, "channel").agg(F.count("*").alias("n_events"), F.count_if("dead").alias("n_dead")).where("channel is not null")
+    rows = own.join(by_channel, [*FILE, "channel"], "left")
+    if "occupancy" in shares:
+        by_file = events.groupBy(*FILE, event).agg(F.lit(1).alias("one")).groupBy(*FILE).agg(F.count("*").alias("file_events"))
+        rows = rows.join(by_file, FILE, "left")
+    values = {"occupancy": F.try_divide("n_events", "file_events") if "occupancy" in shares else None, "frac_dead": F.try_divide("n_dead", "n_events")}
+    return rows.select(*FILE, "channel", *names, *[F.coalesce(values[c], F.lit(0.0)).alias(c) for c in shares])
+
+
+def file_keys(*tables: DataFrame) -> list[str]:
+    """What names a file: run and subrun, and the directory where all tables have it."""
+    return [*FILE, *(["directory"] if all("directory" in t.columns for t in tables) else [])]
 
 
 def first_by_file(table: DataFrame, order: str = "line") -> DataFrame:
-    """Of rows that repeat a (run, subrun), the first."""
-    rest = [c for c in table.columns if c not in FILE]
-    return table.groupBy(*FILE).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*FILE, "r.*")
+    """Of rows that repeat a file (run, subrun and, if there, directory), the first."""
+    keys = file_keys(table)
+    rest = [c for c in table.columns if c not in keys]
+    return table.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
 def with_lvds_pin(features: DataFrame, lvds: DataFrame) -> DataFrame:
     """Adds LVDSpin, the count of the pin of two neighbouring channels; null where there is none.
 
-    ``lvds``: (run, subrun, pins map<int, double>, total).
+    ``lvds``: (run, subrun, pins map<int, double>, total); where both sides have
+    a directory, only tables of the same directory count.
     """
-    return features.join(lvds.select(*FILE, "pins"), FILE, "left").withColumn("LVDSpin", F.try_element_at("pins", F.expr("int(channel div 2)"))).drop("pins")
+    keys = file_keys(features, lvds)
+    return features.join(lvds.select(*keys, "pins"), keys, "left").withColumn("LVDSpin", F.try_element_at("pins", F.expr("int(channel div 2)"))).drop("pins")
 
 
 def normalised_rates(board: DataFrame, config: DataFrame, on: str = "run") -> DataFrame:
@@ -87,6 +97,17 @@ def normalised_rates(board: DataFrame, config: DataFrame, on: str = "run") -> Da
     return rows.withColumns({f"triggerRate_bit{i + 1}": rate(i) for i in range(TRIGGER_BITS) if f"triggerRate_bit{i + 1}" in board.columns}).drop("prescale", "trigger", "configured")
 
 
+def rates_before_and_after(board: DataFrame, config: DataFrame, on: str = "run") -> DataFrame:
+    """(run, subrun, bit, raw, normalised, prescale): each trigger rate before and after, for a plot."""
+    bits = [i for i in range(TRIGGER_BITS) if f"triggerRate_bit{i + 1}" in board.columns]
+    name = lambda i: f"triggerRate_bit{i + 1}"
+    keys = list(dict.fromkeys([*file_keys(board), on]))
+    raw = board.select(*keys, *[F.col(name(i)).alias(f"raw{i}") for i in bits])
+    rows = raw.join(normalised_rates(board, config, on).select(*keys, *[name(i) for i in bits]), keys).join(config.select(on, "prescale"), on, "left")
+    each = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("bit"), F.col(f"raw{i}").alias("raw"), F.col(name(i)).alias("normalised"), F.get("prescale", i).alias("prescale")) for i in bits]))
+    return rows.select(*keys, each.alias("e")).select(*keys, "e.*")
+
+
 def masked_channels() -> list[tuple[int, int, int]]:
     """(pin, mask byte, bit) of each pair of channels: pair l is the l-th pin with a signal."""
     pins = [p for p in range(64) if p not in DEAD_PINS][:SIGNAL_PINS]
@@ -107,13 +128,15 @@ def with_pseudo_rows(features: DataFrame, files: DataFrame, board: DataFrame | N
     """Channels as text with their number, and up to two pseudo-channels for each file of ``files``.
 
     A file without trigger or pin row still gets its pseudo-channels, with nulls.
+    Side tables are joined by directory too where ``files`` and they have it.
     """
     out = features.select(*FILE, F.col("channel").cast("string").alias("channel"), F.col("channel").cast("int").alias("channel_num"), *[c for c in columns if c in features.columns])
     none = F.lit(None).cast("int").alias("channel_num")
     for name, side, own in ((TRIGGER_CHANNEL, board, TRIGGER_FEATURES), (LVDS_CHANNEL, lvds, ["LVDStotal"])):
         if side is not None:
             kept = [c for c in own if c in columns and c in side.columns]
-            rows = files.select(*FILE).distinct().join(side.select(*FILE, *kept), FILE, "left")
+            keys = file_keys(files, side)
+            rows = files.select(*keys).distinct().join(side.select(*keys, *kept), keys, "left")
             out = out.unionByName(rows.select(*FILE, F.lit(name).alias("channel"), none, *kept), allowMissingColumns=True)
     missing = [c for c in columns if c not in out.columns]
     return out.withColumns({c: F.lit(None).cast("double") for c in missing}).select(*FILE, "channel", "channel_num", *columns) if columns else out

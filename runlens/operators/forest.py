@@ -2,7 +2,8 @@
 
 Split randomness comes from the seed and the tree's number, so a lost task
 grows the same tree again.  A forest is a table (tree, node, feature, split,
-left, right, depth_value) of n_trees x 2 x max_samples rows at most.
+left, right, leaf_depth, size) of n_trees x 2 x max_samples rows at most; size
+is the number of points that its tree was grown from.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .sampling import exact_sample
 
-NODES = "tree int, node int, feature int, split double, left int, right int, leaf_depth double"
+NODES = "tree int, node int, feature int, split double, left int, right int, leaf_depth double, size int"
 
 
 def mean_depth(n: float) -> float:
@@ -36,25 +37,29 @@ def grow(points: np.ndarray, tree: int, seed: int) -> list[tuple]:
         low, high = (own.min(0), own.max(0)) if len(own) else (np.zeros(1), np.zeros(1))
         able = np.flatnonzero(high > low)
         if depth >= limit or len(own) <= 1 or not len(able):
-            nodes.append((tree, node, -1, 0.0, -1, -1, depth + mean_depth(len(own))))
+            nodes.append((tree, node, -1, 0.0, -1, -1, depth + mean_depth(len(own)), len(points)))
             continue
         feature = int(random.choice(able))
         split = float(random.uniform(low[feature], high[feature]))
-        nodes.append((tree, node, feature, split, n, n + 1, 0.0))
+        nodes.append((tree, node, feature, split, n, n + 1, 0.0, len(points)))
         side = own[:, feature] <= split
         todo += [(n, own[side], depth + 1), (n + 1, own[~side], depth + 1)]
         n += 2
     return nodes
 
 
+def training_sample(rows: DataFrame, columns: list[str], key: list[str], seed: int = 42, cap: int = 50_000) -> DataFrame:
+    """The rows that a forest is grown from and its offset is taken from: those with a value, ``cap`` at most."""
+    return exact_sample(rows.where(F.coalesce(*columns).isNotNull()), cap, key, seed)
+
+
 def fit_forest(rows: DataFrame, columns: list[str], key: list[str], n_trees: int = 200, max_samples: int = 256, seed: int = 42, cap: int = 50_000) -> DataFrame:
     """Nodes of the forest.  Rows whose features are all null are not used; other nulls count as 0.
 
     At most ``cap`` rows, chosen by a hash, take part; each tree gets its own
     hash sample of ``max_samples`` of them, gathered by one small group a tree.
     """
-    used = rows.where(F.coalesce(*columns).isNotNull())
-    pool = exact_sample(used, cap, key, seed).select(*key, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns])
+    pool = training_sample(rows, columns, key, seed, cap).select(*key, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns])
     n = pool.count()
     size = min(max_samples, n) if n else 0
     # a row joins a tree with some room to spare; each tree then takes exactly `size` by the hash's order
@@ -88,14 +93,15 @@ def path_lengths(points: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
     return total / max(1, trees)
 
 
-def score_forest(rows: DataFrame, columns: list[str], nodes: DataFrame, max_samples: int = 256) -> DataFrame:
+def score_forest(rows: DataFrame, columns: list[str], nodes: DataFrame) -> DataFrame:
     """Adds ``if_score``: -2 ** (-mean path / expected path); lower is more anomalous.  Nulls count as 0.
 
-    The forest is collected once and shipped with the tasks: n_trees x 2 x
-    max_samples rows at most, whatever the data.
+    The expected path is that of the number of points that the trees were grown
+    from.  The forest is collected once and shipped with the tasks: n_trees x 2
+    x max_samples rows at most, whatever the data.
     """
     forest = nodes.toPandas()
-    expected = mean_depth(max_samples) or 1.0
+    expected = mean_depth(int(forest["size"].max()) if len(forest) else 0) or 1.0
 
     @F.pandas_udf("double")
     def score(features: pd.Series) -> pd.Series:
@@ -105,9 +111,17 @@ def score_forest(rows: DataFrame, columns: list[str], nodes: DataFrame, max_samp
     return rows.withColumn("if_score", score(F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in columns])))
 
 
+def offset_table(scores: DataFrame, contamination: float, column: str = "if_score") -> DataFrame:
+    """(offset): the score below which the given share of the training scores lies, interpolated.
+
+    ``scores`` are those of the training sample, so they fit one task.
+    """
+    return scores.agg(F.percentile(column, F.lit(contamination)).alias("offset"))
+
+
 def contamination_offset(scores: DataFrame, contamination: float, column: str = "if_score") -> float | None:
-    """The score below which the given share of the training scores lies, interpolated."""
-    return scores.agg(F.percentile(column, F.lit(contamination)).alias("o")).first()["o"]
+    """The value of ``offset_table``; null without scores."""
+    return offset_table(scores, contamination, column).first()["offset"]
 
 
 def flag_forest(scored: DataFrame, offset: float | None) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clipped, compact, row_offset
+from ..functions.scalar import clipped, compact, half_even, row_offset
+from .features import LVDS_CHANNEL, TRIGGER_CHANNEL
+from .status import file_counts, worst_channel
 
 FILE = ["run", "subrun"]
 
@@ -33,16 +38,25 @@ def persistence_summary(status: DataFrame) -> DataFrame:
     return rows.withColumns({"n_good": F.col("n_subruns") - F.col("n_bad") - F.col("n_warn") - F.col("n_pend"), "pct_good": 100.0 * (1 - F.col("n_bad") / F.col("n_subruns"))})
 
 
+#: Codes of a grid's cells; 0 is no data.
+CODES = {"ok": 1, "pend": 2, "warn": 3, "alert": 4}
+
+
 def status_grid(status: DataFrame) -> DataFrame:
-    """(run, subrun, code): 0 ok, 1 pend, 2 warn, 3 alert."""
-    s = F.col("status")
-    return status.select(*FILE, F.when(s == "ok", 0).when(s == "pend", 1).when(s == "warn", 2).otherwise(3).alias("code"))
+    """(run, subrun, code) of every cell of runs x subruns: 0 no data, 1 ok, 2 pend, 3 warn, 4 alert.
+
+    The subrun numbers that occur (as many as the longest run has) are laid out
+    for each run; files whose name does not parse have no cell.
+    """
+    known = status.where("run is not null and subrun is not null")
+    subruns = known.select("subrun").distinct().agg(F.collect_list("subrun").alias("all"))
+    cells = known.select("run").distinct().join(F.broadcast(subruns)).select("run", F.explode("all").alias("subrun"))
+    code = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])[F.col("status")]
+    return cells.join(known.select(*FILE, code.alias("code")), FILE, "left").select(*FILE, F.coalesce("code", F.lit(0)).alias("code"))
 
 
 def anomaly_rate(log: DataFrame, status: DataFrame) -> DataFrame:
     """(run, subrun, n_bad, frac_bad, status): files without a status are ok."""
-    from .status import file_counts
-
     return file_counts(log).join(status.select(*FILE, "status"), FILE, "left").select(*FILE, "n_bad", "frac_bad", F.coalesce("status", F.lit("ok")).alias("status"))
 
 
@@ -110,9 +124,32 @@ def raw_and_normalised(raw: DataFrame, normal: DataFrame, columns: list[str]) ->
     return rows.withColumn("masked", F.coalesce(*[f"raw_{c}" for c in columns]).isNotNull() & F.coalesce(*[f"norm_{c}" for c in columns]).isNull())
 
 
+def is_channel(channel: Column) -> Column:
+    """Whether a name is that of a channel or pseudo-channel; plots leave others out."""
+    return channel.try_cast("int").isNotNull() | channel.isin(TRIGGER_CHANNEL, LVDS_CHANNEL)
+
+
 def channel_order(channel: Column) -> list[Column]:
-    """Sort keys: numbers ascending, then the pseudo-channels."""
-    return [channel.try_cast("int").asc_nulls_last(), channel.asc()]
+    """Sort keys: numbers ascending, then the trigger and the pin pseudo-channel."""
+    return [channel.try_cast("int").asc_nulls_last(), F.when(channel == TRIGGER_CHANNEL, 0).when(channel == LVDS_CHANNEL, 1).otherwise(2).asc()]
+
+
+def file_order() -> list[Column]:
+    """Sort keys of files: run, subrun; names that do not parse come last."""
+    return [F.col("run").asc_nulls_last(), F.col("subrun").asc_nulls_last()]
+
+
+def masked_geometry(raw: DataFrame, normal: DataFrame, columns: list[str], hits: DataFrame) -> DataFrame:
+    """raw_and_normalised with the place of each channel, for a map of what is masked."""
+    places = geometry(hits).select(F.col("channel").cast("string").alias("channel"), "layer", "row", "column")
+    rows = raw_and_normalised(raw, normal, columns).withColumn("channel", F.col("channel").cast("string")).join(places, "channel", "left")
+    return rows.withColumn("y", row_offset(F.col("row"), F.col("channel").try_cast("int")))
+
+
+def log_counts(log: DataFrame) -> DataFrame:
+    """(n_rows, n_files, n_runs, n_anomalous, n_bad_files) of a log, one row."""
+    files = log.groupBy(*FILE).agg(F.count("*").alias("rows"), F.count_if("anomalous").alias("bad"))
+    return files.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_files"), F.count_distinct("run").alias("n_runs"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_anomalous"), F.count_if(F.col("bad") > 0).alias("n_bad_files"))
 
 
 def top_channels(log: DataFrame, n: int = 5) -> DataFrame:
@@ -124,22 +161,35 @@ def top_channels(log: DataFrame, n: int = 5) -> DataFrame:
     return rows.join(counts, FILE).select(*FILE, "channel", "method", "triggered_features", "max_z", "rank", F.greatest(F.col("all") - n, F.lit(0)).alias("more"))
 
 
-def reasons(status: DataFrame, least: int = 1, bulk: int = 0, extreme: float = 0.0) -> DataFrame:
-    """(run, subrun, reason) of alerted files."""
-    clauses = [F.when(F.col("n_persistent") >= least, F.concat(F.col("n_persistent").cast("string"), F.lit(" persistent channels")))]
+def channel_label(channel: Column) -> Column:
+    """ch and the number of a channel; pseudo-channels by name."""
+    name = channel.cast("string")
+    return F.when(name.try_cast("int").isNotNull(), F.concat(F.lit("ch"), name)).otherwise(name)
+
+
+def reasons(log: DataFrame, status: DataFrame, least: int = 1, bulk: int = 0, extreme: float = 0.0, n: int = 1) -> DataFrame:
+    """(run, subrun, reason) of alerted files: a clause for each condition that fired.
+
+    ``n`` is the number of files of the persistence window.
+    """
+    rows = status.where("status = 'alert'").join(file_counts(log).select(*FILE, "n_total"), FILE).join(worst_channel(log).select(*FILE, "worst_channel"), FILE)
+    text = lambda c: F.col(c).cast("string")
+    window = F.lit(f"  (window: {n} files)" if n > 1 else "")
+    some = F.when(F.col("n_transient") > 0, F.concat(F.lit(" + "), text("n_transient"), F.lit(" transient"))).otherwise("")
+    clauses = [F.when(F.col("n_persistent") >= least, F.concat(text("n_persistent"), F.lit(" persistent"), some, F.lit(" anomalous ch"), window))]
     if bulk > 0:
-        clauses.append(F.when(F.col("n_anomalous") >= bulk, F.concat(F.col("n_anomalous").cast("string"), F.lit(" anomalous channels"))))
+        clauses.append(F.when(F.col("n_anomalous") >= bulk, F.concat(text("n_anomalous"), F.lit("/"), text("n_total"), F.lit(f" anomalous ch  [bulk ≥{bulk}]"))))
     if extreme > 0:
-        clauses.append(F.when(F.col("worst_z") >= extreme, F.lit("extreme z")))
-    return status.where("status = 'alert'").select(*FILE, F.concat_ws("; ", *clauses).alias("reason"))
+        clauses.append(F.when(F.col("worst_z") >= extreme, F.concat(F.lit("extreme z="), F.format_string("%.1f", half_even(F.col("worst_z"), 1)), F.lit(" on "), channel_label(F.col("worst_channel")))))
+    return rows.select(*FILE, F.concat_ws("  |  ", *clauses).alias("reason"))
 
 
-def alert_text(log: DataFrame, status: DataFrame, least: int = 1, bulk: int = 0, extreme: float = 0.0, n: int = 5) -> DataFrame:
-    """(run, subrun, text): reason and worst channels of each alerted file."""
-    line = F.concat(F.col("channel").cast("string"), F.lit(" ("), F.col("triggered_features"), F.lit(")"))
+def alert_text(log: DataFrame, status: DataFrame, least: int = 1, bulk: int = 0, extreme: float = 0.0, n: int = 5, window: int = 1) -> DataFrame:
+    """(run, subrun, text): reason and the ``n`` worst channels of each alerted file, and how many there are besides."""
+    line = F.concat(channel_label(F.col("channel")), F.lit(" ("), F.col("triggered_features"), F.lit(")"))
     lines = top_channels(log, n).groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"), F.max("more").alias("more"))
     lines = lines.select(*FILE, F.array_join(F.transform("l", lambda x: x["line"]), ", ").alias("worst"), "more")
-    rows = reasons(status, least, bulk, extreme).join(lines, FILE, "left")
+    rows = reasons(log, status, least, bulk, extreme, window).join(lines, FILE, "left")
     tail = F.when(F.col("more") > 0, F.concat(F.lit(" and "), F.col("more").cast("string"), F.lit(" more")))
     return rows.select(*FILE, F.concat(F.lit("run "), F.col("run").cast("string"), F.lit(" subrun "), F.col("subrun").cast("string"), F.lit(": "), F.col("reason"), F.coalesce(F.concat(F.lit(" | "), F.col("worst"), F.coalesce(tail, F.lit(""))), F.lit(""))).alias("text"))
 
@@ -155,14 +205,49 @@ def historical_snapshot(log: DataFrame, runs: DataFrame, n: int = 5) -> DataFram
     return out.na.fill(0, ["n_subruns", "n_bad_subruns", "n_anomalous"]).na.fill("", ["top_channels"])
 
 
+def annotated(cases: DataFrame, log: DataFrame, n: int = 5) -> DataFrame:
+    """The knowledge base's cases (run, category, cause, action, ...), each with its run's snapshot."""
+    return cases.join(historical_snapshot(log, cases.select("run"), n), "run", "left")
+
+
+#: Most annotated cases of a prompt.
+MOST_CASES = 1000
+
+
 def prompt_text(alerts: DataFrame, cases: DataFrame, task: str) -> DataFrame:
-    """(run, subrun, prompt): alert, annotated cases (a short list) and task."""
-    known = cases.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" / ", F.col("run").cast("string"), "category", "cause"))), "\n").alias("cases"))
-    return alerts.join(F.broadcast(known)).select(*FILE, F.concat_ws("\n\n", "text", "cases", F.lit(task)).alias("prompt"))
+    """(run, subrun, prompt): alert, annotated cases and task.
+
+    ``cases`` is a list that people keep, MOST_CASES at most: they are one text,
+    which is sent along with every alert.
+    """
+    rows = cases.select("run", "category", "cause").limit(MOST_CASES + 1).collect()
+    if len(rows) > MOST_CASES:
+        raise ValueError(f"more than {MOST_CASES} cases")
+    known = "\n".join(" / ".join(str(x) for x in r if x is not None) for r in sorted(rows, key=lambda r: tuple(map(str, r))))
+    return alerts.select(*FILE, F.concat_ws("\n\n", "text", F.lit(known), F.lit(task)).alias("prompt"))
+
+
+def categorised(prompts: DataFrame, provider: Callable[[str], str]) -> DataFrame:
+    """(run, subrun, response, api_error): the provider's answer to each prompt.
+
+    A call that fails leaves its message in ``api_error``; each prompt has a row.
+    """
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for run, subrun, prompt in frame.itertuples(index=False):
+                try:
+                    out.append((run, subrun, provider(prompt), None))
+                except Exception as error:  # whatever a provider raises
+                    out.append((run, subrun, None, str(error)))
+            yield pd.DataFrame(out, columns=["run", "subrun", "response", "api_error"])
+
+    return prompts.select(*FILE, "prompt").mapInPandas(batches, "run int, subrun int, response string, api_error string")
 
 
 def parsed_response(responses: DataFrame, column: str = "response") -> DataFrame:
-    """Adds ``suggestion`` (category, cause, action); ``raw_response`` has what is no JSON."""
+    """Adds ``suggestion`` (category, cause, action); ``raw_response`` has what is no JSON.  Every row stays."""
     got = F.from_json(column, "category string, cause string, action string")
     rows = responses.withColumn("suggestion", got)
     return rows.withColumn("raw_response", F.when(F.coalesce("suggestion.category", "suggestion.cause", "suggestion.action").isNull(), F.col(column)))

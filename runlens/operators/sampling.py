@@ -37,3 +37,10 @@ def plot_selection(status: DataFrame, most: int, seed: int = 42) -> DataFrame:
     worst = bad.orderBy(F.desc("n_anomalous"), "run", "subrun").limit(1)
     rest = exact_sample(bad.join(worst.select("run", "subrun"), ["run", "subrun"], "left_anti"), max(0, most - 1), ["run", "subrun"], seed)
     return worst.unionByName(rest.select(status.columns)).unionByName(exact_sample(status.where("status <> 'alert'"), most, ["run", "subrun"], seed).select(status.columns))
+
+
+def first_appearances(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows that repeat the keys, the first in ``order``; ties go to the smallest other columns."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order])) if rest else None
+    return rows.groupBy(*keys).agg(first.alias("r")).select(*keys, "r.*").select(rows.columns) if rest else rows.distinct()

@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FILE = ["run", "subrun"]
+#: Run numbers that one task orders.
+REACH = 1 << 16
+#: Values of k that are laid out, and thresholds of a sweep, at most.
+MOST_K = 10_000
 
 
 def grid(spark, **values: list) -> DataFrame:
@@ -21,9 +25,11 @@ def grid(spark, **values: list) -> DataFrame:
 def sweep_flags(log: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(z_threshold, run, subrun, channel, anomalous): the log judged again at each threshold.
 
-    Scores are computed once; thresholds are compared afterwards.  The grid has
-    some rows and is broadcast.
+    Scores are computed once; thresholds are compared afterwards.  The grid is
+    broadcast, so more than MOST_K rows are refused.
     """
+    if thresholds.limit(MOST_K + 1).count() > MOST_K:
+        raise ValueError(f"more than {MOST_K} thresholds")
     return log.join(F.broadcast(thresholds)).select("z_threshold", *FILE, "channel", F.coalesce(F.col("max_z") > F.col("z_threshold"), F.lit(False)).alias("anomalous"), "max_z")
 
 
@@ -42,6 +48,11 @@ def model_metrics(flags: DataFrame, truth: DataFrame, ok: str = "tight", by: tup
     return out.select("model", *by, "n", "n_known_good", "fp", "tn", percent("fp", "n_known_good").alias("fp_percent"), percent("tn", "n_known_good").alias("tn_percent"), percent("n_ok", "n").alias("ok_percent"))
 
 
+def flat_metrics(flags: DataFrame, truth: DataFrame, ok: str = "tight") -> DataFrame:
+    """model_metrics of the models that have known-good files."""
+    return model_metrics(flags, truth, ok).where("n_known_good > 0")
+
+
 def mean_ok_rate(flags: DataFrame, ok: str = "tight") -> DataFrame:
     """(model, mean_ok_percent): the mean over runs of each run's rate."""
     runs = flags.groupBy("model", "run").agg((100.0 * F.avg((F.col(ok) == 1).cast("int"))).alias("r"))
@@ -60,6 +71,27 @@ def best_per_threshold(metrics: DataFrame, n: int = 3) -> DataFrame:
     return metrics.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def vote_vectors(votes: DataFrame, truth: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(vector, kg, n): how many known-good and other files have the same votes.
+
+    ``vector`` holds (model, ok) of the models that scored a file, in order; it
+    has a part for each model at most.  Files are many, vectors few: panels are
+    evaluated on these.  ``by`` adds columns, such as the run.
+    """
+    files = votes.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("model", "ok"))).alias("vector"))
+    files = files.join(truth.select(*FILE, F.col("good").alias("kg")), FILE, "left").withColumn("kg", F.coalesce("kg", F.lit(False)))
+    return files.groupBy("vector", "kg", *by).agg(F.count("*").alias("n"))
+
+
+def bad_votes(vectors: DataFrame, panel: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(panel, size, bad, kg, n): files that all members of a panel scored, by the number of members that say bad."""
+    sizes = panel.groupBy("panel").agg(F.count("*").alias("size"))
+    rows = vectors.withColumn("id", F.xxhash64("vector")).select("vector", "id", "kg", "n", *by, F.explode("vector").alias("v")).select("vector", "id", "kg", "n", *by, "v.model", "v.ok")
+    met = rows.join(panel, "model").groupBy("panel", "id", "vector", "kg", "n", *by).agg(F.count("*").alias("scored"), F.sum("ok").alias("ok"))
+    full = met.join(sizes, "panel").where("scored = size")
+    return full.groupBy("panel", "size", (F.col("size") - F.col("ok")).alias("bad"), "kg", *by).agg(F.sum("n").alias("n"))
+
+
 def vote_metrics(votes: DataFrame, truth: DataFrame, panel: DataFrame, least: DataFrame | None = None) -> DataFrame:
     """(panel, k, n_scored, n_known_good, fp_percent, coverage_percent) of panels of models.
 
@@ -68,17 +100,40 @@ def vote_metrics(votes: DataFrame, truth: DataFrame, panel: DataFrame, least: Da
     say bad; k runs from 1 to the panel's size, or over ``least`` (k).
     Coverage is the share of the scored files that are good.
     """
-    sizes = panel.groupBy("panel").agg(F.count("*").alias("size"))
-    files = votes.join(F.broadcast(panel), "model").groupBy("panel", *FILE).agg(F.count("*").alias("scored"), F.sum("ok").alias("ok")).join(F.broadcast(sizes), "panel").where("scored = size")
-    files = files.join(truth.select(*FILE, F.col("good").alias("kg")), FILE, "left").select("panel", "size", (F.col("size") - F.col("ok")).alias("bad"), F.coalesce("kg", F.lit(False)).alias("kg"))
+    if least is not None and least.limit(MOST_K + 1).count() > MOST_K:
+        raise ValueError(f"more than {MOST_K} values of k")
     # panels, sizes and bad votes make few rows; k is laid out on them
-    counts = files.groupBy("panel", "size", "bad", "kg").agg(F.count("*").alias("n"))
+    counts = bad_votes(vote_vectors(votes, truth), panel)
     rows = counts.join(F.broadcast(least)) if least is not None else counts.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("size"))))
     ok = F.col("bad") < F.col("k")
     out = rows.groupBy("panel", "k").agg(F.sum("n").alias("n_scored"), F.sum(F.when(F.col("kg"), F.col("n")).otherwise(0)).alias("n_known_good"), F.sum(F.when(F.col("kg") & ~ok, F.col("n")).otherwise(0)).alias("fp"), F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("n_ok"))
     return out.select("panel", "k", "n_scored", "n_known_good", F.when(F.col("n_known_good") > 0, 100.0 * F.col("fp") / F.col("n_known_good")).alias("fp_percent"), (100.0 * F.col("n_ok") / F.col("n_scored")).alias("coverage_percent"))
 
 
+def vote_run_rates(votes: DataFrame, truth: DataFrame, panel: DataFrame, k: int) -> DataFrame:
+    """(panel, run, n_scored, ok_percent): the share of each run's scored files that fewer than ``k`` members call bad."""
+    counts = bad_votes(vote_vectors(votes, truth, ("run",)), panel, ("run",))
+    out = counts.groupBy("panel", "run").agg(F.sum("n").alias("n_scored"), F.sum(F.when(F.col("bad") < k, F.col("n")).otherwise(0)).alias("n_ok"))
+    return out.select("panel", "run", "n_scored", (100.0 * F.col("n_ok") / F.col("n_scored")).alias("ok_percent"))
+
+
+def panel_candidates(metrics: DataFrame, most: int = 100, by: str = "fp_percent", descending: bool = False, both: tuple[float, float] | None = None) -> DataFrame:
+    """The ``most`` best models by a metric; ties go to the smaller name, models without the metric are left out.
+
+    With ``both`` z thresholds, half of the places go to the best of each, and
+    the rest follow in order.
+    """
+    value = F.col(by).desc() if descending else F.col(by).asc()
+    rows = metrics.where(F.col(by).isNotNull())
+    if both is None:
+        return rows.orderBy(value, "model").limit(most)
+    a, b = both
+    own = rows.withColumn("_kind", F.when(F.col("z_threshold") == a, 0).when(F.col("z_threshold") == b, 1).otherwise(2))
+    parts = [own.where(f"_kind = {k}").orderBy(value, "model").limit(n).withColumn("_part", F.lit(k)) for k, n in ((0, most // 2), (1, most // 2), (2, most))]
+    united = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return united.orderBy("_part", value, "model").limit(most).drop("_kind", "_part")
+
+
 def panels(models: DataFrame, size: int, both: tuple[float, float] | None = None) -> DataFrame:
     """(panel, model): all combinations of 2 or 3 candidate models (a list of at most some hundred).
 
@@ -106,10 +161,19 @@ def best_panels(metrics: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 def run_islands(runs: DataFrame) -> DataFrame:
     """(first_run, last_run, n): blocks of consecutive run numbers.
 
-    Runs number some thousands; one window orders them.
+    Blocks are found within ranges of REACH numbers.  Only those that touch an
+    end of their range may go on in the next one; they are two a range at most,
+    and one window joins them.
     """
-    rows = runs.select("run").distinct().withColumn("island", F.col("run") - F.row_number().over(W.orderBy("run")))
-    return rows.groupBy("island").agg(F.min("run").alias("first_run"), F.max("run").alias("last_run"), F.count("*").alias("n")).drop("island")
+    ranged = W.partitionBy("range").orderBy("run")
+    rows = runs.select("run").where("run is not null").distinct().withColumn("range", F.floor(F.col("run") / REACH))
+    rows = rows.withColumn("island", F.col("run") - F.row_number().over(ranged))
+    parts = rows.groupBy("range", "island").agg(F.min("run").alias("first_run"), F.max("run").alias("last_run"), F.count("*").alias("n")).drop("range", "island")
+    at_end = (F.pmod("first_run", F.lit(REACH)) == 0) | (F.pmod("last_run", F.lit(REACH)) == REACH - 1)
+    order = W.orderBy("first_run")
+    ends = parts.where(at_end).withColumn("new", F.coalesce(F.lag("last_run").over(order) + 1 != F.col("first_run"), F.lit(True)).cast("int"))
+    ends = ends.withColumn("block", F.sum("new").over(order)).groupBy("block").agg(F.min("first_run").alias("first_run"), F.max("last_run").alias("last_run"), F.sum("n").alias("n")).drop("block")
+    return parts.where(~at_end).unionByName(ends)
 
 
 def partial_evaluations(evaluations: DataFrame, by: list[str], total: str = "n_total") -> DataFrame:

@@ -5,11 +5,17 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..config import DetectorConfig
+from .. import storage
+from ..config import DetectorConfig, check_arguments
+from ..functions.scalar import base_name, file_run, file_subrun
 from ..operators import catalogue as cat
-from ..operators import detect, forest, reference, status
-from ..sources import writers
+from ..operators import detect, forest, reference, report, sampling, status
+from ..sources import readers, writers
+
+#: What names a row of features.
+KEY = ["run", "subrun", "channel"]
 
 
 @dataclass
@@ -28,9 +34,10 @@ def train(features: DataFrame, columns: list[str], config: DetectorConfig, with_
     if not with_forest:
         return Model(state, None, None, columns)
     z = reference.zscores(features, reference.reference_stats(state), columns)
-    nodes = forest.fit_forest(z, columns, ["run", "subrun", "channel"], config.n_trees, config.max_samples, config.seed, config.training_cap).cache()
-    scored = forest.score_forest(z, columns, nodes, config.max_samples)
-    return Model(state, nodes, forest.contamination_offset(scored, config.contamination), columns)
+    # forest and offset are taken from one and the same bounded sample
+    sample = storage.written(forest.training_sample(z, columns, KEY, config.seed, config.training_cap), "training-sample")
+    nodes = storage.written(forest.fit_forest(sample, columns, KEY, config.n_trees, config.max_samples, config.seed, config.training_cap), "forest")
+    return Model(state, nodes, forest.contamination_offset(forest.score_forest(sample, columns, nodes), config.contamination), columns)
 
 
 def apply(features: DataFrame, model: Model, config: DetectorConfig) -> DataFrame:
@@ -38,7 +45,7 @@ def apply(features: DataFrame, model: Model, config: DetectorConfig) -> DataFram
     stats = reference.reference_stats(model.state)
     z = reference.zscores(features, stats, model.columns)
     if model.nodes is not None:
-        z = forest.flag_forest(forest.score_forest(z, model.columns, model.nodes, config.max_samples), model.offset)
+        z = forest.flag_forest(forest.score_forest(z, model.columns, model.nodes), model.offset)
     return detect.detection_log(z, model.columns, config.z_threshold, stats.select("channel").distinct())
 
 
@@ -52,20 +59,65 @@ def evaluate(files: DataFrame, catalogue: DataFrame, quality: str = "All") -> tu
     return cat.crosstab(cat.ground_truth(files, catalogue, quality)), cat.framework_tiers(files)
 
 
-def full(spark: SparkSession, features: DataFrame, good: DataFrame, catalogue: DataFrame, columns: list[str], config: DetectorConfig, folder: str) -> None:
-    """Train on ``good``, apply to ``features``, evaluate and report, into a folder.  Steps whose table is there are skipped."""
-    if not writers.done(spark, f"{folder}/reference"):
+def files_to_apply(spark: SparkSession, config: DetectorConfig, training_list: str | None = None, catalogue: str | None = None, run: int | None = None, text_list: str | None = None, root: str = "", quality: str = "All", first_run: int | None = None, last_run: int | None = None) -> tuple[list[str], list[str]]:
+    """(paths, what was not found) by the one mode that is given.
+
+    A list (training or other) has globs; a catalogue names files below ``root``
+    by quality and run range, subrun -1 meaning all of a run, of which the
+    configured share is taken; a run is all its files below ``root``.
+    """
+    mode = check_arguments({"training_list": training_list, "catalogue": catalogue, "run": run, "text_list": text_list}, config.sample_fraction)
+    if mode in ("training_list", "text_list"):
+        return readers.run_list(spark, training_list or text_list)
+    if mode == "run":
+        found = storage.find(spark, readers.run_directory(root, run))
+        return found, [] if found else [f"run {run}"]
+    entries = cat.select_catalogue(cat.last_entries(readers.read_catalogue(spark, catalogue)), quality, first_run, last_run)
+    runs = sorted(r["run"] for r in entries.select("run").distinct().collect())  # some thousands
+    paths = [p for r in runs for p in storage.find(spark, readers.run_directory(root, r))]
+    name = base_name(F.col("path"))
+    files = spark.createDataFrame([(p,) for p in paths], "path string").select("path", file_run(name).alias("run"), file_subrun(name).alias("subrun"))
+    named = files.join(cat.expand_catalogue(entries, files), ["run", "subrun"], "left_semi")
+    if config.sample_fraction < 1 and not named.isEmpty():
+        named = sampling.fraction_sample(named, config.sample_fraction, ["path"], config.test_seed)
+    lost = [f"run {r['run']} subrun {r['subrun']}" for r in cat.unmatched(entries, files).orderBy("run", "subrun").collect()]
+    return [r["path"] for r in named.orderBy(*report.file_order()).collect()], lost
+
+
+STEPS = ("train", "apply", "evaluate", "report", "plots")
+
+
+def full(spark: SparkSession, features: DataFrame, good: DataFrame, catalogue: DataFrame, columns: list[str], config: DetectorConfig, folder: str, skip: tuple[str, ...] = ()) -> None:
+    """Train on ``good``, apply to ``features``, evaluate, report and lay out plot tables, into a folder.
+
+    Tables that are there are not made again; steps named in ``skip`` are left out.
+    """
+    if set(skip) - set(STEPS):
+        raise ValueError(f"unknown steps: {', '.join(sorted(set(skip) - set(STEPS)))}")
+    if "train" not in skip and not writers.done(spark, f"{folder}/reference"):
         model = train(good, columns, config)
         writers.save_model(model.state, model.nodes, folder, asdict(config) | {"offset": model.offset, "columns": columns})
-    state, nodes, meta = writers.load_model(spark, folder)
-    if not writers.done(spark, f"{folder}/log"):
+        writers.save_config(spark, config, f"{folder}/config.json")
+    if "apply" not in skip and not writers.done(spark, f"{folder}/log"):
+        state, nodes, meta = writers.load_model(spark, folder)
         apply(features, Model(state, nodes, meta["offset"], meta["columns"]), config).write.mode("overwrite").partitionBy("run").parquet(f"{folder}/log")
+    if not writers.done(spark, f"{folder}/log"):
+        return
     log = spark.read.parquet(f"{folder}/log")
-    for name, make in (
-        ("status", lambda: judge(log, config)),
-        ("confusion", lambda: evaluate(judge(log, config), catalogue)[0]),
-        ("framework", lambda: evaluate(judge(log, config), catalogue)[1]),
-        ("run_summary", lambda: status.classify_runs(log, config.file_alert_n_channels)),
-    ):
-        if not writers.done(spark, f"{folder}/{name}"):
-            make().write.mode("overwrite").parquet(f"{folder}/{name}")
+    tables = {
+        "evaluate": {"status": lambda: judge(log, config), "confusion": lambda: evaluate(judge(log, config), catalogue)[0], "framework": lambda: evaluate(judge(log, config), catalogue)[1]},
+        "report": {"run_summary": lambda: status.classify_runs(log, config.file_alert_n_channels)},
+        "plots": {
+            "status_grid": lambda: report.status_grid(judge(log, config)),
+            "anomaly_rate": lambda: report.anomaly_rate(log, judge(log, config)),
+            "channel_frequency": lambda: report.channel_frequency(log),
+            "feature_frequency": lambda: report.feature_frequency(log),
+        },
+    }
+    for step, own in tables.items():
+        for name, make in own.items():
+            if step not in skip and not writers.done(spark, f"{folder}/{name}"):
+                make().write.mode("overwrite").parquet(f"{folder}/{name}")
+    if "evaluate" not in skip and not storage.exists(spark, f"{folder}/summary.txt"):
+        judged = cat.ground_truth(judge(log, config), catalogue)
+        writers.write_summary(writers.write_confusion(judged, f"{folder}/confusion.json"), spark, f"{folder}/summary.txt")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adapt
+from . import adapt, storage
 from .functions import scalar
 from .operators import catalogue as cat
 from .operators import detect, forest, report, sampling, status, sweeps
 from .operators import features as feat
 from .operators import reference as ref
+from .plans import steps
 from .sources import readers, writers
 from .streaming import monitor
 
@@ -204,14 +207,8 @@ def prescale_normalise(spark, sf_dir):
     return feat.normalised_rates(adapt.board(spark, sf_dir), adapt.configs(spark))
 
 
-@query("select l_orderkey, l_linenumber, " + ", ".join(f"((l_partkey >> {i}) & 1)::int as bit{i}" for i in range(8)) + " from lineitem where l_linenumber = 1 and l_quantity = 50")
-def trigger_bit_decode(spark, sf_dir):
-    rows = adapt.table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity = 50")
-    return rows.select("l_orderkey", "l_linenumber", *[scalar.bit(F.col("l_partkey"), i).cast("int").alias(f"bit{i}") for i in range(8)])
-
-
 @query("select l_orderkey, l_linenumber, " + ", ".join(f"((l_partkey >> {i}) & 1)::int as bit{i}" for i in range(16)) + " from lineitem")
-def trigger_bit_decode_all(spark, sf_dir):
+def trigger_bit_decode(spark, sf_dir):
     """All 16 bits of all rows."""
     rows = adapt.table(spark, sf_dir, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", *[scalar.bit(F.col("l_partkey"), i).cast("int").alias(f"bit{i}") for i in range(16)])
@@ -320,10 +317,10 @@ def catalogue_expand(spark, sf_dir):
 
 @query("select run, subrun, loose, medium, tight, 'v1' as tag from cat where tight")
 def catalogue_json(spark, sf_dir):
-    """The catalogue written as positional JSON rows and parsed again; an earlier version of each entry loses."""
+    """The catalogue written as positional JSON rows, a document a run, and parsed again; an earlier version of each entry loses."""
     c = adapt.catalogue(adapt.hits(spark, sf_dir))
     row = lambda t, tag: F.concat_ws("", F.lit("["), F.concat_ws(",", F.col("run").cast("string"), F.col("subrun").cast("string"), *[t(q) for q in cat.QUALITIES], F.lit("0"), F.lit(f'"{tag}"')), F.lit("]"))
-    own = c.groupBy().agg(F.array_join(F.concat(F.collect_list(row(lambda _: F.lit("false"), "v0")), F.collect_list(row(lambda q: F.col(q).cast("string"), "v1"))), ",").alias("rows"))
+    own = c.groupBy("run").agg(F.array_join(F.concat(F.collect_list(row(lambda _: F.lit("false"), "v0")), F.collect_list(row(lambda q: F.col(q).cast("string"), "v1"))), ",").alias("rows"))
     text = own.select(F.concat(F.lit('{"data": ['), F.col("rows"), F.lit("]}")).alias("value"))
     return cat.last_entries(readers.parse_catalogue(text)).where("tight").select("run", "subrun", "loose", "medium", "tight", "tag")
 
@@ -338,11 +335,23 @@ def eval_rates(spark, sf_dir):
     return cat.rates(cat.ground_truth(adapt.status(spark, sf_dir), adapt.catalogue(adapt.hits(spark, sf_dir)), "Medium"))
 
 
+def _as_files(rows):
+    """Documents take the part of files of one run."""
+    return rows.select(F.lit(0).alias("run"), F.col("doc_id").alias("subrun"), *[c for c in rows.columns if c != "doc_id"])
+
+
 @query("select case quality when 1 then 'known_good' when 0 then 'not_certified' else 'unknown' end as gt, count(*) as n from documents left join labels using (doc_id) group by 1")
 def label_ground_truth(spark, sf_dir):
     docs, labels = adapt.table(spark, sf_dir, "documents"), adapt.table(spark, sf_dir, "labels")
-    gt = F.when(F.col("quality") == 1, "known_good").when(F.col("quality") == 0, "not_certified").otherwise("unknown")
-    return docs.select("doc_id").join(labels, "doc_id", "left").groupBy(gt.alias("gt")).agg(F.count("*").alias("n"))
+    entries = labels.select("doc_id", *[(F.col("quality") == 1).alias(q) for q in cat.QUALITIES], F.lit(0).alias("position"))
+    return cat.ground_truth(_as_files(docs.select("doc_id")), _as_files(entries), "Medium").groupBy("gt").agg(F.count("*").alias("n"))
+
+
+@query("select case quality when 1 then 'known_good' else 'unknown' end as gt, count(*) as n from documents left join labels using (doc_id) group by 1")
+def list_ground_truth(spark, sf_dir):
+    """The same from a plain list of good documents."""
+    docs, labels = adapt.table(spark, sf_dir, "documents"), adapt.table(spark, sf_dir, "labels")
+    return cat.from_list(_as_files(docs.select("doc_id")), _as_files(labels.where("quality = 1").select("doc_id"))).groupBy("gt").agg(F.count("*").alias("n"))
 
 
 @query("select run, subrun, (status in ('ok', 'warn', 'pend'))::int as loose, (status in ('ok', 'warn'))::int as medium, (status = 'ok')::int as tight from status")
@@ -372,9 +381,13 @@ def persistence_run_summary(spark, sf_dir):
     return report.persistence_summary(adapt.status(spark, sf_dir))
 
 
-@query("select run, subrun, (case status when 'ok' then 0 when 'pend' then 1 when 'warn' then 2 else 3 end)::int as code from status")
+@query("""
+, own as (select * from status where (run * 13 + subrun) % 7 <> 0)
+select r.run, s.subrun, coalesce(case o.status when 'ok' then 1 when 'pend' then 2 when 'warn' then 3 when 'alert' then 4 end, 0)::int as code
+from (select distinct run from own) r cross join (select distinct subrun from own) s left join own o on o.run = r.run and o.subrun = s.subrun""")
 def status_grid(spark, sf_dir):
-    return report.status_grid(adapt.status(spark, sf_dir))
+    """Every seventh file has no data."""
+    return report.status_grid(adapt.status(spark, sf_dir).where((F.col("run") * 13 + F.col("subrun")) % 7 != 0))
 
 
 @query("select run, subrun, count(*) filter (anomalous) as n_bad, round(count(*) filter (anomalous) / count(*)::double, 6) as frac_bad, any_value(s.status) as status from log join status s using (run, subrun) group by run, subrun")
@@ -388,13 +401,8 @@ def channel_severity(spark, sf_dir):
     return report.channel_severity(adapt.log(spark, sf_dir), adapt.BULK, adapt.EXTREME)
 
 
-@query("select * from (" + " union all ".join(f"select run, subrun, channel, '{c}' as feature, round(case when {c} is not null then least(abs({c}), 50) end, 6) as z from z" for c in C) + ") where run = 1998")
-def z_heatmap(spark, sf_dir):
-    return report.z_heatmap(adapt.zscores(spark, sf_dir).where("run = 1998"), C)
-
-
 @query(" union all ".join(f"select run, subrun, channel, '{c}' as feature, round(case when {c} is not null then least(abs({c}), 50) end, 6) as z from z" for c in C))
-def z_heatmap_all(spark, sf_dir):
+def z_heatmap(spark, sf_dir):
     """The heatmap of all runs."""
     return report.z_heatmap(adapt.zscores(spark, sf_dir), C)
 
@@ -415,13 +423,18 @@ def top_channels(spark, sf_dir):
 
 
 @query(f"""
-, w as (select run, subrun, string_agg(channel || ' (' || triggered_features || ')', ', ' order by max_z desc, channel) as worst from log where anomalous and max_z is not null group by run, subrun)
-select s.run, s.subrun, 'run ' || s.run || ' subrun ' || s.subrun || ': ' || concat_ws('; ', case when n_persistent >= {adapt.LEAST} then n_persistent || ' persistent channels' end, case when n_anomalous >= {adapt.BULK} then n_anomalous || ' anomalous channels' end, case when worst_z >= {adapt.EXTREME} then 'extreme z' end) || coalesce(' | ' || worst, '') as text
-from status s left join w using (run, subrun) where status = 'alert'""")
+, r as (select *, row_number() over (partition by run, subrun order by max_z desc, channel) as k, count(*) over (partition by run, subrun) as a from log where anomalous and max_z is not null),
+w as (select run, subrun, string_agg('ch' || channel || ' (' || triggered_features || ')', ', ' order by k) filter (k <= 2) || case when max(a) > 2 then ' and ' || (max(a) - 2) || ' more' else '' end as worst, any_value(channel) filter (k = 1) as top from r group by run, subrun),
+t as (select run, subrun, count(*) as n_total from log group by run, subrun)
+select s.run, s.subrun, 'run ' || s.run || ' subrun ' || s.subrun || ': ' || concat_ws('  |  ',
+  case when n_persistent >= {adapt.LEAST} then n_persistent || ' persistent' || case when n_transient > 0 then ' + ' || n_transient || ' transient' else '' end || ' anomalous ch  (window: {adapt.N} files)' end,
+  case when n_anomalous >= {adapt.BULK} then n_anomalous || '/' || n_total || ' anomalous ch  [bulk ≥{adapt.BULK}]' end,
+  case when worst_z >= {adapt.EXTREME} then 'extreme z=' || printf('%.1f', worst_z) || ' on ch' || top end) || coalesce(' | ' || worst, '') as text
+from status s join t using (run, subrun) left join w using (run, subrun) where status = 'alert'""")
 def alert_text(spark, sf_dir):
     log = adapt.log(spark, sf_dir)
     s = status.file_status(log, adapt.N, adapt.LEAST, adapt.BULK, adapt.EXTREME)
-    return report.alert_text(log, s, adapt.LEAST, adapt.BULK, adapt.EXTREME, 99)
+    return report.alert_text(log, s, adapt.LEAST, adapt.BULK, adapt.EXTREME, 2, adapt.N)
 
 
 @query("""
@@ -444,13 +457,32 @@ def filename_parse(spark, sf_dir):
     return rows.select(scalar.file_run(scalar.base_name(F.col("path"))).alias("run"), scalar.file_subrun(scalar.base_name(F.col("path"))).alias("subrun"), "path")
 
 
-@query("""select 'm_cont0p0' || n_nationkey || '_z' || (n_regionkey + 2) || 'p5_N' || (n_nationkey % 4 + 1) || case when n_nationkey % 2 = 0 then '_noTrigger' else '' end as tag,
-round(('0.0' || n_nationkey)::double, 6) as contamination, n_regionkey + 2.5::double as z_threshold, (n_nationkey % 4 + 1)::int as consecutive, n_nationkey % 2 <> 0 as use_trigger from nation""")
+_tags = [
+    # fixed values: tags as training jobs carry them, and what they say
+    ("model_260521_zThreshold_6sigma_ifContamination_0p001_alertConsec_1", 0.001, 6.0, 1, None, None, None, True, True, True),
+    ("model_260521_zThreshold_7sigma_ifContamination_0p05_alertConsec_5_noTrigger_noLVDS", 0.05, 7.0, 5, None, None, None, False, False, True),
+    ("model_260521_zThreshold_8sigma_ifContamination_0p01_alertConsec_3_noLVDS_ignoreTriggerConfig", 0.01, 8.0, 3, None, None, None, True, False, False),
+    ("model_260429_IFhp_Medium_zThreshold_8sigma_ifContamination_0p002_nEst_300_maxSamp_1024", 0.002, 8.0, None, 300, 1024, "Medium", True, True, True),
+    ("model_260429_EXT_Tight", None, None, None, None, None, "Tight", True, True, True),
+]
+_tag_columns = ["tag", "contamination", "z_threshold", "consecutive", "n_trees", "max_samples", "quality", "use_trigger", "use_lvds", "use_trigger_config"]
+
+
+def _sql(v) -> str:
+    return "null" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::double" if isinstance(v, float) else str(v)
+
+
+@query("select * from (values " + ", ".join("(" + ", ".join(map(_sql, t)) + ")" for t in _tags) + f") t({', '.join(_tag_columns)})")
 def tag_parse(spark, sf_dir):
-    n = adapt.table(spark, sf_dir, "nation")
-    tag = F.concat(F.lit("m_cont0p0"), F.col("n_nationkey").cast("string"), F.lit("_z"), (F.col("n_regionkey") + 2).cast("string"), F.lit("p5_N"), (F.col("n_nationkey") % 4 + 1).cast("string"), F.when(F.col("n_nationkey") % 2 == 0, "_noTrigger").otherwise(""))
-    f = scalar.tag_fields(F.col("tag"))
-    return n.select(tag.alias("tag")).select("tag", *[f[k].alias(k) for k in ("contamination", "z_threshold", "consecutive", "use_trigger")])
+    tags = spark.createDataFrame([(t[0],) for t in _tags], "tag string")
+    return tags.select("tag", *[x.alias(k) for k, x in scalar.tag_fields(F.col("tag")).items()])
+
+
+@query("select * from (values " + ", ".join("(" + ", ".join(map(_sql, t[:3])) + ", " + repr(t[0].split("_")[1]) + ")" for t in _tags if t[2]) + ") t(tag, contamination, z_threshold, sweep)")
+def sweep_union(spark, sf_dir):
+    """Models of two sweeps as one table; tags that are no part of a sweep drop out."""
+    parts = [spark.createDataFrame([(t[0], kind) for t in _tags if kind in t[0]], "tag string, sweep string") for kind in ("260521", "260429")]
+    return scalar.with_tag_fields(parts[0].unionByName(parts[1])).select("tag", "contamination", "z_threshold", "sweep")
 
 
 @query("select event_type, json_extract_string(props, '$.k')::bigint as k, count(*) as n from events group by 1, 2")
@@ -476,20 +508,12 @@ def repeated_header_parse(spark, sf_dir):
 select user_id, event_type, event_id from e where k = 1""")
 def ordered_dedupe(spark, sf_dir):
     """First appearance of each pair."""
-    return adapt.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-
-
-@query("""select run, subrun, channel, anomalous, round(max_z, 6) as max_z, null::varchar as note from log where run = 1994 union all
-select run, subrun, channel, anomalous, null, 'old' from log where run = 1995""")
-def combine_logs(spark, sf_dir):
-    log = adapt.log(spark, sf_dir)
-    new = log.where("run = 1994").select("run", "subrun", "channel", "anomalous", "max_z")
-    return writers.combine_logs([new, log.where("run = 1995").select("channel", "subrun", "run", "anomalous", F.lit("old").alias("note"))])
+    return sampling.first_appearances(adapt.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"])
 
 
 @query("""select run, subrun, channel, anomalous, round(max_z, 6) as max_z, null::varchar as note from log where run <= 1994 union all
 select run, subrun, channel, anomalous, null, 'old' from log where run > 1994 or run is null""")
-def combine_logs_all(spark, sf_dir):
+def combine_logs(spark, sf_dir):
     """Two logs that hold all runs between them."""
     log = adapt.log(spark, sf_dir)
     new = log.where("run <= 1994").select("run", "subrun", "channel", "anomalous", "max_z")
@@ -594,10 +618,11 @@ def panel_pairs(spark, sf_dir):
 
 
 @query("""
-, d as (select distinct (doc_id // 3)::bigint as run from documents where lang = 'en'), i as (select run, run - row_number() over (order by run) as g from d)
+, d as (select distinct ((o_orderkey * 7) // 3)::bigint as run from orders where o_orderkey is not null), i as (select run, run - row_number() over (order by run) as g from d)
 select min(run) as first_run, max(run) as last_run, count(*) as n from i group by g""")
 def run_islands(spark, sf_dir):
-    return sweeps.run_islands(adapt.table(spark, sf_dir, "documents").where("lang = 'en'").select(F.expr("doc_id div 3").alias("run")))
+    """Blocks of neighbouring numbers made from order keys."""
+    return sweeps.run_islands(adapt.table(spark, sf_dir, "orders").select(F.expr("(o_orderkey * 7) div 3").alias("run")))
 
 
 @query("""
@@ -624,9 +649,92 @@ def sweep_to_do(spark, sf_dir):
     return sweeps.still_to_do(wanted, wanted.where("(n_nationkey + s) % 4 = 0"))
 
 
+@query(_votes + """select panel, run, count(*) as n_scored, round(100.0 * count(*) filter (bad < 2) / count(*), 6) as ok_percent from f group by panel, run""")
+def vote_run_rates(spark, sf_dir):
+    v, pan = _votes_of(spark, sf_dir)
+    return sweeps.vote_run_rates(v, _truth(spark, sf_dir), pan, 2)
+
+
+@query("""
+, m as (select p_partkey as model, (p_size % 4 + 5)::double as z_threshold, p_retailprice as fp_percent from part),
+k as (select *, case z_threshold when 6 then 0 when 8 then 1 else 2 end as part from m where fp_percent is not null),
+r as (select *, row_number() over (partition by part order by fp_percent, model) as r from k),
+c as (select *, row_number() over (order by part, fp_percent, model) as place from r where r <= case when part = 2 then 100 else 50 end)
+select model, z_threshold, fp_percent from c where place <= 100""")
+def panel_candidates(spark, sf_dir):
+    p = adapt.table(spark, sf_dir, "part")
+    m = p.select(F.col("p_partkey").alias("model"), (F.col("p_size") % 4 + 5).cast("double").alias("z_threshold"), F.col("p_retailprice").alias("fp_percent"))
+    return sweeps.panel_candidates(m, 100, both=(6.0, 8.0))
+
+
+@query("""
+, q as (select *, loose or medium or tight as good, (loose or medium or tight) and run between 1993 and 1996 as ranged from cat)
+select count(*) as total, count(*) filter (good) as after_quality, count(distinct run) filter (good) as quality_runs, count(*) filter (ranged) as after_range, count(distinct run) filter (ranged) as range_runs,
+greatest(1, round_even(count(*) filter (ranged) * 0.3, 0))::bigint as after_fraction from q""")
+def catalogue_stages(spark, sf_dir):
+    return cat.stage_counts(adapt.catalogue(adapt.hits(spark, sf_dir)), "All", 0.3, 1993, 1996)
+
+
+@query("""
+, k as (select case when tight then 'tight' else 'other' end as tag, run from cat)
+select tag, count(*) as n_entries, count(distinct run) as n_runs from k group by tag""")
+def catalogue_tags(spark, sf_dir):
+    return cat.tag_counts(adapt.catalogue(adapt.hits(spark, sf_dir)).withColumn("tag", F.when(F.col("tight"), "tight").otherwise("other")))
+
+
+@query("""
+, f as (select distinct run, subrun from hits), e(run, subrun) as (values (1993, -1), (1994, 5), (1994, 77), (1996, -1), (1996, 3), (2050, -1))
+select run, subrun from e where (subrun <> -1 and not exists (select 1 from f where f.run = e.run and f.subrun = e.subrun)) or (subrun = -1 and not exists (select 1 from f where f.run = e.run))""")
+def catalogue_misses(spark, sf_dir):
+    entries = spark.createDataFrame([(1993, -1), (1994, 5), (1994, 77), (1996, -1), (1996, 3), (2050, -1)], "run int, subrun int")
+    return cat.unmatched(entries, adapt.hits(spark, sf_dir))
+
+
+@query("""
+, f as (select run, subrun, count(*) as n, count(*) filter (anomalous) as bad from log group by run, subrun)
+select sum(n)::bigint as n_rows, count(*) as n_files, count(distinct run) as n_runs, sum(bad)::bigint as n_anomalous, count(*) filter (bad > 0) as n_bad_files from f""")
+def log_counts(spark, sf_dir):
+    return report.log_counts(adapt.log(spark, sf_dir))
+
+
+@query("select run, subrun, status from status where run in (select o_custkey % 4 + 1992 from orders)")
+def training_runs(spark, sf_dir):
+    """Files of the runs of a training list."""
+    runs = adapt.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 4 + 1992).cast("int").alias("run"))
+    return cat.in_runs(adapt.status(spark, sf_dir), runs).select("run", "subrun", "status")
+
+
+@query("""
+, c(run, p1, p2, p3, p4, p5, trig) as (values (1994, 1, 2, 0, 5, 10, 31), (1995, 1, 2, 4, 5, 10, 29), (1996, null, null, null, null, null, 31))
+""" + " union all ".join(f"select b.run, b.subrun, {i} as bit, b{i} as raw, round(case when ((c.trig >> {i - 1}) & 1) = 0 then null when c.run is null then b{i} when c.p{i} > 0 then b{i} / c.p{i} end, 6) as normalised, c.p{i}::double as prescale from board b left join c using (run)" for i in range(1, 6)))
+def rates_before_and_after(spark, sf_dir):
+    return feat.rates_before_and_after(adapt.board(spark, sf_dir), adapt.configs(spark))
+
+
+@query("""
+, k as (select s_suppkey as channel, max_z, row_number() over (partition by s_suppkey) as r from supplier join (select channel, max(max_z) as max_z from log group by channel) l on l.channel = s_suppkey)
+select s_suppkey as channel, s_nationkey as layer, s_nationkey % 4 as row, 0 as "column", round(coalesce(max_z, 0), 6) as max_z, round(s_nationkey % 4 + case when s_suppkey % 2 = 0 then 0.2::double else -0.2::double end, 6) as y
+from supplier join k on channel = s_suppkey""")
+def geometry_map(spark, sf_dir):
+    """The place of each supplier that has a channel's number, with the largest z of that channel."""
+    s = adapt.table(spark, sf_dir, "supplier")
+    places = s.select(F.col("s_suppkey").alias("channel"), F.lit(1).alias("event_id"), F.col("s_nationkey").alias("layer"), (F.col("s_nationkey") % 4).alias("row"), F.lit(0).alias("column"))
+    return report.geometry_map(places, adapt.log(spark, sf_dir).groupBy("channel").agg(F.max("max_z").alias("max_z")))
+
+
+@query("""
+, k(run, category, cause) as (values (1993, 'hv', 'trip'), (1993, 'daq', 'crash'), (2050, 'cal', null)),
+s as (select run, count(distinct subrun) as n_subruns, count(*) filter (anomalous) as n_anomalous from log group by run)
+select k.run, category, cause, coalesce(n_subruns, 0) as n_subruns, coalesce(n_anomalous, 0) as n_anomalous from k left join s using (run)""")
+def annotated_cases(spark, sf_dir):
+    """A knowledge base's cases with the history of their runs."""
+    cases = spark.createDataFrame([(1993, "hv", "trip"), (1993, "daq", "crash"), (2050, "cal", None)], "run int, category string, cause string")
+    return report.annotated(cases, adapt.log(spark, sf_dir)).select("run", "category", "cause", "n_subruns", "n_anomalous")
+
+
 # ---- forest, sampling, streaming
 
-_fixed = [(0, 0, 0, 25.0, 1, 2, 0.0), (0, 1, -1, 0.0, -1, -1, 2.0), (0, 2, 1, 40.0, 3, 4, 0.0), (0, 3, -1, 0.0, -1, -1, 3.0), (0, 4, -1, 0.0, -1, -1, 4.0), (1, 0, 1, 38.0, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 1.5), (1, 2, -1, 0.0, -1, -1, 5.0)]
+_fixed = [(*n, 256) for n in [(0, 0, 0, 25.0, 1, 2, 0.0), (0, 1, -1, 0.0, -1, -1, 2.0), (0, 2, 1, 40.0, 3, 4, 0.0), (0, 3, -1, 0.0, -1, -1, 3.0), (0, 4, -1, 0.0, -1, -1, 4.0), (1, 0, 1, 38.0, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 1.5), (1, 2, -1, 0.0, -1, -1, 5.0)]]
 
 
 @query("""
@@ -636,23 +744,22 @@ def fixed_forest_score(spark, sf_dir):
     """Scores by a small literal forest."""
     nodes = spark.createDataFrame(_fixed, forest.NODES)
     f = adapt.features(spark, sf_dir, ["quantity_mean", "price_mean"])
-    return forest.score_forest(f, ["quantity_mean", "price_mean"], nodes, 256).select("run", "subrun", "channel", "if_score")
+    return forest.score_forest(f, ["quantity_mean", "price_mean"], nodes).select("run", "subrun", "channel", "if_score")
 
 
 @query("select round(quantile_cont(quantity_mean, 0.01), 6) as offset_value from features")
 def percentile_offset(spark, sf_dir):
-    return adapt.features(spark, sf_dir, ["quantity_mean"]).agg(F.percentile("quantity_mean", F.lit(0.01)).alias("offset_value"))
+    return forest.offset_table(adapt.features(spark, sf_dir, ["quantity_mean"]), 0.01, "quantity_mean").withColumnRenamed("offset", "offset_value")
 
 
 @query()
 def forest_scores(spark, sf_dir):
     """A forest of the good files' z-scores, scores and flags of all files."""
-    f = adapt.scored(adapt.features(spark, sf_dir, C))
-    s = adapt.stats(f)
-    z = ref.zscores(adapt.good(f), s, C)
-    nodes = forest.fit_forest(z, C, ["run", "subrun", "channel"], n_trees=100)
-    offset = forest.contamination_offset(forest.score_forest(z, C, nodes), 0.05)
-    return forest.flag_forest(forest.score_forest(ref.zscores(f, s, C), C, nodes), offset).select("run", "subrun", "channel", "if_score", "if_flag")
+    z = storage.written(adapt.zscores(spark, sf_dir), "zscores")
+    sample = forest.training_sample(adapt.good(z), C, steps.KEY)
+    nodes = storage.written(forest.fit_forest(sample, C, steps.KEY, n_trees=100), "forest")
+    offset = forest.contamination_offset(forest.score_forest(sample, C, nodes), 0.05)
+    return forest.flag_forest(forest.score_forest(z, C, nodes), offset).select("run", "subrun", "channel", "if_score", "if_flag")
 
 
 @query()
@@ -667,19 +774,12 @@ def seeded_sample(spark, sf_dir):
 d as (select *, case when n_persistent >= {adapt.LEAST} or n_anomalous >= {adapt.BULK} or worst_z >= {adapt.EXTREME} then 'drop' when file_index < {adapt.N - 1} and n_anomalous > 0 then 'hold' else 'list' end as decision from i)
 select run, subrun, file_index, n_anomalous::int as n_anomalous, n_persistent::int as n_persistent, decision from d""")
 def stream_persistence(spark, sf_dir):
-    """The log as a stream of files, judged by keyed state; equals the batch status."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("runlens.stream.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="runlens-stream-")
-        spark.conf.set("runlens.stream.dir", folder)
-    folder = f"{folder}/stream-{uuid.uuid4().hex}"
-    log = adapt.log(spark, sf_dir).select("run", "subrun", F.col("channel").cast("string").alias("channel"), "anomalous", "max_z")
-    log.coalesce(1).write.parquet(f"{folder}/log")
-    stream = spark.readStream.schema(log.schema).parquet(f"{folder}/log")
+    """The log as a stream of files in two batches, judged by keyed state; equals the batch status."""
+    folder = f"{storage.scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    log = storage.written(adapt.log(spark, sf_dir).select("run", "subrun", F.col("channel").cast("string").alias("channel"), "anomalous", "max_z"), "log")
+    for part in ("subrun <= 6", "subrun > 6"):  # a file's rows stay together; older files come first
+        log.where(part).repartition(4, "run").write.mode("append").parquet(f"{folder}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/log")
     monitor.run_to_end(monitor.live_status(stream, adapt.N, adapt.LEAST, adapt.BULK, adapt.EXTREME), f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out").drop("status", "released")
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import ast
 import re
-from collections.abc import Iterable
-from glob import glob
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import storage
 from ..functions.scalar import any_run, base_name, file_run, file_subrun, number
 from ..operators.features import METRICS, TRIGGER_FEATURES
 
@@ -58,19 +58,12 @@ def header_rows(text: DataFrame, marker: str = "subrunnum") -> DataFrame:
     A row belongs to the last header above it; rows above any are dropped, and
     so are blank lines.  Cells beyond the header's are dropped too.
     """
-    lines = text.select("path", F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    start = F.struct(F.array().cast("array<string>").alias("head"), F.array().cast("array<struct<head:array<string>,row:array<string>>>").alias("rows"))
-
-    def step(s: Column, x: Column) -> Column:
-        own = cells(x)
-        is_head = F.get(own, 0) == marker
-        row = F.array(F.struct(s["head"].alias("head"), own.alias("row")))
-        rows = F.when(is_head | (F.size(s["head"]) == 0), s["rows"]).otherwise(F.concat(s["rows"], row))
-        return F.struct(F.when(is_head, own).otherwise(s["head"]).alias("head"), rows.alias("rows"))
-
-    found = lines.select("path", F.posexplode(F.aggregate("lines", start, step)["rows"]).alias("line", "r"))
-    n = F.least(F.size("r.head"), F.size("r.row"))
-    return found.select("path", "line", F.map_from_arrays(F.slice("r.head", 1, n), F.slice("r.row", 1, n)).alias("cells"))
+    lines = text.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line", "x")).where(F.trim("x") != "").select("path", "line", cells(F.col("x")).alias("row"))
+    is_head = F.get("row", 0) == marker
+    head = F.last(F.when(is_head, F.col("row")), ignorenulls=True).over(W.partitionBy("path").orderBy("line"))
+    found = lines.select("path", "line", "row", is_head.alias("is_head"), head.alias("head")).where("not is_head and head is not null")
+    n = F.least(F.size("head"), F.size("row"))
+    return found.select("path", "line", F.map_from_arrays(F.slice("head", 1, n), F.slice("row", 1, n)).alias("cells"))
 
 
 def whole_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -91,24 +84,27 @@ def lvds_rows(text: DataFrame) -> DataFrame:
     return rows.select(F.regexp_replace("path", "/[^/]*$", "").alias("directory"), any_run(base_name(F.col("path"))).alias("run"), number(F.try_element_at("cells", F.lit("subrunnum"))).cast("int").alias("subrun"), "line", pins.alias("pins"), number(F.try_element_at("cells", F.lit("total"))).alias("LVDStotal"))
 
 
-def literal(text: str):
-    """A number, list or hex or binary literal; None if it is none."""
-    try:
-        return ast.literal_eval(text.strip())
-    except (ValueError, SyntaxError):
-        return None
+#: Names that a run configuration script assigns.
+CONFIG_NAMES = ("triggerBoard.prescale", "triggerBoard.trigger", "triggerBoard.trigger_mask")
+
 
+def assigned(text: Column, name: str) -> Column:
+    """The last active assignment of a name, trimmed; comments, also at the end of a line, do not count; null if there is none."""
+    pattern = rf"(?m)^[ \t]*{re.escape(name)}[ \t]*=[ \t]*([^#\r\n]+)"
+    return F.trim(F.element_at(F.regexp_extract_all(text, F.lit(pattern), 1), -1))
 
-def parse_run_config(text: str, names: Iterable[str]) -> dict:
-    """The last active assignment of each name; comments, also at the end of a line, do not count."""
-    found = {}
-    for name in names:
-        hits = re.findall(rf"^[ \t]*{re.escape(name)}[ \t]*=[ \t]*([^#\n]+)", text, re.MULTILINE)
-        found[name] = literal(hits[-1]) if hits else None
-    return found
 
+def integer(text: Column) -> Column:
+    """A decimal, hexadecimal (0x) or binary (0b) literal; null if it is none."""
+    text = F.lower(F.trim(text))
+    based = lambda pattern, base: F.when(text.rlike(pattern), F.conv(F.substring(text, 3, 64), base, 10).try_cast("bigint"))
+    return F.coalesce(based("^0x[0-9a-f]+$", 16), based("^0b[01]+$", 2), F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint")))
 
-CONFIG_NAMES = ("triggerBoard.prescale", "triggerBoard.trigger", "triggerBoard.trigger_mask")
+
+def listed(text: Column) -> Column:
+    """The parts of a list literal; null if it is none."""
+    inner = F.regexp_extract(text, r"^[\[(](.*?),?\s*[\])]$", 1)
+    return F.when(text.rlike(r"^[\[(].*[\])]$"), F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def read_run_configs(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -116,16 +112,10 @@ def read_run_configs(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     Prescales are listed from the highest bit; at most 16 are used.
     """
-
-    @F.udf("struct<prescale:array<double>,trigger:bigint,mask:array<int>>")
-    def parsed(text: str):
-        got = parse_run_config(text or "", CONFIG_NAMES)
-        prescale, trigger, mask = (got[n] for n in CONFIG_NAMES)
-        scales = [float(x) for x in prescale[:16]][::-1] if isinstance(prescale, list) else None
-        return scales, trigger if isinstance(trigger, int) else None, mask if isinstance(mask, list) else None
-
-    rows = whole_texts(spark, paths).select(any_run(base_name(F.col("path"))).alias("run"), parsed("value").alias("c"))
-    return rows.select("run", "c.*")
+    prescale, trigger, mask = (assigned(F.col("value"), n) for n in CONFIG_NAMES)
+    scales = F.transform(F.slice(listed(prescale), 1, 16), lambda x: F.coalesce(integer(x).cast("double"), x.try_cast("double")))
+    masks = F.transform(listed(mask), lambda x: integer(x).cast("int"))
+    return whole_texts(spark, paths).select(any_run(base_name(F.col("path"))).alias("run"), F.reverse(scales).alias("prescale"), integer(trigger).alias("trigger"), masks.alias("mask"))
 
 
 def read_thresholds(spark: SparkSession, path: str, per_board: int = 16) -> DataFrame:
@@ -139,7 +129,7 @@ def uniform_thresholds(spark: SparkSession, volts: float, channels: int = 96) ->
     return spark.range(channels).select(F.col("id").cast("int").alias("channel"), F.lit(volts).alias("volts"))
 
 
-def expand_globs(patterns: Iterable[str], find=lambda p: sorted(glob(p))) -> tuple[list[str], list[str]]:
+def expand_globs(patterns: Iterable[str], find: Callable[[str], list[str]]) -> tuple[list[str], list[str]]:
     """(paths in order of first appearance, patterns without a match); blanks and # comments are skipped."""
     paths: dict[str, None] = {}
     lost = []
@@ -154,9 +144,51 @@ def expand_globs(patterns: Iterable[str], find=lambda p: sorted(glob(p))) -> tup
     return list(paths), lost
 
 
-def run_list(path: str) -> tuple[list[str], list[str]]:
-    with open(path) as f:
-        return expand_globs(f)
+def run_list(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """expand_globs of the lines of a file; list and files may be in any store that Spark reads."""
+    lines = spark.read.text(path, wholetext=True).first()
+    return expand_globs(lines["value"].splitlines() if lines else [], lambda pattern: storage.find(spark, pattern))
+
+
+def matching_runs(files: DataFrame, tag: str, pattern: str, column: str = "filename") -> DataFrame:
+    """Log parts ``<tag>_run<part>.csv`` whose part matches a shell pattern (*, ?, [...])."""
+    part = F.regexp_extract(F.col(column), rf"(?:^|/){re.escape(tag)}_run([^/]*)\.csv$", 1)
+    return files.where(part.rlike(f"^(?:{shell_pattern(pattern)})$") & (F.col(column).rlike(rf"(?:^|/){re.escape(tag)}_run[^/]*\.csv$")))
+
+
+def shell_pattern(pattern: str) -> str:
+    """A shell pattern as a regular expression; an opened bracket that is not closed is a plain one."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        end = pattern.find("]", i + (3 if pattern[i + 1 : i + 2] == "!" else 2)) if c == "[" else -1
+        if c == "*":
+            out += ".*"
+        elif c == "?":
+            out += "."
+        elif end > 0:
+            own = pattern[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            out += "[" + ("^" + own[1:] if own[0] == "!" else "\\" + own if own[0] == "^" else own) + "]"
+            i = end
+        else:
+            out += re.escape(c)
+        i += 1
+    return out
+
+
+def read_knowledge_base(spark: SparkSession, path: str) -> DataFrame:
+    """(run, category, cause, action, recovery) of a YAML or JSON list of annotated runs; parts that a case lacks are null."""
+    from ..config import parsed
+
+    text = spark.read.text(path, wholetext=True).first()
+    names = ("run", "category", "cause", "action", "recovery")
+    rows = [tuple(None if x.get(n) is None else int(x[n]) if n == "run" else str(x[n]) for n in names) for x in parsed(text["value"] if text else "", path.endswith(".json")) or []]
+    return spark.createDataFrame(rows, "run int, category string, cause string, action string, recovery string")
+
+
+def first_catalogue(spark: SparkSession, models: Iterable[dict]) -> str | None:
+    """The first catalogue that some model's metadata names and that is there."""
+    return next((p for m in models if (p := m.get("goodRunsList_json")) and storage.exists(spark, p)), None)
 
 
 def run_directory(root: str, run: int) -> str:
@@ -182,13 +214,22 @@ def read_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.withColumns({"run": file_run(F.col("filename")), "subrun": file_subrun(F.col("filename"))})
 
 
+def framework_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return whole_texts(spark, paths).select("path", F.element_at(F.split("path", "/"), -2).alias("model"), F.from_json("value", "data array<array<string>>")["data"].alias("data"))
+
+
 def read_framework(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(model, run, subrun, loose, medium, tight) of framework JSON files; the model is the file's folder; what does not parse is skipped."""
-    rows = whole_texts(spark, paths).select(F.element_at(F.split("path", "/"), -2).alias("model"), F.explode(F.from_json("value", "data array<array<string>>")["data"]).alias("r"))
+    rows = framework_texts(spark, paths).select("model", F.explode("data").alias("r"))
     part = [F.get("r", i).try_cast("int").alias(c) for i, c in enumerate(("run", "subrun", "loose", "medium", "tight"))]
     return rows.select("model", *part)
 
 
+def unread_framework(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, model) of the framework files that read_framework skips."""
+    return framework_texts(spark, paths).where("data is null").select("path", "model")
+
+
 def read_confusion(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(model, gt, status, n) of confusion JSON files."""
     rows = whole_texts(spark, paths).select(F.element_at(F.split("path", "/"), -2).alias("model"), F.explode(F.from_json("value", "counts map<string, map<string, bigint>>")["counts"]).alias("gt", "own"))

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import itertools
 import json
-import os
-from pathlib import Path
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import utc_stamp
+from .. import storage
+from ..config import DetectorConfig
+from ..functions.scalar import half_even, utc_stamp
+from ..operators.sampling import first_appearances
+from . import readers
 
 
 def done(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to a path before: a step then has nothing to do."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    return storage.exists(spark, f"{path}/_SUCCESS")
 
 
 def as_log(log: DataFrame) -> DataFrame:
-    """The log's public columns: time stamp, file name, z to 2 and score to 4 places."""
+    """The log's public columns: time stamp, file name, z to 2 and score to 4 places (halves to even, by the binary value)."""
     name = F.concat(F.lit("Digitizer_run"), F.col("run").cast("string"), F.lit("_subrun"), F.col("subrun").cast("string"), F.lit(".csv"))
     file = F.col("filename") if "filename" in log.columns else name
-    return log.select(utc_stamp().alias("timestamp"), file.alias("filename"), F.col("channel").cast("string").alias("channel"), "anomalous", "method", "triggered_features", F.bround("max_z", 2).alias("max_z"), F.bround("if_score", 4).alias("if_score"), "run")
+    return log.select(utc_stamp().alias("timestamp"), file.alias("filename"), F.col("channel").cast("string").alias("channel"), "anomalous", "method", "triggered_features", half_even(F.col("max_z"), 2).alias("max_z"), half_even(F.col("if_score"), 4).alias("if_score"), "run")
 
 
 def append_log(log: DataFrame, path: str, form: str = "parquet") -> None:
@@ -43,6 +46,16 @@ def combine_logs(logs: list[DataFrame]) -> DataFrame:
     return out
 
 
+def combine_folders(spark: SparkSession, logs: list[str], lists: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(the logs of several folders or files as one, their path lists merged: each path once, in order of first appearance)."""
+    log = combine_logs([readers.read_log(spark, p) for p in logs])
+    none = spark.createDataFrame([], "part int, line int, path string")
+    for i, p in enumerate(lists):
+        lines = spark.read.text(p, wholetext=True).select(F.lit(i).alias("part"), F.posexplode(F.split("value", "\r?\n")).alias("line", "path"))
+        none = none.unionByName(lines.where(F.trim("path") != ""))
+    return log, first_appearances(none, ["path"], ["part", "line"]).orderBy("part", "line").select("path")
+
+
 def newer_than(spark: SparkSession, parts: str | list[str], combined: str) -> bool:
     """Whether a part was changed after the combined log was written."""
     last = lambda p: spark.read.format("binaryFile").load(p).agg(F.max("modificationTime").alias("t")).first()["t"]
@@ -70,14 +83,38 @@ def add_seen(files: DataFrame, path: str) -> None:
     files.select(F.substring_index("filename", "/", -1).alias("filename")).distinct().write.mode("append").parquet(path)
 
 
+def save_config(spark: SparkSession, config: DetectorConfig, path: str) -> None:
+    """The effective configuration as JSON beside a model."""
+    storage.write_text(spark, path, [json.dumps(asdict(config), indent=1, sort_keys=True)])
+
+
 def write_framework(tiers: DataFrame, path: str, label: str) -> None:
-    """Rows [run, subrun, loose, medium, tight, 0, label] in order, one JSON document; a row a file, so some millions at most."""
+    """Rows [run, subrun, loose, medium, tight, 0, label] in order, one JSON document.
+
+    The document's format asks for one writer: rows (one a file) come to it
+    partition by partition and leave as they come.
+    """
     rows = tiers.orderBy("run", "subrun").select("run", "subrun", "loose", "medium", "tight").toLocalIterator()
-    with open(path, "w") as f:
-        f.write('{"data": [')
-        for i, r in enumerate(rows):
-            f.write(", " * bool(i) + json.dumps([*r, 0, label]))
-        f.write("]}")
+    texts = (", " * bool(i) + json.dumps([*r, 0, label]) for i, r in enumerate(rows))
+    storage.write_text(tiers.sparkSession, path, itertools.chain(['{"data": ['], texts, ["]}"]))
+
+
+def write_confusion(judged: DataFrame, path: str) -> dict:
+    """Counts of ground truth by status as JSON, {"counts": {gt: {status: n}}}: twelve numbers."""
+    counts: dict[str, dict[str, int]] = {}
+    for r in judged.groupBy("gt", "status").count().collect():
+        counts.setdefault(r["gt"], {})[r["status"]] = r["count"]
+    storage.write_text(judged.sparkSession, path, [json.dumps({"counts": counts}, sort_keys=True)])
+    return counts
+
+
+def write_summary(counts: dict[str, dict[str, int]], spark: SparkSession, path: str) -> None:
+    """The evaluation in words: of each ground truth, files by status with their shares."""
+    lines = []
+    for gt, own in sorted(counts.items()):
+        total = sum(own.values())
+        lines.append(f"{gt}: {total} files; " + ", ".join(f"{k} {n} ({100 * n / total:.1f} %)" for k, n in sorted(own.items())))
+    storage.write_text(spark, path, ["\n".join([*lines, ""])])
 
 
 def write_report(runs: DataFrame, folder: str) -> None:
@@ -88,25 +125,22 @@ def write_report(runs: DataFrame, folder: str) -> None:
         own.coalesce(1).write.mode("overwrite").text(f"{folder}/{kind}")
 
 
-def append_good_list(paths: list[str], target: str) -> None:
-    """Adds paths, a line each; a new list starts with a comment."""
-    new = not os.path.exists(target)
-    with open(target, "a") as f:
-        if new:
-            f.write("# files that passed the live quality gate\n")
-        f.writelines(f"{p}\n" for p in paths)
+def append_good_list(paths: DataFrame, target: str) -> None:
+    """Adds paths (path), a line each; a new list starts with a comment.  The list is a folder of text files, read as one."""
+    spark = paths.sparkSession
+    if not storage.exists(spark, target):
+        storage.write_text(spark, f"{target}/0-comment.txt", ["# files that passed the live quality gate\n"])
+    paths.select(F.col("path").alias("value")).write.mode("append").text(target)
 
 
-def append_suggestion(row: dict, target: str) -> None:
-    with open(target, "a") as f:
-        f.write(json.dumps(row) + "\n")
+def append_suggestions(rows: DataFrame, target: str) -> None:
+    """Adds rows as JSON lines; the sidecar is a folder of text files."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(target)
 
 
-def remove_outputs(folder: str, names: list[str], confirmed: bool = False) -> list[str]:
+def remove_outputs(spark: SparkSession, folder: str, names: list[str], confirmed: bool = False) -> list[str]:
     """Outputs of a tag below ``folder``; they are deleted only where that is confirmed."""
-    import shutil
-
-    found = [str(p) for n in names if (p := Path(folder) / n).exists()]
+    found = [p for n in names if storage.exists(spark, p := f"{folder}/{n}")]
     for p in found if confirmed else []:
-        shutil.rmtree(p) if os.path.isdir(p) else os.remove(p)
+        storage.remove(spark, p)
     return found

@@ -1,9 +1,11 @@
 """Live monitoring: files arrive, history is kept by run, decisions leave as they fall.
 
-State is keyed by run, so interleaved runs do not disturb each other and a
-restart goes on from the checkpoint.  Within a micro-batch a run's files are
-taken in numeric order; across batches in order of arrival, so a file that
-comes late is judged against what came before it.
+Two streams: files become rows of the anomaly log (``watch``), and the log
+becomes decisions and the good list (``decide``).  State is keyed by run, so
+interleaved runs do not disturb each other, and a restart of either goes on
+from its checkpoint.  Within a micro-batch a run's files are taken in numeric
+order; across batches in order of arrival, so a file that comes late is judged
+against what came before it.
 """
 
 from __future__ import annotations
@@ -15,18 +17,128 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.readers import HITS, located
+from .. import storage
+from ..config import DetectorConfig
+from ..functions.scalar import base_name, file_run, file_subrun
+from ..operators.report import file_order
+from ..operators.sampling import exact_sample
+from ..sources.readers import HITS, list_files, located, read_hits
+from ..sources.writers import append_good_list
 
 DECISIONS = "run int, subrun int, file_index int, n_anomalous int, n_persistent int, status string, decision string, released string"
 STATE = "channels array<string>, flags array<array<boolean>>, next_index int, held array<int>"
+LOG = "run int, subrun int, channel string, anomalous boolean, method string, triggered_features string, max_z double, if_score double"
+SKIPPED = "path string, run int, subrun int, reason string"
+PATTERN = "Digitizer_*.csv"
 
 
 def hit_stream(spark: SparkSession, folder: str, max_files: int = 1000, since: str | None = None) -> DataFrame:
     """Hits of files as they arrive in a folder; ``since`` (a time stamp) leaves older files alone."""
     reader = spark.readStream.schema(HITS).option("header", True).option("maxFilesPerTrigger", max_files).option("ignoreCorruptFiles", True)
+    rows = reader.csv(f"{folder}/{PATTERN}")
     if since is not None:
-        reader = reader.option("modifiedAfter", since)
-    return located(reader.csv(f"{folder}/Digitizer_*.csv"))
+        rows = rows.where(F.col("_metadata.file_modification_time") >= F.lit(since).cast("timestamp"))
+    return located(rows)
+
+
+def file_stream(spark: SparkSession, folder: str, max_files: int = 1000, since: str | None = None) -> DataFrame:
+    """(path) of files as they arrive, empty and broken ones too; contents are not read.
+
+    A file without a byte counts as not yet there: it is taken once it has some.
+    """
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    rows = reader.option("pathGlobFilter", PATTERN).option("maxFilesPerTrigger", max_files).load(folder)
+    if since is not None:
+        rows = rows.where(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
+    return rows.select("path")
+
+
+def scored_files(spark: SparkSession, paths: list[str], score: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(log, skipped) of some files: ``score`` makes log rows of hits (run, subrun, ...).
+
+    Files without a row of the log are skipped, with a reason.  Where the files
+    together fail, they are taken one by one, and those that fail are skipped
+    with the error, so one bad file does not keep the others back.
+    """
+    names = [x.split()[0] for x in LOG.split(", ")]
+    files = spark.createDataFrame([(p,) for p in paths], "path string").select("path", file_run(base_name(F.col("path"))).alias("run"), file_subrun(base_name(F.col("path"))).alias("subrun"))
+
+    def made(own: list[str]) -> DataFrame:
+        rows = score(read_hits(spark, own, corrupt=True))
+        none = F.lit(None)
+        return storage.written(rows.select(*[(F.col(c) if c in rows.columns else none).cast(x.split()[1]).alias(c) for c, x in zip(names, LOG.split(", "), strict=True)]), "live-log")
+
+    errors: dict[str, str] = {}
+    try:
+        log = made(paths)
+    except Exception:  # some file fails: which one shows only when read alone
+        log = spark.createDataFrame([], LOG)
+        for p in paths:
+            try:
+                log = log.unionByName(made([p]))
+            except Exception as error:
+                errors[p] = str(error).splitlines()[0]
+    told = spark.createDataFrame(list(errors.items()), "path string, reason string")
+    lost = files.join(log.select("run", "subrun").distinct(), ["run", "subrun"], "left_anti").join(told, "path", "left")
+    return log, lost.select("path", "run", "subrun", F.coalesce("reason", F.lit("no events in file")).alias("reason"))
+
+
+def watch(spark: SparkSession, folder: str, score: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, since: str | None = None, max_files: int = 1000, seconds: float | None = 5.0) -> StreamingQuery:
+    """Files that arrive in ``folder`` become rows of ``target``/log; files that give none are told in ``target``/skipped.
+
+    Each micro-batch writes folders of its own, so one that is taken up again
+    after a failure replaces what it had written.  A skipped file leaves a row
+    of nulls in the log, since it takes a place in its run.  ``seconds=None``
+    works off what is there and stops.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        paths = [r["path"] for r in df.select("path").collect()]  # max_files at most
+        if not paths:
+            return
+        log, skipped = scored_files(spark, paths, score)
+        skipped = storage.written(skipped, "live-skipped")
+        lost = skipped.where("run is not null").select("run", "subrun", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in LOG.split(", ")[2:]])
+        # all rows of a file in one part, so that they stay together downstream
+        log.unionByName(lost).repartition("run", "subrun").write.mode("overwrite").parquet(f"{target}/log/batch={number}")
+        skipped.write.mode("overwrite").parquet(f"{target}/skipped/batch={number}")
+
+    writer = file_stream(spark, folder, max_files, since).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def decide(spark: SparkSession, target: str, checkpoint: str, config: DetectorConfig, each: Callable[[DataFrame, int], None] | None = None, good_list: str | None = None, folder: str = "", every: int = 0, refresh: Callable[[int], None] | None = None, seconds: float | None = 5.0) -> StreamingQuery:
+    """Decisions on the files of ``target``/log go to ``target``/decisions and, as they are released, to the good list.
+
+    ``good_list`` gets the paths of released files, below ``folder``; ``each``
+    sees every batch of decisions; ``refresh`` is called with the number of files so
+    far whenever that passes a multiple of ``every``.
+    """
+    seen = 0
+
+    def batch(df: DataFrame, number: int) -> None:
+        nonlocal seen
+        df.write.mode("overwrite").parquet(f"{target}/decisions/batch={number}")
+        rows = spark.read.schema(DECISIONS).parquet(f"{target}/decisions/batch={number}")
+        if good_list is not None:
+            released = rows.select("run", F.explode(F.split("released", ",")).alias("subrun")).where("subrun <> ''")
+            append_good_list(released.select(F.format_string(f"{folder.rstrip('/')}/Digitizer_run%d_subrun%s.csv", "run", "subrun").alias("path")), good_list)
+        if each is not None:
+            each(rows, number)
+        before, seen = seen, seen + rows.count()
+        if refresh is not None and every and seen // every > before // every:
+            refresh(seen)
+
+    stream = spark.readStream.schema(f"{LOG}, batch bigint").parquet(f"{target}/log")
+    decisions = live_status(stream, config.alert_consecutive_n, config.file_alert_n_channels, config.single_file_alert_n_channels, config.single_file_alert_max_z)
+    writer = decisions.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def test_sample(spark: SparkSession, folder: str, n: int, seed: int = 42) -> DataFrame:
+    """(path, filename, run, subrun) of ``n`` of the files that are there, in order; the same for the same seed."""
+    files = list_files(spark, f"{folder}/{PATTERN}")
+    return exact_sample(files, n, ["path"], seed).orderBy(*file_order(), "path")
 
 
 def status_of(persistent: int, anomalous: int, worst: float, least: int, bulk: int, extreme: float) -> str:
@@ -39,7 +151,8 @@ def live_status(log: DataFrame, n: int = 1, least: int = 1, bulk: int = 0, extre
     """Decisions on the files of a streaming anomaly log (run, subrun, channel, anomalous, max_z).
 
     A file's rows are expected in one micro-batch, as a file source gives them.
-    The state of a run has its channels' last n - 1 flags, a file index and the
+    A file whose only row has no channel was skipped: it takes a place in its
+    run and nothing else.  The state of a run has its channels' last n - 1 flags, a file index and the
     held files; ``released`` lists files that a decision lets into the good list.
     """
 
@@ -53,6 +166,10 @@ def live_status(log: DataFrame, n: int = 1, least: int = 1, bulk: int = 0, extre
         rows = pd.concat(list(frames), ignore_index=True)
         out = []
         for subrun, own in rows.groupby("subrun", sort=True):
+            own = own.dropna(subset=["channel"])
+            if own.empty:
+                index += 1
+                continue
             once = own.groupby("channel").agg(anomalous=("anomalous", "max"))
             z = own.loc[own["anomalous"].astype(bool), "max_z"].dropna()
             persistent = 0
@@ -83,17 +200,3 @@ def run_to_end(rows: DataFrame, target: str, checkpoint: str) -> None:
     """Works off what is there, into a Parquet folder, and stops."""
     query = rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-
-
-def monitor(rows: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, seconds: float = 5.0, every: int = 0, refresh: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Hands each micro-batch to ``each``; after every ``every`` batches calls ``refresh`` (new plots, say).
-
-    A batch that fails ends the query; a restart takes it up again.
-    """
-
-    def batch(df: DataFrame, number: int) -> None:
-        each(df, number)
-        if refresh is not None and every and (number + 1) % every == 0:
-            refresh(number)
-
-    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

@@ -1,13 +1,16 @@
 """Operators against small loops that state their rules, and the edge cases."""
 
+import datetime
 import json
+import os
 import random
+import time
 from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
 
-from runlens import config
+from runlens import config, storage
 from runlens.functions import scalar
 from runlens.operators import catalogue, detect, features, forest, reference, report, sampling, status, sweeps
 from runlens.plans import steps
@@ -224,3 +227,248 @@ def test_panels_and_reports(spark):
     assert sweeps.panels(m, 3).count() == 12 and sweeps.panels(m, 2, (6.0, 8.0)).count() == 8
     replies = spark.createDataFrame([('{"category": "hv"}',), ("no json",)], "response string")
     assert [x.raw_response for x in report.parsed_response(replies).collect()] == [None, "no json"]
+
+
+def test_half_even_is_the_binary_value(spark):
+    r = random.Random(2)
+    values = [2.675, 1.005, 0.125, 0.375, -2.675, -0.125, 2.5, 1e11 + 0.125, 0.0, -0.0, 5e-324, 1e300, *(round(r.uniform(-100, 100), 3) for _ in range(500)), *(r.randint(-4000, 4000) / 16 for _ in range(200)), *(r.randint(-9999, 9999) / 1000 + 0.0005 for _ in range(300))]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "i int, x double")
+    for places in (1, 2, 4):
+        got = {x.i: x.y for x in rows.select("i", scalar.half_even(F.col("x"), places).alias("y")).collect()}
+        assert [got[i] for i in range(len(values))] == [round(v, places) for v in values] and got[len(values)] is None
+
+
+def test_utc_stamp(spark):
+    at = datetime.datetime(2024, 7, 1, 12, 0, tzinfo=datetime.timezone.utc)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert spark.createDataFrame([(at,)], "t timestamp").select(scalar.utc_stamp(F.col("t")).alias("s")).first().s == "2024-07-01T12:00:00Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_alert_reasons(spark):
+    rows = [(1, 1, c, True, 7.0) for c in ("3", "trigger_rate")] + [(1, 2, "3", True, 20.25), (1, 2, "4", True, 8.0), (1, 2, "trigger_rate", True, None), (1, 2, "5", False, 1.0)]
+    log = spark.createDataFrame([(*x, "m", "a;b") for x in rows], "run int, subrun int, channel string, anomalous boolean, max_z double, method string, triggered_features string")
+    files = status.file_status(log, 2, 1, 3, 15.0)
+    got = {x.subrun: x.reason for x in report.reasons(log, files, 1, 3, 15.0, 2).collect()}
+    assert got == {2: "2 persistent + 1 transient anomalous ch  (window: 2 files)  |  3/4 anomalous ch  [bulk ≥3]  |  extreme z=20.2 on ch3"}
+    alone = status.file_status(log, 1, 2, 0, 0.0)
+    assert {x.subrun: x.reason for x in report.reasons(log, alone, 2).collect()} == {1: "2 persistent anomalous ch", 2: "3 persistent anomalous ch"}
+    text = report.alert_text(log, files, 1, 3, 15.0, 1, 2).first().text
+    assert text.startswith("run 1 subrun 2: 2 persistent") and text.endswith(" | ch3 (a;b) and 1 more")
+
+
+def test_new_channels_have_no_score(spark):
+    z = spark.createDataFrame([(1, 1, "0", 1.0, True, -0.4, True), (1, 1, "9", None, False, -0.4, True)], "run int, subrun int, channel string, a double, known boolean, if_score double, if_flag boolean")
+    got = {x.channel: (x.method, x.if_score) for x in detect.detection_log(z, ["a"], 5.0).collect()}
+    assert got == {"0": ("isolation_forest", -0.4), "9": ("new_channel", None)}
+
+
+def test_forest_of_few_rows_keeps_its_size(spark):
+    r = random.Random(3)
+    df = spark.createDataFrame([(i, 1, "c", r.gauss(0, 1)) for i in range(50)], "run int, subrun int, channel string, a double")
+    nodes = forest.fit_forest(df, ["a"], ["run", "subrun", "channel"], n_trees=40)
+    assert {x["size"] for x in nodes.select("size").distinct().collect()} == {50}
+    mean = forest.score_forest(df, ["a"], nodes).agg(F.avg("if_score")).first()[0]
+    assert -0.6 < mean < -0.45
+    assert forest.contamination_offset(forest.score_forest(df.limit(0), ["a"], nodes), 0.1) is None
+
+
+def test_directory_is_part_of_a_file(spark):
+    f = spark.createDataFrame([("a", 1, 1, 0, 1.0), ("b", 1, 1, 0, 1.0)], "directory string, run int, subrun int, channel int, m double")
+    side = spark.createDataFrame([("a", 1, 1, 2, 5.0, 9.0), ("a", 1, 1, 1, 4.0, 8.0), ("b", 1, 2, 1, 6.0, 7.0)], "directory string, run int, subrun int, line int, triggerRate_tot double, LVDStotal double")
+    first = features.first_by_file(side)
+    got = {(x.run, x.channel): x for x in features.with_pseudo_rows(f, f, first, None, ["m", "triggerRate_tot"]).where("channel_num is null and triggerRate_tot is not null").collect()}
+    assert len(got) == 1 and got[1, "trigger_rate"].triggerRate_tot == 4.0  # the first line, of the same directory only
+    pins = first.select("directory", "run", "subrun", F.create_map(F.lit(0), F.lit(3.0)).alias("pins"))
+    assert {x.directory: x.LVDSpin for x in features.with_lvds_pin(f, pins).collect()} == {"a": 3.0, "b": None}
+
+
+def test_lists_patterns_and_cases(spark, tmp_path):
+    for n in ("Digitizer_run1601_subrun2.csv", "Digitizer_run1601_subrun10.csv", "Digitizer_run1650_subrun1.csv"):
+        (tmp_path / "slab" / "1600").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "slab" / "1600" / n).write_text("x")
+    (tmp_path / "list.txt").write_text(f"# note\n\n{tmp_path}/slab/1600/*run1650*\n{tmp_path}/slab/1600/*\n{tmp_path}/none*\n")
+    paths, lost = readers.run_list(spark, f"file://{tmp_path}/list.txt")
+    assert [os.path.basename(p) for p in paths] == ["Digitizer_run1650_subrun1.csv", "Digitizer_run1601_subrun10.csv", "Digitizer_run1601_subrun2.csv"] and lost == [f"{tmp_path}/none*"]
+    cfg = config.DetectorConfig()
+    assert steps.files_to_apply(spark, cfg, run=1650, root=str(tmp_path))[0] == paths[:1]
+    assert steps.files_to_apply(spark, cfg, run=7, root=str(tmp_path)) == ([], ["run 7"])
+    assert steps.files_to_apply(spark, cfg, text_list=f"{tmp_path}/list.txt")[0] == paths
+    doc = {"data": [[1601, -1, True, True, True, 0, "v"], [1650, 1, True, False, False, 0, "v"], [1650, 9, True, False, False, 0, "v"], [1700, -1, False, False, False, 0, "v"]]}
+    (tmp_path / "cat.json").write_text(json.dumps(doc))
+    found, missed = steps.files_to_apply(spark, cfg, catalogue=f"{tmp_path}/cat.json", root=str(tmp_path))
+    assert [os.path.basename(p) for p in found] == ["Digitizer_run1601_subrun2.csv", "Digitizer_run1601_subrun10.csv", "Digitizer_run1650_subrun1.csv"] and missed == ["run 1650 subrun 9"]
+    assert len(steps.files_to_apply(spark, config.replace(cfg, sample_fraction=0.3), catalogue=f"{tmp_path}/cat.json", root=str(tmp_path))[0]) == 1
+    for bad in ({}, {"run": 1, "text_list": "x"}):
+        with pytest.raises(ValueError):
+            steps.files_to_apply(spark, cfg, **bad)
+    files = spark.createDataFrame([(f"logs/m/m_run{p}.csv",) for p in ("1", "12", "2x", "[3]")] + [("logs/m/other.csv",)], "filename string")
+    parts = lambda pattern: sorted(x.filename[12:-4] for x in readers.matching_runs(files, "m", pattern).collect())
+    assert parts("*") == ["1", "12", "2x", "[3]"] and parts("1?") == ["12"] and parts("[!1]*") == ["2x", "[3]"] and parts("[[]3]") == ["[3]"] and parts("1") == ["1"] and parts("[12") == []
+    (tmp_path / "kb.json").write_text(json.dumps([{"run": 5, "category": "hv", "more": 1}, {"run": 6}]))
+    assert [tuple(x)[:2] for x in readers.read_knowledge_base(spark, f"{tmp_path}/kb.json").collect()] == [(5, "hv"), (6, None)]
+    assert readers.first_catalogue(spark, [{}, {"goodRunsList_json": f"{tmp_path}/no.json"}, {"goodRunsList_json": f"{tmp_path}/cat.json"}]) == f"{tmp_path}/cat.json"
+    assert readers.run_directory("r", 1699) == "r/slab/1600/Digitizer_run1699_subrun*.csv"
+
+
+def test_small_sinks(spark, tmp_path):
+    out = f"{tmp_path}/m"
+    tiers = spark.createDataFrame([(2, 1, 1, 1, 0), (1, 10, 0, 0, 0), (1, 2, 1, 1, 1)], "run int, subrun int, loose int, medium int, tight int")
+    writers.write_framework(tiers, f"{out}/model/framework.json", "v1")
+    assert json.loads((tmp_path / "m" / "model" / "framework.json").read_text())["data"] == [[1, 2, 1, 1, 1, 0, "v1"], [1, 10, 0, 0, 0, 0, "v1"], [2, 1, 1, 1, 0, 0, "v1"]]
+    (tmp_path / "m" / "model" / "broken.json").write_text("{")
+    assert {(x.model, x.run, x.subrun, x.tight) for x in readers.read_framework(spark, f"{out}/model/*.json").collect()} == {("model", 1, 2, 1), ("model", 1, 10, 0), ("model", 2, 1, 0)}
+    assert readers.unread_framework(spark, f"{out}/model/*.json").count() == 1
+    judged = spark.createDataFrame([("known_good", "ok"), ("known_good", "ok"), ("known_good", "alert"), ("unknown", "warn")], "gt string, status string")
+    counts = writers.write_confusion(judged, f"{out}/model/confusion/confusion.json")
+    read = readers.read_confusion(spark, f"{out}/model/confusion/confusion.json")
+    assert {(x.gt, x.status): x.n for x in read.collect()} == {("known_good", "ok"): 2, ("known_good", "alert"): 1, ("unknown", "warn"): 1}
+    assert sweeps.from_confusion(read).first()[1:4] == (3, 1, 2)
+    writers.write_summary(counts, spark, f"{out}/summary.txt")
+    assert "known_good: 3 files; alert 1 (33.3 %), ok 2 (66.7 %)" in (tmp_path / "m" / "summary.txt").read_text()
+    for part in ("a", "b"):
+        writers.append_good_list(spark.createDataFrame([(part,)], "path string"), f"{out}/good")
+    lines = [x.value for x in spark.read.text(f"{out}/good").collect()]
+    assert sorted(lines) == ["# files that passed the live quality gate", "a", "b"] and readers.expand_globs(lines, lambda p: [p])[0] in (["a", "b"], ["b", "a"])
+    writers.append_suggestions(spark.createDataFrame([(1, "x")], "run int, response string"), f"{out}/suggestions")
+    assert json.loads(spark.read.text(f"{out}/suggestions").first().value) == {"run": 1, "response": "x"}
+    assert writers.remove_outputs(spark, out, ["good", "none"]) == [f"{out}/good"] and storage.exists(spark, f"{out}/good")
+    assert writers.remove_outputs(spark, out, ["good", "none"], confirmed=True) and not storage.exists(spark, f"{out}/good")
+    for name, log in (("a", "1"), ("b", "2")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.csv").write_text(f"timestamp,filename,channel,anomalous,method,triggered_features,max_z,if_score\nt,Digitizer_run{log}_subrun1.csv,3,True,m,f,1,\n")
+        (tmp_path / f"{name}.txt").write_text("p2\np1\n\n" if name == "a" else "p3\np2\n")
+    log, paths = writers.combine_folders(spark, [f"{tmp_path}/a", f"{tmp_path}/b"], [f"{tmp_path}/a.txt", f"{tmp_path}/b.txt"])
+    assert log.count() == 2 and [x.path for x in paths.collect()] == ["p2", "p1", "p3"]
+    assert not writers.newer_than(spark, f"{tmp_path}/a.txt", f"{tmp_path}/b.txt")
+    os.utime(tmp_path / "a.txt", (time.time() + 60, time.time() + 60))
+    assert writers.newer_than(spark, f"{tmp_path}/a.txt", f"{tmp_path}/b.txt")
+    (tmp_path / "t.json").write_text('{"1": {"2": 0.5}}')
+    assert [tuple(x) for x in readers.read_thresholds(spark, f"{tmp_path}/t.json").collect()] == [(18, 0.5)] and readers.uniform_thresholds(spark, 1.5).count() == 96
+
+
+def test_plot_tables(spark):
+    files = spark.createDataFrame([(1, 1, "ok", 0), (1, 2, "alert", 3), (2, 2, "pend", 1), (2, 3, "alert", 9), (2, 4, "warn", 1), (None, None, "alert", 4)], "run int, subrun int, status string, n_anomalous int")
+    assert {(x.run, x.subrun): x.code for x in report.status_grid(files).collect()} == {(1, 1): 1, (1, 2): 4, (1, 3): 0, (1, 4): 0, (2, 1): 0, (2, 2): 2, (2, 3): 4, (2, 4): 3}
+    some = sampling.plot_selection(files, 1).collect()
+    assert [(x.run, x.subrun) for x in some if x.status == "alert"] == [(2, 3)] and len(some) == 2
+    assert sampling.plot_selection(files, -1).count() == 6 and sampling.plot_selection(files, 10).count() == 6
+    names = spark.createDataFrame([(n,) for n in ("trigger_lvds_total", "10", "other", "2", "trigger_rate")], "channel string")
+    assert [x.channel for x in names.where(report.is_channel(F.col("channel"))).orderBy(*report.channel_order(F.col("channel"))).collect()] == ["2", "10", "trigger_rate", "trigger_lvds_total"]
+    assert [x.run for x in files.orderBy(*report.file_order()).collect()] == [1, 1, 2, 2, 2, None]
+    stats = spark.createDataFrame([("1", "a", 3, 12345.0, 1.0), ("2", "a", 3, 1.5, 2.0)], "channel string, feature string, n long, mean double, std double")
+    assert {x.channel: x.text for x in report.mean_table(stats).collect()} == {"1": "1.2e+04", "2": "1.50"}
+    raw = spark.createDataFrame([(1, 1, 4, 1.0), (1, 1, 5, 1.0)], "run int, subrun int, channel int, a double")
+    hits = spark.createDataFrame([(4, 2, 9, 9, 9), (4, 1, 7, 3, 0)], "channel int, event_id int, layer int, row int, column int")
+    got = {x.channel: (x.masked, x.layer, x.y) for x in report.masked_geometry(raw, raw.withColumn("a", F.when(F.col("channel") == 5, F.col("a"))), ["a"], hits).collect()}
+    assert got == {"4": (True, 7, 3.2), "5": (False, None, None)}
+
+
+def test_prompts_and_answers(spark):
+    alerts = spark.createDataFrame([(1, 1, "alert one"), (1, 2, "fail")], "run int, subrun int, text string")
+    cases = spark.createDataFrame([(7, "hv", None), (3, "daq", "crash")], "run int, category string, cause string")
+
+    def provider(prompt):
+        if prompt.startswith("fail"):
+            raise RuntimeError("no answer")
+        return json.dumps({"category": prompt.split("\n\n")[1].splitlines()[0]})
+
+    out = report.parsed_response(report.categorised(report.prompt_text(alerts, cases, "What is it?"), provider))
+    got = {x.subrun: (x.suggestion and x.suggestion.category, x.api_error, x.raw_response) for x in out.collect()}
+    assert got == {1: ("3 / daq / crash", None, None), 2: (None, "no answer", None)}
+
+
+def test_panels_of_few_candidates(spark):
+    m = spark.createDataFrame([("a", 6.0, 1.0), ("b", 6.0, 2.0), ("c", 7.0, 0.5), ("d", 8.0, 9.0), ("e", 8.0, None), ("f", 7.0, 0.1)], "model string, z_threshold double, fp_percent double")
+    names = lambda df: [x.model for x in df.collect()]
+    assert names(sweeps.panel_candidates(m, 3)) == ["f", "c", "a"]
+    assert names(sweeps.panel_candidates(m, 4, both=(6.0, 8.0))) == ["a", "b", "d", "f"]
+    assert names(sweeps.panel_candidates(m, 2, descending=True)) == ["d", "b"]
+    metrics = spark.createDataFrame([("p", 2, 1.0, 50.0), ("q", 2, 1.0, 60.0), ("r", 2, None, 99.0), ("s", 2, 0.5, 10.0)], "panel string, k int, fp_percent double, coverage_percent double")
+    by_fp, by_coverage = sweeps.best_panels(metrics, 2)
+    assert [x.panel for x in by_fp.collect()] == ["s", "q"] and [x.panel for x in by_coverage.collect()] == ["r", "q"]
+
+
+def test_islands_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sweeps, "REACH", 4)
+    r = random.Random(4)
+    numbers = sorted({r.randint(-30, 60) for _ in range(60)})
+    want, last = [], None
+    for n in numbers:
+        if last is None or n != last + 1:
+            want.append([n, n, 0])
+        want[-1][1:], last = [n, want[-1][2] + 1], n
+    got = sorted(list(x) for x in sweeps.run_islands(spark.createDataFrame([(n,) for n in [*numbers, *numbers]] + [(None,)], "run int")).collect())
+    assert got == want
+
+
+def test_votes_by_hand(spark):
+    r = random.Random(6)
+    votes = [(f // 4, f % 4, m, r.randint(0, 1)) for f in range(24) for m in "abc" if r.random() < 0.9]
+    truth = {(f // 4, f % 4): r.random() < 0.5 for f in range(0, 24, 2)}
+    v = spark.createDataFrame(votes, "run int, subrun int, model string, ok int")
+    t = spark.createDataFrame([(*k, g) for k, g in truth.items()], "run int, subrun int, good boolean")
+    pan = {"ab": "ab", "abc": "abc"}
+    p = spark.createDataFrame([(n, m) for n, own in pan.items() for m in own], "panel string, model string")
+    for x in sweeps.vote_metrics(v, t, p).collect():
+        own = {(a, b): sum(1 - o for i, j, m, o in votes if (i, j) == (a, b) and m in pan[x.panel]) for a, b in {(a, b) for a, b, *_ in votes} if sum((i, j) == (a, b) and m in pan[x.panel] for i, j, m, _ in votes) == len(pan[x.panel])}
+        good = [f for f in own if truth.get(f)]
+        assert (x.n_scored, x.n_known_good) == (len(own), len(good)) and x.coverage_percent == pytest.approx(100 * sum(b < x.k for b in own.values()) / len(own))
+        assert x.fp_percent == (pytest.approx(100 * sum(own[f] >= x.k for f in good) / len(good)) if good else None)
+
+
+def hits_file(folder, run, subrun, pulses):
+    """A small hit file; ``pulses`` by channel."""
+    names = readers.HITS.names
+    rows = [[e, c, 0, 0, 0, 0, 1, 1, n, 1, 1, 1, 1, 1, 1, 1, 1] for e in range(3) for c, n in enumerate(pulses)]
+    (folder / f"Digitizer_run{run}_subrun{subrun}.csv").write_text("\n".join([",".join(names), *(",".join(map(str, r)) for r in rows)]) + "\n")
+
+
+def test_live_monitor(spark, tmp_path):
+    """Files -> log, decisions and good list: broken and empty files are told and skipped, a restart goes on."""
+    folder, target = tmp_path / "in", f"{tmp_path}/out"
+    folder.mkdir()
+    cfg = config.DetectorConfig(z_threshold=5.0, alert_consecutive_n=2, file_alert_n_channels=1)
+
+    def score(hits):
+        own = hits.groupBy("run", "subrun", "channel").agg(F.avg("nPulses").alias("x"), F.max(F.col("event_id")).alias("e")).where("channel is not null")
+        own = own.withColumn("x", F.when(F.col("x") == 666, F.raise_error(F.lit("poison"))).otherwise(F.col("x")))
+        return own.select("run", "subrun", F.col("channel").cast("string").alias("channel"), (F.col("x") > 5).alias("anomalous"), F.col("x").cast("double").alias("max_z"))
+
+    def work():
+        monitor.watch(spark, str(folder), score, target, f"{tmp_path}/c1", max_files=3, seconds=None).awaitTermination()
+        monitor.decide(spark, target, f"{tmp_path}/c2", cfg, good_list=f"{target}/good", folder=str(folder), every=2, refresh=refreshed.append, seconds=None).awaitTermination()
+        return {(x.run, x.subrun): (x.file_index, x.status, x.decision) for x in spark.read.parquet(f"{target}/decisions").collect()}
+
+    refreshed = []
+    hits_file(folder, 1, 1, [1, 1])
+    hits_file(folder, 1, 2, [9, 1])
+    (folder / "Digitizer_run1_subrun3.csv").write_text(",".join(readers.HITS.names) + "\n")  # empty
+    (folder / "Digitizer_run1_subrun6.csv").write_text("")  # not yet there
+    (folder / "Digitizer_run1_subrun4.csv").write_bytes(b"\xff\xfe\x00,,,\n\x00\x00")  # no hits
+    hits_file(folder, 1, 5, [666, 1])  # scoring fails
+    (folder / "note.txt").write_text("no hit file")
+    assert work() == {(1, 1): (0, "ok", "list"), (1, 2): (1, "ok", "list")}
+    assert refreshed == [2]
+    told = {x.subrun: x.reason for x in spark.read.parquet(f"{target}/skipped").collect()}
+    assert set(told) == {3, 4, 5} and told[3] == "no events in file" and "poison" in told[5]
+    hits_file(folder, 1, 10, [9, 1])
+    hits_file(folder, 2, 1, [9, 9])
+    after = work()
+    assert after[1, 10] == (5, "alert", "drop") and after[2, 1] == (0, "ok", "hold") and len(after) == 4  # three skipped files took places 2 to 4
+    lines = [x.value for x in spark.read.text(f"{target}/good").collect()]
+    assert sorted(lines) == ["# files that passed the live quality gate", f"{folder}/Digitizer_run1_subrun1.csv", f"{folder}/Digitizer_run1_subrun2.csv"]
+    assert spark.read.parquet(f"{target}/log").where("channel is not null").count() == 8
+    assert [x.filename for x in monitor.test_sample(spark, str(folder), 100).collect()][0] == "Digitizer_run1_subrun1.csv" and monitor.test_sample(spark, str(folder), 2).count() == 2
+    late = monitor.file_stream(spark, str(folder), since="2999-01-01T00:00:00")
+    query = late.writeStream.format("memory").queryName("late").option("checkpointLocation", f"{tmp_path}/c3").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("late").count() == 0
+    assert monitor.hit_stream(spark, str(folder), since="2999-01-01T00:00:00").isStreaming
+    rows = monitor.hit_stream(spark, str(folder)).writeStream.format("memory").queryName("hits").option("checkpointLocation", f"{tmp_path}/c4").trigger(availableNow=True).start()
+    rows.awaitTermination()
+    assert spark.table("hits").where("channel is not null").count() == 5 * 6
