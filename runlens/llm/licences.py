@@ -3,29 +3,34 @@
 Paragraphs are the lines of a text and, so that wrapped notices are read as a
 whole, its blocks of several lines: lines between blank ones, joined by spaces.
 A block is scored as a whole and by sentences, since it may state more than one
-licence.  Features are the word n-grams (one to
-three words) that contain an anchor word, and anchors are all words of the
-templates and of the unknown class's texts but the function words.  A paragraph
-without anchors is not scored: it holds less than ``LEAST_CONTAINED`` of any
-template's word pairs, so it could not be confirmed.
-A sparse multinomial logistic regression over these n-grams gives each
-licence family and an unknown class a probability, at a temperature that is
-calibrated on held-out variants; a family counts as found where it is likely
-enough and one of its templates is contained in the paragraph for the larger
-part.  Everything on texts is in DataFrame functions; the model is fitted on
-the fixed templates below, a few hundred short texts.
+licence.  Features are the word n-grams (one to three words) that contain an
+anchor word, and anchors are all words of the training texts but the function
+words.  A sparse multinomial logistic regression over these n-grams gives each
+licence family and an unknown class a probability.  The unknown class is trained
+on other licences as well as on texts that state none, and the temperature is
+that which suits templates best that the fit has not seen.  A family counts as
+found where it is likely enough and one of its templates is contained in the
+paragraph for the larger part.
+
+Texts that hold none of the ``gate`` words are not looked at further.  These
+words follow from the templates: without them a text holds less than
+``LEAST_CONTAINED`` of any template's word pairs, so nothing of it could be
+confirmed.  Everything on texts is in DataFrame functions; the model is fitted
+on the fixed texts below, a few hundred short ones.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_documents
+from .common import read_documents, row_key
 
 #: Usual statements of licence families; the classifier's training texts and templates.
 TEMPLATES = {
@@ -105,18 +110,32 @@ OTHERS = [
     "the commons voted on the bill", "our license fees have doubled", "license renewal forms are in the office", "a copy of the letter was attached",
     "poetic license is allowed here", "the permission slip must be signed by a parent", "she waived her rights to appeal", "reserved rooms are on the left",
 ]
+#: Statements of licences of no family above; they train the unknown class too.
+OTHER_LICENCES = [
+    "licensed under the mozilla public license version 2.0", "this source code form is subject to the terms of the mozilla public license v. 2.0", "mozilla public license version 2.0",
+    "licensed under the eclipse public license", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0",
+    "released under the microsoft public license", "licensed under the european union public licence version 1.2", "distributed under the boost software license version 1.0",
+    "released under the zlib license", "released under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "available under the artistic license 2.0", "licensed under the academic free license version 3.0", "licensed under the open software license version 3.0",
+    "the contents of this file are subject to the terms of the common development and distribution license", "licensed under the python software foundation license version 2",
+    "this font software is licensed under the sil open font license version 1.1", "made available under the open database license", "licensed under the server side public license version 1",
+    "use of this software is governed by the business source license 1.1", "licensed under the elastic license 2.0", "released under the postgresql license", "spdx license identifier mpl 2.0",
+    "spdx license identifier epl 2.0", "spdx license identifier isc", "licensed under the universal permissive license", "released under the beerware license", "licensed under the educational community license version 2.0",
+]
 UNKNOWN = "unknown"
 FAMILIES = [*TEMPLATES, UNKNOWN]
 #: Words that state nothing by themselves; n-grams of these alone are no features.
 FUNCTION_WORDS = set("a all an and any are as at be been by for from had has have he her his if in into is it its may must no not nd of off on or our she that the their there this to under was were with you your".split())
 #: Least probability of a family, and least share of a template's word pairs in the paragraph.
 LEAST_PROBABILITY, LEAST_CONTAINED = 0.5, 0.6
-ROUNDS, STEP, LASSO = 400, 0.5, 2e-4
+ROUNDS, STEP, LASSO = 300, 0.5, 2e-4
+#: Parts of the templates that are held out in turn.
+FOLDS = 4
 #: What is between words, but line ends.
 TOKEN = r"[^\p{L}\p{N}.\n]+|\.(?![\p{N}])|(?<![\p{N}])\."
 #: Ends of sentences.
 SENTENCE = r"(?<=[.!?])\s+"
-KEY = ["doc_id", "paragraph", "unit"]
+KEY = ["own", "doc_id", "paragraph", "unit"]
 #: GPLv2, LGPLv2.1 and the like are two words and a number.
 VERSIONED = r"(?<=gpl)v(?=[0-9])"
 
@@ -127,7 +146,7 @@ def tokens_of(text: str) -> list[str]:
 
 
 #: Words around which n-grams are features.
-ANCHORS = {w for t in [*OTHERS, *(t for texts in TEMPLATES.values() for t in texts)] for w in tokens_of(t)} - FUNCTION_WORDS
+ANCHORS = {w for t in [*OTHERS, *OTHER_LICENCES, *(t for texts in TEMPLATES.values() for t in texts)] for w in tokens_of(t)} - FUNCTION_WORDS
 
 
 def ngrams(tokens: list[str]) -> set[str]:
@@ -135,6 +154,30 @@ def ngrams(tokens: list[str]) -> set[str]:
     return {" ".join(g) for n in (1, 2, 3) for i in range(len(tokens) - n + 1) if ANCHORS & set(g := tokens[i : i + n])}
 
 
+@functools.lru_cache(1)
+def gate() -> tuple[str, ...]:
+    """Words such that a text without any of them holds less than LEAST_CONTAINED of every template's word pairs.
+
+    Chosen one by one: that which covers most of what is still needed, for its
+    length (short words are found in many texts).
+    """
+    pairs = [list(zip(t, t[1:], strict=False)) for texts in TEMPLATES.values() for t in map(tokens_of, texts)]
+    #: pairs of each template that some word has to cover: so many that fewer than LEAST_CONTAINED are left
+    need = [math.floor((1 - LEAST_CONTAINED) * len(p) + 1e-9) + 1 for p in pairs]
+    chosen: list[str] = []
+    while any(n > 0 for n in need):
+        gain: Counter = Counter()
+        for p, n in zip(pairs, need, strict=True):
+            if n > 0:
+                for w, k in Counter(w for x in p for w in {*x} & ANCHORS).items():
+                    gain[w] += min(n, k)
+        best = max(sorted(gain), key=lambda w: gain[w] * (1.0 if len(w) > 5 else 0.5 if len(w) > 3 else 0.1))
+        chosen.append(best)
+        need = [n - sum(best in x for x in p) for p, n in zip(pairs, need, strict=True)]
+        pairs = [[x for x in p if best not in x] for p in pairs]
+    return tuple(chosen)
+
+
 def variants(text: str) -> list[str]:
     """A text, framed by other words, with a name or year before it, and without single words."""
     words = text.split()
@@ -142,34 +185,55 @@ def variants(text: str) -> list[str]:
     return [text, f"note that {text}", f"copyright 2021 jane doe {text}", f"{text} see the file for details", *shorter]
 
 
+def soft(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+class Texts:
+    """Training texts as places of their n-grams, the last place being the bias."""
+
+    def __init__(self, texts: list[str], vocabulary: dict[str, int]):
+        rows = [[*(vocabulary[g] for g in ngrams(tokens_of(t)) if g in vocabulary), len(vocabulary)] for t in texts]
+        self.place = np.concatenate([np.array(r) for r in rows])
+        self.starts = np.cumsum([0, *map(len, rows[:-1])])
+        self.owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(w[self.place], self.starts, axis=0)
+
+
+def fitted(texts: list[str], y: np.ndarray, vocabulary: dict[str, int]) -> np.ndarray:
+    """Weights (n-grams and bias, families) of a multinomial regression; proximal steps keep weights that do not pay at zero."""
+    x = Texts(texts, vocabulary)
+    w = np.zeros((len(vocabulary) + 1, y.shape[1]))
+    for _ in range(ROUNDS):
+        slope = (soft(x.scores(w)) - y)[x.owner]
+        w -= STEP / len(texts) * np.stack([np.bincount(x.place, slope[:, k], len(w)) for k in range(y.shape[1])], 1)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - STEP * LASSO, 0)
+    return w
+
+
 @functools.lru_cache(1)
 def model() -> tuple[dict[str, list[float]], list[float]]:
     """(n-gram -> weight of each family, bias of each family), at the calibrated temperature.
 
-    Proximal gradient steps keep weights that do not pay at zero.  Every fifth
-    variant is held out; the temperature is the one that gives those the best
-    log likelihood.
+    Templates are held out in turn with all their variants; the temperature is
+    the one that gives those the best log likelihood, and the weights are then
+    fitted on all.
     """
-    texts = [(v, k) for k, name in enumerate(TEMPLATES) for t in TEMPLATES[name] for v in variants(t)]
-    texts += [(v, len(TEMPLATES)) for t in OTHERS for v in (t, f"note that {t}", f"{t} see the file for details")]
-    vocabulary = {g: i for i, g in enumerate(sorted(set().union(*(ngrams(tokens_of(t)) for t, _ in texts))))}
-    x = np.zeros((len(texts), len(vocabulary) + 1))
-    for row, (t, _) in zip(x, texts, strict=True):
-        row[[vocabulary[g] for g in ngrams(tokens_of(t))]] = 1
-        row[-1] = 1
-    y = np.eye(len(FAMILIES))[[k for _, k in texts]]
-    held = np.arange(len(texts)) % 5 == 4
-    w = np.zeros((x.shape[1], len(FAMILIES)))
-
-    def soft(scores: np.ndarray) -> np.ndarray:
-        e = np.exp(scores - scores.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-
-    for _ in range(ROUNDS):
-        w -= STEP * x[~held].T @ (soft(x[~held] @ w) - y[~held]) / (~held).sum()
-        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - STEP * LASSO, 0)
-    loss = {t: -np.log(np.maximum((soft(x[held] @ w / t) * y[held]).sum(1), 1e-12)).mean() for t in np.arange(0.2, 3.01, 0.1)}
-    w /= min(loss, key=loss.get)
+    groups = [(t, k, variants(t)) for k, name in enumerate(TEMPLATES) for t in TEMPLATES[name]]
+    groups += [(t, len(TEMPLATES), [t, f"note that {t}", f"{t} see the file for details"]) for t in [*OTHERS, *OTHER_LICENCES]]
+    texts = [v for _, _, own in groups for v in own]
+    y = np.eye(len(FAMILIES))[[k for _, k, own in groups for _ in own]]
+    fold = np.array([i % FOLDS for i, (_, _, own) in enumerate(groups) for _ in own])
+    vocabulary = {g: i for i, g in enumerate(sorted(set().union(*(ngrams(tokens_of(t)) for t in texts))))}
+    unseen = np.zeros_like(y)
+    for k in range(FOLDS):
+        w = fitted([t for t, f in zip(texts, fold, strict=True) if f != k], y[fold != k], vocabulary)
+        unseen[fold == k] = Texts([t for t, f in zip(texts, fold, strict=True) if f == k], vocabulary).scores(w)
+    loss = {t: -np.log(np.maximum((soft(unseen / t) * y).sum(1), 1e-12)).mean() for t in np.arange(0.2, 5.01, 0.1)}
+    w = fitted(texts, y, vocabulary) / min(loss, key=loss.get)
     return {g: w[i].tolist() for g, i in vocabulary.items() if w[i].any()}, w[-1].tolist()
 
 
@@ -224,19 +288,29 @@ def units_of(text: Column) -> Column:
     return once(versioned(text), read)
 
 
+def gated(text: Column) -> Column:
+    """Whether a text holds a gate word, also as part of a longer one; GPLv2 stands for "gpl version 2"."""
+    low = F.lower(text)
+    found = low.contains("gpl")
+    for w in gate():
+        found |= low.contains(w)
+    return found
+
+
 def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_PROBABILITY, contained: float = LEAST_CONTAINED) -> DataFrame:
-    """(doc_id, paragraph, unit, family, probability, template_share, confirmed) of every line, block and sentence with an anchor.
+    """(own, doc_id, paragraph, unit, family, probability, template_share, confirmed) of every line, block and sentence with an anchor, of texts with a gate word.
 
     ``paragraph`` and ``unit`` are those of ``units_of``.  ``family`` is unknown
     where no family is likely enough; ``confirmed`` where a template agrees.
-    Null and empty texts have no paragraphs.  Rows that share an id must not
-    differ in text (copies count once).  Other columns are not read.
+    Null and empty texts have no paragraphs.  Rows that are alike in id and text
+    count once; ``own`` is their key.  Other columns are not read.
     """
     spark = docs.sparkSession
     weights, bias = model()
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).where(gated(F.col("text")))
+    rows = rows.withColumn("own", row_key(F.col("doc_id"), F.col("text")))
     # for the outer forms Spark infers no filters that would evaluate the arrays again
-    units = rows.select("doc_id", F.inline_outer(units_of(F.col("text")))).where("paragraph is not null")
+    units = rows.select("own", "doc_id", F.inline_outer(units_of(F.col("text")))).where("paragraph is not null")
     grams = units.select(*KEY, F.explode_outer(grams_column(F.col("words"))).alias("gram"))
 
     # fixed templates only: a few thousand short rows; every anchor is one, so that each unit has a row
@@ -260,15 +334,16 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_paragraphs, n_candidates, n_confirmed, families) of every row.
 
     ``n_paragraphs`` are the lines with a word; ``n_candidates`` those that have
-    an anchor or start a block with one, ``n_confirmed`` those that state a
-    licence or start a block that does.  ``families`` are the confirmed ones,
-    sorted, joined by commas; "" if none.
-    Null texts have no paragraphs.
+    an anchor or start a block with one, in texts with a gate word;
+    ``n_confirmed`` those that state a licence or start a block that does.
+    ``families`` are the confirmed ones, sorted, joined by commas; "" if none.
+    Null texts have no paragraphs.  Rows are judged each by its own text, also
+    where ids repeat or are null.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    found = licence_paragraphs(rows).groupBy("doc_id").agg(F.size(F.collect_set("paragraph")).cast("long").alias("n_candidates"), F.size(F.collect_set(F.when(F.col("confirmed"), F.col("paragraph")))).cast("long").alias("n_confirmed"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"))
+    found = licence_paragraphs(rows).groupBy("own").agg(F.size(F.collect_set("paragraph")).cast("long").alias("n_candidates"), F.size(F.collect_set(F.when(F.col("confirmed"), F.col("paragraph")))).cast("long").alias("n_confirmed"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"))
     lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    out = rows.select("doc_id", lines.cast("long").alias("n_paragraphs")).join(found, "doc_id", "left")
+    out = rows.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("own"), lines.cast("long").alias("n_paragraphs")).join(found, "own", "left")
     return out.select("doc_id", "n_paragraphs", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"), F.coalesce("families", F.lit("")).alias("families"))
 
 
