@@ -7,12 +7,10 @@ handled as bytes throughout.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
+import ctypes
 import os
-import re
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,11 +21,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, written  # noqa: F401  # the operators take them from here
+
 #: ASCII white space, as a Java regular expression class.
 SPACES = r"[\x20\x09-\x0D]+"
 #: The same six characters, for translate().
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-OWN_DIR_CONF = "runlens.checkpoint.dir"
 BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Bytes of text that Python works on at once.
 SLICE_BYTES = 8_000_000
@@ -35,64 +34,6 @@ SLICE_BYTES = 8_000_000
 BATCH_BYTES = "8m"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where a local session names none (tests, a laptop), a temporary folder is
-    made and remembered in the session; a cluster must name one.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR_CONF, None)
-    if folder:
-        return folder
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="runlens-")
-    spark.conf.set(OWN_DIR_CONF, folder)
-    return folder
-
-
-_at_exit: set[str] = set()
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder for tables between steps; removed when the driver's process ends."""
-    folder = f"{shared_dir(spark)}/runlens-{spark.sparkContext.applicationId}"
-    if folder not in _at_exit:
-        _at_exit.add(folder)
-        atexit.register(_remove_at_exit, spark, folder)
-    return folder
-
-
-def _remove_at_exit(spark: SparkSession, folder: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may be gone
-        _remove(spark, folder)
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    """Removes a folder by Hadoop's file system, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet into the shared folder and read again.
-
-    This cuts the lineage; lost executors cost no recomputation of ``df``.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes written tables that nothing to come reads."""
-    for table in tables:
-        for folder in {os.path.dirname(x) for x in table.inputFiles()}:
-            _remove(table.sparkSession, folder)
-
-
 def row_key(id_col: Column, text: Column) -> Column:
     """128 bits of an id and a text: rows share a key only where both are equal, so what follows from the text is the same for them."""
     return F.unhex(F.md5(F.concat_ws("\0", F.when(id_col.isNull(), "null").otherwise(F.concat(F.lit("="), id_col.cast("string"))), F.when(text.isNull(), "null").otherwise(F.concat(F.lit("="), text))).cast("binary")))
@@ -155,8 +96,20 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
 
 def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a readable name."""
-    return df.mapInArrow(make, schema)
+    """mapInArrow whose workers give back, after each task, what memory they no longer use."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from make(source)
+        release_memory()
+
+    return df.mapInArrow(batches, schema)
+
+
+def release_memory() -> None:
+    """Free memory goes back to the system; workers live on, and their allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc here
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 _shipped: set[str] = set()

@@ -11,15 +11,20 @@ all with all.  First each node meets one leader, the first node of a bucket of
 its; what this links is one component.  Then, where nodes of different
 components share a bucket, their signatures meet: in small buckets as pairs, in
 large ones block by block inside tasks, those outside the bucket's main
-component against all, each pair in its first common band only.  Of the pairs
-that may be alike, the likeliest of every two components is confirmed on the
-texts; the others follow only where their components are still apart.  So a
-group of near copies costs rows in proportion to its size, texts go only where
-they are compared, and no link that shares a bucket is lost.
+component against all, each pair in its first common band only.  Of the pairs of
+small buckets, the likeliest of every two components is confirmed on the texts,
+and the others follow only where their components are still apart; of a block,
+texts go to those rows that have a candidate there, and pairs are confirmed as
+far as they connect more.  So a group of near copies costs rows in proportion to
+its size, texts go only where they are compared, and no link that shares a
+bucket is lost.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -161,32 +166,80 @@ def in_blocks(members: DataFrame, others: DataFrame) -> DataFrame:
     return dealt(members, 0, "m", "o").unionByName(dealt(others, 1, "o", "m"))
 
 
-def candidates(blocks: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs (node, grp, n, mine, theirs) between the two sides of each block that may be alike.
+def pairs_of(table: pa.Table, least: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row of one side, rows of the other that may be alike) of a block's signatures.
 
-    ``mine`` and ``theirs`` are their components, which differ.  A pair is left
-    to the first band that it shares.
+    Nodes of one component are no pair, and a pair is left to the first band
+    that it shares.
     """
+    side, band, component, size = (table.column(c).to_numpy() for c in ("side", "band", "component", "n_shingles"))
+    bits = np.stack([table.column(c).to_numpy().view(np.uint64) for c in BITS])
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    members = np.flatnonzero(side == 0)
+    for i in np.flatnonzero(side == 1).tolist():
+        differ = (bits[:2, members] ^ bits[:2, i, None]) | (bits[2:, members] ^ bits[2:, i, None])
+        n = PERMUTATIONS - np.bitwise_count(differ).sum(0)
+        low, high = np.minimum(size[members], size[i]), np.maximum(size[members], size[i])
+        near = members[(n >= least) & (component[members] != component[i]) & (100 * low >= percent * high)]
+        near = near[(bands[near] == bands[i]).argmax(1) == band[i]]
+        if len(near):
+            yield i, near
+
+
+def candidates(blocks: DataFrame, percent: int) -> DataFrame:
+    """The rows (grp, mine, theirs, side, node) of blocks with signatures that may be alike to some row of the other side."""
     least = least_matches(percent / 100)
 
-    def pairs(table: pa.Table) -> pa.Table:
-        side, nodes, band, component, size = (table.column(c).to_numpy() for c in ("side", "node", "band", "component", "n_shingles"))
-        bits = np.stack([table.column(c).to_numpy().view(np.uint64) for c in BITS])
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        members = np.flatnonzero(side == 0)
-        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 3]
-        for i in np.flatnonzero(side == 1).tolist():
-            differ = (bits[:2, members] ^ bits[:2, i, None]) | (bits[2:, members] ^ bits[2:, i, None])
-            n = PERMUTATIONS - np.bitwise_count(differ).sum(0).astype(np.int64)
-            low, high = np.minimum(size[members], size[i]), np.maximum(size[members], size[i])
-            near = np.flatnonzero((n >= least) & (component[members] != component[i]) & (100 * low >= percent * high))
-            near = near[(bands[members[near]] == bands[i]).argmax(1) == band[i]]
-            found.append((np.full(len(near), i), members[near], n[near]))
-        a, b, n = map(np.concatenate, zip(*found, strict=True))
-        return pa.table({"node": nodes[a], "grp": nodes[b], "n": n, "mine": component[a], "theirs": component[b]}, pa.schema([(x, pa.int64()) for x in ("node", "grp", "n", "mine", "theirs")]))
-
-    rows = blocks.join(heads.select("node", "n_shingles", *BITS, "bands"), "node")
-    return rows.groupBy("grp", "mine", "theirs").applyInArrow(pairs, "node long, grp long, n long, mine long, theirs long")
+    def some(table: pa.Table) -> pa.Table:
+        hit = np.zeros(len(table), bool)
+        for i, near in pairs_of(table, least, percent):
+            hit[i] = True
+            hit[near] = True
+        return table.select(["grp", "mine", "theirs", "side", "node"]).filter(pa.array(hit))
+
+    return blocks.groupBy("grp", "mine", "theirs").applyInArrow(some, "grp long, mine long, theirs long, side int, node long")
+
+
+def linked(blocks: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of components between the sides of blocks with signatures and texts.
+
+    Each link given connects what was not connected in its block before.
+    """
+    least = least_matches(percent / 100)
+
+    def links(table: pa.Table) -> pa.Table:
+        texts = table.column("text").cast(pa.binary())
+        names = table.column("component").to_numpy()
+        labels, own = np.unique(names, return_inverse=True)
+        parent = list(range(len(labels)))
+        sets: dict[int, np.ndarray] = {}
+
+        def values(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(texts[i].as_py() or b"", width)
+            return sets[i]
+
+        def root(i: int) -> int:
+            i = own[i]
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        a, b = [], []
+        for i, near in pairs_of(table, least, percent):
+            for j in near.tolist():
+                x, y = root(i), root(j)
+                if x == y:
+                    continue
+                mine, theirs = values(i), values(j)
+                n = common_count(mine, theirs)
+                if 100 * n >= percent * (len(mine) + len(theirs) - n):
+                    parent[x] = y
+                    a.append(int(names[i]))
+                    b.append(int(names[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return blocks.groupBy("grp", "mine", "theirs").applyInArrow(links, "a long, b long")
 
 
 def relabelled(table: DataFrame, column: str, labels: DataFrame) -> DataFrame:
@@ -237,27 +290,35 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     placed = written(placed.join(written(mixed, "mixed"), "grp"), "placed")
     small = placed.where(F.col("docs") <= SMALL).select("grp", "node", "component")
     met = small.join(small.toDF("grp", "other", "theirs"), "grp").where("node > other and component <> theirs")
-    pairs = alike(met.select("node", F.col("other").alias("grp"), F.col("component").alias("mine"), "theirs").distinct())
+    pairs = written(alike(met.select("node", F.col("other").alias("grp"), F.col("component").alias("mine"), "theirs").distinct()), "pairs")
+    links = []  # of components
     large = placed.where(F.col("docs") > SMALL).drop("docs")
     if not large.isEmpty():
         counts = large.groupBy("grp", "component").agg(F.count("*").alias("n"))
         main = written(counts.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "main")
         outside = large.join(main, "grp").where("component <> main").drop("main")
-        pairs = pairs.unionByName(candidates(in_blocks(large, outside), heads, percent))
-    pairs = written(pairs, "pairs")
+        blocks = in_blocks(large, outside).join(heads.select("node", "n_shingles", *BITS, "bands"), "node")
+        # texts go to those rows of a block only that have a candidate there
+        some = written(candidates(blocks, percent), "candidates")
+        blocks = blocks.join(some, ["grp", "mine", "theirs", "side", "node"], "left_semi").join(texts, "node")
+        links.append(written(linked(blocks, width, percent), "links"))
     if not pairs.isEmpty():
         two = [F.least("mine", "theirs").alias("low"), F.greatest("mine", "theirs").alias("high")]
-        best = pairs.groupBy(*two).agg(F.max(F.struct("n", "node", "grp")).alias("b")).select("b.node", "b.grp")
-        best = written(best, "best")
-        # links of components from here on
+        best = written(pairs.groupBy(*two).agg(F.max(F.struct("n", "node", "grp")).alias("b")).select("b.node", "b.grp"), "best")
         label = pairs.select("node", "grp", "mine", "theirs")
-        links = confirmed(best, texts, width, percent).select(F.col("a").alias("node"), F.col("b").alias("grp")).join(label, ["node", "grp"])
-        steps.append(connected(links.select(F.col("mine").alias("a"), F.col("theirs").alias("b"))))
-        apart = relabelled(relabelled(label.distinct().join(best, ["node", "grp"], "left_anti"), "mine", steps[1]), "theirs", steps[1]).where("mine <> theirs")
+
+        def by_component(found: DataFrame, named: DataFrame) -> DataFrame:
+            return found.select(F.col("a").alias("node"), F.col("b").alias("grp")).join(named, ["node", "grp"]).select(F.col("mine").alias("a"), F.col("theirs").alias("b"))
+
+        links.append(by_component(confirmed(best, texts, width, percent), label))
+        steps.append(connected(functools.reduce(DataFrame.unionByName, links)))
+        links = []
+        apart = relabelled(relabelled(label.distinct().join(best, ["node", "grp"], "left_anti"), "mine", steps[-1]), "theirs", steps[-1]).where("mine <> theirs")
         apart = written(apart, "apart")
         if not apart.isEmpty():
-            links = confirmed(apart.select("node", "grp"), texts, width, percent).select(F.col("a").alias("node"), F.col("b").alias("grp")).join(apart, ["node", "grp"])
-            steps.append(connected(links.select(F.col("mine").alias("a"), F.col("theirs").alias("b"))))
+            links.append(by_component(confirmed(apart.select("node", "grp"), texts, width, percent), apart))
+    if links:
+        steps.append(connected(functools.reduce(DataFrame.unionByName, links)))
 
     named = heads.select("set_key", "first", F.col("node").alias("component"))
     for step in steps:
