@@ -403,6 +403,50 @@ def test_wrapped_licences(spark):
     assert [tuple(x) for x in units] == [(2, -1, ["the", "license", "plate", "was"])]
 
 
+def test_gate_loses_nothing():
+    """Without gate words a text holds too little of any template; other licences are unknown."""
+    for texts in licences.TEMPLATES.values():
+        for t in map(licences.tokens_of, texts):
+            pairs = set(zip(t, t[1:], strict=False))
+            assert sum(not {*licences.gate()} & {*p} for p in pairs) < licences.LEAST_CONTAINED * len(pairs), t
+    weights, bias = licences.model()
+
+    def family(text):
+        s = np.array(bias) + sum((np.array(weights[g]) for g in licences.ngrams(licences.tokens_of(text)) if g in weights), np.zeros(len(bias)))
+        return licences.FAMILIES[int(s.argmax())]
+
+    unseen = ["this file is under the Mozilla Public License, v. 2.0", "licensed under the Eclipse Public License", "Nokia open source license 1.0", "Mulan PSL v2 license"]
+    assert [family(t) for t in unseen] == ["unknown"] * 4
+    assert [family(t) for t in ("GPLv3 or later", "Distributed under the terms of the MIT license")] == ["gpl", "mit"]
+
+
+def test_licences_judge_rows(spark):
+    """Repeated and null ids, repeated rows: each row by its own text."""
+    rows = [(1, "licensed under the MIT license"), (1, None), (1, "plain text"), (None, "released into the public domain"), (None, "x"), (2, "gpl version 3"), (2, "gpl version 3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(x.doc_id), x.n_paragraphs, x.families) for x in licences.licence_scan(docs).collect())
+    assert got == [("1", 0, ""), ("1", 1, ""), ("1", 1, "mit"), ("2", 1, "gpl"), ("2", 1, "gpl"), ("None", 1, ""), ("None", 1, "public-domain")]
+
+
+def test_licence_shares_by_hand(spark):
+    """Template shares, confirmation and result of whole texts equal a plain loop (single lines only)."""
+    weights, bias = licences.model()
+    texts = [t for own in licences.TEMPLATES.values() for t in own] + ["licensed under the mozilla public license version 2.0", "he had no license", "unless required by applicable law or agreed to in writing this stays", "gpl"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in licences.licence_paragraphs(docs).collect()}
+    for i, text in enumerate(texts):
+        tokens = licences.tokens_of(text)
+        s = np.array(bias) + sum((np.array(weights[g]) for g in licences.ngrams(tokens) if g in weights), np.zeros(len(bias)))
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        family = licences.FAMILIES[int(p.argmax())]
+        own = set(zip(tokens, tokens[1:], strict=False))
+        shares = [len(own & (q := set(zip(t, t[1:], strict=False)))) / len(q) for t in map(licences.tokens_of, licences.TEMPLATES.get(family, []))]
+        family = family if p.max() >= licences.LEAST_PROBABILITY else "unknown"
+        x = got[i]
+        assert x.family == family and x.template_share == pytest.approx(max(shares, default=0.0)), text
+        assert x.confirmed == (family != "unknown" and max(shares, default=0.0) >= licences.LEAST_CONTAINED)
+
+
 def test_licence_scores_by_hand(spark):
     """Probabilities in SQL equal a plain loop over the same weights."""
     weights, bias = licences.model()
@@ -434,6 +478,110 @@ def test_chat_trees(spark):
     assert chat.format_trees(m.limit(0)).count() == 0
 
 
+def test_chat_keeps_every_row(spark, tmp_path):
+    """Repeated and null turns, null ids, roles and texts; extra columns."""
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "c"), (1, 1, "assistant", "c"), (1, None, "system", "s"), (2, 0, None, None), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (3, 5, "assistant", "#<\\")]
+    made = spark.createDataFrame([(*x, "t", 1, 2) for x in rows], "conv_id long, turn long, role string, text string, tree string, node long, leaf long")
+    made.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {x.conv_id: x for x in chat.op10_chat_format(spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert set(got) == {1, 2, 3, None, -7} and got[1].n_turns == 5
+    assert got[1].turns_sha256 == sha("system\ns\nuser\na\nassistant\nb\nassistant\nc\nassistant\nc\n") and got[1].loss_chars == 3 and got[1].loss_sha256 == sha("bcc")
+    assert got[2].turns_sha256 == sha("\n\n") and got[None].turns_sha256 == sha("user\nx\nassistant\ny\n") and got[3].loss_sha256 == sha("#<\\")
+    made.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert [x.conv_id for x in chat.op10_chat_format(spark, f"{tmp_path}/none").collect()] == [-7]
+
+
+def brute_paths(rows, keep):
+    """Best paths of each tree by walking up from every leaf."""
+    out = {}
+    for tree in {r[0] for r in rows}:
+        own = {r[1]: r for r in rows if r[0] == tree}
+        ranked = []
+        for leaf in set(own) - {r[2] for r in own.values() if r[2] in own}:
+            path, at = [], leaf
+            while at in own and len(path) <= len(own):
+                path.append(at)
+                at = own[at][2]
+            if len(path) <= len(own):
+                ranked.append((-sum(own[x][5] for x in path), leaf, path[::-1]))
+        out.update({(tree, leaf, k + 1): path for k, (_, leaf, path) in enumerate(sorted(ranked)[:keep])})
+    return out
+
+
+def test_reply_paths_against_walks(spark):
+    r = random.Random(9)
+    rows = []
+    for tree in range(12):
+        n = r.randint(1, 60)
+        rows += [(tree, i, None if i == 0 or r.random() < 0.05 else r.randrange(i) if r.random() < 0.5 else i - 1, "user", "t", float(r.randint(0, 4))) for i in range(n)]
+    m = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, role string, text string, score double")
+    for keep in (1, 3, None):
+        found = collections.defaultdict(list)
+        for x in chat.reply_paths(m, keep=keep).collect():
+            found[x.tree, x.leaf, x.branch].append((x.depth, x.node))
+        assert {k: [n for _, n in sorted(v)] for k, v in found.items()} == brute_paths(rows, keep)
+        assert all([d for d, _ in sorted(v)] == list(range(len(v))) for v in found.values())
+
+
+def test_op7_and_op9_by_hand(spark, tmp_path):
+    """The queries' own columns, at their own capacity, against the library."""
+    library = Tokenizer.from_file(PATH)
+    rows = corpus(6) + [(3, "more text of id 3", None), (3, "more text of id 3", None), (None, " ".join(ODD), None)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want, pieces = [], collections.Counter()
+    for i, t, _ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((str(i), len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+        whole = np.array([*ids, 0], "<u4")
+        pieces.update((str(i), k, a, len(whole[a : a + 2048]), zlib.crc32(whole[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(whole), 2048)))
+    got = [(str(x.doc_id), x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in bpe.op7_bpe(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    packed = packing.op9_best_fit_packing(spark, str(tmp_path)).collect()
+    assert collections.Counter((str(x.doc_id), x.piece, x.start, x.length, x.ids_crc32) for x in packed) == pieces
+    by_sequence = collections.defaultdict(list)
+    for x in packed:
+        by_sequence[x.sequence_id].append((x.offset, x.length))
+    for own in by_sequence.values():
+        assert [a for a, _ in sorted(own)] == np.cumsum([0] + [n for _, n in sorted(own)])[:-1].tolist() and sum(n for _, n in own) <= 2048
+    assert len(by_sequence) <= -(-sum(x.length for x in packed) // 2048) + 1
+
+
+def test_packing_is_near_the_optimum():
+    """Against all ways to pack a few pieces."""
+    def fewest(items, capacity):
+        best, bins = len(items), []
+
+        def place(k):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if k == len(items):
+                best = len(bins)
+                return
+            for j in range(len(bins)):
+                if bins[j] + items[k] <= capacity and bins[j] not in bins[:j]:
+                    bins[j] += items[k]
+                    place(k + 1)
+                    bins[j] -= items[k]
+            bins.append(items[k])
+            place(k + 1)
+            bins.pop()
+
+        place(0)
+        return best
+
+    r = random.Random(10)
+    over = 0
+    for _ in range(60):
+        items = sorted((r.randint(1, 20) for _ in range(r.randint(1, 9))), reverse=True)
+        used = sum(n for _, n in packing.plan_packing(dict(collections.Counter(items)), 20))
+        over += used - fewest(items, 20)
+        assert used - fewest(items, 20) <= 1
+    assert over <= 6
+
+
 def test_queries_return_their_columns(spark):
     from runlens.llm import queries
 
