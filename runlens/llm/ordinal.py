@@ -27,10 +27,9 @@ BUCKETS = 1 << 18
 SAMPLE = 16_000
 #: Features found in fewer documents of the sample have no weight.
 LEAST_DOCS = 5
-#: Features whose documents' grades differ from the sample's by fewer standard errors have none either:
-#: with many more features than documents, weights would otherwise learn the sample by heart.
-SCREEN = 5.0
 #: Nor have features with which a grade is reached about as often as without: by this much, at least, the shares differ.
+#: They also differ by more standard errors than the largest of so many chance differences would, sqrt(2 ln n) for n
+#: features: with many more features than documents, weights would otherwise learn the sample by heart.
 APART = 0.3
 ROUNDS, STEP, RIDGE = 600, 0.1, 5e-5
 #: Lengths, in bytes, of word beginnings that are features too.
@@ -250,7 +249,9 @@ def fit_on(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAM
         apart = F.abs(F.count_if(F.col("grade") >= g) / F.count("*") - share)
         strength = F.greatest(strength, F.when(apart >= APART, apart * F.sqrt(F.count("*") / (share * (1 - share)))).otherwise(0.0))
     by_bucket = rated.select("grade", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("docs"), strength.alias("strength"))
-    strong = by_bucket.where((F.col("docs") >= LEAST_DOCS) & (F.col("strength") >= SCREEN)).select("bucket")
+    frequent = written(by_bucket.where(F.col("docs") >= LEAST_DOCS), "features")
+    least = (2 * np.log(max(2, frequent.count()))) ** 0.5
+    strong = frequent.where(F.col("strength") >= float(least)).select("bucket")
     columns = np.array(sorted(r["bucket"] for r in strong.collect()), np.int32)  # at most BUCKETS numbers
 
     def narrowed(source):

@@ -75,6 +75,15 @@ def test_near(spark, seed, width, percent, small, block, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got} == brute_near(rows, width, percent)
 
 
+@pytest.mark.parametrize("width,percent", [(5, 80), (3, 85)])
+def test_near_on_given_texts(spark, width, percent):
+    """No link is lost on the given documents, at the pipeline's setting and at the query's."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(x.doc_id, x.text, None) for x in docs.collect()]
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash.near_components(docs, width, percent).collect()}
+    assert got == brute_near(rows, width, percent)
+
+
 def test_near_edges(spark):
     docs = frame(spark, corpus(4, 10))
     assert minhash.near_components(docs.limit(0)).count() == 0

@@ -311,6 +311,17 @@ def test_ordinal_on_held_out_documents(spark):
         assert 0 <= x.tail_prob <= 1 and x.tail_prob <= x.expected_grade <= 2
 
 
+def test_ordinal_on_few_labels(spark):
+    """With 200 labels, half of the smaller table's: junk goes, clean documents stay, and most toxic ones of the language that has the most are known."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    grades = ordinal.graded(spark, "/root/testdata/sf0.01")
+    model = ordinal.fit_on(docs, grades.where("doc_id % 2 = 0"), 3)
+    got = ordinal.ordinal_scores(docs, model, carry=["lang"]).join(grades.where("doc_id % 2 = 1"), "doc_id").collect()
+    kept = lambda own: sum(x.kept for x in own) / len(own)
+    assert kept([x for x in got if x.grade == 2]) > 0.97 and kept([x for x in got if x.grade == 0]) < 0.1
+    assert kept([x for x in got if x.grade == 1 and x.row.lang == "en"]) < 0.3
+
+
 def test_scorer_equals_features_and_tails():
     """Scores of slices of texts are those of one text at a time."""
     r = random.Random(8)
