@@ -9,6 +9,7 @@ from .operators import features as feat
 from .operators import reference as ref
 from .operators.detect import detection_log
 from .operators.status import file_status
+from .storage import written
 
 METRICS = ["quantity", "price", "tax", "discount"]
 #: Features that are scored.
@@ -53,25 +54,25 @@ def good(scored_: DataFrame) -> DataFrame:
 
 
 def stats(scored_: DataFrame) -> DataFrame:
-    """The reference of the good files.
+    """The reference of the good files."""
+    return ref.reference_stats(ref.reference_state(good(scored_), COLUMNS)).where("n > 0")
 
-    The good rows are picked inside the aggregates, so that scoring and
-    reference read one and the same shuffled features.
-    """
-    picked = scored_.select("channel", *[F.when(is_good(), F.col(c)).alias(c) for c in COLUMNS])
-    return ref.reference_stats(ref.reference_state(picked, COLUMNS)).where("n > 0")
+
+def scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of all files, aggregated once and kept as a table: reference, scoring and missing channels all read them."""
+    return written(scored(features(spark, sf_dir, COLUMNS)), "features")
 
 
 def zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = scored(features(spark, sf_dir, COLUMNS))
+    f = scored_once(spark, sf_dir)
     return ref.zscores(f, stats(f), COLUMNS)
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The anomaly log.  Features are aggregated once and read by reference and scoring."""
-    f = scored(features(spark, sf_dir, COLUMNS))
+    """The anomaly log, kept as a table."""
+    f = scored_once(spark, sf_dir)
     s = stats(f)
-    return detection_log(ref.zscores(f, s, COLUMNS), COLUMNS, Z, s.select("channel").distinct())
+    return written(detection_log(ref.zscores(f, s, COLUMNS), COLUMNS, Z, s.select("channel").distinct()), "log")
 
 
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:

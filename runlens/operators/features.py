@@ -5,6 +5,7 @@ from __future__ import annotations
 from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bit, guarded
@@ -36,7 +37,8 @@ def channel_features(hits: DataFrame, metrics: list[str] = METRICS, pulses: str
     names the features that are wanted.
 
     Distinct (file, channel, event) are dealt out by file and event, so that
-    no file's events meet in one task; channel and file counts are sums over them.
+    no file's events meet in one task.  There one row of each (file, event) is
+    marked, and all counts are sums over (file, channel).
     """
     names = [f"{m}_{s}" for m in metrics for s in ("mean", "std", "median") if only is None or f"{m}_{s}" in only]
     shares = [c for c in ("occupancy", "frac_dead") if only is None or c in only]
@@ -47,12 +49,11 @@ def channel_features(hits: DataFrame, metrics: list[str] = METRICS, pulses: str
         return own
     dead = F.max(F.col(pulses) == 0) if "frac_dead" in shares else F.lit(False)
     events = hits.where(F.col(event).isNotNull()).repartition(*FILE, event).groupBy(*FILE, event, "channel").agg(dead.alias("dead"))
-    by_channel = events.groupBy(*FILE, "channel").agg(F.count("*").alias("n_events"), F.count_if("dead").alias("n_dead")).where("channel is not null")
-    rows = own.join(by_channel, [*FILE, "channel"], "left")
-    if "occupancy" in shares:
-        by_file = events.groupBy(*FILE, event).agg(F.lit(1).alias("one")).groupBy(*FILE).agg(F.count("*").alias("file_events"))
-        rows = rows.join(by_file, FILE, "left")
-    values = {"occupancy": F.try_divide("n_events", "file_events") if "occupancy" in shares else None, "frac_dead": F.try_divide("n_dead", "n_events")}
+    first = F.row_number().over(W.partitionBy(*FILE, event).orderBy("channel")) == 1
+    counts = events.withColumn("first", first).groupBy(*FILE, "channel").agg(F.count("*").alias("n_events"), F.count_if("dead").alias("n_dead"), F.count_if("first").alias("n_first"))
+    counts = counts.withColumn("file_events", F.sum("n_first").over(W.partitionBy(*FILE)))
+    rows = own.join(counts, [*FILE, "channel"], "left")
+    values = {"occupancy": F.try_divide("n_events", "file_events"), "frac_dead": F.try_divide("n_dead", "n_events")}
     return rows.select(*FILE, "channel", *names, *[F.coalesce(values[c], F.lit(0.0)).alias(c) for c in shares])
 
 
