@@ -265,12 +265,14 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("own", row_key(F.col("doc_id"), F.col("text")))
     signed = written(signatures(rows.select("own", "doc_id", "text"), width), "signatures")
     heads = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.min("own").alias("own"), *[F.first(c).alias(c) for c in ("n_shingles", *BITS, "bands")])
-    heads = written(heads.withColumn("node", F.monotonically_increasing_id()), "heads")
+    # leaders are the nodes of the smallest ids: later copies are made of earlier ones, so they are closer to these than to each other
+    rank = F.coalesce("first", F.lit((1 << 63) - 1)).alias("rank")
+    heads = written(heads.select("*", rank, F.monotonically_increasing_id().alias("node")), "heads")
     bits = heads.select("node", "n_shingles", *BITS)
 
-    bands = heads.select("node", F.posexplode("bands").alias("band", "bucket"))
-    buckets = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").drop("last")
-    shared = written(bands.join(written(buckets, "buckets"), "bucket"), "shared")
+    bands = heads.select("node", "rank", F.posexplode("bands").alias("band", "bucket"))
+    buckets = bands.groupBy("bucket").agg(F.min(F.struct("rank", "node")).alias("leader"), F.count("*").alias("nodes")).where("nodes > 1").select("bucket", F.col("leader.rank").alias("leader_rank"), F.col("leader.node").alias("leader"))
+    shared = written(bands.drop("rank").join(written(buckets, "buckets"), "bucket"), "shared")
     least = least_matches(percent / 100)
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -279,8 +281,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         sized = 100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")
         return both.where(sized).select(*[F.col(f"p.{c}") for c in pairs.columns], agreeing("x", "y").alias("n")).where(F.col("n") >= least)
 
-    led = alike(shared.where("node <> leader").select("node", F.col("leader").alias("grp")).distinct())
-    star = written(led.groupBy("node").agg(F.max_by("grp", F.struct("n", -F.col("grp"))).alias("grp")), "stars")
+    led = alike(shared.where("node <> leader").select("node", F.col("leader").alias("grp"), "leader_rank").distinct())
+    star = written(led.groupBy("node").agg(F.max_by("grp", F.struct("n", -F.col("leader_rank"), -F.col("grp"))).alias("grp")), "stars")
     near = heads.join(shared.select("node").distinct(), "node", "left_semi").select("node", "own")
     texts = written(rows.select("own", "text").join(near, "own").dropDuplicates(["node"]).drop("own"), "near-texts")
     steps = [connected(confirmed(star, texts, width, percent))]
