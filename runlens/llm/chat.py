@@ -13,6 +13,7 @@ back by dropping those backslashes.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -54,17 +55,21 @@ def reply_paths(messages: DataFrame, tree: str = "tree_id", node: str = "node_id
     # round k: far is the ancestor at distance 2 ** k, null beyond the root; total and length are those of the way there
     rows = written(rows.withColumn("length", F.when(F.col("far").isNull(), 0).otherwise(1)), "messages")
     most = rows.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    rounds, now = [], rows
+    rounds, parts = [], [rows.where("far is null")]  # parts: messages whose root is reached
+    active = rows.where("far is not null")
     for _ in range(most.bit_length()):  # no path is longer than its tree
-        ahead = now.where("far is not null")
-        if ahead.isEmpty():
+        if active.isEmpty():
             break
-        rounds.append(ahead.select("tree", "node", "far"))
-        there = now.select("tree", F.col("node").alias("far"), F.col("far").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
-        now = now.join(there, ["tree", "far"], "left").select("tree", "node", F.col("next").alias("far"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("further", F.lit(0))).alias("length"))
-        now = written(now, "ancestors")
+        rounds.append(active.select("tree", "node", "far"))
+        # only trees that go on are looked at
+        known = functools.reduce(DataFrame.unionByName, [*parts, active]).join(active.select("tree").distinct(), "tree", "left_semi")
+        there = known.select("tree", F.col("node").alias("far"), F.col("far").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
+        moved = active.join(there, ["tree", "far"]).select("tree", "node", F.col("next").alias("far"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("further")).alias("length"))
+        moved = written(moved, "ancestors")
+        parts.append(moved.where("far is null"))
+        active = moved.where("far is not null")  # what is left at the end has a cycle ahead
     parents = rows.where("far is not null").select("tree", F.col("far").alias("node"))
-    totals = now.where("far is null").join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "total", "length")  # where far is left, a cycle is ahead
+    totals = functools.reduce(DataFrame.unionByName, parts).join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "total", "length")
     if keep == 1:
         best = totals.groupBy("tree").agg(F.min(F.struct((-F.col("total")).alias("o"), "leaf", "length")).alias("b")).select("tree", "b.leaf", "b.length", F.lit(1).alias("branch"))
     else:
