@@ -10,6 +10,7 @@ from .media import op3_media_columns
 from .minhash import op8_minhash_dedup
 from .ordinal import op6_quality_classifier
 from .packing import op9_best_fit_packing
+from .resample import op11_importance_resampling
 from .rules import op2_quality_rules
 from .substring import op4_substring_dedup
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_chat_format": op10_chat_format,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 WORDS_SQL = r"""words as (
   select doc_id, list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents)"""
@@ -66,9 +68,53 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from turns group by conv_id
 """
 
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 of a SQL expression, byte by byte."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1 for c in table]
+    values = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {values}), lambda c, b: xor(c >> 8, ({table}::bigint[])[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+RESAMPLE_SQL = rf"""
+with texts as (
+  select 'own' as side, doc_id, text from documents union all select 'target', null, text from benchmark
+), words as (
+  select side, row_number() over () as own, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws
+  from texts
+), runs as (
+  select side, own, array_to_string(ws[i:i + n - 1], ' ') as f
+  from words, unnest(range(1, 4)) a(n), unnest(range(1, len(ws) - n + 2)) b(i)
+), hashed as (
+  select f, {crc32_sql("f")} % 10000 as bucket from (select distinct f from runs)
+), counted as (
+  select side, bucket, count(*) as n from runs join hashed using (f) group by all
+), sums as (
+  select coalesce(sum(n) filter (side = 'own'), 0)::double as s_all, coalesce(sum(n) filter (side = 'target'), 0)::double as t_all from counted
+), gains as (
+  select bucket, floor(1000 * ln((coalesce(t.n, 0)::double + 1) * (s_all + 10000) / ((coalesce(s.n, 0)::double + 1) * (t_all + 10000))))::bigint as gain
+  from sums cross join range(10000) b(bucket) left join (from counted where side = 'own') s using (bucket) left join (from counted where side = 'target') t using (bucket)
+), weights as (
+  select own, sum(gain)::bigint as weight from runs join hashed using (f) join gains using (bucket) where side = 'own' group by own
+), scored as (
+  select doc_id, len(ws) as n_words, (len(ws) + greatest(len(ws) - 1, 0) + greatest(len(ws) - 2, 0))::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5)::double / 4294967296))))::bigint as score
+  from words left join weights using (own) where side = 'own'
+), able as (
+  select *, row_number() over (order by score desc, doc_id nulls last) as place, count(*) over () as n from scored where n_words >= 20
+)
+select doc_id, n_features, weight, score, n_words, case when place <= 5 * n // 100 then place end as rank from able
+union all select doc_id, n_features, weight, score, n_words, null from scored where n_words < 20
+"""
+
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": SUBSTRING_SQL,
     "op5_line_dedup": LINE_DEDUP_SQL,
     "op8_minhash_dedup": MINHASH_SQL,
     "op10_chat_format": CHAT_SQL,
+    "op11_importance_resampling": RESAMPLE_SQL,
 }
