@@ -12,6 +12,7 @@ from .ordinal import op6_quality_classifier
 from .packing import op9_best_fit_packing
 from .resample import op11_importance_resampling
 from .rules import op2_quality_rules
+from .spelling import op12_spelling_variants
 from .substring import op4_substring_dedup
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_chat_format": op10_chat_format,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 WORDS_SQL = r"""words as (
   select doc_id, list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents)"""
@@ -111,10 +113,41 @@ select doc_id, n_features, weight, score, n_words, case when place <= 5 * n // 1
 union all select doc_id, n_features, weight, score, n_words, null from scored where n_words < 20
 """
 
+SPELLING_SQL = rf"""
+with recursive runs as (
+  select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) t(run)
+), hashed as (
+  select *, {crc32_sql("(coalesce(doc_id::varchar, '') || ':' || run)")} as h from (select doc_id, run, count(*) as n from runs group by all)
+), words as (
+  select word, sum(n)::bigint as n
+  from (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from hashed)
+  where length(word) >= 6 group by word having sum(n) >= 5
+), shorter as (
+  select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as s from words, unnest(range(1, length(word) + 1)) t(i)
+), pairs as (
+  select a.word, b.word as near from shorter a join shorter b using (s, i) where a.word <> b.word
+  union select a.word, b.word from shorter a join words b on a.s = b.word
+  union select b.word, a.word from shorter a join words b on a.s = b.word
+), best as (
+  select p.word, w.n, p.near, v.n as near_n, row_number() over (partition by p.word order by v.n desc, p.near) as k, count(*) over (partition by p.word) as n_near
+  from pairs p join words w on w.word = p.word join words v on v.word = p.near
+), forms as (
+  select word, near as form, near_n as form_n from best where k = 1 and near_n >= 5 * n
+), chain as (
+  select word, word as here, 0 as step from words union all select c.word, f.form, step + 1 from chain c join forms f on f.word = c.here
+), roots as (
+  select word, arg_max(here, step) as root from chain group by word
+)
+select word, f.form, r.root, w.n, coalesce(b.n_near, 0)::bigint as n_near, f.form_n
+from words w join roots r using (word) left join forms f using (word) left join (from best where k = 1) b using (word)
+"""
+
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": SUBSTRING_SQL,
     "op5_line_dedup": LINE_DEDUP_SQL,
     "op8_minhash_dedup": MINHASH_SQL,
     "op10_chat_format": CHAT_SQL,
     "op11_importance_resampling": RESAMPLE_SQL,
+    "op12_spelling_variants": SPELLING_SQL,
 }
