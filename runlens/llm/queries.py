@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .bpe import op7_bpe
 from .chat import op10_chat_format
 from .licences import op1_license_scan
@@ -12,6 +14,7 @@ from .ordinal import op6_quality_classifier
 from .packing import op9_best_fit_packing
 from .resample import op11_importance_resampling
 from .rules import op2_quality_rules
+from .secrets import BASE, RULES, Rule, op13_secret_scan
 from .spelling import op12_spelling_variants
 from .substring import op4_substring_dedup
 
@@ -28,6 +31,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_secret_scan": op13_secret_scan,
 }
 WORDS_SQL = r"""words as (
   select doc_id, list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents)"""
@@ -143,6 +147,37 @@ select word, f.form, r.root, w.n, coalesce(b.n_near, 0)::bigint as n_near, f.for
 from words w join roots r using (word) left join forms f using (word) left join (from best where k = 1) b using (word)
 """
 
+
+def secrets_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """Every rule in every text, without an index: each match with what stands before it, from which lengths give its place."""
+
+    def pattern(r: Rule) -> str:
+        p = r.pattern
+        if r.any_case:  # ASCII letters only; outside of classes these patterns have no other letters than their own words and \\x20
+            p = re.sub(r"\\x20|\[[^]]*\]|[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]" if len(m[0]) == 1 else m[0], p)
+        return p.replace("'", "''")
+
+    rows = " union all ".join(
+        f"select doc_id, own, {i} as rank, '{r.kind}' as kind, {r.least} as least, regexp_extract_all(t, '((?s:.)*?)({pattern(r)})', 0) as w, regexp_extract_all(t, '((?s:.)*?)({pattern(r)})', 1) as p, regexp_extract_all(t, '((?s:.)*?)({pattern(r)})', {3 if '(' in pattern(r).replace('(?:', '') else 2}) as g from texts"
+        for i, r in enumerate(rules)
+    )
+    return f"""
+with texts as (select doc_id, row_number() over () as own, coalesce(text, '') as t from documents),
+found as ({rows}),
+placed as (
+  select own, rank, kind, least, length(g[k]) as size, list_sum(list_transform(w[1:k], lambda x: length(x)))::bigint as stop, length(w[k]) - length(p[k]) as long
+  from found, unnest(range(1, len(w) + 1)) t(k)
+), spans as (select own, rank, kind, (stop - long)::bigint as start, kind || ':' || (stop - long)::bigint || ':' || stop as span from placed where size >= least),
+grouped as (
+  select own, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex,
+         string_agg(span, ',' order by start, rank) filter (rank < {BASE}) as base, string_agg(span, ',' order by start, rank) as spans
+  from spans group by own
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join grouped using (own)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": SUBSTRING_SQL,
     "op5_line_dedup": LINE_DEDUP_SQL,
@@ -150,4 +185,5 @@ ORACLES: dict[str, str] = {
     "op10_chat_format": CHAT_SQL,
     "op11_importance_resampling": RESAMPLE_SQL,
     "op12_spelling_variants": SPELLING_SQL,
+    "op13_secret_scan": secrets_sql(),
 }
