@@ -20,6 +20,7 @@ import json
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -37,6 +38,8 @@ SUFFIX = "</w>"
 NEVER = 1 << 40
 #: Words and pairs remembered by a worker.
 REMEMBERED = 400_000
+#: Symbols of a long word that the automaton reads at once, at first and at most; the first is more than twice the longest token.
+REACH, MOST_REACH = 256, 1 << 16
 
 
 def byte_symbols() -> list[str]:
@@ -79,6 +82,8 @@ class Vocabulary:
         self.id_bytes = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
         #: token -> the longest token that is a shorter beginning of it
         self.shorter = {t: next((t[:n] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), None) for t in self.ids}
+        self.longest = max(map(len, self.ids))
+        assert 2 * self.longest < REACH, "a vocabulary of longer tokens needs a larger REACH"
         self.automaton = ahocorasick.Automaton()
         for t in self.ids:
             self.automaton.add_word(t, t)
@@ -133,39 +138,61 @@ class Vocabulary:
             self.follow[a].add(b) if fit else self.apart.add((a, b))
         return fit
 
+    def longest_from(self, word: str, at: int) -> Iterator[tuple[int, str]]:
+        """The longest tokens from a place on, each where the one before ends.
+
+        The automaton copies what it reads, so a long word is read in pieces
+        that grow while no token is turned down; at a piece's end, tokens that
+        might go on beyond it are looked for again.
+        """
+        size = REACH
+        while at < len(word):
+            piece = word[at : at + size]
+            last = at + len(piece) == len(word)
+            for end, t in self.automaton.iter_long(piece):
+                if not last and end >= len(piece) - self.longest:
+                    at += end + 1 - len(t)
+                    break
+                yield end, t
+            else:
+                return
+            size = min(2 * size, MOST_REACH)
+
     def cover(self, word: str) -> list[str]:
         """Tokens of one pre-token, given as symbols with a marked end."""
         follow, shorter = self.follow, self.shorter
         tokens: list[str] = []
+        ends = [0]  # where each token ends, after the word's beginning
         before, dead = "", set()
-        matches = self.automaton.iter_long(word)
+        matches = self.automaton.iter_long(word) if len(word) <= REACH else self.longest_from(word, 0)
         while True:
             for _, t in matches:  # the longest token at the end of those before
-                if dead and sum(map(len, tokens)) + len(t) in dead or before and t not in follow[before] and not self.fits(before, t):
+                at = ends[-1] + len(t)
+                if at in dead or before and t not in follow[before] and not self.fits(before, t):
                     break
                 tokens.append(t)
+                ends.append(at)
                 before = t
             else:
                 return tokens
-            at = sum(map(len, tokens))
             while True:
                 t = shorter.get(t)
                 if t is None:  # no token is left here: shorten the one before
-                    dead.add(at)
+                    dead.add(ends.pop())
                     t = tokens.pop()
                     before = tokens[-1] if tokens else ""
-                    at -= len(t)
-                elif at + len(t) not in dead and (not before or self.fits(before, t)):
+                elif ends[-1] + len(t) not in dead and (not before or self.fits(before, t)):
                     break
             tokens.append(t)
+            ends.append(ends[-1] + len(t))
             before = t
-            matches = self.automaton.iter_long(word, at + len(t))
+            matches = self.automaton.iter_long(word, ends[-1]) if len(word) <= REACH else self.longest_from(word, ends[-1])
 
     def pre_token_ids(self, piece: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a pre-token."""
         symbols = piece if piece.isascii() and piece.isprintable() else "".join(map(self.symbols.__getitem__, piece.encode()))
         found = b"".join(map(self.id_bytes.__getitem__, self.cover(symbols[:-1] + self.ends[symbols[-1]])))
-        if len(self.pre_tokens) < REMEMBERED:
+        if len(self.pre_tokens) < REMEMBERED and len(piece) <= REACH:
             self.pre_tokens[piece] = found
         return found
 

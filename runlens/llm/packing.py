@@ -8,7 +8,8 @@ the pieces of its length, and the plan says which ranks go to which sequence.
 
 Plan: from the longest length down, the gap that a piece leaves is filled
 exactly by a single piece, a pair or a triple whose sum is the gap, as far as
-the counts last; what is left is packed best-fit, longest first.
+the counts last; what is left is packed best-fit, longest first.  Fills of
+fewer pieces are tried too, and the plan with the fewest sequences is taken.
 """
 
 from __future__ import annotations
@@ -33,12 +34,41 @@ SEPARATOR = 0
 RANKS = 1 << 44
 
 
-def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of one sequence, number of such sequences)] that use up all counts."""
+Plan = list[tuple[tuple[int, ...], int]]
+
+
+def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """[(lengths of one sequence, number of such sequences)] that use up all counts.
+
+    Triples that fill a gap exactly may take short pieces that later ones need,
+    and so may pairs; so plans with exact fills of up to three, two and one
+    piece are made, and that of the fewest sequences is taken.
+    """
+    total = sum(length * n for length, n in counts.items())
+    best: Plan | None = None
+    for most, even in ((3, False), (3, True), (2, False), (2, True), (1, False)):
+        plan = exact_plan(counts, capacity, most, even)
+        if best is None or sequences_of(plan) < sequences_of(best):
+            best = plan
+        if sequences_of(best) * capacity - total < capacity:  # no plan has fewer
+            break
+    return best
+
+
+def sequences_of(plan: Plan) -> int:
+    return sum(n for _, n in plan)
+
+
+def exact_plan(counts: dict[int, int], capacity: int, most: int = 3, even: bool = False) -> Plan:
+    """A plan whose exact fills have at most ``most`` pieces besides the longest; the rest is best-fit.
+
+    The longest pieces are filled up first, or those whose fills are most
+    ``even`` (pieces of about one length), which leaves short ones.
+    """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] += n
-    plan: list[tuple[tuple[int, ...], int]] = []
+    plan: Plan = []
 
     def take(*lengths: int) -> None:
         """As many sequences of these lengths as the counts allow."""
@@ -48,22 +78,22 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
             for x in lengths:
                 left[x] -= times
 
-    def partners(gap: int, most: int) -> np.ndarray:
-        """Lengths a >= gap - a, a <= most, for which a and gap - a are both left; longest first."""
-        a = np.arange(min(gap - 1, most), (gap - 1) // 2, -1)
+    def partners(gap: int, longest: int) -> np.ndarray:
+        """Lengths a >= gap - a, a <= longest, for which a and gap - a are both left; longest first."""
+        a = np.arange(min(gap - 1, longest), (gap - 1) // 2, -1)
         return a[(left[a] > 0) & (left[gap - a] > 0)]
 
     take(capacity)
-    for length in range(capacity - 1, 0, -1):
+    for length in range(1, capacity) if even else range(capacity - 1, 0, -1):
         gap = capacity - length
-        if left[length]:
+        if left[length] and gap <= length:
             take(length, gap)
-        if left[length]:
+        if left[length] and most > 1:
             for a in partners(gap, length).tolist():
                 take(length, a, gap - a)
                 if not left[length]:
                     break
-        if left[length]:
+        if left[length] and most > 2:
             firsts = np.arange(min(gap - 2, length), (gap + 2) // 3 - 1, -1)
             for a in firsts[left[firsts] > 0].tolist():
                 for b in partners(gap - a, a).tolist():
@@ -72,7 +102,12 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
                         break
                 if not left[length]:
                     break
-    gaps: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+    return plan + best_fit(left, capacity)
+
+
+def best_fit(left: np.ndarray, capacity: int) -> Plan:
+    """Best-fit of what is left at each length, longest first."""
+    gaps: dict[int, Plan] = defaultdict(list)
     for length in range(capacity, 0, -1):
         n = int(left[length])
         gap = length
@@ -95,7 +130,7 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
             gaps[gap - length].append(((*lengths, length), used))
             n -= used
             gap = length
-    return plan + [x for group in gaps.values() for x in group]
+    return [x for group in gaps.values() for x in group]
 
 
 def slots_of(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
