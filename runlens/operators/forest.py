@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
 from .sampling import exact_sample
 
 NODES = "tree int, node int, feature int, split double, left int, right int, leaf_depth double, size int"
@@ -71,6 +72,7 @@ def fit_forest(rows: DataFrame, columns: list[str], key: list[str], n_trees: int
         points = frame.sort_values("_h")[columns].to_numpy(np.float64)[:size]
         return pd.DataFrame(grow(points, int(key_[0]), seed), columns=[x.split()[0] for x in NODES.split(", ")])
 
+    ship_package(rows.sparkSession)
     return dealt.groupBy("tree").applyInPandas(tree, NODES)
 
 
@@ -100,6 +102,7 @@ def score_forest(rows: DataFrame, columns: list[str], nodes: DataFrame) -> DataF
     from.  The forest is collected once and shipped with the tasks: n_trees x 2
     x max_samples rows at most, whatever the data.
     """
+    ship_package(rows.sparkSession)
     forest = nodes.toPandas()
     expected = mean_depth(int(forest["size"].max()) if len(forest) else 0) or 1.0
 

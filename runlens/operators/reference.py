@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .membership import not_in
+
 FLOOR = 1e-6
 
 
@@ -62,8 +64,9 @@ def ordered_fold(values: DataFrame, keys: list[str], order: str, x: str = "x") -
 
 
 def unseen(files: DataFrame, seen: DataFrame, name: str = "filename") -> DataFrame:
-    """Files whose base name is not in the set of seen ones."""
-    return files.withColumn("_base", F.substring_index(name, "/", -1)).join(seen.select(F.substring_index(name, "/", -1).alias("_base")).distinct(), "_base", "left_anti").drop("_base")
+    """Files (few) whose base name is not in the set of seen ones (many, read but not shuffled)."""
+    base = F.substring_index(name, "/", -1)
+    return not_in(files.withColumn("_base", base), "_base", seen.select(base.alias("_base"))).drop("_base")
 
 
 def wide_reference(stats: DataFrame, columns: list[str]) -> DataFrame:

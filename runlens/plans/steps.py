@@ -24,20 +24,37 @@ class Model:
     nodes: DataFrame | None
     offset: float | None
     columns: list[str]
+    #: The files (run, subrun) that the state covers, where they are known.
+    files: DataFrame | None = None
 
 
-def train(features: DataFrame, columns: list[str], config: DetectorConfig, with_forest: bool = True, old: Model | None = None) -> Model:
-    """Reference and forest of known-good features; with ``old``, its reference is merged in and the forest grown anew."""
-    state = reference.reference_state(features, columns)
-    if old is not None:
-        state = reference.merge_states(old.state, state)
-    if not with_forest:
-        return Model(state, None, None, columns)
+def with_detector(state: DataFrame, features: DataFrame | None, columns: list[str], config: DetectorConfig, files: DataFrame | None = None) -> Model:
+    """A model of a reference and, unless ``features`` is None, a forest grown on them."""
+    if features is None:
+        return Model(state, None, None, columns, files)
     z = reference.zscores(features, reference.reference_stats(state), columns)
     # forest and offset are taken from one and the same bounded sample
     sample = storage.written(forest.training_sample(z, columns, KEY, config.seed, config.training_cap), "training-sample")
     nodes = storage.written(forest.fit_forest(sample, columns, KEY, config.n_trees, config.max_samples, config.seed, config.training_cap), "forest")
-    return Model(state, nodes, forest.contamination_offset(forest.score_forest(sample, columns, nodes), config.contamination), columns)
+    return Model(state, nodes, forest.contamination_offset(forest.score_forest(sample, columns, nodes), config.contamination), columns, files)
+
+
+def train(features: DataFrame, columns: list[str], config: DetectorConfig, with_forest: bool = True, old: Model | None = None) -> Model:
+    """Reference and forest of known-good features.
+
+    With ``old``, files that its reference covers are not counted again; the
+    forest is grown anew on all of ``features``.
+    """
+    files = features.select("run", "subrun").distinct()
+    if old is None:
+        state = reference.reference_state(features, columns)
+    else:
+        if old.files is None:
+            raise ValueError("the old model does not tell which files it covers")
+        files = files.join(old.files, ["run", "subrun"], "left_anti")
+        state = reference.merge_states(old.state, reference.reference_state(features.join(files, ["run", "subrun"], "left_semi"), columns))
+        files = old.files.select("run", "subrun").unionByName(files)
+    return with_detector(state, features if with_forest else None, columns, config, files)
 
 
 def apply(features: DataFrame, model: Model, config: DetectorConfig) -> DataFrame:
@@ -96,7 +113,7 @@ def full(spark: SparkSession, features: DataFrame, good: DataFrame, catalogue: D
         raise ValueError(f"unknown steps: {', '.join(sorted(set(skip) - set(STEPS)))}")
     if "train" not in skip and not writers.done(spark, f"{folder}/reference"):
         model = train(good, columns, config)
-        writers.save_model(model.state, model.nodes, folder, asdict(config) | {"offset": model.offset, "columns": columns})
+        writers.save_model(model.state, model.nodes, folder, asdict(config) | {"offset": model.offset, "columns": columns}, model.files)
         writers.save_config(spark, config, f"{folder}/config.json")
     if "apply" not in skip and not writers.done(spark, f"{folder}/log"):
         state, nodes, meta = writers.load_model(spark, folder)

@@ -13,7 +13,7 @@ from .operators import catalogue as cat
 from .operators import detect, forest, report, sampling, status, sweeps
 from .operators import features as feat
 from .operators import reference as ref
-from .plans import steps
+from .plans import incremental, steps
 from .sources import readers, writers
 from .streaming import monitor
 
@@ -164,6 +164,20 @@ def welford_fold(spark, sf_dir):
     return ref.ordered_fold(v, ["channel"], "o")
 
 
+@query(f"select channel, feature, n, {_r('mean', 'std')}, (select count(*) from (select distinct run, subrun from good)) as n_files from ref_long")
+def incremental_reference(spark, sf_dir):
+    """Three updates with lists that overlap, one of them of copies elsewhere, give the reference of all good files, each counted once."""
+    g = storage.written(adapt.good(adapt.scored(adapt.features(spark, sf_dir, C))), "good")
+    name = F.format_string("/data/%d/Digitizer_run%d_subrun%d.csv", "run", "run", "subrun")
+    files = g.select("run", "subrun").distinct().withColumn("filename", name)
+    elsewhere = files.withColumn("filename", F.concat(F.lit("/copy"), "filename"))
+    folder = f"{storage.scratch_dir(spark)}/growing-{uuid.uuid4().hex}"
+    extract = lambda new: g.join(new.select("run", "subrun"), ["run", "subrun"], "left_semi")
+    for own in (files.where("run <= 1994"), files.where("run >= 1994").unionByName(elsewhere.where("run <= 1995")), elsewhere):
+        version = incremental.add_files(spark, folder, own, extract, C)
+    return ref.reference_stats(version.state).where("n > 0").withColumn("n_files", F.lit(version.n_files).cast("long"))
+
+
 @query("""
 , names as (select distinct run, subrun, '/data/' || run || '/Digitizer_run' || run || '_subrun' || subrun || '.csv' as filename from features)
 select run, subrun, filename from names where subrun % 3 <> 0""")

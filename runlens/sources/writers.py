@@ -63,8 +63,10 @@ def newer_than(spark: SparkSession, parts: str | list[str], combined: str) -> bo
     return a is not None and (b is None or a > b)
 
 
-def save_model(state: DataFrame, nodes: DataFrame | None, folder: str, meta: dict) -> None:
-    """Reference and forest as tables, the rest as one JSON row beside them."""
+def save_model(state: DataFrame, nodes: DataFrame | None, folder: str, meta: dict, files: DataFrame | None = None) -> None:
+    """Reference, forest and the files (run, subrun) that the reference covers as tables, the rest as one JSON row beside them."""
+    if files is not None:
+        files.write.mode("overwrite").parquet(f"{folder}/files")
     state.write.mode("overwrite").parquet(f"{folder}/reference")
     if nodes is not None:
         nodes.write.mode("overwrite").parquet(f"{folder}/forest")
@@ -79,8 +81,9 @@ def load_model(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame |
     return spark.read.parquet(f"{folder}/reference"), nodes, {"use_trigger": True, "use_lvds": True, "offset": None} | meta
 
 
-def add_seen(files: DataFrame, path: str) -> None:
-    files.select(F.substring_index("filename", "/", -1).alias("filename")).distinct().write.mode("append").parquet(path)
+def covered_files(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The files (run, subrun) that a saved model's reference covers; None where it does not tell."""
+    return spark.read.parquet(f"{folder}/files") if done(spark, f"{folder}/files") else None
 
 
 def save_config(spark: SparkSession, config: DetectorConfig, path: str) -> None:

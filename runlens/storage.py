@@ -92,6 +92,20 @@ def find(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(x.getPath().toUri().getPath() if bare else x.getPath().toString() for x in found)
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """One small file that must not be there before; False, and nothing done, where it is."""
+    system, own = _opened(spark, path)
+    try:
+        out = system.create(own, False)
+    except Exception:
+        if system.exists(own):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def write_text(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
     """One small file, written as the parts come."""
     system, own = _opened(spark, path)
