@@ -128,12 +128,21 @@ def write_report(runs: DataFrame, folder: str) -> None:
         own.coalesce(1).write.mode("overwrite").text(f"{folder}/{kind}")
 
 
-def append_good_list(paths: DataFrame, target: str) -> None:
-    """Adds paths (path), a line each; a new list starts with a comment.  The list is a folder of text files, read as one."""
+def put_good_list(paths: DataFrame, target: str, number: int) -> None:
+    """The paths (path) of one numbered batch, a line each; written again, they replace what the batch had written.
+
+    The list is a folder of text files with a folder for each batch, read as
+    one; a new list starts with a comment.
+    """
     spark = paths.sparkSession
     if not storage.exists(spark, target):
-        storage.write_text(spark, f"{target}/0-comment.txt", ["# files that passed the live quality gate\n"])
-    paths.select(F.col("path").alias("value")).write.mode("append").text(target)
+        storage.write_text(spark, f"{target}/batch=-1/comment.txt", ["# files that passed the live quality gate\n"])
+    paths.select(F.col("path").alias("value")).write.mode("overwrite").text(f"{target}/batch={number}")
+
+
+def good_list(spark: SparkSession, target: str) -> DataFrame:
+    """(path) of a list's files."""
+    return spark.read.text(target).where("value <> '' and not startswith(value, '#')").select(F.col("value").alias("path"))
 
 
 def append_suggestions(rows: DataFrame, target: str) -> None:

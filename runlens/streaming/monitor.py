@@ -10,12 +10,16 @@ against what came before it.
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from .. import storage
 from ..config import DetectorConfig
@@ -23,10 +27,17 @@ from ..functions.scalar import base_name, file_run, file_subrun
 from ..operators.report import file_order
 from ..operators.sampling import exact_sample
 from ..sources.readers import HITS, list_files, located, read_hits
-from ..sources.writers import append_good_list
+from ..shipping import ship_package
+from ..sources.writers import put_good_list
 
 DECISIONS = "run int, subrun int, file_index int, n_anomalous int, n_persistent int, status string, decision string, released string"
-STATE = "channels array<string>, flags array<array<boolean>>, next_index int, held array<int>"
+#: What is kept of a run: its channels' last flags ("01..", oldest first), the next file's index, and when it is forgotten.
+PROGRESS, HELD = "channels array<string>, flags array<string>, next_index int, forget_at bigint", "subrun int"
+#: A run without a file for so long is closed: its state goes.
+IDLE_SECONDS = 7 * 24 * 3600
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Groups of files that are tried at the same time once files have failed together.
+AT_ONCE = 4
 LOG = "run int, subrun int, channel string, anomalous boolean, method string, triggered_features string, max_z double, if_score double"
 SKIPPED = "path string, run int, subrun int, reason string"
 PATTERN = "Digitizer_*.csv"
@@ -53,12 +64,44 @@ def file_stream(spark: SparkSession, folder: str, max_files: int = 1000, since:
     return rows.select("path")
 
 
+def isolated(paths: list[str], attempt: Callable[[list[str]], DataFrame]) -> tuple[list[DataFrame], dict[str, str]]:
+    """(results, error of each bad file): files are worked off together, and halved where they fail, down to those that fail alone.
+
+    Where an error names some of its files, those are tried apart first.  With
+    k bad files of n there are at most 1 + 2 k log2 n attempts, in log2 n
+    rounds as a rule, since the parts of a round run side by side.
+    """
+    done: list[DataFrame] = []
+    errors: dict[str, str] = {}
+
+    def tried(own: list[str]) -> DataFrame | Exception:
+        try:
+            return attempt(own)
+        except Exception as error:
+            return error
+
+    groups = [list(paths)] if paths else []
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        while groups:
+            parts = []
+            for own, got in zip(groups, list(pool.map(tried, groups)), strict=True):
+                if not isinstance(got, Exception):
+                    done.append(got)
+                elif len(own) == 1:
+                    errors[own[0]] = str(got).splitlines()[0]
+                else:
+                    named = [p for p in own if os.path.basename(p) in str(got)]
+                    rest = [p for p in own if p not in set(named)]
+                    parts += [named, rest] if named and rest else [own[: len(own) // 2], own[len(own) // 2 :]]
+            groups = parts
+    return done, errors
+
+
 def scored_files(spark: SparkSession, paths: list[str], score: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(log, skipped) of some files: ``score`` makes log rows of hits (run, subrun, ...).
 
-    Files without a row of the log are skipped, with a reason.  Where the files
-    together fail, they are taken one by one, and those that fail are skipped
-    with the error, so one bad file does not keep the others back.
+    Files without a row of the log are skipped, with a reason; so are files
+    that fail, with the error, and they do not keep the others back.
     """
     names = [x.split()[0] for x in LOG.split(", ")]
     files = spark.createDataFrame([(p,) for p in paths], "path string").select("path", file_run(base_name(F.col("path"))).alias("run"), file_subrun(base_name(F.col("path"))).alias("subrun"))
@@ -68,16 +111,8 @@ def scored_files(spark: SparkSession, paths: list[str], score: Callable[[DataFra
         none = F.lit(None)
         return storage.written(rows.select(*[(F.col(c) if c in rows.columns else none).cast(x.split()[1]).alias(c) for c, x in zip(names, LOG.split(", "), strict=True)]), "live-log")
 
-    errors: dict[str, str] = {}
-    try:
-        log = made(paths)
-    except Exception:  # some file fails: which one shows only when read alone
-        log = spark.createDataFrame([], LOG)
-        for p in paths:
-            try:
-                log = log.unionByName(made([p]))
-            except Exception as error:
-                errors[p] = str(error).splitlines()[0]
+    logs, errors = isolated(paths, made)
+    log = reduce(DataFrame.unionByName, logs) if logs else spark.createDataFrame([], LOG)
     told = spark.createDataFrame(list(errors.items()), "path string, reason string")
     lost = files.join(log.select("run", "subrun").distinct(), ["run", "subrun"], "left_anti").join(told, "path", "left")
     return log, lost.select("path", "run", "subrun", F.coalesce("reason", F.lit("no events in file")).alias("reason"))
@@ -107,30 +142,46 @@ def watch(spark: SparkSession, folder: str, score: Callable[[DataFrame], DataFra
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
-def decide(spark: SparkSession, target: str, checkpoint: str, config: DetectorConfig, each: Callable[[DataFrame, int], None] | None = None, good_list: str | None = None, folder: str = "", every: int = 0, refresh: Callable[[int], None] | None = None, seconds: float | None = 5.0) -> StreamingQuery:
+def files_before(spark: SparkSession, target: str, number: int) -> int:
+    """Files with a decision in the batches before this one, from what was committed: a restart counts on."""
+    if number == 0:
+        return 0
+    last = f"{target}/progress/{number - 1}.json"
+    if storage.exists(spark, last):
+        return json.loads(spark.read.text(last, wholetext=True).first()["value"])["after"]
+    if not storage.exists(spark, f"{target}/decisions"):
+        return 0
+    return spark.read.schema(f"{DECISIONS}, batch bigint").parquet(f"{target}/decisions").where(F.col("batch") < number).count()
+
+
+def decide(spark: SparkSession, target: str, checkpoint: str, config: DetectorConfig, each: Callable[[DataFrame, int], None] | None = None, good_list: str | None = None, folder: str = "", every: int = 0, refresh: Callable[[int], None] | None = None, seconds: float | None = 5.0, idle: float = IDLE_SECONDS) -> StreamingQuery:
     """Decisions on the files of ``target``/log go to ``target``/decisions and, as they are released, to the good list.
 
     ``good_list`` gets the paths of released files, below ``folder``; ``each``
     sees every batch of decisions; ``refresh`` is called with the number of files so
-    far whenever that passes a multiple of ``every``.
+    far whenever that passes a multiple of ``every``.  All that a batch writes
+    bears its number and is replaced when the batch is taken up again, so
+    decisions, list and count have each file once whatever fails; ``each`` and
+    ``refresh`` may see a batch again.  A run without a file for ``idle``
+    seconds is forgotten.
     """
-    seen = 0
 
     def batch(df: DataFrame, number: int) -> None:
-        nonlocal seen
         df.write.mode("overwrite").parquet(f"{target}/decisions/batch={number}")
         rows = spark.read.schema(DECISIONS).parquet(f"{target}/decisions/batch={number}")
         if good_list is not None:
             released = rows.select("run", F.explode(F.split("released", ",")).alias("subrun")).where("subrun <> ''")
-            append_good_list(released.select(F.format_string(f"{folder.rstrip('/')}/Digitizer_run%d_subrun%s.csv", "run", "subrun").alias("path")), good_list)
+            put_good_list(released.select(F.format_string(f"{folder.rstrip('/')}/Digitizer_run%d_subrun%s.csv", "run", "subrun").alias("path")), good_list, number)
         if each is not None:
             each(rows, number)
-        before, seen = seen, seen + rows.count()
-        if refresh is not None and every and seen // every > before // every:
-            refresh(seen)
+        before = files_before(spark, target, number)
+        after = before + rows.count()
+        storage.write_text(spark, f"{target}/progress/{number}.json", [json.dumps({"after": after})])
+        if refresh is not None and every and after // every > before // every:
+            refresh(after)
 
     stream = spark.readStream.schema(f"{LOG}, batch bigint").parquet(f"{target}/log")
-    decisions = live_status(stream, config.alert_consecutive_n, config.file_alert_n_channels, config.single_file_alert_n_channels, config.single_file_alert_max_z)
+    decisions = live_status(stream, config.alert_consecutive_n, config.file_alert_n_channels, config.single_file_alert_n_channels, config.single_file_alert_max_z, idle)
     writer = decisions.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
@@ -147,53 +198,88 @@ def status_of(persistent: int, anomalous: int, worst: float, least: int, bulk: i
     return "warn" if persistent else "ok"
 
 
-def live_status(log: DataFrame, n: int = 1, least: int = 1, bulk: int = 0, extreme: float = 0.0) -> DataFrame:
-    """Decisions on the files of a streaming anomaly log (run, subrun, channel, anomalous, max_z).
+class RunJudge(StatefulProcessor):
+    """Judges the files of one run after another; a timer forgets a run that has had no file for a while."""
 
-    A file's rows are expected in one micro-batch, as a file source gives them.
-    A file whose only row has no channel was skipped: it takes a place in its
-    run and nothing else.  The state of a run has its channels' last n - 1 flags, a file index and the
-    held files; ``released`` lists files that a decision lets into the good list.
-    """
+    def __init__(self, n: int, least: int, bulk: int, extreme: float, idle_ms: int):
+        self.n, self.rule, self.idle_ms = n, (least, bulk, extreme), idle_ms
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        history: dict[str, list[bool]] = {}
-        index, held = 0, []
-        if state.exists:
-            channels, flags, index, held = state.get
-            history = {c: list(f) for c, f in zip(channels, flags, strict=True)}
-            held = list(held)
-        rows = pd.concat(list(frames), ignore_index=True)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", PROGRESS)
+        self.held = handle.getListState("held", HELD)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        history: dict[str, str] = {}
+        index = 0
+        if self.progress.exists():
+            channels, flags, index, forget_at = self.progress.get()
+            history = dict(zip(channels, flags, strict=True))
+            self.handle.deleteTimer(forget_at)
+        held = [x[0] for x in self.held.get()] if self.held.exists() else []
         out = []
-        for subrun, own in rows.groupby("subrun", sort=True):
+        files = pd.concat(list(rows), ignore_index=True)
+        now = int(files["now"].max())
+        for subrun, own in files.groupby("subrun", sort=True):
             own = own.dropna(subset=["channel"])
-            if own.empty:
-                index += 1
-                continue
-            once = own.groupby("channel").agg(anomalous=("anomalous", "max"))
-            z = own.loc[own["anomalous"].astype(bool), "max_z"].dropna()
-            persistent = 0
-            for channel, bad in once["anomalous"].items():
-                past = history.get(channel, [])
-                persistent += bool(bad) and len(past) == n - 1 and all(past)
-                history[channel] = ([*past, bool(bad)])[-(n - 1) :] if n > 1 else []
-            anomalous = int(once["anomalous"].sum())
-            status = status_of(persistent, anomalous, float(z.max()) if len(z) else 0.0, least, bulk, extreme)
-            released: list[int] = []
-            if status == "alert":
-                decision, held = "drop", []
-            elif index < n - 1 and anomalous:
-                decision = "hold"
-                held.append(int(subrun))
-            else:
-                decision, released, held = "list", [*held, int(subrun)], []
-            out.append((key[0], int(subrun), index, anomalous, int(persistent), status, decision, ",".join(map(str, released))))
+            if not own.empty:
+                judged, held = self.judged(int(subrun), own, history, index, held)
+                out.append((int(key[0]), *judged))
             index += 1
-        state.update((list(history), list(history.values()), index, held))
+        forget_at = now + self.idle_ms
+        self.progress.update((list(history), list(history.values()), index, forget_at))
+        if held:
+            self.held.put([(s,) for s in held])
+        else:
+            self.held.clear()
+        self.handle.registerTimer(forget_at)
         yield pd.DataFrame(out, columns=[x.split()[0] for x in DECISIONS.split(", ")])
 
-    keyed = log.select("run", "subrun", F.col("channel").cast("string").alias("channel"), "anomalous", "max_z").where("run is not null")
-    return keyed.groupBy("run").applyInPandasWithState(update, DECISIONS, STATE, "append", "NoTimeout")
+    def judged(self, subrun: int, rows: pd.DataFrame, history: dict[str, str], index: int, held: list[int]) -> tuple[tuple, list[int]]:
+        """(decision on a file, files held after it); its flags go into the history."""
+        n = self.n
+        once = rows.groupby("channel")["anomalous"].max()
+        z = rows.loc[rows["anomalous"].astype(bool), "max_z"].dropna()
+        persistent = 0
+        for channel, bad in once.items():
+            past = history.get(channel, "")
+            persistent += bool(bad) and past == "1" * (n - 1)
+            history[channel] = (past + "01"[bool(bad)])[-(n - 1) :] if n > 1 else ""
+        anomalous = int(once.sum())
+        status = status_of(persistent, anomalous, float(z.max()) if len(z) else 0.0, *self.rule)
+        if status == "alert":
+            return (subrun, index, anomalous, persistent, status, "drop", ""), []
+        if index < n - 1 and anomalous:
+            return (subrun, index, anomalous, persistent, status, "hold", ""), [*held, subrun]
+        return (subrun, index, anomalous, persistent, status, "list", ",".join(map(str, [*held, subrun]))), []
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.progress.clear()
+        self.held.clear()
+        yield pd.DataFrame(columns=[x.split()[0] for x in DECISIONS.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def live_status(log: DataFrame, n: int = 1, least: int = 1, bulk: int = 0, extreme: float = 0.0, idle: float = IDLE_SECONDS) -> DataFrame:
+    """Decisions on the files of a streaming anomaly log (run, subrun, channel, anomalous, max_z).
+
+    A file's rows are expected in one micro-batch, as a file source gives them.
+    A file whose only row has no channel was skipped: it takes a place in its
+    run and nothing else.  The state of a run has its channels' last n - 1
+    flags, a file index and the held files; ``released`` lists files that a
+    decision lets into the good list.  State is kept by RocksDB, and that of a
+    run without a file for ``idle`` seconds is dropped: a file that comes after
+    that begins the run anew.  The clock is the time at which micro-batches
+    begin, so no row is ever late, and a batch taken up again has its old time.
+    """
+    spark = log.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    keyed = log.select("run", "subrun", F.col("channel").cast("string").alias("channel"), "anomalous", "max_z", F.current_timestamp().alias("at")).where("run is not null")
+    timed = keyed.withWatermark("at", "0 seconds").withColumn("now", F.unix_millis("at"))
+    return timed.groupBy("run").transformWithStateInPandas(RunJudge(n, least, bulk, extreme, int(1000 * idle)), DECISIONS, "Append", "EventTime")
 
 
 def run_to_end(rows: DataFrame, target: str, checkpoint: str) -> None:

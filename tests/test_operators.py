@@ -330,8 +330,8 @@ def test_small_sinks(spark, tmp_path):
     assert sweeps.from_confusion(read).first()[1:4] == (3, 1, 2)
     writers.write_summary(counts, spark, f"{out}/summary.txt")
     assert "known_good: 3 files; alert 1 (33.3 %), ok 2 (66.7 %)" in (tmp_path / "m" / "summary.txt").read_text()
-    for part in ("a", "b"):
-        writers.append_good_list(spark.createDataFrame([(part,)], "path string"), f"{out}/good")
+    for number, part in enumerate(("a", "b")):
+        writers.put_good_list(spark.createDataFrame([(part,)], "path string"), f"{out}/good", number)
     lines = [x.value for x in spark.read.text(f"{out}/good").collect()]
     assert sorted(lines) == ["# files that passed the live quality gate", "a", "b"] and readers.expand_globs(lines, lambda p: [p])[0] in (["a", "b"], ["b", "a"])
     writers.append_suggestions(spark.createDataFrame([(1, "x")], "run int, response string"), f"{out}/suggestions")
