@@ -153,9 +153,10 @@ def panels(models: DataFrame, size: int, both: tuple[float, float] | None = None
 
 
 def best_panels(metrics: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """The n panels of lowest false-positive rate, and the n of highest coverage."""
-    by_fp = metrics.orderBy(F.col("fp_percent").asc_nulls_last(), F.desc("coverage_percent"), "panel", "k").limit(n)
-    return by_fp, metrics.orderBy(F.desc("coverage_percent"), F.col("fp_percent").asc_nulls_last(), "panel", "k").limit(n)
+    """The n panels of lowest false-positive rate, and the n of highest coverage; those without known-good files are left out."""
+    metrics = metrics.where(F.col("fp_percent").isNotNull())
+    by_fp = metrics.orderBy("fp_percent", F.desc("coverage_percent"), "panel", "k").limit(n)
+    return by_fp, metrics.orderBy(F.desc("coverage_percent"), "fp_percent", "panel", "k").limit(n)
 
 
 def run_islands(runs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import adapt, storage
 from .functions import scalar
 from .operators import catalogue as cat
-from .operators import detect, forest, report, sampling, status, sweeps
+from .operators import detect, forest, panels, report, sampling, status, sweeps
 from .operators import features as feat
 from .operators import reference as ref
 from .plans import incremental, steps
@@ -617,6 +617,27 @@ def vote_k_sweep(spark, sf_dir):
     return sweeps.vote_metrics(v, _truth(spark, sf_dir), pan)
 
 
+@query("""
+, v as (select model || t.tier as model, z_threshold, run, subrun, case t.tier when 'L' then loose when 'M' then medium else tight end as ok
+        from flags cross join (values ('L'), ('M'), ('T')) t(tier) where not (model = 'z3.0' and subrun = 11)),
+p as (select a.model || '+' || b.model || '+' || c.model as panel, a.ok + b.ok + c.ok = 0 as bad, coalesce(t.good, false) as kg
+      from v a join v b on a.run = b.run and a.subrun = b.subrun and a.model < b.model join v c on c.run = a.run and c.subrun = a.subrun and b.model < c.model
+      left join truth t on t.run = a.run and t.subrun = a.subrun
+      where 2.0 in (a.z_threshold, b.z_threshold, c.z_threshold) and 3.0 in (a.z_threshold, b.z_threshold, c.z_threshold)),
+m as (select panel, count(*) as n_scored, count(*) filter (kg) as n_known_good, 100.0 * count(*) filter (kg and bad) / count(*) filter (kg) as fp_percent, 100.0 * count(*) filter (not bad) / count(*) as coverage_percent
+      from p group by panel having count(*) filter (kg) > 0),
+r as (select *, row_number() over (order by fp_percent, coverage_percent desc, panel) as a, row_number() over (order by coverage_percent desc, fp_percent, panel) as b from m)
+select 'fp' as best, panel, n_scored, n_known_good, round(fp_percent, 6) as fp_percent, round(coverage_percent, 6) as coverage_percent from r where a <= 5
+union all select 'coverage', panel, n_scored, n_known_good, round(fp_percent, 6), round(coverage_percent, 6) from r where b <= 5""")
+def panel_search(spark, sf_dir):
+    """Triples of nine models (three thresholds, three tiers), one member at least of thresholds 2 and 3."""
+    tiers = F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.col(c).alias("ok")) for t, c in (("L", "loose"), ("M", "medium"), ("T", "tight"))]))
+    votes = storage.written(_flags(spark, sf_dir).where("not (model = 'z3.0' and subrun = 11)").select("run", "subrun", "model", "z_threshold", tiers.alias("t")).select("run", "subrun", F.concat("model", "t.tier").alias("model"), "z_threshold", "t.ok"), "votes")
+    thresholds = {r["model"]: r["z_threshold"] for r in votes.select("model", "z_threshold").distinct().collect()}
+    by_fp, by_coverage = panels.panel_search(votes, _truth(spark, sf_dir), 3, 5, thresholds=thresholds, both=(2.0, 3.0))
+    return by_fp.select(F.lit("fp").alias("best"), "*").unionByName(by_coverage.select(F.lit("coverage").alias("best"), "*"))
+
+
 @query(_votes + "select panel, k::bigint as k, count(*) as n_scored, count(*) filter (kg) as n_known_good, round(100.0 * count(*) filter (kg and bad >= k) / count(*) filter (kg), 6) as fp_percent, round(100.0 * count(*) filter (bad < k) / count(*), 6) as coverage_percent from k where k = 2 group by panel, k")
 def vote_metrics(spark, sf_dir):
     v, pan = _votes_of(spark, sf_dir)

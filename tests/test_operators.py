@@ -390,7 +390,7 @@ def test_panels_of_few_candidates(spark):
     assert names(sweeps.panel_candidates(m, 2, descending=True)) == ["d", "b"]
     metrics = spark.createDataFrame([("p", 2, 1.0, 50.0), ("q", 2, 1.0, 60.0), ("r", 2, None, 99.0), ("s", 2, 0.5, 10.0)], "panel string, k int, fp_percent double, coverage_percent double")
     by_fp, by_coverage = sweeps.best_panels(metrics, 2)
-    assert [x.panel for x in by_fp.collect()] == ["s", "q"] and [x.panel for x in by_coverage.collect()] == ["r", "q"]
+    assert [x.panel for x in by_fp.collect()] == ["s", "q"] and [x.panel for x in by_coverage.collect()] == ["q", "p"]
 
 
 def test_islands_across_ranges(spark, monkeypatch):
