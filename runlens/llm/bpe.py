@@ -37,7 +37,7 @@ SUFFIX = "</w>"
 #: A rank after all merges.
 NEVER = 1 << 40
 #: Words and pairs remembered by a worker.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Symbols of a long word that the automaton reads at once, at first and at most; the first is more than twice the longest token.
 REACH, MOST_REACH = 256, 1 << 16
 

@@ -114,7 +114,7 @@ class Scorer:
     """
 
     #: Words that are remembered.
-    limit = 400_000
+    limit = 100_000
 
     def __init__(self, model: Ordinal):
         self.model = model
