@@ -9,9 +9,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -21,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shipping
 from ..storage import discard, written  # noqa: F401  # the operators take them from here
 
 #: ASCII white space, as a Java regular expression class.
@@ -112,28 +110,13 @@ def release_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-_shipped: set[str] = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package, and bound what they hold.
 
-    The package's sources go to the executors as one archive.  Arrow batches
-    are held to ``BATCH_BYTES`` where the session leaves Spark's default of
-    64 MB: a task has a few of them in memory at once, in the JVM and in Python.
+    Arrow batches are held to ``BATCH_BYTES`` where the session leaves Spark's
+    default of 64 MB: a task has a few of them in memory at once, in the JVM
+    and in Python.
     """
     if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
         spark.conf.set(BATCH_CONF, BATCH_BYTES)
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="runlens-"), "runlens.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(package):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
+    shipping.ship_package(spark)

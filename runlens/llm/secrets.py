@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.membership import may_be_in
 from .common import map_batches, read_documents, row_key, ship_package, slices, written
 from .tokens import text_bytes
 
@@ -70,8 +71,6 @@ RULES = (
 MOST = 16
 #: Bytes that trigrams are looked for in at once.
 WINDOW = 1 << 22
-#: Bits of the filter that keeps texts without candidates out of the join: so many for each candidate, and at most so many.
-BITS_EACH, MOST_BITS, MAP_BITS = 16, 1 << 26, 32_768
 _FOLD = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: A query: True (every text), a trigram as bytes, or ("and" | "or", frozenset of queries).
@@ -289,20 +288,6 @@ def candidates(index: DataFrame, queries: list[Query], trigrams: tuple[bytes, ..
     return found.select("block", "rule", F.explode("at").alias("at")).groupBy("block", "at").agg(F.bit_or(F.col("rule").cast("long")).alias("rules"))
 
 
-def only_with(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """The rows (key, ...) without most of those whose key is not among ``keys``: a bitmap of hashed keys is sent to all, 8 MB at most.
-
-    With more keys than bits it keeps all rows; it only saves work for the join that follows.
-    """
-    bits = MAP_BITS * max(1, min(MOST_BITS, n * BITS_EACH) // MAP_BITS)
-    place = F.pmod(F.xxhash64("key"), F.lit(bits))
-    maps = keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number(F.col("place")).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place"))).alias("map"))
-    joined = rows.withColumn("place", place).withColumn("part", F.bitmap_bucket_number(F.col("place"))).join(F.broadcast(maps), "part")
-    at = F.bitmap_bit_position(F.col("place"))
-    byte = F.conv(F.hex(F.substring("map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return joined.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0).drop("place", "part", "map")
-
-
 def verified(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(key, spans) of the rows (key, rules, text): what those rules find."""
 
@@ -333,7 +318,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index = written(inverted_index(texts), "trigram-index")
     found = candidates(index, queries, trigrams).join(texts.select("block", "at", "key"), ["block", "at"])
     found = written(found.groupBy("key").agg(F.max("rules").alias("rules")), "candidates")  # rows that are alike share their rules
-    asked = only_with(rows.select("key", "text"), found, found.count()).join(found, "key").dropDuplicates(["key"])
+    # texts that are no candidates leave before the join's shuffle
+    asked = may_be_in(rows.select("key", "text"), "key", found, found.count()).join(found, "key").dropDuplicates(["key"])
     more = verified(asked, rules)
     out = texts.select("doc_id", "key", "spans").join(more, "key", "left")
     return out.select("doc_id", F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:long,kind:int,end:long>>")))).alias("spans"))

@@ -119,14 +119,6 @@ def test_index_finds_only_texts_that_meet_a_query(spark):
     assert {(r.doc_id, k) for r in found for k in range(len(RULES)) if r.rules >> k & 1} == want
 
 
-def test_filter_loses_no_key(spark):
-    rows = spark.range(20_000).selectExpr("cast(cast(id as string) as binary) as key", "id")
-    keys = rows.where("id % 40 = 0").select("key")
-    left = {r.id for r in secrets.only_with(rows, keys, 500).collect()}
-    assert set(range(0, 20_000, 40)) <= left
-    assert len(left) < 8000
-
-
 def test_no_rows(spark):
     assert secrets.secret_spans(spark.createDataFrame([], SCHEMA)).count() == 0
 
