@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .membership import not_in
 
 FLOOR = 1e-6
@@ -48,19 +50,35 @@ def ordered_fold(values: DataFrame, keys: list[str], order: str, x: str = "x") -
     """(keys, n, mean, m2) by a running update in ``order`` whose count also advances on nulls.
 
     Compatible with references built that way: with nulls the result is biased
-    and depends on the order, so values of a key are folded in sequence.  A
-    key's values are those of its files.
+    and depends on the order.  The update takes a mean m to c m + x / n and a
+    sum of squares s to s + c (x - m)^2, c = 1 - 1/n; so any piece of a key's
+    values takes (m, s) to (a m + b, s + p m^2 + q m + r), with numbers that
+    follow from the piece and the count before it.  Pieces are ranges of keys
+    and order, folded side by side; a key's pieces are then few, and applied in
+    turn.  Values are taken relative to their key's mean, so that squares stay
+    small.
     """
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    rows = values.select(F.struct(*keys).alias("_key"), F.col(order).alias("o"), F.col(x).cast("double").alias("x"))
+    dealt = written(rows.repartitionByRange("_key", "o").withColumn("piece", F.spark_partition_id()), "pieces")
+    sizes = dealt.groupBy("_key", "piece").agg(F.count("*").alias("rows"), F.count("x").alias("values"), F.sum("x").alias("sum"))
+    whole, before = W.partitionBy("_key"), W.partitionBy("_key").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("_key", "piece", F.coalesce(F.sum("sum").over(whole) / F.sum("values").over(whole), F.lit(0.0)).alias("base"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    lists = dealt.groupBy("_key", "piece").agg(F.sort_array(F.collect_list(F.struct("o", "x"))).alias("v")).join(sizes, ["_key", "piece"])
+    zero = F.lit(0.0)
+    start = F.struct(F.col("before").cast("bigint").alias("n"), F.lit(1.0).alias("a"), zero.alias("b"), zero.alias("p"), zero.alias("q"), zero.alias("r"))
 
     def step(s: Column, v: Column) -> Column:
         n = s["n"] + 1
-        delta = v["x"] - s["mean"]
-        mean = s["mean"] + delta / n
-        return F.struct(n.alias("n"), F.coalesce(mean, s["mean"]).alias("mean"), F.coalesce(s["m2"] + delta * (v["x"] - mean), s["m2"]).alias("m2"))
-
-    rows = values.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).cast("double").alias("x")))).alias("v"))
-    return rows.select(*keys, F.aggregate("v", start, step).alias("s")).select(*keys, "s.*")
+        c, d = 1 - 1 / n, v["x"] - F.col("base") - s["b"]
+        after = (c * s["a"], c * s["b"] + (v["x"] - F.col("base")) / n, s["p"] + c * s["a"] * s["a"], s["q"] - 2 * c * s["a"] * d, s["r"] + c * d * d)
+        return F.struct(n.alias("n"), *[F.coalesce(y, s[name]).alias(name) for name, y in zip("abpqr", after, strict=True)])
+
+    # a null changes the count only
+    folded = lists.select("_key", "piece", "base", F.aggregate("v", start, lambda s, v: F.when(v["x"].isNull(), s.withField("n", s["n"] + 1)).otherwise(step(s, v))).alias("s"))
+    parts = folded.groupBy("_key").agg(F.first("base").alias("base"), F.array_sort(F.collect_list(F.struct("piece", "s.n", "s.a", "s.b", "s.p", "s.q", "s.r"))).alias("parts"))
+    first = F.struct(F.lit(0).cast("bigint").alias("n"), (-F.col("base")).alias("m"), zero.alias("m2"))
+    done = F.aggregate("parts", first, lambda s, p: F.struct(p["n"].alias("n"), (p["a"] * s["m"] + p["b"]).alias("m"), (s["m2"] + p["p"] * s["m"] * s["m"] + p["q"] * s["m"] + p["r"]).alias("m2")))
+    return parts.select("_key", "base", done.alias("s")).select("_key.*", "s.n", (F.col("s.m") + F.col("base")).alias("mean"), "s.m2")
 
 
 def unseen(files: DataFrame, seen: DataFrame, name: str = "filename") -> DataFrame:

@@ -71,6 +71,55 @@ def best_per_threshold(metrics: DataFrame, n: int = 3) -> DataFrame:
     return metrics.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def marginals(metrics: DataFrame, parameters: list[str], values: list[str], name: str = "model") -> DataFrame:
+    """(parameter, value, metric, n, mean, lowest, lowest_model, highest, highest_model) of a grid of models.
+
+    One row for each value of each parameter and each metric, over all other
+    parameters, and one for the whole grid (parameter null); one pass with
+    grouping sets.  Models without the metric do not count; ties go to the
+    smaller name.
+    """
+    rows = metrics.select(name, *parameters, F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("y")) for v in values])).alias("m")).select(name, *parameters, "m.*").where("y is not null and not isnan(y)")
+    low, high = F.min(F.struct("y", name)), F.min(F.struct((-F.col("y")).alias("y"), name))
+    sets = [["metric", p] for p in parameters] + [["metric"]]
+    got = rows.groupingSets(sets, "metric", *parameters).agg(F.count("*").alias("n"), F.avg("y").alias("mean"), low.alias("low"), high.alias("high"), *[F.grouping(p).alias(f"all_{p}") for p in parameters])
+    which = F.coalesce(*[F.when(F.col(f"all_{p}") == 0, F.lit(p)) for p in parameters])
+    value = F.coalesce(*[F.when(F.col(f"all_{p}") == 0, F.col(p).cast("string")) for p in parameters])
+    return got.select(which.alias("parameter"), value.alias("value"), "metric", "n", "mean", F.col("low.y").alias("lowest"), F.col(f"low.{name}").alias("lowest_model"), (-F.col("high.y")).alias("highest"), F.col(f"high.{name}").alias("highest_model"))
+
+
+def curves(metrics: DataFrame, along: str, by: list[str], values: list[str], at: dict | None = None) -> DataFrame:
+    """(by, along, metric, y): points of a curve for each combination of ``by`` and each metric, where ``at`` holds.
+
+    A metric that is null gives no point.
+    """
+    rows = metrics
+    for column, value in (at or {}).items():
+        rows = rows.where(F.col(column) == F.lit(value))
+    return rows.unpivot([*by, along], values, "metric", "y").where("y is not null")
+
+
+def best_profiles(metrics: DataFrame, rates: DataFrame, n: int = 5, n_each: int = 3) -> DataFrame:
+    """(best, rank, model, value, run, ok_percent): the runs' rates of the best models, for a plot.
+
+    ``metrics``: (model, z_threshold, fp_percent); ``rates``: (model, run,
+    ok_percent).  ``best`` is fp (the n lowest false-positive rates), fp_z<z>
+    (the ``n_each`` lowest of each z threshold) or coverage (the n highest means
+    over runs, whatever the other rate).  Models without rates of runs are left
+    out; ties go to the smaller name.
+    """
+    rates = rates.where("ok_percent is not null")
+    means = rates.groupBy("model").agg(F.avg("ok_percent").alias("value"))
+    fp = metrics.where("fp_percent is not null").join(means.select("model"), "model", "left_semi").select("model", "z_threshold", F.col("fp_percent").alias("value"))
+    each = fp.withColumn("rank", F.row_number().over(W.partitionBy("z_threshold").orderBy("value", "model"))).where(F.col("rank") <= n_each)
+    # of the n best ones overall each is among the n best of its threshold: one row a threshold and rank meets in the last window
+    some = fp.withColumn("_r", F.row_number().over(W.partitionBy("z_threshold").orderBy("value", "model"))).where(F.col("_r") <= n)
+    best = some.orderBy("value", "model").limit(n).withColumn("rank", F.row_number().over(W.orderBy("value", "model")))
+    cover = means.orderBy(F.desc("value"), "model").limit(n).withColumn("rank", F.row_number().over(W.orderBy(F.desc("value"), "model")))
+    kinds = [best.select(F.lit("fp").alias("best"), "rank", "model", "value"), each.select(F.concat(F.lit("fp_z"), F.col("z_threshold").cast("string")).alias("best"), "rank", "model", "value"), cover.select(F.lit("coverage").alias("best"), "rank", "model", "value")]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).join(rates.select("model", "run", "ok_percent"), "model").select("best", "rank", "model", "value", "run", "ok_percent")
+
+
 def vote_vectors(votes: DataFrame, truth: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(vector, kg, n): how many known-good and other files have the same votes.
 

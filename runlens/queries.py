@@ -767,6 +767,57 @@ def annotated_cases(spark, sf_dir):
     return report.annotated(cases, adapt.log(spark, sf_dir)).select("run", "category", "cause", "n_subruns", "n_anomalous")
 
 
+# ---- curves and profiles of sweeps
+
+_tiers = """
+, tier(tier) as (values ('loose'), ('medium'), ('tight')),
+f as (select model || '_' || tier as model, z_threshold, tier, run, subrun, loose + medium + tight = 0 as alert, case tier when 'loose' then loose when 'medium' then medium else tight end = 1 as ok from flags cross join tier),
+metrics as (
+  select model, z_threshold, tier, 100.0 * count(*) filter (alert and good) / nullif(count(*) filter (good), 0) as fp_percent, 100.0 * count(*) filter (ok) / count(*) as ok_percent
+  from f left join truth using (run, subrun) group by model, z_threshold, tier)
+"""
+
+
+def _tier_metrics(spark, sf_dir):
+    """(metrics of each model and tier, rates of their runs)."""
+    flags, truth = storage.written(_flags(spark, sf_dir), "flags"), _truth(spark, sf_dir)
+    out = []
+    for by in ((), ("run",)):
+        parts = [sweeps.model_metrics(flags, truth, t, ("z_threshold", *by)).withColumn("tier", F.lit(t)) for t in ("loose", "medium", "tight")]
+        out.append(parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("model", F.concat_ws("_", "model", "tier")))
+    return out
+
+
+@query(_tiers + """
+, long as (select model, z_threshold, tier, 'fp_percent' as metric, fp_percent as y from metrics where fp_percent is not null union all select model, z_threshold, tier, 'ok_percent', ok_percent from metrics),
+g as (select case when grouping(z_threshold) = 0 then 'z_threshold' when grouping(tier) = 0 then 'tier' end as parameter, case when grouping(z_threshold) = 0 then z_threshold::varchar when grouping(tier) = 0 then tier end as value, metric,
+             count(*) as n, avg(y) as mean, min((y, model)) as low, min((-y, model)) as high from long group by grouping sets ((metric, z_threshold), (metric, tier), (metric)))
+select parameter, value, metric, n, round(mean, 6) as mean, round(low[1], 6) as lowest, low[2] as lowest_model, round(-high[1], 6) as highest, high[2] as highest_model from g""")
+def sweep_marginals(spark, sf_dir):
+    return sweeps.marginals(_tier_metrics(spark, sf_dir)[0], ["z_threshold", "tier"], ["fp_percent", "ok_percent"])
+
+
+@query(_tiers + """
+select tier, z_threshold, 'fp_percent' as metric, round(fp_percent, 6) as y from metrics where tier <> 'loose' and fp_percent is not null
+union all select tier, z_threshold, 'ok_percent', round(ok_percent, 6) from metrics where tier <> 'loose'""")
+def sweep_curves(spark, sf_dir):
+    return sweeps.curves(_tier_metrics(spark, sf_dir)[0].where("tier <> 'loose'"), "z_threshold", ["tier"], ["fp_percent", "ok_percent"])
+
+
+@query(_tiers + """
+, rates as (select model, run, 100.0 * count(*) filter (ok) / count(*) as ok_percent from f group by model, run),
+means as (select model, avg(ok_percent) as value from rates group by model),
+fp as (select model, z_threshold, fp_percent as value from metrics where fp_percent is not null),
+ranked as (
+  select 'fp' as best, model, value, row_number() over (order by value, model) as rank, 4 as most from fp
+  union all select 'fp_z' || z_threshold, model, value, row_number() over (partition by z_threshold order by value, model), 2 from fp
+  union all select 'coverage', model, value, row_number() over (order by value desc, model), 4 from means)
+select best, rank::int as rank, model, round(value, 6) as value, run, round(ok_percent, 6) as ok_percent from ranked join rates using (model) where rank <= most""")
+def best_profiles(spark, sf_dir):
+    metrics, rates = _tier_metrics(spark, sf_dir)
+    return sweeps.best_profiles(metrics, rates, 4, 2)
+
+
 # ---- forest, sampling, streaming
 
 _fixed = [(*n, 256) for n in [(0, 0, 0, 25.0, 1, 2, 0.0), (0, 1, -1, 0.0, -1, -1, 2.0), (0, 2, 1, 40.0, 3, 4, 0.0), (0, 3, -1, 0.0, -1, -1, 3.0), (0, 4, -1, 0.0, -1, -1, 4.0), (1, 0, 1, 38.0, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 1.5), (1, 2, -1, 0.0, -1, -1, 5.0)]]
