@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clipped, compact, half_even, row_offset
+from ..shipping import ship_package
 from .features import LVDS_CHANNEL, TRIGGER_CHANNEL
 from .status import file_counts, worst_channel
 
@@ -194,14 +195,47 @@ def alert_text(log: DataFrame, status: DataFrame, least: int = 1, bulk: int = 0,
     return rows.select(*FILE, F.concat(F.lit("run "), F.col("run").cast("string"), F.lit(" subrun "), F.col("subrun").cast("string"), F.lit(": "), F.col("reason"), F.coalesce(F.concat(F.lit(" | "), F.col("worst"), F.coalesce(tail, F.lit(""))), F.lit(""))).alias("text"))
 
 
+def worst_rows(log: DataFrame, by: list[str], n: int = 5) -> DataFrame:
+    """(by, lines): the ``n`` anomalous rows of largest z, a line each, and how many there are besides.
+
+    Rows without a z do not count; ties go to the smaller file, then to the
+    channel's text.  Where there are no rows with one, there is no row here.
+    """
+    rows = log.where("anomalous and max_z is not null").withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("max_z"), *[c for c in FILE if c not in by], F.col("channel").cast("string"))))
+    number = lambda c, places: F.when(F.col(c).isNull(), F.lit("nan")).otherwise(F.format_string(f"%.{places}f", half_even(F.col(c), places)))
+    line = F.concat(F.lit("  ch"), F.col("channel").cast("string"), F.lit(": max_z="), number("max_z", 1), F.lit("  if_score="), number("if_score", 3), F.lit("  features=["), F.coalesce("triggered_features", F.lit("")), F.lit("]"))
+    top = F.sort_array(F.collect_list(F.when(F.col("_k") <= n, F.struct("_k", line.alias("line")))))
+    own = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.transform(top, lambda x: x["line"]).alias("_lines"))
+    more = F.when(F.col("_n") > n, F.array(F.format_string("  ... and %d more anomalous channels", F.col("_n") - n))).otherwise(F.array().cast("array<string>"))
+    return own.select(*by, F.array_join(F.concat("_lines", more), "\n").alias("lines"))
+
+
+NO_DATA = "  (no anomaly data)"
+
+
+def alert_block(log: DataFrame, status: DataFrame, least: int = 1, bulk: int = 0, extreme: float = 0.0, n: int = 5, window: int = 1) -> DataFrame:
+    """(run, subrun, text) of each alerted file: heading, conditions and the ``n`` anomalous channels of largest z with z, score and features."""
+    rows = reasons(log, status, least, bulk, extreme, window).join(worst_rows(log, FILE, n), FILE, "left").join(log.groupBy(*FILE).agg(F.count_if("anomalous").alias("_all")), FILE)
+    conditions = F.replace("reason", F.lit("  |  "), F.lit(", "))
+    head = F.format_string("Run %d, subrun %d — ALERT\nConditions: %s\nAnomalous channels (%d total, top by max_z):\n", "run", "subrun", conditions, "_all")
+    return rows.select(*FILE, F.concat(head, F.coalesce("lines", F.lit(NO_DATA))).alias("text"))
+
+
 def historical_snapshot(log: DataFrame, runs: DataFrame, n: int = 5) -> DataFrame:
-    """(run, n_subruns, n_bad_subruns, n_anomalous, top_channels) of annotated runs; runs without a log have zeros."""
-    own = log.join(runs.select("run").distinct(), "run", "left_semi")
+    """(run, n_subruns, n_bad_subruns, n_anomalous, top_channels, snapshot) of annotated runs; runs without a log have zeros.
+
+    ``top_channels`` are those of the ``n`` anomalous rows of largest z, a
+    channel as often as it is there; ``snapshot`` tells all that in words.
+    """
+    wanted = runs.select("run").distinct()
+    own = log.join(wanted, "run", "left_semi")
     sums = own.groupBy("run").agg(F.count_distinct("subrun").alias("n_subruns"), F.count_distinct(F.when(F.col("anomalous"), F.col("subrun"))).alias("n_bad_subruns"), F.count_if("anomalous").alias("n_anomalous"))
-    counts = own.where("anomalous").groupBy("run", "channel").agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("r", F.row_number().over(W.partitionBy("run").orderBy(F.desc("n"), F.col("channel").cast("string")))).where(F.col("r") <= n)
+    ranked = own.where("anomalous and max_z is not null").withColumn("r", F.row_number().over(W.partitionBy("run").orderBy(F.desc("max_z"), "subrun", F.col("channel").cast("string")))).where(F.col("r") <= n)
     top = ranked.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("r", F.col("channel").cast("string").alias("c")))).alias("l")).select("run", F.array_join(F.transform("l", lambda x: x["c"]), ",").alias("top_channels"))
-    out = runs.select("run").distinct().join(sums, "run", "left").join(top, "run", "left")
+    out = wanted.join(sums, "run", "left").join(top, "run", "left").join(worst_rows(own, ["run"], n), "run", "left")
+    told = F.format_string("  Subruns in log: %d  |  subruns with anomalies: %d\n  Total anomalous channel-entries: %d\n  Top channels (by max_z):\n%s", "n_subruns", "n_bad_subruns", "n_anomalous", F.coalesce("lines", F.lit(NO_DATA)))
+    missing = F.format_string("  (run %d not found in log — annotation used without snapshot)", "run")
+    out = out.withColumn("snapshot", F.when(F.col("n_subruns").isNull(), missing).otherwise(told)).drop("lines")
     return out.na.fill(0, ["n_subruns", "n_bad_subruns", "n_anomalous"]).na.fill("", ["top_channels"])
 
 
@@ -210,6 +244,14 @@ def annotated(cases: DataFrame, log: DataFrame, n: int = 5) -> DataFrame:
     return cases.join(historical_snapshot(log, cases.select("run"), n), "run", "left")
 
 
+def case_blocks(cases: DataFrame) -> DataFrame:
+    """Adds ``block``, the text of an annotated case (run, snapshot and, where people gave them, category, cause, action, recovery)."""
+    said = lambda c, none: F.coalesce(F.col(c).cast("string"), F.lit(none)) if c in cases.columns else F.lit(none)
+    text = "### Case: run %d\nAnomaly data (auto-injected from log):\n%s\nHuman annotation:\n  Category : %s\n  Cause    : %s\n  Action   : %s\n  Recovery : %s"
+    snapshot = F.col("snapshot") if "snapshot" in cases.columns else F.lit(NO_DATA)
+    return cases.withColumn("block", F.format_string(text, "run", snapshot, said("category", "unknown"), *[said(c, "unspecified") for c in ("cause", "action", "recovery")]))
+
+
 #: Most annotated cases of a prompt.
 MOST_CASES = 1000
 
@@ -217,26 +259,34 @@ MOST_CASES = 1000
 def prompt_text(alerts: DataFrame, cases: DataFrame, task: str) -> DataFrame:
     """(run, subrun, prompt): alert, annotated cases and task.
 
-    ``cases`` is a list that people keep, MOST_CASES at most: they are one text,
-    which is sent along with every alert.
+    ``cases`` is a list that people keep, MOST_CASES at most, in the order of
+    ``position`` if they have one, else of their text: they are one text, which is
+    sent along with every alert.  Without cases the prompts are null.
     """
-    rows = cases.select("run", "category", "cause").limit(MOST_CASES + 1).collect()
+    blocks = case_blocks(cases)
+    rows = blocks.select("block", *[c for c in ("position",) if c in cases.columns]).limit(MOST_CASES + 1).collect()
     if len(rows) > MOST_CASES:
         raise ValueError(f"more than {MOST_CASES} cases")
-    known = "\n".join(" / ".join(str(x) for x in r if x is not None) for r in sorted(rows, key=lambda r: tuple(map(str, r))))
-    return alerts.select(*FILE, F.concat_ws("\n\n", "text", F.lit(known), F.lit(task)).alias("prompt"))
+    known = "\n\n".join(r["block"] for r in sorted(rows, key=lambda r: (r["position"] if "position" in r else 0, r["block"])))
+    whole = F.concat(F.lit("## Current alert\n\n"), F.col("text"), F.lit("\n\n---\n\n## Historical reference cases\n\n"), F.lit(known), F.lit(task))
+    return alerts.select(*FILE, (whole if rows else F.lit(None).cast("string")).alias("prompt"))
 
 
 def categorised(prompts: DataFrame, provider: Callable[[str], str]) -> DataFrame:
     """(run, subrun, response, api_error): the provider's answer to each prompt.
 
-    A call that fails leaves its message in ``api_error``; each prompt has a row.
+    A call that fails leaves its message in ``api_error``, and so does a prompt
+    that is null for want of cases, without a call; each prompt has a row.
     """
+    ship_package(prompts.sparkSession)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for run, subrun, prompt in frame.itertuples(index=False):
+                if prompt is None:
+                    out.append((run, subrun, None, "knowledge base is empty"))
+                    continue
                 try:
                     out.append((run, subrun, provider(prompt), None))
                 except Exception as error:  # whatever a provider raises
@@ -246,8 +296,40 @@ def categorised(prompts: DataFrame, provider: Callable[[str], str]) -> DataFrame
     return prompts.select(*FILE, "prompt").mapInPandas(batches, "run int, subrun int, response string, api_error string")
 
 
+CANDIDATE = "rank int, category string, likely_cause string, suggested_action string, matched_runs array<int>, confidence string"
+ANSWER = f"candidates array<struct<{CANDIDATE.replace(' ', ':').replace(',:', ', ')}>>, reasoning string"
+
+
 def parsed_response(responses: DataFrame, column: str = "response") -> DataFrame:
-    """Adds ``suggestion`` (category, cause, action); ``raw_response`` has what is no JSON.  Every row stays."""
-    got = F.from_json(column, "category string, cause string, action string")
-    rows = responses.withColumn("suggestion", got)
-    return rows.withColumn("raw_response", F.when(F.coalesce("suggestion.category", "suggestion.cause", "suggestion.action").isNull(), F.col(column)))
+    """Adds ``suggestion`` (candidates, reasoning), ``raw_response`` and ``parse_error``.  Every row stays.
+
+    What is no JSON object is told as it is in ``raw_response``; fields of an
+    answer that are missing or of another kind are null.
+    """
+    # the parser stops after a first value; in brackets, whatever follows is an error or a second element
+    said = F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit("]")))
+    is_object = F.coalesce(F.schema_of_variant(said).startswith("ARRAY<OBJECT") & F.try_variant_get(said, "$[1]", "variant").isNull(), F.lit(False))
+    rows = responses.withColumn("_object", is_object).withColumn("suggestion", F.when(F.col("_object"), F.from_json(column, ANSWER, {"mode": "PERMISSIVE"})))
+    bad = F.col(column).isNotNull() & ~F.col("_object")
+    return rows.withColumns({"raw_response": F.when(bad, F.col(column)), "parse_error": F.when(bad, F.lit("the answer is not JSON"))}).drop("_object")
+
+
+def candidates(parsed: DataFrame) -> DataFrame:
+    """(run, subrun, rank, category, likely_cause, suggested_action, matched_runs, confidence, reasoning): a row for each candidate of each answer.
+
+    Candidates without a rank take their place in the answer; answers without
+    candidates have no rows here.
+    """
+    rows = parsed.select(*FILE, F.col("suggestion.reasoning").alias("reasoning"), F.posexplode("suggestion.candidates").alias("place", "c")).where("c is not null")
+    return rows.select(*FILE, F.coalesce("c.rank", F.col("place") + 1).alias("rank"), "c.category", "c.likely_cause", "c.suggested_action", "c.matched_runs", "c.confidence", "reasoning")
+
+
+def matched_cases(candidates_: DataFrame, cases: DataFrame) -> DataFrame:
+    """(run, subrun, rank, category, confidence, matched_run, case_category, case_cause, case_action): candidates beside the cases that they name.
+
+    A candidate that names no run, or runs without a case, has one row with
+    nulls for each; a run has a row for each of its cases.
+    """
+    rows = candidates_.select(*FILE, "rank", "category", "confidence", F.explode_outer(F.array_distinct("matched_runs")).alias("matched_run"))
+    known = cases.select(F.col("run").alias("matched_run"), *[(F.col(c) if c in cases.columns else F.lit(None).cast("string")).alias(f"case_{c}") for c in ("category", "cause", "action")])
+    return rows.join(known, "matched_run", "left").select(*FILE, "rank", "category", "confidence", "matched_run", "case_category", "case_cause", "case_action")

@@ -451,16 +451,70 @@ def alert_text(spark, sf_dir):
     return report.alert_text(log, s, adapt.LEAST, adapt.BULK, adapt.EXTREME, 2, adapt.N)
 
 
-@query("""
-, c as (select run, channel, count(*) as n, row_number() over (partition by run order by count(*) desc, channel::varchar) as k from log where anomalous group by run, channel),
-t as (select run, string_agg(channel::varchar, ',' order by k) as top_channels from c where k <= 5 group by run),
-s as (select run, count(distinct subrun) as n_subruns, count(distinct subrun) filter (anomalous) as n_bad_subruns, count(*) filter (anomalous) as n_anomalous from log group by run)
-select k.run, coalesce(n_subruns, 0) as n_subruns, coalesce(n_bad_subruns, 0) as n_bad_subruns, coalesce(n_anomalous, 0) as n_anomalous, coalesce(top_channels, '') as top_channels
-from (values (1993), (1997), (2050)) k(run) left join s using (run) left join t using (run)""")
+#: Lines of the anomalous rows of largest z, by the columns given first; the second follows from them.
+_lines = """
+, lw as (select *, row_number() over (partition by {by} order by max_z desc, {then}channel::varchar) as k, count(*) over (partition by {by}) as a from log where anomalous and max_z is not null),
+lines as (select {by}, string_agg('  ch' || channel || ': max_z=' || printf('%.1f', max_z) || '  if_score=nan  features=[' || triggered_features || ']', chr(10) order by k) filter (k <= {n})
+          || case when max(a) > {n} then chr(10) || '  ... and ' || (max(a) - {n}) || ' more anomalous channels' else '' end as lines,
+          string_agg(channel::varchar, ',' order by k) filter (k <= {n}) as top_channels from lw group by {by})
+"""
+_snapshot = _lines.format(by="run", then="subrun, ", n=5) + """
+, s as (select run, count(distinct subrun) as n_subruns, count(distinct subrun) filter (anomalous) as n_bad_subruns, count(*) filter (anomalous) as n_anomalous from log group by run),
+snap as (select k.run, coalesce(n_subruns, 0) as n_subruns, coalesce(n_bad_subruns, 0) as n_bad_subruns, coalesce(n_anomalous, 0) as n_anomalous, coalesce(top_channels, '') as top_channels,
+  case when n_subruns is null then '  (run ' || k.run || ' not found in log — annotation used without snapshot)'
+       else '  Subruns in log: ' || n_subruns || '  |  subruns with anomalies: ' || n_bad_subruns || chr(10) || '  Total anomalous channel-entries: ' || n_anomalous || chr(10) || '  Top channels (by max_z):' || chr(10) || coalesce(lines, '  (no anomaly data)') end as snapshot
+  from (values (1993), (1997), (2050)) k(run) left join s using (run) left join lines using (run))
+"""
+
+
+@query(_snapshot + "select * from snap")
 def historical_snapshot(spark, sf_dir):
     return report.historical_snapshot(adapt.log(spark, sf_dir), spark.createDataFrame([(1993,), (1997,), (2050,)], "run int"))
 
 
+@query(_lines.format(by="run, subrun", then="", n=2) + f"""
+, t as (select run, subrun, count(*) as n_total, count(*) filter (anomalous) as n_all from log group by run, subrun),
+w as (select run, subrun, channel as top from lw where k = 1)
+select s.run, s.subrun, 'Run ' || s.run || ', subrun ' || s.subrun || ' — ALERT' || chr(10) || 'Conditions: ' || concat_ws(', ',
+  case when n_persistent >= {adapt.LEAST} then n_persistent || ' persistent' || case when n_transient > 0 then ' + ' || n_transient || ' transient' else '' end || ' anomalous ch  (window: {adapt.N} files)' end,
+  case when n_anomalous >= {adapt.BULK} then n_anomalous || '/' || n_total || ' anomalous ch  [bulk ≥{adapt.BULK}]' end,
+  case when worst_z >= {adapt.EXTREME} then 'extreme z=' || printf('%.1f', worst_z) || ' on ch' || top end)
+  || chr(10) || 'Anomalous channels (' || n_all || ' total, top by max_z):' || chr(10) || coalesce(lines, '  (no anomaly data)') as text
+from status s join t using (run, subrun) left join lines using (run, subrun) left join w using (run, subrun) where status = 'alert'""")
+def alert_block(spark, sf_dir):
+    log = adapt.log(spark, sf_dir)
+    s = status.file_status(log, adapt.N, adapt.LEAST, adapt.BULK, adapt.EXTREME)
+    return report.alert_block(log, s, adapt.LEAST, adapt.BULK, adapt.EXTREME, 2, adapt.N)
+
+
+_CASES = [(1993, "hv", "trip", "ramp down", None), (1993, "daq", "crash", None, "restart"), (2050, None, None, None, None)]
+
+
+@query(_snapshot + f"""
+, kb(run, category, cause, action, recovery) as (values {", ".join("(" + ", ".join("null" if x is None else repr(x) for x in c) + ")" for c in _CASES)})
+select kb.run, category, '### Case: run ' || kb.run || chr(10) || 'Anomaly data (auto-injected from log):' || chr(10) || snapshot || chr(10) || 'Human annotation:' || chr(10) || '  Category : ' || coalesce(category, 'unknown') || chr(10)
+  || '  Cause    : ' || coalesce(cause, 'unspecified') || chr(10) || '  Action   : ' || coalesce(action, 'unspecified') || chr(10) || '  Recovery : ' || coalesce(recovery, 'unspecified') as block from kb join snap using (run)""")
+def case_blocks(spark, sf_dir):
+    """The knowledge base's cases as the prompt has them."""
+    cases = spark.createDataFrame(_CASES, "run int, category string, cause string, action string, recovery string")
+    return report.case_blocks(report.annotated(cases, adapt.log(spark, sf_dir))).select("run", "category", "block")
+
+
+@query("""
+, r as (select *, row_number() over (partition by run, subrun order by max_z desc, channel) as k from log where anomalous and max_z is not null),
+c as (select run, subrun, k::int as rank, method as category, case when k = 1 then 'high' else 'low' end as confidence, unnest(case when k = 1 then [run - 1, 1993] else [null] end)::int as matched_run from r where k <= 2),
+kb(matched_run, case_category, case_cause, case_action) as (values (1993, 'hv', 'trip', 'ramp down'), (1993, 'daq', 'crash', null), (1995, 'cal', null, null))
+select distinct run, subrun, rank, category, confidence, matched_run, case_category, case_cause, case_action from c left join kb using (matched_run)""")
+def answer_cases(spark, sf_dir):
+    """Answers of the asked-for form, made of the log, as text: parsed, laid out by candidate and joined with the annotated cases."""
+    top = report.top_channels(adapt.log(spark, sf_dir), 2)
+    runs = F.when(F.col("rank") == 1, F.array(F.col("run") - 1, F.lit(1993))).otherwise(F.array().cast("array<int>"))
+    one = F.struct("rank", F.col("method").alias("category"), runs.alias("matched_runs"), F.when(F.col("rank") == 1, "high").otherwise("low").alias("confidence"))
+    answers = top.groupBy("run", "subrun").agg(F.to_json(F.struct(F.sort_array(F.collect_list(one)).alias("candidates"), F.lit("why").alias("reasoning"))).alias("response"))
+    cases = spark.createDataFrame([(1993, "hv", "trip", "ramp down"), (1993, "daq", "crash", None), (1995, "cal", None, None)], "run int, category string, cause string, action string")
+    return report.matched_cases(report.candidates(report.parsed_response(answers)), cases)
+
+
 # ---- text and union
 
 @query("select distinct (o_custkey % 40)::int as run, (o_orderkey % 30)::int as subrun, 'x/DIGITIZER_run' || (o_custkey % 40) || '_subrun' || (o_orderkey % 30) || '.csv' as path from orders where o_orderkey % 7 <> 0 union all select distinct null::int, null::int, 'x/other_' || (o_custkey % 40) || '.csv' from orders")

@@ -370,16 +370,68 @@ def test_plot_tables(spark):
 
 def test_prompts_and_answers(spark):
     alerts = spark.createDataFrame([(1, 1, "alert one"), (1, 2, "fail")], "run int, subrun int, text string")
-    cases = spark.createDataFrame([(7, "hv", None), (3, "daq", "crash")], "run int, category string, cause string")
+    cases = spark.createDataFrame([(7, "hv", None, 2), (3, None, "crash", 1)], "run int, category string, cause string, position int")
 
     def provider(prompt):
-        if prompt.startswith("fail"):
+        if "fail" in prompt:
             raise RuntimeError("no answer")
-        return json.dumps({"category": prompt.split("\n\n")[1].splitlines()[0]})
-
-    out = report.parsed_response(report.categorised(report.prompt_text(alerts, cases, "What is it?"), provider))
-    got = {x.subrun: (x.suggestion and x.suggestion.category, x.api_error, x.raw_response) for x in out.collect()}
-    assert got == {1: ("3 / daq / crash", None, None), 2: (None, "no answer", None)}
+        return json.dumps({"candidates": [], "reasoning": prompt})
+
+    prompts = report.prompt_text(alerts, cases, "\n---\n## Task")
+    out = report.parsed_response(report.categorised(prompts, provider))
+    got = {x.subrun: (x.suggestion and x.suggestion.reasoning, x.api_error, x.raw_response) for x in out.collect()}
+    assert got[2] == (None, "no answer", None)
+    assert got[1][0] == "\n".join(
+        ["## Current alert", "", "alert one", "", "---", "", "## Historical reference cases", ""]
+        + ["### Case: run 3", "Anomaly data (auto-injected from log):", "  (no anomaly data)", "Human annotation:", "  Category : unknown", "  Cause    : crash", "  Action   : unspecified", "  Recovery : unspecified", ""]
+        + ["### Case: run 7", "Anomaly data (auto-injected from log):", "  (no anomaly data)", "Human annotation:", "  Category : hv", "  Cause    : unspecified", "  Action   : unspecified", "  Recovery : unspecified", "---", "## Task"]
+    )
+    without = report.categorised(report.prompt_text(alerts, cases.limit(0), "task"), provider).collect()
+    assert {x.api_error for x in without} == {"knowledge base is empty"}
+
+
+ANSWER = """
+{
+  "candidates": [
+    {"rank": 1, "category": "hv_trip", "likely_cause": "supply", "suggested_action": "check", "matched_runs": [3, 9, 3], "confidence": "high"},
+    {"category": "light_leak", "matched_runs": [], "confidence": "low", "more": 1}
+  ],
+  "reasoning": "channels of one board"
+}"""
+
+
+def test_answers_are_laid_out(spark):
+    texts = [ANSWER, "no JSON", None, "[1, 2]", ANSWER + " and so on", '{"candidates": "none", "reasoning": "r"}', '{"category": "hv"}', ""]
+    parsed = report.parsed_response(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "run int, subrun int, response string"))
+    rows = {x.subrun: x for x in parsed.collect()}
+    assert len(rows) == len(texts)
+    assert {i for i, x in rows.items() if x.parse_error} == {1, 3, 4, 7}
+    assert all(rows[i].raw_response == texts[i] and rows[i].suggestion is None for i in (1, 3, 4, 7))
+    assert rows[2].suggestion is None and rows[2].parse_error is None
+    assert rows[5].suggestion.candidates is None and rows[5].suggestion.reasoning == "r"
+    found = report.candidates(parsed).collect()
+    assert [(x.subrun, x["rank"], x.category, x.matched_runs, x.confidence, x.reasoning) for x in found] == [(0, 1, "hv_trip", [3, 9, 3], "high", "channels of one board"), (0, 2, "light_leak", [], "low", "channels of one board")]
+    cases = spark.createDataFrame([(3, "hv", "trip"), (3, "daq", "crash")], "run int, category string, cause string")
+    got = {(x["rank"], x.matched_run, x.case_category) for x in report.matched_cases(report.candidates(parsed), cases).collect()}
+    assert got == {(1, 3, "hv"), (1, 3, "daq"), (1, 9, None), (2, None, None)}
+
+
+def test_snapshot_and_alert_by_largest_z(spark):
+    """Literal values of the texts that a categoriser gets."""
+    rows = [(5, 1, "3", True, 12.25, -0.61249, "a;b"), (5, 1, "4", True, 6.0, -0.5, "a"), (5, 2, "3", True, 40.0, None, "c"), (5, 2, "8", True, None, None, "missing_channel"), (5, 3, "8", False, 1.0, -0.4, "")]
+    rows += [(5, 2, str(c), True, 5.0 + c / 100, -0.5, "") for c in range(10, 14)]
+    log = spark.createDataFrame(rows, "run int, subrun int, channel string, anomalous boolean, max_z double, if_score double, triggered_features string")
+    runs = spark.createDataFrame([(5,), (6,)], "run int")
+    got = {x.run: x for x in report.historical_snapshot(log, runs, 3).collect()}
+    assert (got[5].n_subruns, got[5].n_bad_subruns, got[5].n_anomalous, got[5].top_channels) == (3, 2, 8, "3,3,4")
+    assert got[5].snapshot == "\n".join(["  Subruns in log: 3  |  subruns with anomalies: 2", "  Total anomalous channel-entries: 8", "  Top channels (by max_z):", "  ch3: max_z=40.0  if_score=nan  features=[c]", "  ch3: max_z=12.2  if_score=-0.612  features=[a;b]", "  ch4: max_z=6.0  if_score=-0.500  features=[a]", "  ... and 4 more anomalous channels"])
+    assert got[6].snapshot == "  (run 6 not found in log — annotation used without snapshot)" and got[6].n_subruns == 0
+    files = status.file_status(log, 1, 1, 0, 0.0)
+    text = {x.subrun: x.text for x in report.alert_block(log, files, n=1).collect()}
+    assert text[1] == "Run 5, subrun 1 — ALERT\nConditions: 2 persistent anomalous ch\nAnomalous channels (2 total, top by max_z):\n  ch3: max_z=12.2  if_score=-0.612  features=[a;b]\n  ... and 1 more anomalous channels"
+    assert text[2].startswith("Run 5, subrun 2 — ALERT\nConditions: 6 persistent anomalous ch\nAnomalous channels (6 total")
+    only = log.where("channel = '8'")
+    assert report.alert_block(only, status.file_status(only, 1, 1, 0, 0.0)).first().text.endswith("\n  (no anomaly data)")
 
 
 def test_panels_of_few_candidates(spark):
