@@ -851,6 +851,16 @@ def sweep_marginals(spark, sf_dir):
     return sweeps.marginals(_tier_metrics(spark, sf_dir)[0], ["z_threshold", "tier"], ["fp_percent", "ok_percent"])
 
 
+@query(_tiers + """
+
+select model, count(*) as n, count(*) filter (good) as n_known_good, count(*) filter (good and loose + medium + tight = 0) as fp, round(100.0 * count(*) filter (good and loose + medium + tight = 0) / count(*) filter (good), 6) as fp_percent
+from (select * from flags where model <> 'z2.5' or subrun = 2) left join truth using (run, subrun) group by model having count(*) filter (good) > 0""")
+def flat_metrics(spark, sf_dir):
+    """Rates of the models that have known-good files; one model scored only files without ground truth."""
+    flags = _flags(spark, sf_dir).where("model <> 'z2.5' or subrun = 2")
+    return sweeps.flat_metrics(flags, _truth(spark, sf_dir)).select("model", "n", "n_known_good", "fp", "fp_percent")
+
+
 @query(_tiers + """
 select tier, z_threshold, 'fp_percent' as metric, round(fp_percent, 6) as y from metrics where tier <> 'loose' and fp_percent is not null
 union all select tier, z_threshold, 'ok_percent', round(ok_percent, 6) from metrics where tier <> 'loose'""")

@@ -121,11 +121,22 @@ def write_summary(counts: dict[str, dict[str, int]], spark: SparkSession, path:
 
 
 def write_report(runs: DataFrame, folder: str) -> None:
-    """The run summary, and lists of good, partial and persistently faulty runs."""
+    """The run summary, and lists of good, partial and persistently faulty runs, a run a line in order.
+
+    The lists are folders of text files, one a classification, written by one
+    pass over the summary.
+    """
     runs.write.mode("overwrite").option("header", True).csv(f"{folder}/run_summary")
-    for kind in ("good", "partial", "persistent_fault"):
-        own = runs.where(F.col("classification") == kind).select(F.col("run").cast("string").alias("value"))
-        own.coalesce(1).write.mode("overwrite").text(f"{folder}/{kind}")
+    kinds = ["good", "partial", "persistent_fault"]
+    own = runs.where(F.col("classification").isin(kinds)).select("run", "classification").repartitionByRange("classification", "run").sortWithinPartitions("classification", "run")
+    own.select(F.col("run").cast("string").alias("value"), "classification").write.mode("overwrite").partitionBy("classification").text(f"{folder}/lists")
+
+
+def report_list(spark: SparkSession, folder: str, kind: str) -> list[int]:
+    """Runs of one list of a report."""
+    if not storage.exists(spark, f"{folder}/lists/classification={kind}"):
+        return []
+    return sorted(int(r["value"]) for r in spark.read.text(f"{folder}/lists/classification={kind}").collect())  # some thousand runs
 
 
 def put_good_list(paths: DataFrame, target: str, number: int) -> None:

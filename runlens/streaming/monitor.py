@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -27,7 +29,6 @@ from ..functions.scalar import base_name, file_run, file_subrun
 from ..operators.report import file_order
 from ..operators.sampling import exact_sample
 from ..sources.readers import HITS, list_files, located, read_hits
-from ..shipping import ship_package
 from ..sources.writers import put_good_list
 
 DECISIONS = "run int, subrun int, file_index int, n_anomalous int, n_persistent int, status string, decision string, released string"
@@ -275,7 +276,8 @@ def live_status(log: DataFrame, n: int = 1, least: int = 1, bulk: int = 0, extre
     begin, so no row is ever late, and a batch taken up again has its old time.
     """
     spark = log.sparkSession
-    ship_package(spark)
+    # the driver looks at the processor in a Python process of its own, which shipped files do not reach
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     keyed = log.select("run", "subrun", F.col("channel").cast("string").alias("channel"), "anomalous", "max_z", F.current_timestamp().alias("at")).where("run is not null")
     timed = keyed.withWatermark("at", "0 seconds").withColumn("now", F.unix_millis("at"))

@@ -400,6 +400,13 @@ ANSWER = """
 }"""
 
 
+def test_report_files(spark, tmp_path):
+    runs = spark.createDataFrame([(12, "good"), (3, "good"), (7, "partial"), (9, "other")], "run int, classification string")
+    writers.write_report(runs, f"{tmp_path}/r")
+    assert [writers.report_list(spark, f"{tmp_path}/r", k) for k in ("good", "partial", "persistent_fault")] == [[3, 12], [7], []]
+    assert spark.read.option("header", True).csv(f"{tmp_path}/r/run_summary").count() == 4
+
+
 def test_answers_are_laid_out(spark):
     texts = [ANSWER, "no JSON", None, "[1, 2]", ANSWER + " and so on", '{"candidates": "none", "reasoning": "r"}', '{"category": "hv"}', ""]
     parsed = report.parsed_response(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "run int, subrun int, response string"))
