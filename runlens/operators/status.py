@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FILE = ["run", "subrun"]
+#: Thresholds of a sweep, at most.
+MOST_THRESHOLDS = 10_000
 
 
 def streaks(log: DataFrame, n: int) -> DataFrame:
@@ -43,14 +45,40 @@ def file_status(log: DataFrame, n: int = 1, least: int = 1, bulk: int = 0, extre
     once = log.groupBy(*FILE, "channel").agg(F.bool_or("anomalous").alias("anomalous"), F.max(F.when(F.col("anomalous"), F.col("max_z"))).alias("z"))
     rows = streaks(once, n)
     files = rows.groupBy(*FILE).agg(F.count_if("anomalous").alias("n_anomalous"), F.count_if("persistent").alias("n_persistent"), F.coalesce(F.max("z"), F.lit(0.0)).alias("worst_z"))
-    files = files.withColumns({"n_transient": F.col("n_anomalous") - F.col("n_persistent"), "n_files": F.count("*").over(W.partitionBy("run"))})
+    files = files.withColumn("n_files", F.count("*").over(W.partitionBy("run")))
+    return _with_status(files, n, least, bulk, extreme).select(*FILE, "n_anomalous", "n_persistent", "n_transient", "worst_z", "status")
+
+
+def _with_status(files: DataFrame, n: int, least: int, bulk: int, extreme: float) -> DataFrame:
+    """Adds ``n_transient`` and ``status`` to files (n_anomalous, n_persistent, worst_z, n_files)."""
+    transient = F.col("n_anomalous") - F.col("n_persistent")
     alert = F.col("n_persistent") >= least
     if bulk > 0:
         alert = alert | (F.col("n_anomalous") >= bulk)
     if extreme > 0:
         alert = alert | (F.col("worst_z") >= extreme)
-    status = F.when(alert, "alert").when(F.col("n_persistent") > 0, "warn").when((F.col("n_transient") > 0) & (F.col("n_files") < n), "pend").otherwise("ok")
-    return files.select(*FILE, "n_anomalous", "n_persistent", "n_transient", "worst_z", status.alias("status"))
+    status = F.when(alert, "alert").when(F.col("n_persistent") > 0, "warn").when((transient > 0) & (F.col("n_files") < n), "pend").otherwise("ok")
+    return files.withColumns({"n_transient": transient, "status": status})
+
+
+def status_sweep(log: DataFrame, thresholds: DataFrame, n: int = 1, least: int = 1, bulk: int = 0, extreme: float = 0.0) -> DataFrame:
+    """file_status of the log judged by its z alone, at each of ``thresholds`` (z_threshold).
+
+    A channel is anomalous at a threshold where its z is above it, and
+    persistent where the smallest z of its last n files is: so one window over
+    the log serves all thresholds, and they are laid out on files only.  The
+    thresholds are broadcast: more than MOST_THRESHOLDS are refused.
+    """
+    if thresholds.limit(MOST_THRESHOLDS + 1).count() > MOST_THRESHOLDS:
+        raise ValueError(f"more than {MOST_THRESHOLDS} thresholds")
+    once = log.groupBy(*FILE, "channel").agg(F.max("max_z").alias("z"))
+    last = W.partitionBy("run", "channel").orderBy("subrun").rowsBetween(-(n - 1), 0)
+    # a file without a z ends a streak
+    rows = once.repartition("run").withColumn("least_z", F.when((F.count("*").over(last) == n) & (F.count("z").over(last) == n), F.min("z").over(last)))
+    files = rows.groupBy(*FILE).agg(F.collect_list("z").alias("zs"), F.collect_list("least_z").alias("least_zs"), F.max("z").alias("top")).withColumn("n_files", F.count("*").over(W.partitionBy("run")))
+    above = lambda c: F.size(F.filter(c, lambda z: z > F.col("z_threshold"))).cast("long")
+    swept = files.join(F.broadcast(thresholds.select("z_threshold"))).select("z_threshold", *FILE, above("zs").alias("n_anomalous"), above("least_zs").alias("n_persistent"), F.when(F.col("top") > F.col("z_threshold"), F.col("top")).otherwise(0.0).alias("worst_z"), "n_files")
+    return _with_status(swept, n, least, bulk, extreme).select("z_threshold", *FILE, "n_anomalous", "n_persistent", "n_transient", "worst_z", "status")
 
 
 def not_alerted(status: Column) -> Column:

@@ -607,10 +607,9 @@ def _truth(spark, sf_dir):
 , o as (select *, sum(anomalous::int) over (partition by z_threshold, run, channel order by subrun rows between 1 preceding and current row) = 2 as p from sweep_log)
 select z_threshold, run, subrun, count(*) filter (anomalous) as n_anomalous, count(*) filter (p) as n_persistent from o group by z_threshold, run, subrun""")
 def sweep_status_grid(spark, sf_dir):
-    """Status counts of every threshold from one scoring; a threshold takes the part of a run."""
-    rows = _sweep(spark, sf_dir).withColumn("run", F.struct("z_threshold", "run"))
-    s = status.file_status(rows, 2)
-    return s.select("run.z_threshold", F.col("run.run").alias("run"), "subrun", "n_anomalous", "n_persistent")
+    """Status counts of every threshold from one scoring and one window."""
+    swept = status.status_sweep(adapt.log(spark, sf_dir), sweeps.grid(spark, z_threshold=[2.0, 2.5, 3.0]), 2)
+    return swept.select("z_threshold", "run", "subrun", "n_anomalous", "n_persistent")
 
 
 def _model_sql(ok: str) -> str:

@@ -400,6 +400,22 @@ ANSWER = """
 }"""
 
 
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_status_at_many_thresholds(spark, n):
+    """One window serves all thresholds: as the log flagged and judged at each."""
+    r = random.Random(n)
+    rows = [(run, s, c, r.choice([None, r.uniform(0, 8)])) for run in (1, 2, 3) for s in range(8 if run < 3 else 2) for c in "abc" if r.random() < 0.9]
+    rows += [(1, 3, "a", 7.5)]
+    log = spark.createDataFrame(rows, "run int, subrun int, channel string, max_z double")
+    z = [1.0, 4.0, 6.5]
+    got = sorted(map(tuple, status.status_sweep(log, sweeps.grid(spark, z_threshold=z), n, 2, 3, 7.8).collect()))
+    want = []
+    for t in z:
+        own = log.withColumn("anomalous", F.coalesce(F.col("max_z") > t, F.lit(False)))
+        want += [(t, *x) for x in map(tuple, status.file_status(own, n, 2, 3, 7.8).collect())]
+    assert got == sorted(want)
+
+
 def test_report_files(spark, tmp_path):
     runs = spark.createDataFrame([(12, "good"), (3, "good"), (7, "partial"), (9, "other")], "run int, classification string")
     writers.write_report(runs, f"{tmp_path}/r")
