@@ -525,32 +525,40 @@ def filename_parse(spark, sf_dir):
     return rows.select(scalar.file_run(scalar.base_name(F.col("path"))).alias("run"), scalar.file_subrun(scalar.base_name(F.col("path"))).alias("subrun"), "path")
 
 
-_tags = [
-    # fixed values: tags as training jobs carry them, and what they say
-    ("model_260521_zThreshold_6sigma_ifContamination_0p001_alertConsec_1", 0.001, 6.0, 1, None, None, None, True, True, True),
-    ("model_260521_zThreshold_7sigma_ifContamination_0p05_alertConsec_5_noTrigger_noLVDS", 0.05, 7.0, 5, None, None, None, False, False, True),
-    ("model_260521_zThreshold_8sigma_ifContamination_0p01_alertConsec_3_noLVDS_ignoreTriggerConfig", 0.01, 8.0, 3, None, None, None, True, False, False),
-    ("model_260429_IFhp_Medium_zThreshold_8sigma_ifContamination_0p002_nEst_300_maxSamp_1024", 0.002, 8.0, None, 300, 1024, "Medium", True, True, True),
-    ("model_260429_EXT_Tight", None, None, None, None, None, "Tight", True, True, True),
-]
-_tag_columns = ["tag", "contamination", "z_threshold", "consecutive", "n_trees", "max_samples", "quality", "use_trigger", "use_lvds", "use_trigger_config"]
+#: Tags of models, made of each order's columns, and what they say.
+_tagged = """
+, o as (
+  select year(o_orderdate) as y, o_custkey % 30 as c, o_orderkey % 9 + 2 as z, o_custkey % 4 as k, o_orderkey % 3 * 100 as t, o_orderkey % 11 <> 0 as has_z, o_orderkey % 2 = 0 as no_trigger, o_orderkey % 5 = 0 as no_lvds, o_orderkey % 7 = 0 as no_config,
+         case substr(o_orderpriority, 1, 1) when '1' then 'Loose' when '2' then 'Medium' when '3' then 'Tight' when '4' then 'All' end as q from orders),
+tagged as (
+  select 'sweep_' || case when y < 1995 then '260429' else '260521' end || '_ifContamination_0p' || lpad(c::varchar, 2, '0') || case when has_z then '_zThreshold_' || z || 'sigma' else '' end
+         || case when k > 0 then '_alertConsec_' || k else '' end || case when t > 0 then '_nEst_' || t || '_maxSamp_' || t * 2 else '' end || coalesce('_' || q, '')
+         || case when no_trigger then '_noTrigger' else '' end || case when no_lvds then '_noLVDS' else '' end || case when no_config then '_ignoreTriggerConfig' else '' end as tag,
+         case when y < 1995 then '260429' else '260521' end as sweep, c / 100.0::double as contamination, case when has_z then z::double end as z_threshold, nullif(k, 0) as consecutive, nullif(t, 0) as n_trees, nullif(t * 2, 0) as max_samples,
+         q as quality, not no_trigger as use_trigger, not no_lvds as use_lvds, not no_config as use_trigger_config from o)
+"""
 
 
-def _sql(v) -> str:
-    return "null" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::double" if isinstance(v, float) else str(v)
+def _tags(spark, sf_dir):
+    o = adapt.table(spark, sf_dir, "orders")
+    part = lambda when, text, *columns: F.when(when, F.format_string(text, *columns)).otherwise("")
+    k, t, key = F.col("o_custkey") % 4, F.col("o_orderkey") % 3 * 100, F.col("o_orderkey")
+    sweep = F.when(F.year("o_orderdate") < 1995, "260429").otherwise("260521")
+    quality = F.element_at(F.array(*[F.lit(f"_{q}") for q in ("Loose", "Medium", "Tight", "All", "")]), F.substring("o_orderpriority", 1, 1).cast("int"))
+    tag = F.concat(F.lit("sweep_"), sweep, F.format_string("_ifContamination_0p%02d", F.col("o_custkey") % 30), part(key % 11 != 0, "_zThreshold_%dsigma", key % 9 + 2), part(k > 0, "_alertConsec_%d", k), part(t > 0, "_nEst_%d_maxSamp_%d", t, t * 2), F.when(quality == "_", "").otherwise(quality), part(key % 2 == 0, "_noTrigger"), part(key % 5 == 0, "_noLVDS"), part(key % 7 == 0, "_ignoreTriggerConfig"))
+    return o.groupBy(tag.alias("tag"), sweep.alias("sweep")).agg(F.count("*").alias("n"))
 
 
-@query("select * from (values " + ", ".join("(" + ", ".join(map(_sql, t)) + ")" for t in _tags) + f") t({', '.join(_tag_columns)})")
+@query(_tagged + "select tag, contamination, z_threshold, consecutive::int as consecutive, n_trees::int as n_trees, max_samples::int as max_samples, quality, use_trigger, use_lvds, use_trigger_config, count(*) as n from tagged group by all")
 def tag_parse(spark, sf_dir):
-    tags = spark.createDataFrame([(t[0],) for t in _tags], "tag string")
-    return tags.select("tag", *[x.alias(k) for k, x in scalar.tag_fields(F.col("tag")).items()])
+    return _tags(spark, sf_dir).select("tag", *[x.alias(k) for k, x in scalar.tag_fields(F.col("tag")).items()], "n")
 
 
-@query("select * from (values " + ", ".join("(" + ", ".join(map(_sql, t[:3])) + ", " + repr(t[0].split("_")[1]) + ")" for t in _tags if t[2]) + ") t(tag, contamination, z_threshold, sweep)")
+@query(_tagged + "select tag, contamination, z_threshold, sweep, count(*) as n from tagged where z_threshold is not null group by all")
 def sweep_union(spark, sf_dir):
     """Models of two sweeps as one table; tags that are no part of a sweep drop out."""
-    parts = [spark.createDataFrame([(t[0], kind) for t in _tags if kind in t[0]], "tag string, sweep string") for kind in ("260521", "260429")]
-    return scalar.with_tag_fields(parts[0].unionByName(parts[1])).select("tag", "contamination", "z_threshold", "sweep")
+    parts = [_tags(spark, sf_dir).where(F.col("sweep") == kind) for kind in ("260521", "260429")]
+    return scalar.with_tag_fields(parts[0].unionByName(parts[1])).select("tag", "contamination", "z_threshold", "sweep", "n")
 
 
 @query("select event_type, json_extract_string(props, '$.k')::bigint as k, count(*) as n from events group by 1, 2")

@@ -416,6 +416,21 @@ def test_status_at_many_thresholds(spark, n):
     assert got == sorted(want)
 
 
+TAGS = [
+    # fixed values: tags as training jobs carry them, and what they say
+    ("model_260521_zThreshold_6sigma_ifContamination_0p001_alertConsec_1", 0.001, 6.0, 1, None, None, None, True, True, True),
+    ("model_260521_zThreshold_7sigma_ifContamination_0p05_alertConsec_5_noTrigger_noLVDS", 0.05, 7.0, 5, None, None, None, False, False, True),
+    ("model_260521_zThreshold_8sigma_ifContamination_0p01_alertConsec_3_noLVDS_ignoreTriggerConfig", 0.01, 8.0, 3, None, None, None, True, False, False),
+    ("model_260429_IFhp_Medium_zThreshold_8sigma_ifContamination_0p002_nEst_300_maxSamp_1024", 0.002, 8.0, None, 300, 1024, "Medium", True, True, True),
+    ("model_260429_EXT_Tight", None, None, None, None, None, "Tight", True, True, True),
+]
+
+
+def test_tags(spark):
+    got = spark.createDataFrame([(t[0],) for t in TAGS], "tag string")
+    assert {tuple(r) for r in got.select("tag", *[c.alias(k) for k, c in scalar.tag_fields(F.col("tag")).items()]).collect()} == {tuple(t) for t in TAGS}
+
+
 def test_report_files(spark, tmp_path):
     runs = spark.createDataFrame([(12, "good"), (3, "good"), (7, "partial"), (9, "other")], "run int, classification string")
     writers.write_report(runs, f"{tmp_path}/r")
