@@ -38,6 +38,10 @@ TEMPLATES = {
         "licensed under the apache license version 2.0",
         "this project is licensed under the apache license 2.0",
         "released under the apache 2.0 license",
+        "apache 2.0 or mit",
+        "mit or apache 2.0",
+        "dual licensed under mit and apache 2.0",
+        "distributed under the terms of the apache license",
         "spdx license identifier apache 2.0",
         "licensed under the apache license version 2.0 you may not use this file except in compliance with the license",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind",
@@ -46,6 +50,8 @@ TEMPLATES = {
         "released under the mit license",
         "licensed under the mit license",
         "this software is available under the terms of the mit license",
+        "distributed under the terms of the mit license",
+        "this file is under the mit license",
         "spdx license identifier mit",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
         "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
@@ -54,6 +60,9 @@ TEMPLATES = {
         "licensed under the bsd license",
         "released under the 3 clause bsd license",
         "this code is under the new bsd license",
+        "distributed under the terms of the bsd license",
+        "bsd 2 clause",
+        "bsd 3 clause",
         "spdx license identifier bsd 3 clause",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
         "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
@@ -91,6 +100,8 @@ TEMPLATES = {
         "released into the public domain",
         "to the extent possible under law the author has waived all copyright and related rights to this work",
         "spdx license identifier cc0 1.0",
+        "cc0 1.0",
+        "cc0 1.0 universal",
     ],
     "proprietary": [
         "all rights reserved",
@@ -138,11 +149,13 @@ SENTENCE = r"(?<=[.!?])\s+"
 KEY = ["own", "doc_id", "paragraph", "unit"]
 #: GPLv2, LGPLv2.1 and the like are two words and a number.
 VERSIONED = r"(?<=gpl)v(?=[0-9])"
+#: Two spellings of one word.
+BRITISH, AMERICAN = "licence", "license"
 
 
 def tokens_of(text: str) -> list[str]:
     """Lower-cased runs of letters and digits; points inside numbers stay."""
-    return [w for w in re.split(r"[^\w.]+|_|\.(?!\d)|(?<!\d)\.", re.sub(VERSIONED, " version ", text.lower())) if w]
+    return [w for w in re.split(r"[^\w.]+|_|\.(?!\d)|(?<!\d)\.", re.sub(VERSIONED, " version ", text.lower().replace(BRITISH, AMERICAN))) if w]
 
 
 #: Words around which n-grams are features.
@@ -238,8 +251,8 @@ def model() -> tuple[dict[str, list[float]], list[float]]:
 
 
 def versioned(text: Column) -> Column:
-    """The lower-cased text with GPLv2 and the like in words."""
-    low = F.lower(text)
+    """The lower-cased text with GPLv2 and the like in words, and in one spelling."""
+    low = F.replace(F.lower(text), F.lit(BRITISH), F.lit(AMERICAN))
     return F.when(low.contains("gpl"), F.regexp_replace(low, VERSIONED, " version ")).otherwise(low)
 
 
@@ -289,11 +302,13 @@ def units_of(text: Column) -> Column:
 
 
 def gated(text: Column) -> Column:
-    """Whether a text holds a gate word, also as part of a longer one; GPLv2 stands for "gpl version 2"."""
+    """Whether a text holds a gate word, also as part of a longer one and in either spelling; GPLv2 stands for "gpl version 2"."""
     low = F.lower(text)
     found = low.contains("gpl")
     for w in gate():
         found |= low.contains(w)
+        if AMERICAN in w:
+            found |= low.contains(w.replace(AMERICAN, BRITISH))
     return found
 
 

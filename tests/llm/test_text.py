@@ -402,6 +402,16 @@ WRAPPED = {
 }
 
 
+def test_identifiers_and_spellings(spark):
+    """Expressions of identifiers, either spelling, and plain texts with the same words."""
+    rows = [("Apache-2.0 OR MIT", "apache-2.0"), ("MIT OR Apache-2.0", "apache-2.0"), ("Dual licensed under MIT and Apache 2.0", "apache-2.0"), ("CC0-1.0", "public-domain"), ("BSD-3-Clause", "bsd"), ("SPDX-License-Identifier: BSD-2-Clause", "bsd")]
+    rows += [("Distributed under the terms of the MIT", "mit"), ("This file is under the MIT licence.", "mit"), ("Released under the Apache Licence, Version 2.0", "apache-2.0"), ("Licenced under the GNU General Public Licence version 3", "gpl")]
+    rows += [(t, "") for t in ("The driver had no licence.", "the clause of the bsd contract", "he got 3 cc0 kits", "Mozilla Public Licence Version 2.0", "the students of MIT or Apache helicopters", "submit it or permit it")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {x.doc_id: x.families for x in licences.licence_scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [f for _, f in rows]
+
+
 def test_wrapped_licences(spark):
     """Notices that no single line states; the last one shares its block with another statement."""
     rows = [(f"Title\n\n{t}\n\nother words", name) for name, t in WRAPPED.items()]
