@@ -11,7 +11,10 @@ all with all.  First each node meets one leader, the first node of a bucket of
 its; what this links is one component.  Then, where nodes of different
 components share a bucket, their signatures meet: in small buckets as pairs, in
 large ones block by block inside tasks, those outside the bucket's main
-component against all, each pair in its first common band only.  Of the pairs of
+component against all, each pair in its first common band only.  A bucket with
+very many nodes outside its main component (texts of one form, say) would take
+blocks by the square of its nodes; its nodes are dealt by rare shingles instead
+(``rare_keys``), of which two alike sets always share one.  Of the pairs of
 small buckets, the likeliest of every two components is confirmed on the texts,
 and the others follow only where their components are still apart; of a block,
 texts go to those rows that have a candidate there, and pairs are confirmed as
@@ -38,8 +41,14 @@ BANDS, ROWS = 24, 5
 PERMUTATIONS = BANDS * ROWS
 #: Nodes of either side that meet in a block.
 BLOCK = 512
+#: Shingles of the texts of either side of a block, about; a longer text is a block.
+BLOCK_SHINGLES = 1 << 22
 #: Buckets of at most so many nodes are paired by a join.
 SMALL = 16
+#: A bucket with more nodes outside its main component is dealt anew, by rare shingles.
+HEAVY = 8 * BLOCK
+#: Counts by which shingles are put in order.
+SLOTS = 1 << 16
 BASE = 0x9E3779B97F4A7C15
 _random = np.random.Generator(np.random.PCG64(20240501))
 MULTIPLIERS = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,40 +137,47 @@ def common_count(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, lengths: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (node, grp) whose texts' sets are alike, as links (a, b).
 
-    A node's text goes to its partner in blocks of about BLOCK pairs.
+    A node's text goes to its partner in blocks of about BLOCK pairs or
+    BLOCK_SHINGLES shingles; the two of a pair have similar numbers of these,
+    and ``lengths`` (node, n_shingles) has that of the partner.
     """
 
     def links(table: pa.Table) -> pa.Table:
         grp = table.column("grp")[0].as_py()
         nodes = table.column("node").to_pylist()
-        sets = [shingle_set(x or b"", width) for x in table.column("text").cast(pa.binary()).to_pylist()]
-        mine = sets[nodes.index(grp)]
+        texts = table.column("text").cast(pa.binary())
+        mine = shingle_set(texts[nodes.index(grp)].as_py() or b"", width)
+        sets = (shingle_set(x.as_py() or b"", width) for x in texts)
         alike = [x for x, own in zip(nodes, sets, strict=True) if x != grp and 100 * (n := common_count(mine, own)) >= percent * (len(mine) + len(own) - n)]
         return pa.table({"a": pa.array(alike, pa.int64()), "b": pa.array([grp] * len(alike), pa.int64())})
 
-    sizes = written(pairs.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "block-sizes")
+    counts = pairs.groupBy("grp").agg(F.count("*").alias("n")).join(lengths.withColumnRenamed("node", "grp"), "grp")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n") * F.col("n_shingles") / BLOCK_SHINGLES))
+    sizes = written(counts.select("grp", blocks.alias("blocks")), "block-sizes")
     theirs = pairs.select("grp", "node").join(sizes, "grp").select("grp", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node")
     mine = sizes.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("grp").alias("node"))
     return theirs.unionByName(mine).join(texts, "node").groupBy("grp", "block").applyInArrow(links, "a long, b long")
 
 
 def in_blocks(members: DataFrame, others: DataFrame) -> DataFrame:
-    """Blocks of ``members`` and ``others`` (grp, band, node, component).
+    """Blocks of ``members`` and ``others`` (grp, band, node, component, n_shingles).
 
-    Each side of a group is dealt to blocks of about BLOCK nodes, and every
-    block of one side meets every block of the other.
+    Each side of a group is dealt to blocks of about BLOCK nodes or
+    BLOCK_SHINGLES shingles, and every block of one side meets every block of
+    the other.
     """
-    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("m")).join(others.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("o")), "grp")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    sizes = members.groupBy("grp").agg(blocks.alias("m")).join(others.groupBy("grp").agg(blocks.alias("o")), "grp")
     sizes = written(sizes, "block-sizes")
 
     def dealt(side: DataFrame, number: int, own: str, other: str) -> DataFrame:
         rows = side.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), own))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
         names = ("own", "other") if number == 0 else ("other", "own")
-        return rows.select("grp", F.col(names[0]).alias("mine"), F.col(names[1]).alias("theirs"), F.lit(number).alias("side"), "band", "node", "component")
+        return rows.select("grp", F.col(names[0]).alias("mine"), F.col(names[1]).alias("theirs"), F.lit(number).alias("side"), "band", "node", "component", "n_shingles")
 
     return dealt(members, 0, "m", "o").unionByName(dealt(others, 1, "o", "m"))
 
@@ -170,7 +186,7 @@ def pairs_of(table: pa.Table, least: int, percent: int) -> Iterator[tuple[int, n
     """(row of one side, rows of the other that may be alike) of a block's signatures.
 
     Nodes of one component are no pair, and a pair is left to the first band
-    that it shares.
+    that it shares; groups by rare shingles have the band -1 and take all.
     """
     side, band, component, size = (table.column(c).to_numpy() for c in ("side", "band", "component", "n_shingles"))
     bits = np.stack([table.column(c).to_numpy().view(np.uint64) for c in BITS])
@@ -181,7 +197,8 @@ def pairs_of(table: pa.Table, least: int, percent: int) -> Iterator[tuple[int, n
         n = PERMUTATIONS - np.bitwise_count(differ).sum(0)
         low, high = np.minimum(size[members], size[i]), np.maximum(size[members], size[i])
         near = members[(n >= least) & (component[members] != component[i]) & (100 * low >= percent * high)]
-        near = near[(bands[near] == bands[i]).argmax(1) == band[i]]
+        if band[i] >= 0:
+            near = near[(bands[near] == bands[i]).argmax(1) == band[i]]
         if len(near):
             yield i, near
 
@@ -242,6 +259,76 @@ def linked(blocks: DataFrame, width: int, percent: int) -> DataFrame:
     return blocks.groupBy("grp", "mine", "theirs").applyInArrow(links, "a long, b long")
 
 
+def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """Number of sets with a shingle in each of SLOTS slots, a shingle's slot being its low bits."""
+
+    def batches(source):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in source:
+            for text in batch.column("text").cast(pa.binary()):
+                np.add.at(total, (shingle_set(text.as_py() or b"", width) & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["slot", "n"])
+
+    found = map_batches(texts.select("text"), batches, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    out = np.zeros(SLOTS, np.int64)
+    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
+def rare_first(values: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, as many as it must share one of with any set alike.
+
+    All sets are in one order (slot's count, hash).  Alike sets share at least
+    ceil(percent * n / 100) of either's n shingles, so the first shingle that
+    they share is, in both, followed by at least that many less one.
+    """
+    order = np.lexsort((values, counts[(values & np.uint64(SLOTS - 1)).astype(np.int64)]))
+    return values[order[: len(values) + (-percent * len(values) // 100) + 1]]
+
+
+def rare_keys(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(grp, node, component, n_shingles): ``nodes`` (node, component, n_shingles) by each of their rarest shingles.
+
+    No link between the nodes is lost, whatever the counts are; what a form's
+    texts have in common has high counts and is not among their rarest.  A
+    text gives (1 - percent / 100) of its shingles as rows.
+    """
+    rows = written(nodes.join(texts, "node"), "heavy-texts")
+    counts = slot_counts(rows, width)
+
+    def batches(source):
+        for batch in source:
+            keys = [rare_first(shingle_set(x.as_py() or b"", width), counts, percent).view(np.int64) for x in batch.column("text").cast(pa.binary())]
+            at = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]), pa.int64())
+            columns = [batch.column(c).take(at) for c in ("node", "component", "n_shingles")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), *columns], ["grp", "node", "component", "n_shingles"])
+
+    return map_batches(rows.select("node", "component", "n_shingles", "text"), batches, "grp long, node long, component long, n_shingles long")
+
+
+def mixed_groups(placed: DataFrame) -> DataFrame:
+    """``placed`` (grp, component, ...) with the size of the group, docs, where it has several components."""
+    sizes = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("docs")).where("low <> high").select("grp", "docs")
+    return written(placed.join(written(sizes, "mixed"), "grp"), "placed")
+
+
+def main_components(placed: DataFrame) -> DataFrame:
+    """(grp, main, outside): the component with the most nodes of each group, and the number of other nodes."""
+    counts = placed.groupBy("grp", "component").agg(F.count("*").alias("n"))
+    return counts.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
+
+
+def without_heavy(placed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``placed`` with the nodes of heavy buckets dealt by rare shingles instead."""
+    heavy = written(main_components(placed.where(F.col("docs") > HEAVY)).where(F.col("outside") > HEAVY).select("grp"), "heavy")
+    if heavy.isEmpty():
+        return placed
+    nodes = placed.join(heavy, "grp", "left_semi").select("node", "component", "n_shingles").distinct()
+    fine = mixed_groups(rare_keys(nodes, texts, width, percent).withColumn("band", F.lit(-1)))
+    return placed.join(heavy, "grp", "left_anti").unionByName(fine)
+
+
 def relabelled(table: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     """``column`` replaced by its component, where ``labels`` (node, component) has it."""
     out = table.join(labels.select(F.col("node").alias(column), F.col("component").alias("_new")), column, "left")
@@ -270,7 +357,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     heads = written(heads.select("*", rank, F.monotonically_increasing_id().alias("node")), "heads")
     bits = heads.select("node", "n_shingles", *BITS)
 
-    bands = heads.select("node", "rank", F.posexplode("bands").alias("band", "bucket"))
+    lengths = heads.select("node", "n_shingles")
+    bands = heads.select("node", "rank", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     buckets = bands.groupBy("bucket").agg(F.min(F.struct("rank", "node")).alias("leader"), F.count("*").alias("nodes")).where("nodes > 1").select("bucket", F.col("leader.rank").alias("leader_rank"), F.col("leader.node").alias("leader"))
     shared = written(bands.drop("rank").join(written(buckets, "buckets"), "bucket"), "shared")
     least = least_matches(percent / 100)
@@ -285,21 +373,18 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     star = written(led.groupBy("node").agg(F.max_by("grp", F.struct("n", -F.col("leader_rank"), -F.col("grp"))).alias("grp")), "stars")
     near = heads.join(shared.select("node").distinct(), "node", "left_semi").select("node", "own")
     texts = written(rows.select("own", "text").join(near, "own").dropDuplicates(["node"]).drop("own"), "near-texts")
-    steps = [connected(confirmed(star, texts, width, percent))]
+    steps = [connected(confirmed(star, texts, lengths, width, percent))]
 
-    placed = relabelled(shared.select("node", "band", F.col("bucket").alias("grp"), F.col("node").alias("component")), "component", steps[0])
-    mixed = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("docs")).where("low <> high").select("grp", "docs")
-    placed = written(placed.join(written(mixed, "mixed"), "grp"), "placed")
+    placed = relabelled(shared.select("node", "band", "n_shingles", F.col("bucket").alias("grp"), F.col("node").alias("component")), "component", steps[0])
+    placed = without_heavy(mixed_groups(placed), texts, width, percent)
     small = placed.where(F.col("docs") <= SMALL).select("grp", "node", "component")
     met = small.join(small.toDF("grp", "other", "theirs"), "grp").where("node > other and component <> theirs")
     pairs = written(alike(met.select("node", F.col("other").alias("grp"), F.col("component").alias("mine"), "theirs").distinct()), "pairs")
     links = []  # of components
     large = placed.where(F.col("docs") > SMALL).drop("docs")
     if not large.isEmpty():
-        counts = large.groupBy("grp", "component").agg(F.count("*").alias("n"))
-        main = written(counts.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "main")
-        outside = large.join(main, "grp").where("component <> main").drop("main")
-        blocks = in_blocks(large, outside).join(heads.select("node", "n_shingles", *BITS, "bands"), "node")
+        outside = large.join(written(main_components(large), "main"), "grp").where("component <> main").drop("main", "outside")
+        blocks = in_blocks(large, outside).join(heads.select("node", *BITS, "bands"), "node")
         # texts go to those rows of a block only that have a candidate there
         some = written(candidates(blocks, percent), "candidates")
         blocks = blocks.join(some, ["grp", "mine", "theirs", "side", "node"], "left_semi").join(texts, "node")
@@ -312,13 +397,13 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         def by_component(found: DataFrame, named: DataFrame) -> DataFrame:
             return found.select(F.col("a").alias("node"), F.col("b").alias("grp")).join(named, ["node", "grp"]).select(F.col("mine").alias("a"), F.col("theirs").alias("b"))
 
-        links.append(by_component(confirmed(best, texts, width, percent), label))
+        links.append(by_component(confirmed(best, texts, lengths, width, percent), label))
         steps.append(connected(functools.reduce(DataFrame.unionByName, links)))
         links = []
         apart = relabelled(relabelled(label.distinct().join(best, ["node", "grp"], "left_anti"), "mine", steps[-1]), "theirs", steps[-1]).where("mine <> theirs")
         apart = written(apart, "apart")
         if not apart.isEmpty():
-            links.append(by_component(confirmed(apart.select("node", "grp"), texts, width, percent), apart))
+            links.append(by_component(confirmed(apart.select("node", "grp"), texts, lengths, width, percent), apart))
     if links:
         steps.append(connected(functools.reduce(DataFrame.unionByName, links)))
 

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -66,15 +67,45 @@ def brute_near(rows, width, percent):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("seed,width,percent,small,block", [(1, 3, 85, 16, 512), (2, 5, 80, 2, 3), (3, 3, 60, 2, 3)])
-def test_near(spark, seed, width, percent, small, block, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash, "BLOCK", block)
+@pytest.mark.parametrize("seed,width,percent,small,block,shingles,heavy", [(1, 3, 85, 16, 512, 1 << 22, 4096), (2, 5, 80, 2, 3, 1 << 22, 4096), (3, 3, 60, 2, 3, 100, 4096), (2, 3, 70, 1, 3, 1 << 22, 1), (3, 3, 60, 2, 3, 100, 0)])
+def test_near(spark, seed, width, percent, small, block, shingles, heavy, monkeypatch):
+    for name, value in (("SMALL", small), ("BLOCK", block), ("BLOCK_SHINGLES", shingles), ("HEAVY", heavy)):
+        monkeypatch.setattr(minhash, name, value)
     rows = corpus(seed)
     got = minhash.near_components(frame(spark, rows), width, percent).collect()
     assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got} == brute_near(rows, width, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_rare_shingles_lose_no_link(percent):
+    """Alike sets share one of their rarest shingles, whatever the counts are."""
+    random = np.random.Generator(np.random.PCG64(percent))
+    counts = random.integers(0, 3, minhash.SLOTS)
+    alike = 0
+    for _ in range(2000):
+        base = random.integers(0, 1 << 63, random.integers(1, 60), dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([base, random.integers(0, 1 << 63, random.integers(0, 7), dtype=np.uint64)])) for _ in range(2))
+        n = minhash.common_count(a, b)
+        if 100 * n >= percent * (len(a) + len(b) - n):
+            alike += 1
+            assert set(minhash.rare_first(a, counts, percent).tolist()) & set(minhash.rare_first(b, counts, percent).tolist())
+    assert alike > 500
+
+
+def test_near_on_texts_of_one_form(spark, monkeypatch):
+    """Texts that share a form but are not alike are dealt by what is their own; their near copies are linked."""
+    monkeypatch.setattr(minhash, "HEAVY", 50)
+    dealt = []
+    whole = minhash.rare_keys
+    monkeypatch.setattr(minhash, "rare_keys", lambda *a: dealt.append(whole(*a)) or dealt[0])
+    form = " ".join(f"f{i}" for i in range(90))
+    rows = [(i, f"{form} " + " ".join(f"w{i}x{k}" for k in range(30)), None) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end", None) for i in range(0, 300, 3)]
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash.near_components(frame(spark, rows), 3, 85).collect()}
+    assert got == {i: (118, i, True) for i in range(300)} | {1000 + i: (119, i, False) for i in range(0, 300, 3)}
+    assert dealt and dealt[0].groupBy("grp").count().agg({"count": "max"}).first()[0] <= 4
+
+
 @pytest.mark.parametrize("width,percent", [(5, 80), (3, 85)])
 def test_near_on_given_texts(spark, width, percent):
     """No link is lost on the given documents, at the pipeline's setting and at the query's."""
