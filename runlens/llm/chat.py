@@ -83,14 +83,16 @@ def reply_paths(messages: DataFrame, tree: str = "tree_id", node: str = "node_id
     return up
 
 
-def format_paths(paths: DataFrame, messages: DataFrame, tree: str = "tree_id", node: str = "node_id", role: str = "role", text: str = "text") -> DataFrame:
+def format_paths(paths: DataFrame, messages: DataFrame, tree: str = "tree_id", node: str = "node_id", role: str = "role", text: str = "text", unique: bool = False) -> DataFrame:
     """(tree, leaf, branch, formatted): one conversation of each path.
 
     Null role or text: empty.  Of rows that repeat a (tree, node), the smallest
-    (role, text) is used.  A path's messages meet in one row, as they must.
+    (role, text) is used; ``unique`` says that none does, so texts need not be
+    grouped for it.  A path's messages meet in one row, as they must.
     """
     said = messages.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    said = said.groupBy("tree", "node").agg(F.min(F.struct("role", "text")).alias("m"))
+    told = F.struct("role", "text")
+    said = said.select("tree", "node", told.alias("m")) if unique else said.groupBy("tree", "node").agg(F.min(told).alias("m"))
     turn = F.concat(F.lit(OPEN), escape(F.col("m.role"), ":\n"), F.lit(":\n"), escape(F.col("m.text")), F.lit(CLOSE))
     rows = paths.join(said.select("tree", "node", turn.alias("turn")), ["tree", "node"])
     ordered = F.array_sort(F.collect_list(F.struct("depth", "turn")))
@@ -107,9 +109,9 @@ def loss_spans(formatted: str) -> list[tuple[int, int]]:
     return [(a, b) for role, _, a, b in turns_of(formatted) if role == "assistant"]
 
 
-def format_trees(messages: DataFrame, tree: str = "tree_id", node: str = "node_id", parent: str = "parent_id", score: str = "score", role: str = "role", text: str = "text", keep: int | None = 1) -> DataFrame:
+def format_trees(messages: DataFrame, tree: str = "tree_id", node: str = "node_id", parent: str = "parent_id", score: str = "score", role: str = "role", text: str = "text", keep: int | None = 1, unique: bool = False) -> DataFrame:
     """(tree, leaf, branch, formatted) of the ``keep`` best branches of each reply tree."""
-    return format_paths(reply_paths(messages, tree, node, parent, score, keep), messages, tree, node, role, text)
+    return format_paths(reply_paths(messages, tree, node, parent, score, keep), messages, tree, node, role, text, unique)
 
 
 def conversations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,19 +121,20 @@ def conversations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn (null first), role and text, so rows that repeat a turn follow each
     other; rows with a null id make one conversation, of id null (tree "").
     The score of a message is the length of its text, so the longest branch wins.
+    The numbered rows are written once, since paths and texts both read them.
     """
     hard = "\\### Assistant: </turn> ok"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema))
     number = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))
     rows = rows.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("tree"), number.alias("node"), "role", "text", F.length("text").alias("score"))
-    return rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
+    return written(rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)), "turns")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted, and what is read back from the formatted text."""
     ship_package(spark)
-    out = format_trees(conversations_of(spark, sf_dir), "tree", "node", "parent").withColumn("conv_id", F.expr("try_cast(tree as bigint)"))
+    out = format_trees(conversations_of(spark, sf_dir), "tree", "node", "parent", unique=True).withColumn("conv_id", F.expr("try_cast(tree as bigint)"))
 
     def batches(source):
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
