@@ -40,13 +40,14 @@ from .components import connected
 BANDS, ROWS = 24, 5
 PERMUTATIONS = BANDS * ROWS
 #: Nodes of either side that meet in a block.
-BLOCK = 512
+BLOCK = 2048
 #: Shingles of the texts of either side of a block, about; a longer text is a block.
 BLOCK_SHINGLES = 1 << 22
 #: Buckets of at most so many nodes are paired by a join.
 SMALL = 16
-#: A bucket with more nodes outside its main component is dealt anew, by rare shingles.
-HEAVY = 8 * BLOCK
+#: A bucket with more nodes outside its main component is dealt anew, by rare shingles.  So blocks of short texts have
+#: at most HEAVY / BLOCK = 2 rows for a node of either side and as many for each of the bucket: 4 for each, at any size.
+HEAVY = 2 * BLOCK
 #: Counts by which shingles are put in order.
 SLOTS = 1 << 16
 BASE = 0x9E3779B97F4A7C15
@@ -203,18 +204,22 @@ def pairs_of(table: pa.Table, least: int, percent: int) -> Iterator[tuple[int, n
             yield i, near
 
 
+BLOCK_ROWS = "grp long, mine long, theirs long, side int, band int, node long, component long, n_shingles long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+
+
 def candidates(blocks: DataFrame, percent: int) -> DataFrame:
-    """The rows (grp, mine, theirs, side, node) of blocks with signatures that may be alike to some row of the other side."""
+    """The rows of blocks with signatures that may be alike to some row of the other side."""
     least = least_matches(percent / 100)
+    names = [x.split()[0] for x in BLOCK_ROWS.split(", ")]
 
     def some(table: pa.Table) -> pa.Table:
         hit = np.zeros(len(table), bool)
         for i, near in pairs_of(table, least, percent):
             hit[i] = True
             hit[near] = True
-        return table.select(["grp", "mine", "theirs", "side", "node"]).filter(pa.array(hit))
+        return table.select(names).filter(pa.array(hit))
 
-    return blocks.groupBy("grp", "mine", "theirs").applyInArrow(some, "grp long, mine long, theirs long, side int, node long")
+    return blocks.groupBy("grp", "mine", "theirs").applyInArrow(some, BLOCK_ROWS)
 
 
 def linked(blocks: DataFrame, width: int, percent: int) -> DataFrame:
@@ -387,8 +392,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         blocks = in_blocks(large, outside).join(heads.select("node", *BITS, "bands"), "node")
         # texts go to those rows of a block only that have a candidate there
         some = written(candidates(blocks, percent), "candidates")
-        blocks = blocks.join(some, ["grp", "mine", "theirs", "side", "node"], "left_semi").join(texts, "node")
-        links.append(written(linked(blocks, width, percent), "links"))
+        links.append(written(linked(some.join(texts, "node"), width, percent), "links"))
     if not pairs.isEmpty():
         two = [F.least("mine", "theirs").alias("low"), F.greatest("mine", "theirs").alias("high")]
         best = written(pairs.groupBy(*two).agg(F.max(F.struct("n", "node", "grp")).alias("b")).select("b.node", "b.grp"), "best")

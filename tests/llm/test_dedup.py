@@ -106,6 +106,22 @@ def test_near_on_texts_of_one_form(spark, monkeypatch):
     assert dealt and dealt[0].groupBy("grp").count().agg({"count": "max"}).first()[0] <= 4
 
 
+@pytest.mark.parametrize("nodes", [4000, 16_000, 64_000])
+def test_blocks_grow_with_their_bucket(spark, nodes):
+    """A bucket with as many nodes outside its main component as blocks may take: some rows for each node, at any size."""
+    outside = min(nodes // 4, minhash.HEAVY)
+    large = spark.range(nodes).selectExpr("1L as grp", "0 as band", "id as node", f"if(id < {outside}, id + 1, 0L) as component", "100L as n_shingles")
+    assert minhash.in_blocks(large, large.where("component <> 0")).count() <= 4.2 * nodes
+
+
+def test_candidates_keep_their_signatures(spark):
+    """Blocks are read once: what has a candidate goes on with all its columns."""
+    rows = [(1, 0, 0, side, 0, node, node, 100, 1, 2, 3, 4, list(range(minhash.BANDS))) for side, node in ((0, 1), (0, 2), (1, 2))]
+    rows.append((1, 0, 0, 0, 0, 3, 3, 10, -1, -2, -3, -4, [-1] * minhash.BANDS))
+    got = minhash.candidates(spark.createDataFrame(rows, minhash.BLOCK_ROWS), 85)
+    assert sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+
+
 @pytest.mark.parametrize("width,percent", [(5, 80), (3, 85)])
 def test_near_on_given_texts(spark, width, percent):
     """No link is lost on the given documents, at the pipeline's setting and at the query's."""
