@@ -18,6 +18,8 @@ SIGNAL_PINS = 48
 TRIGGER_BITS = 16
 TRIGGER_FEATURES = [*(f"triggerRate_bit{i + 1}" for i in range(TRIGGER_BITS)), "triggerRate_tot", "triggerCounts_tot"]
 FILE = ["run", "subrun"]
+#: Hits that a task gets at a time, about, when distinct events are counted.
+EVENT_ROWS = 1 << 18
 TRIGGER_CHANNEL, LVDS_CHANNEL = "trigger_rate", "trigger_lvds_total"
 
 
@@ -28,7 +30,17 @@ def feature_columns(metrics: list[str] = METRICS, use_trigger: bool = True, use_
     return [n for n in names if not any(fnmatch(n, g) for g in exclude)]
 
 
-def channel_features(hits: DataFrame, metrics: list[str] = METRICS, pulses: str = "nPulses", event: str = "event_id", only: list[str] | None = None) -> DataFrame:
+def distinct_events(hits: DataFrame, dead: Column, event: str, n_hits: int) -> DataFrame:
+    """(run, subrun, event, channel, dead) of each distinct one, dealt out by file and event to as many tasks as ``n_hits`` ask for.
+
+    Adaptive execution would make about one task a core of them, each as large
+    as the table.
+    """
+    dealt = hits.where(F.col(event).isNotNull()).repartition(1 + n_hits // EVENT_ROWS, *FILE, event)
+    return dealt.groupBy(*FILE, event, "channel").agg(dead.alias("dead"))
+
+
+def channel_features(hits: DataFrame, metrics: list[str] = METRICS, pulses: str = "nPulses", event: str = "event_id", only: list[str] | None = None, n_hits: int | None = None) -> DataFrame:
     """One row a (run, subrun, channel): mean, sample std and median of the metrics, occupancy and dead fraction.
 
     Statistics without values (also the std of one row) are 0; rows without a
@@ -38,7 +50,9 @@ def channel_features(hits: DataFrame, metrics: list[str] = METRICS, pulses: str
 
     Distinct (file, channel, event) are dealt out by file and event, so that
     no file's events meet in one task.  There one row of each (file, event) is
-    marked, and all counts are sums over (file, channel).
+    marked, and all counts are sums over (file, channel).  ``n_hits``, about the
+    number of hits, says over how many tasks; if it is not given, they are
+    counted (of Parquet, only footers are read for that).
     """
     names = [f"{m}_{s}" for m in metrics for s in ("mean", "std", "median") if only is None or f"{m}_{s}" in only]
     shares = [c for c in ("occupancy", "frac_dead") if only is None or c in only]
@@ -48,7 +62,7 @@ def channel_features(hits: DataFrame, metrics: list[str] = METRICS, pulses: str
     if not shares:
         return own
     dead = F.max(F.col(pulses) == 0) if "frac_dead" in shares else F.lit(False)
-    events = hits.where(F.col(event).isNotNull()).repartition(*FILE, event).groupBy(*FILE, event, "channel").agg(dead.alias("dead"))
+    events = distinct_events(hits, dead, event, hits.count() if n_hits is None else n_hits)
     first = F.row_number().over(W.partitionBy(*FILE, event).orderBy("channel")) == 1
     counts = events.withColumn("first", first).groupBy(*FILE, "channel").agg(F.count("*").alias("n_events"), F.count_if("dead").alias("n_dead"), F.count_if("first").alias("n_first"))
     counts = counts.withColumn("file_events", F.sum("n_first").over(W.partitionBy(*FILE)))

@@ -101,6 +101,16 @@ def test_detection_edges(spark):
     assert {x.channel: x.method for x in both.collect()} == {"0": "statistical+IF", "1": "statistical+IF", "2": "isolation_forest", "9": "new_channel"}
 
 
+def test_distinct_events_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks get more, not larger, with more hits; the features stay."""
+    hits = spark.range(20_000).selectExpr("int(id % 3) as run", "int(id % 2) as subrun", "int(id % 5) as channel", "id % 7000 as event_id", "double(id % 3) as nPulses")
+    want = sorted(map(tuple, features.channel_features(hits, [], only=["occupancy", "frac_dead"]).collect()))
+    monkeypatch.setattr(features, "EVENT_ROWS", 1000)
+    assert features.distinct_events(hits, F.lit(False), "event_id", 20_000).groupBy(F.spark_partition_id()).count().agg({"count": "max"}).first()[0] < 2000
+    assert sorted(map(tuple, features.channel_features(hits, [], only=["occupancy", "frac_dead"], n_hits=5000).collect())) == want
+    assert sorted(map(tuple, features.channel_features(hits, [], only=["occupancy", "frac_dead"]).collect())) == want
+
+
 def test_features_of_rare_cases(spark):
     rows = [(1, 1, 0, 1, 2.0, 1.0), (1, 1, 0, 2, 4.0, 0.0), (1, 1, 1, 1, None, 1.0), (1, 1, None, 3, 1.0, 1.0)]
     hits = spark.createDataFrame(rows, "run int, subrun int, channel int, event_id int, m double, nPulses double")
